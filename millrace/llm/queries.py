@@ -4,19 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality
+from millrace.llm import bpe, quality, token_count, token_store
 from millrace.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_shards": op2_token_shards,
         "op3_quality_rules": op3_quality_rules,
+        "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op8_token_counts": op8_token_counts,
     }
 
 
