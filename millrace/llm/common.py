@@ -28,6 +28,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_SEP, -1), lambda w: w != "")
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns worked out here: neither a later filter nor a later projection pulls their expressions
+    into its own, where a lambda would work them out again for every element."""
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset
     (tests on one machine) a temporary folder is set as checkpoint folder first."""

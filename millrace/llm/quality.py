@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_col, words_of
+from millrace.llm.common import settled, text_col, words_of
 
 # The menu words and phrases that the line rules look for.
 MENU = (
@@ -73,7 +73,7 @@ def measures(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()
     t = F.col("_t")
     step = docs.withColumn("_t", text_col(text))
     step = step.withColumn("_words", words_of(t)).withColumn("_lines", F.split(t, "\n", -1))
-    step = step.withColumn("_n", F.size("_words"))
+    step = settled(step, "_t", "_words", "_lines").withColumn("_n", F.size("_words"))
     words, n = F.col("_words"), F.col("_n")
     step = step.withColumn(
         "_h",
@@ -113,28 +113,27 @@ def measures(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()
     )
     wordy = F.filter("_lines", lambda x: ~x.rlike(_NO_WORD))
     step = step.withColumn("_wordy", wordy).withColumn("_repeat", covered)
-    step = step.withColumn("_faults", F.transform("_lines", lambda x: F.coalesce(line_fault(x, rules), F.lit(""))))
-    step = step.withColumn("_clean", F.array_join(F.filter("_lines", lambda x, i: F.get(F.col("_faults"), i) == ""), "\n"))
-    count = lambda rule: F.size(F.filter("_faults", lambda f: f == rule)).cast("bigint")
+    judged = F.transform("_lines", lambda x: F.struct(x.alias("x"), F.coalesce(line_fault(x, rules), F.lit("")).alias("fault")))
+    step = settled(step.withColumn("_judged", judged), "_judged", "_repeat", "_wordy", "_n")
+    step = step.withColumn("_clean", F.array_join(F.transform(F.filter("_judged", lambda j: j["fault"] == ""), lambda j: j["x"]), "\n"))
+    count = lambda rule: F.size(F.filter("_judged", lambda j: j["fault"] == rule)).cast("bigint")
     chars = F.length(_drop(t, _WHITE)).cast("bigint")
     left = F.length(_drop(F.col("_clean"), _WHITE)).cast("bigint")
     failed = (n < rules.min_words) | (F.col("_repeat") * 100 > n * rules.max_repeat_pct)
-    return step.withColumn(
-        "_q",
-        F.struct(
-            n.cast("bigint").alias("n_words"),
-            chars.alias("word_chars"),
-            (F.length(t) - F.length(_drop(t, "#*$%&|<>"))).cast("bigint").alias("n_symbols"),
-            (F.size("_wordy") - F.size(F.array_distinct("_wordy"))).cast("bigint").alias("n_dup_lines"),
-            F.col("_repeat").alias("n_repeat_words"),
-            failed.alias("base_failed"),
-            (~failed & (left * 100 >= chars * rules.min_left_pct)).alias("kept"),
-            left.alias("clean_chars"),
-            count("punctuation").alias("n_punctuation_lines"),
-            count("navigation").alias("n_navigation_lines"),
-            count("boilerplate").alias("n_boilerplate_lines"),
-        ),
+    out = F.struct(
+        n.cast("bigint").alias("n_words"),
+        chars.alias("word_chars"),
+        (F.length(t) - F.length(_drop(t, "#*$%&|<>"))).cast("bigint").alias("n_symbols"),
+        (F.size("_wordy") - F.size(F.array_distinct("_wordy"))).cast("bigint").alias("n_dup_lines"),
+        F.col("_repeat").alias("n_repeat_words"),
+        failed.alias("base_failed"),
+        (~failed & (left * 100 >= chars * rules.min_left_pct)).alias("kept"),
+        left.alias("clean_chars"),
+        count("punctuation").alias("n_punctuation_lines"),
+        count("navigation").alias("n_navigation_lines"),
+        count("boilerplate").alias("n_boilerplate_lines"),
     )
+    return settled(step.withColumn("_q", out), "_q", "_clean")
 
 
 def quality(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
