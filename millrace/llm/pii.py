@@ -7,7 +7,8 @@ text of any length takes a time in proportion to its length.
 
 Base kinds (always reported when their check holds): email; ip (each part at most 255); card (12 to 19 digits and
 Luhn); phone (9 to 15 digits).  The method adds iban (mod 97), ssn and secret: they have a base score, raised by a
-context word in the 40 characters before them, and are reported from `threshold` on.  Kinds may overlap; within a
+context word in the 40 characters before them (no further than the kind's match before), and are reported from
+`threshold` on.  Kinds may overlap; within a
 kind spans are leftmost and do not.
 
 Null text counts as empty and has no spans.  Repeated rows get equal results; an empty table gives an empty one.
@@ -15,6 +16,7 @@ Null text counts as empty and has no spans.  Repeated rows get equal results; an
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -95,23 +97,48 @@ def confirmed(kind: Kind, found: Column) -> Column:
     return F.lit(True)
 
 
-def _starts(gaps: Column, lens: Column) -> Column:
-    """Where each match starts: the lengths of all cuts up to it and all matches before it, summed in blocks."""
-    plus = lambda a, x: a + x
-    total = lambda xs: F.aggregate(xs, F.lit(0), plus)
-    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(lens)), lens, plus)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / _BLOCK).cast("int")), lambda k: total(F.slice(both, k * _BLOCK + 1, F.lit(_BLOCK))))
+def _plus(a: Column, x: Column) -> Column:
+    return a + x
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), _plus)
+
+
+def _block_sums(steps: Column) -> Column:
+    """Sums of each _BLOCK steps."""
+    last = F.floor((F.size(steps) - 1) / _BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: _total(F.slice(steps, k * _BLOCK + 1, F.lit(_BLOCK))))
+
+
+def _starts(gaps: Column, steps: Column, blocks: Column) -> Column:
+    """Where each match starts: all steps (a cut and its match) before it, summed by whole blocks first, and its own cut."""
     return F.flatten(
         F.transform(
             blocks,
             lambda _, k: F.transform(
-                F.slice(lens, k * _BLOCK + 1, F.lit(_BLOCK)),
-                lambda _, i: total(F.slice(blocks, F.lit(1), k)) + total(F.slice(both, k * _BLOCK + 1, i)) + F.get(gaps, k * _BLOCK + i),
+                F.slice(steps, k * _BLOCK + 1, F.lit(_BLOCK)),
+                lambda _, i: _total(F.slice(blocks, F.lit(1), k)) + _total(F.slice(steps, k * _BLOCK + 1, i)) + F.get(gaps, k * _BLOCK + i),
             ),
         )
     )
 
 
+def _span(no: int, k: Kind, gaps: Column, starts: Column) -> Callable[[Column, Column], Column]:
+    """From a match and its number to its span and score; null where the check fails."""
+
+    def span(x: Column, i: Column) -> Column:
+        at = F.get(starts, i)
+        near = F.lower(F.substring(F.get(gaps, i), -WINDOW, WINDOW)).rlike(k.context)
+        score = F.lit(k.score) + F.when(near, F.lit(k.lift)).otherwise(F.lit(0.0))
+        return F.when(
+            confirmed(k, x),
+            F.struct(at.alias("start"), F.lit(no).alias("kind_no"), (at + F.length(x)).alias("end"), F.lit(k.name).alias("kind"), F.least(F.round(score, 2), F.lit(1.0)).alias("score")),
+        )
+
+    return span
+
+
 def spans(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with `_spans`: the reported spans with their scores, by start and then by kind."""
     none = F.array().cast("array<string>")
@@ -125,26 +152,24 @@ def spans(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     for k in KINDS:
         step = step.withColumn(f"_g_{k.name}", F.when(F.size(f"_f_{k.name}") > 0, F.split("_t", k.pattern, -1)).otherwise(none))
     step = settled(step, *[f"_g_{n}" for n in names])
+    some = lambda n, c: F.when(F.size(f"_f_{n}") > 0, c).otherwise(F.array().cast("array<int>"))
+    for n in names:
+        step = step.withColumn(f"_a_{n}", some(n, lens(F.col(f"_g_{n}"))))
+        step = step.withColumn(f"_b_{n}", some(n, F.zip_with(lens(F.slice(F.col(f"_g_{n}"), F.lit(1), F.size(f"_f_{n}"))), lens(F.col(f"_f_{n}")), _plus)))
+    step = settled(step, *[f"_{x}_{n}" for n in names for x in "ab"])
     for n in names:
-        at = _starts(lens(F.col(f"_g_{n}")), lens(F.col(f"_f_{n}")))
-        step = step.withColumn(f"_p_{n}", F.when(F.size(f"_f_{n}") > 0, at).otherwise(F.array().cast("array<int>")))
+        step = step.withColumn(f"_c_{n}", some(n, _block_sums(F.col(f"_b_{n}"))))
+    step = settled(step, *[f"_c_{n}" for n in names])
+    for n in names:
+        step = step.withColumn(f"_p_{n}", some(n, _starts(*[F.col(f"_{x}_{n}") for x in "abc"])))
     step = settled(step, *[f"_p_{n}" for n in names])
     for no, k in enumerate(KINDS):
         f, g, p = (F.col(f"_{x}_{k.name}") for x in "fgp")
-
-        def span(x: Column, i: Column, no: int = no, k: Kind = k, g: Column = g, p: Column = p) -> Column:
-            at = F.get(p, i)
-            near = F.lower(F.substring(F.get(g, i), -WINDOW, WINDOW)).rlike(k.context)
-            score = F.lit(k.score) + F.when(near, F.lit(k.lift)).otherwise(F.lit(0.0))
-            return F.when(
-                confirmed(k, x),
-                F.struct(at.alias("start"), F.lit(no).alias("kind_no"), (at + F.length(x)).alias("end"), F.lit(k.name).alias("kind"), F.least(F.round(score, 2), F.lit(1.0)).alias("score")),
-            )
-
+        span = _span(no, k, g, p)
         ok = F.filter(F.transform(f, span), lambda s: s.isNotNull() & ((s["kind_no"] < N_BASE) | (s["score"] >= threshold)))
         step = step.withColumn(f"_s_{k.name}", F.when(F.size(f) > 0, ok).otherwise(F.array().cast(_SPAN)))
     every = F.sort_array(F.concat(*[F.col(f"_s_{n}") for n in names]))
-    return settled(step.withColumn("_spans", every).drop("_t", *[f"_{x}_{n}" for n in names for x in "fgps"]), "_spans")
+    return settled(step.withColumn("_spans", every).drop("_t", *[f"_{x}_{n}" for n in names for x in "fgabcps"]), "_spans")
 
 
 def _listed(s: Column) -> Column:

@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, quality, token_count, token_store
+from millrace.llm import bpe, mixing, pii, quality, token_count, token_store, warc
 from millrace.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -21,6 +25,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.archive(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -31,12 +44,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_personal_data": op1_personal_data,
         "op2_token_shards": op2_token_shards,
         "op3_quality_rules": op3_quality_rules,
+        "op4_mixing": op4_mixing,
+        "op5_warc_archive": op5_warc_archive,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op8_token_counts": op8_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.SQL}
+    return {"op3_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op5_warc_archive": warc.SQL}
