@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, mixing, pii, quality, token_count, token_store, warc
+from millrace.llm import bpe, mixing, pii, quality, spotsigs, token_count, token_store, toxicity, warc
 from millrace.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_personal_data": op1_personal_data,
@@ -51,6 +60,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc_archive": op5_warc_archive,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op8_token_counts": op8_token_counts,
+        "op9_spot_signatures": op9_spot_signatures,
+        "op10_toxicity": op10_toxicity,
     }
 
 
