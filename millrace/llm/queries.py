@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, mixing, pii, quality, spotsigs, token_count, token_store, toxicity, warc
+from millrace.llm import bpe, mixing, near_dup, pii, quality, spotsigs, token_count, token_store, toxicity, warc
 from millrace.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_warc_archive": op5_warc_archive,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_token_counts": op8_token_counts,
         "op9_spot_signatures": op9_spot_signatures,
         "op10_toxicity": op10_toxicity,
