@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: The modules that register queries when they are imported.
+MODULES = ("q_facts",)
+
+
+def _loaded() -> None:
+    for m in MODULES:
+        importlib.import_module(f"millrace.plans.{m}")
+
+
 def queries() -> dict[str, Query]:
+    _loaded()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _loaded()
     return dict(_SQL)
