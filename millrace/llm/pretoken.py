@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,9 @@ from millrace.llm.common import text_col
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _INFO = re.compile("[\x1c-\x1f]")
 
+#: A word of Latin letters with marks behind it: two pieces, whatever the case.  U+0130 grows when it is lowered.
+WORD_AND_MARKS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)")
+
 #: Chunks over this length are never kept in a cache or a table.
 LONGEST = 64
 
@@ -32,6 +36,52 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+class ChunkCache:
+    """What `learn` gives for white-space chunks, kept up to `size` chunks.
+
+    A full cache forgets the younger half: frequent chunks come early, so what goes is mostly what was met once.
+    """
+
+    def __init__(self, size: int = 300_000) -> None:
+        self.size, self.known = size, {}
+
+    def learn(self, new: list[str]) -> Iterable[bytes]:
+        """A value for each new chunk."""
+        raise NotImplementedError
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str], at_once: int = 1_000_000) -> Iterator[bytes]:
+        """The joined values of each text; texts of about at_once characters are learned together."""
+        held, chars = [], 0
+        for t in texts:
+            held.append(chunks(t))
+            chars += len(t)
+            if chars >= at_once:
+                yield from self._joined(held)
+                held, chars = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, held: list[list[str]]) -> Iterator[bytes]:
+        known = self.known
+        new = list(set().union(*held).difference(known))
+        known.update(zip(new, self.learn(new), strict=True))
+        for found in held:
+            yield b"".join(map(known.__getitem__, found))
+        for c in new:
+            if len(c) > LONGEST:
+                del known[c]
+        forget(known, self.size)
+
+
+def forget(known: dict, size: int) -> None:
+    """Drop the younger half of a dict that has outgrown its size."""
+    if len(known) > size:
+        for c in list(islice(reversed(known), len(known) - size // 2)):
+            del known[c]
+
+
 def frequent_chunks(docs: DataFrame, keep: int = 65_536, per_task: int = 4_096, room: int = 400_000) -> list[tuple[str, int]]:
     """The most frequent chunks of the whole corpus, by count down and then by code point.
 

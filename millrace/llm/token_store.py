@@ -22,6 +22,7 @@ sorts first) all keep their own entries, ordered by text; an empty table writes
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import shared_dir, text_col
-from millrace.llm.pretoken import LONGEST, chunks
+from millrace.llm.pretoken import LONGEST, WORD_AND_MARKS, ChunkCache, forget
 from millrace.llm.token_count import library
 
 MAGIC = b"EFTOKEN1"
@@ -138,28 +139,39 @@ class Shard:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
-class ChunkIds:
-    """The library's ids of white-space chunks as bytes, kept per worker up to `size` chunks."""
-
-    def __init__(self, path: str, size: int = 300_000) -> None:
-        self.lib, self.size, self.known = library(path), size, {}
-
-    def encode(self, text: str) -> bytes:
-        found, known = chunks(text), self.known
-        new = list({c for c in found if c not in known})
-        long = [c for c in new if len(c) > LONGEST]
-        if new:
-            if len(known) + len(new) > self.size:
-                known.clear()
-                new = list(set(found))
-            for c, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join(map(known.__getitem__, found))
-        for c in long:
-            known.pop(c, None)
+class ChunkIds(ChunkCache):
+    """The library's ids of white-space chunks as little-endian u32, kept per worker.
+
+    A chunk of a word and marks behind it is encoded as its two pieces, each of which serves many chunks.
+    """
+
+    def __init__(self, path: str, size: int = 250_000) -> None:
+        super().__init__(size)
+        self.lib, self.pieces = library(path), {"": b""}
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        split = [(m[1].lower(), m[2]) if (m := WORD_AND_MARKS.fullmatch(c)) else (c, "") for c in new]
+        pieces = self.pieces
+        fresh = list({p for pair in split for p in pair}.difference(pieces))
+        pieces.update(zip(fresh, (array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+        out = [pieces[a] + pieces[b] for a, b in split]
+        for p in fresh:
+            if len(p) > LONGEST:
+                del pieces[p]
+        forget(pieces, self.size)
         return out
 
 
+_WORKER: dict[str, ChunkIds] = {}
+
+
+def worker_ids(path: str) -> ChunkIds:
+    """The cache of this worker, which outlives its tasks."""
+    if path not in _WORKER:
+        _WORKER[path] = ChunkIds(path)
+    return _WORKER[path]
+
+
 def _store(url: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(url)
 
@@ -169,7 +181,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, roll_ids
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, store, n_file, (docs_, ids_, size) = ChunkIds(path), None, 0, ([], [], 0)
+        enc, store, n_file, (docs_, ids_, size) = worker_ids(path), None, 0, ([], [], 0)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         done: list[dict] = []
 
@@ -190,8 +202,8 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, roll_ids
             n_file, docs_, ids_, size = n_file + 1, [], [], 0
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.encode(t.as_py()) + end
+            for d, ids in zip(b.column(0).to_pylist(), enc.encode_all(t.as_py() for t in b.column(1)), strict=True):
+                ids += end
                 docs_.append(NO_ID if d is None else d)
                 ids_.append(ids)
                 size += len(ids) // 4
