@@ -25,6 +25,7 @@ import mmap
 import os
 import tempfile
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_col
-from millrace.llm.pretoken import LONGEST, chunks, frequent_chunks
+from millrace.llm.pretoken import LONGEST, WORD_AND_MARKS, ChunkCache, forget, frequent_chunks
 from millrace.llm.token_count import library
 
 WORD_END = "</w>"
@@ -101,15 +102,16 @@ class Bpe:
         return [self.vocab[s] for s in (self._by_scan(syms) if len(syms) < HEAP_FROM else self._by_heap(syms))]
 
     def _by_scan(self, syms: list[str]) -> list[str]:
-        rank = self.rank
-        none = len(rank)
-        while len(syms) > 1:
-            ranks = [rank.get(p, none) for p in zip(syms, syms[1:])]
-            best = min(ranks)
-            if best == none:
-                break
+        get, none = self.rank.get, len(self.rank)
+        ranks = [get(p, none) for p in zip(syms, syms[1:])]
+        while ranks and (best := min(ranks)) != none:
             i = ranks.index(best)
-            syms[i : i + 2] = [syms[i] + syms[i + 1]]
+            syms[i] += syms.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((syms[i - 1], syms[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((syms[i], syms[i + 1]), none)
         return syms
 
     def _by_heap(self, syms: list[str]) -> list[str]:
@@ -258,38 +260,25 @@ class Lexicon:
         return self.a["ids"][self.a["offset"][rank] : self.a["offset"][rank + 1]].tobytes()
 
 
-class Encoder:
+class Encoder(ChunkCache):
     """Texts to ids (little-endian u32) and back, through the lexicon, the merges and a bounded cache."""
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon, size: int = 250_000) -> None:
-        self.bpe, self.lexicon, self.size = bpe, lexicon, size
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        """Put the ids of new chunks into the cache."""
-        pieces = [self.bpe.pieces(c) for c in new]
-        words = list({p for ps in pieces for p in ps if isinstance(p, str) and p not in self.words})
-        for w, rank in zip(words, self.lexicon.ranks(words).tolist(), strict=True):
-            self.words[w] = self.lexicon.output(rank) if rank >= 0 else np.array(self.bpe.merge(w), "<u4").tobytes()
-        for c, ps in zip(new, pieces, strict=True):
-            self.chunks[c] = b"".join(self.words[p] if isinstance(p, str) else np.array([p], "<u4").tobytes() for p in ps)
-
-    def encode(self, text: str) -> bytes:
-        found = chunks(text)
-        new = list({c for c in found if c not in self.chunks})
-        if new:
-            if len(self.chunks) + len(new) > self.size:
-                self.chunks.clear()
-                self.words.clear()
-                new = list(set(found))
-            self._learn(new)
-        out = b"".join(map(self.chunks.__getitem__, found))
-        for c in new:
-            if len(c) > LONGEST:
-                del self.chunks[c]
-                for p in self.bpe.pieces(c):
-                    self.words.pop(p, None)
+        super().__init__(size)
+        self.bpe, self.lexicon = bpe, lexicon
+        self.words: dict[str, bytes] = {"": b""}
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        split = [(m[1].lower(), m[2]) if (m := WORD_AND_MARKS.fullmatch(c)) else self.bpe.pieces(c) for c in new]
+        words = self.words
+        fresh = list({p for ps in split for p in ps if isinstance(p, str)}.difference(words))
+        for w, rank in zip(fresh, self.lexicon.ranks(fresh).tolist(), strict=True):
+            words[w] = self.lexicon.output(rank) if rank >= 0 else array("I", self.bpe.merge(w)).tobytes()
+        out = [b"".join([words[p] if isinstance(p, str) else array("I", [p]).tobytes() for p in ps]) for ps in split]
+        for p in fresh:
+            if len(p) > LONGEST:
+                del words[p]
+        forget(words, self.size)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -307,12 +296,24 @@ def lexicon_of(docs: DataFrame, path: str, lexicon_words: int = 50_000) -> Lexic
     return Lexicon.compile(words)
 
 
+_WORKER: dict[str, Encoder] = {}
+
+
+def worker_encoder(path: str, image: bytes) -> Encoder:
+    """The encoder of this worker, whose cache outlives its tasks; one of another file or lexicon takes its place."""
+    key = f"{path}|{hashlib.sha256(image).hexdigest()}"
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = Encoder(Bpe(path), Lexicon.mapped(image))
+    return _WORKER[key]
+
+
 def _batches(docs: DataFrame, path: str, lexicon_words: int, fn, schema: str) -> DataFrame:
     """docs (doc_id, text) through fn(encoder, batch) with the corpus's lexicon in every worker."""
     image = docs.sparkSession.sparkContext.broadcast(lexicon_of(docs, path, lexicon_words).image())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(Bpe(path), Lexicon.mapped(image.value))
+        enc = worker_encoder(path, image.value)
         for b in batches:
             yield fn(enc, b)
 
@@ -323,7 +324,7 @@ def encode(docs: DataFrame, path: str, lexicon_words: int = 50_000) -> DataFrame
     """doc_id and ids (array<int>) of every document."""
 
     def fn(enc: Encoder, b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [np.frombuffer(enc.encode(t.as_py()), "<i4") for t in b.column(1)]
+        ids = [np.frombuffer(x, "<i4") for x in enc.encode_all(t.as_py() for t in b.column(1))]
         return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     return _batches(docs, path, lexicon_words, fn, "doc_id bigint, ids array<int>")
@@ -333,14 +334,11 @@ def round_trip(docs: DataFrame, path: str, lexicon_words: int = 50_000) -> DataF
     """doc_id, n_tokens and the digests of the ids and of the decoded text of every document."""
 
     def fn(enc: Encoder, b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [enc.encode(t.as_py()) for t in b.column(1)]
-        return pa.RecordBatch.from_pydict(
-            {
-                "doc_id": b.column(0),
-                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in ids],
-            }
-        )
+        n, of_ids, of_text = [], [], []
+        for ids in enc.encode_all(t.as_py() for t in b.column(1)):
+            n.append(len(ids) // 4)
+            of_ids.append(hashlib.sha256(ids).hexdigest())
+            of_text.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
+        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())})
 
     return _batches(docs, path, lexicon_words, fn, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
