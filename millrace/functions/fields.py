@@ -183,7 +183,7 @@ def package_pairs(c: Column) -> Column:
 
 def outcome(expected: Column, picked: Column) -> Column:
     """exact, over, zeroPick or partial; null when either is missing."""
-    return F.when(picked == expected, "exact").when(picked > expected, "over").when(picked == 0, "zeroPick").when(picked < expected, "partial")
+    return F.when(expected.isNull() | picked.isNull(), F.lit(None).cast("string")).when(picked == expected, "exact").when(picked > expected, "over").when(picked == 0, "zeroPick").when(picked < expected, "partial")
 
 
 def count_variance(counted: Column, balance: Column, units: float = 2, share: float = 0.1) -> Column:

@@ -52,7 +52,7 @@ def merge(roles: list[str]) -> dict[str, Column]:
     """Aggregates that merge stored roles."""
     how = {
         "sum_value": F.sum("sum_value"), "count_value": F.sum("count_value"), "sum_sq": F.try_sum("sum_sq"), "min_value": F.min("min_value"), "max_value": F.max("max_value"), "latest": F.max("latest"),
-        "histogram": F.array(*[F.sum(F.get("histogram", F.lit(b))) for b in range(BANDS)]),
+        "histogram": F.when(F.count("histogram") > 0, F.array(*[F.sum(F.get("histogram", F.lit(b))) for b in range(BANDS)])),
     }
     if "sketch" in roles:
         how["sketch"] = F.hll_union_agg("sketch")
