@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,17 +57,25 @@ def parts(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in sizes), *("-" + word[-n:] for n in sizes)]
 
 
+SLOTS = 1 << 20
+
+
+def slots(word: str) -> list[int]:
+    """The features of a word as numbers below SLOTS, each once."""
+    return sorted({zlib.crc32(p.encode()) % SLOTS for p in parts(word)})
+
+
 @dataclass
 class Model:
-    """Weights of features, and the bias of a sentence."""
+    """Weights of features by slot, and the bias of a sentence."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     bias: float = -20.0
     flat: float | None = 0.0
 
     def word(self, w: str) -> float:
         got = self.weights
-        return math.fsum(got[p] for p in parts(w) if p in got)
+        return math.fsum(got[k] for k in slots(w) if k in got)
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 120, keep: int = 30_000, least_docs: int = 4, rate: float = 0.15, shrink: float = 1e-4) -> Model:
@@ -75,27 +84,33 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 120, keep: int = 30_00
     if y.all() or not y.any():
         return Model(flat=float(y.mean()) if len(y) else 0.0)
     number: dict[str, int] = {}
-    word_of, sent_of, doc_of, n_sent = [], [], [], 0
-    in_docs: tuple[Counter, Counter] = (Counter(), Counter())
+    of_word: list[np.ndarray] = []
+    word_of, sent_of, doc_of, n_sent = array("l"), array("l"), array("l"), 0
+    in_docs = np.zeros((2, SLOTS), np.int32)
     for d, t in enumerate(texts):
-        own: set[str] = set()
+        own: set[int] = set()
         for _, _, words in sentences(t):
-            word_of += [number.setdefault(w, len(number)) for w in words]
-            sent_of += [n_sent] * len(words)
+            for w in words:
+                i = number.setdefault(w, len(number))
+                if i == len(of_word):
+                    of_word.append(np.array(slots(w), np.int32))
+                own.add(i)
+                word_of.append(i)
+                sent_of.append(n_sent)
             doc_of.append(d)
             n_sent += 1
-            own.update(words)
-        in_docs[int(y[d])].update({p for w in own for p in parts(w)})
+        if own:
+            in_docs[int(y[d]), np.unique(np.concatenate([of_word[i] for i in own]))] += 1
     n_pos, n_neg = int(y.sum()), int((~y).sum())
-    gain = {}
-    for f in in_docs[1].keys() | in_docs[0].keys():
-        a, b = in_docs[1][f], in_docs[0][f]
-        if a + b >= least_docs:
-            p, q = (a + 0.5) / (n_pos + 1), (b + 0.5) / (n_neg + 1)
-            gain[f] = abs(p - q) / math.sqrt((p + q) / 2)
-    feats = {f: i for i, f in enumerate(sorted(sorted(gain), key=gain.__getitem__, reverse=True)[:keep])}
-    pairs = [(i, feats[p]) for w, i in number.items() for p in parts(w) if p in feats]
-    fw, ff = (np.array(x, np.int64) for x in zip(*pairs))
+    p, q = (in_docs[1] + 0.5) / (n_pos + 1), (in_docs[0] + 0.5) / (n_neg + 1)
+    gain = np.where(in_docs.sum(0) >= least_docs, np.abs(p - q) / np.sqrt((p + q) / 2), 0.0)
+    chosen = np.argsort(-gain, kind="stable")[: min(keep, int((gain > 0).sum()))]
+    place = np.full(SLOTS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    if not len(chosen):
+        return Model(flat=float(y.mean()))
+    fw, ff = np.repeat(np.arange(len(of_word)), [len(x) for x in of_word]), place[np.concatenate(of_word)]
+    fw, ff = fw[ff >= 0], ff[ff >= 0]
     word_of, sent_of, doc_of = np.array(word_of), np.array(sent_of), np.array(doc_of)
     useful = np.zeros(len(number), bool)
     useful[fw] = True
@@ -103,11 +118,11 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 120, keep: int = 30_00
     # A class weight of half the imbalance keeps rare labels in view.
     cost = np.where(y, math.sqrt(n_neg / n_pos), 1.0)
     cost /= cost.sum()
-    w, bias = np.zeros(len(feats)), math.log(0.02)
+    w, bias = np.zeros(len(chosen)), math.log(0.02)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, rounds + 1):
-        of_word = np.bincount(fw, w[ff], len(number))
-        z = bias + np.bincount(sent_of, of_word[word_of], n_sent)
+        per_word = np.bincount(fw, w[ff], len(number))
+        z = bias + np.bincount(sent_of, per_word[word_of], n_sent)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         clean = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
         doc_p = np.maximum(-np.expm1(clean), 1e-9)
@@ -120,7 +135,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 120, keep: int = 30_00
         w -= step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-6)
         bias -= step * (mb / (1 - 0.9**k)) / (math.sqrt(vb / (1 - 0.999**k)) + 1e-6)
     top = np.abs(w) > 0.02
-    return Model({f: round(float(w[i]), 4) for f, i in feats.items() if top[i]}, float(bias), None)
+    return Model({int(f): round(float(w[i]), 4) for i, f in enumerate(chosen) if top[i]}, float(bias), None)
 
 
 class Scorer:
