@@ -16,10 +16,12 @@ document is its own next.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_SEP, settled, text_col
+from millrace.llm.common import WORD_SEP, settled, text_col, written
 
 # Common words of four languages.
 ANCHORS = (
@@ -80,18 +82,23 @@ def neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_col().alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
-    # The number of cuts below an id; a null id goes with the lowest.
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
-    at = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    rows = rows.withColumn("part", at)
-    # One row per range: the largest id of each.
+    # The number of cuts below an id, by blocks of cuts first; a null id goes with the lowest.
+    at = F.lit(0)
+    if cuts:
+        k = math.isqrt(len(cuts)) + 1
+        below = lambda xs: F.size(F.filter(xs, lambda c: c < F.col("doc_id")))
+        block = F.greatest(below(F.array(*map(F.lit, cuts[::k]))) - 1, F.lit(0))
+        rows = rows.withColumn("block", block)
+        at = F.coalesce(F.col("block") * k + below(F.slice(F.array(*map(F.lit, cuts)), F.col("block") * k + 1, F.lit(k))), F.lit(0))
+    rows = rows.withColumn("part", at.cast("int"))
+    # One row per range: the largest id of each, sent to the range above, the first of all to the last.
     tops = sorted(((r["part"], r["top"]) for r in rows.groupBy("part").agg(F.max("doc_id").alias("top")).collect()), key=lambda x: x[0])
     if not tops:
         return spark.createDataFrame([], "doc_id bigint, text string, next_text string")
-    goes = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
-    sent = F.expr("CASE " + " ".join(f"WHEN doc_id <=> {'NULL' if t is None else f'{t}L'} THEN {p}" for t, p in goes) + " END")
-    copies = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")), F.struct(sent.alias("part"), F.lit(True).alias("guest")))
-    dealt = rows.withColumn("home", copies).select("doc_id", "text", F.inline(F.filter("home", lambda h: h["part"].isNotNull())))
+    goes = spark.createDataFrame([(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)], "_top bigint, _to int")
+    sent = rows.join(F.broadcast(goes), F.col("doc_id").eqNullSafe(F.col("_top")), "left")
+    copies = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")), F.struct(F.col("_to").alias("part"), F.lit(True).alias("guest")))
+    dealt = sent.withColumn("home", copies).select("doc_id", "text", F.inline(F.filter("home", lambda h: h["part"].isNotNull())))
     w = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     return dealt.withColumn("next_text", F.lead("text").over(w)).filter(~F.col("guest")).select("doc_id", "text", "next_text")
 
