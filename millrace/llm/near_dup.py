@@ -4,13 +4,14 @@
    `COORDS` minwise tokens are kept.  Documents of one set are one class; from here on only its smallest doc_id goes on.
 2. Trees: `TREES` trees branch the classes by the minwise token of one coordinate; the coordinate of a node is drawn from
    the node's path.  Nodes of up to `LEAF` members are compared exhaustively, larger ones branch again, `DEPTH` times at
-   most.  A pair of likeness 0.85 misses one branching with probability 0.15, and all trees' first with 0.15^8 < 3e-7.
+   most.  A pair of likeness 0.85 misses one branching with probability 0.15, and all trees' first with 0.15^8 < 3e-7
+   (likeness 0.8: 0.2^8 < 3e-6).
 3. Nodes that stay large (dense groups of copies) are dealt into blocks of LEAF members, compared like leaves.  That
    joins a dense group into few components at a cost in proportion to it.
 4. The exact rest: in every large node of the first level, members outside the node's largest component are compared
    with all members, block against block.  Pairs inside one component need no further look.
 
-Leaves are screened by the minwise tokens (a screen that a pair of likeness 0.85 fails with probability below 1e-7);
+Leaves are screened by the minwise tokens (a screen that a pair of likeness 0.8 fails with probability below 1e-6);
 what passes is confirmed on the full sets, and of the confirmed links only a spanning forest leaves a task: no pair
 of a group is ever listed.  Components come from alternating large-star and small-star steps over that forest.
 
@@ -36,7 +37,7 @@ COORDS = 64
 TREES = 8
 LEAF = 256
 DEPTH = 4
-SCREEN = 38
+SCREEN = 35
 BLOCK = 1024
 SALTS = 16
 LEAST_PCT = 85
@@ -218,7 +219,7 @@ def links_between(sets: list[np.ndarray], left: list[int], right: list[int], apa
     return out
 
 
-def _confirmed(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(groups: DataFrame, sets: DataFrame, least_pct: int) -> DataFrame:
     """Edges (a > b) from groups (gid, side, comp, doc): side 0 is compared with all, side 1 with side 0 only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,7 @@ def _confirmed(groups: DataFrame, sets: DataFrame) -> DataFrame:
             doc, side, comp = (t.column(k).to_pylist() for k in (3, 1, 2))
             hashes = [np.frombuffer(x.as_py(), "<u8") for x in t.column(4)]
             left = [i for i, s in enumerate(side) if s == 0]
-            for i, j in links_between(hashes, left, list(range(len(doc))), lambda i, j: comp[i] != comp[j]):
+            for i, j in links_between(hashes, left, list(range(len(doc))), lambda i, j: comp[i] != comp[j], least_pct):
                 a.append(max(doc[i], doc[j]))
                 b.append(min(doc[i], doc[j]))
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -256,8 +257,10 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(now, "edges")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def near_duplicates(docs: DataFrame, least_pct: int = LEAST_PCT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; links are of likeness least_pct / 100 (0.8 at least)."""
+    if least_pct < 80:
+        raise ValueError("the trees are made for a likeness of 0.8 or more")
     drawn = written(sketch(docs), "sketch")
     some = drawn.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"))
@@ -287,10 +290,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     wanted = clusters.select("doc").unionByName(first_large.select("doc")).distinct()
     sets = written(_sets(docs, wanted), "sets")
-    edges = written(_confirmed(groups, sets), "links")
+    edges = written(_confirmed(groups, sets, least_pct), "links")
     found = components(edges)
     if dense:
-        rest = written(_confirmed(_rest(first_large, found), sets), "links-rest")
+        rest = written(_confirmed(_rest(first_large, found), sets, least_pct), "links-rest")
         if not rest.isEmpty():
             found = components(edges.unionByName(rest))
     comp = classes.join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).filter("n > 1 OR comp <> doc").select("set_id", "comp")
@@ -330,9 +333,9 @@ def _rest(large: DataFrame, found: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("node", "x", "kind", "y").alias("gid"), "side", "comp", "doc")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, least_pct: int = 80) -> DataFrame:
     """One document of each group: that of the smallest doc_id, once; rows without a doc_id all stay."""
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    kept = near_duplicates(docs, least_pct).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
     cols = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     at = F.col(f"c{cols.index('doc_id')}")
