@@ -20,6 +20,7 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("row_id"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("decimal(20,6)").alias("quantity"),
         F.col("l_extendedprice").cast("decimal(20,6)").alias("price"), F.col("l_discount").cast("decimal(20,6)").alias("discount"), "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("timestamp").alias("event_time"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus").alias("line_id"),
     )
 
 

@@ -176,10 +176,11 @@ RELEASE = settle.Settlement(
         settle.Value("is_short", "flag", left="shortfall", op="<", right_value=0.0),
         settle.Value("span_s", "difference", left="last_at", right="first_at"),
     ),
+    row="line_id",  # line numbers repeat within an order
 )
 _SETTLED = """s AS (SELECT l_orderkey AS order_key, count(*) AS calls, min(l_shipdate) AS first_at, max(l_shipdate) AS last_at,
- arg_min(l_quantity, (l_shipdate, l_linenumber)) AS expected, coalesce(sum(l_quantity) FILTER (l_returnflag = 'N'), 0) AS picked,
- count(*) FILTER (l_returnflag = 'R') AS refused, count(DISTINCT l_partkey) AS parts, arg_max(l_linestatus, (l_shipdate, l_linenumber)) AS last_flag,
+ arg_min(l_quantity, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_linestatus)) AS expected, coalesce(sum(l_quantity) FILTER (l_returnflag = 'N'), 0) AS picked,
+ count(*) FILTER (l_returnflag = 'R') AS refused, count(DISTINCT l_partkey) AS parts, arg_max(l_linestatus, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_linestatus)) AS last_flag,
  max(l_extendedprice) AS dearest FROM lineitem GROUP BY 1)"""
 
 
