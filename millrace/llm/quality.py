@@ -43,29 +43,29 @@ class LineRules:
 
 
 MARKS = "#*$%&|<>{}[]=_~^\\"
-_WHITE = " \t\n\x0b\x0c\r"
-_NO_WORD = "^[\t-\r ]*$"
+_MARK_CLASS = r"[#*$%&|<>{}\[\]=_~^\\]"
+_WHITE_CLASS = "[\t-\r ]+"
 
 
-def _drop(c: Column, chars: str) -> Column:
-    """c without the given characters."""
-    return F.translate(c, chars, "")
+def _without(c: Column, pattern: str) -> Column:
+    return F.regexp_replace(c, pattern, "")
 
 
-def line_fault(line: Column, rules: LineRules = LineRules()) -> Column:
-    """The rule that a line fails (null: it passes; lines without a word pass)."""
-    bare = F.length(_drop(line, _WHITE))
+def line_fault(line: Column, some_boilerplate: Column, rules: LineRules = LineRules()) -> Column:
+    """The rule that a line fails (null: it passes; lines without a word pass).
+
+    Counts are only made for lines that hold a mark or an exclamation mark at all, and phrases are only looked for in
+    documents that hold one.
+    """
     low = F.lower(F.trim(line))
-    marks = bare - F.length(_drop(_drop(line, MARKS), _WHITE))
-    shouts = F.length(line) - F.length(_drop(line, "!"))
-    bars = F.length(line) - F.length(_drop(line, "|>"))
+    bare = F.length(_without(line, _WHITE_CLASS))
+    marks = F.length(line) - F.length(_without(line, _MARK_CLASS + "+"))
+    shouts = F.length(line) - F.length(F.replace(line, F.lit("!")))
+    bars = F.length(line) - F.length(_without(line, "[|>]+"))
     n_words = F.size(F.split(F.trim(line), " +"))
-    return (
-        F.when(bare == 0, F.lit(None).cast("string"))
-        .when((marks * 100 > bare * rules.max_mark_pct) | (shouts * 2 > n_words), "punctuation")
-        .when((bars > rules.max_separators) | F.rtrim(F.translate(low, ".!:", "   ")).isin(*MENU), "navigation")
-        .when(low.rlike("|".join(BOILERPLATE)), "boilerplate")
-    )
+    odd = F.when(marks * 100 > bare * rules.max_mark_pct, "punctuation").when((shouts > 0) & (shouts * 2 > n_words), "punctuation").when(bars > rules.max_separators, "navigation")
+    marked = F.when(line.rlike("[!" + _MARK_CLASS[1:]), odd)
+    return F.coalesce(marked, F.when(F.rtrim(low, F.lit(".!: ")).isin(*MENU), "navigation").when(some_boilerplate & low.rlike("|".join(BOILERPLATE)), "boilerplate"))
 
 
 def measures(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
@@ -73,7 +73,10 @@ def measures(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()
     t = F.col("_t")
     step = docs.withColumn("_t", text_col(text))
     step = step.withColumn("_words", words_of(t)).withColumn("_lines", F.split(t, "\n", -1))
-    step = settled(step, "_t", "_words", "_lines").withColumn("_n", F.size("_words"))
+    low, some = F.lower(t), F.lit(False)
+    for phrase in BOILERPLATE:
+        some = some | F.contains(low, F.lit(phrase))
+    step = settled(step.withColumn("_boiler", some), "_t", "_words", "_lines", "_boiler").withColumn("_n", F.size("_words"))
     words, n = F.col("_words"), F.col("_n")
     step = step.withColumn(
         "_h",
@@ -111,19 +114,19 @@ def measures(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()
         F.lit(0).cast("bigint"),
         lambda a, x: a + x,
     )
-    wordy = F.filter("_lines", lambda x: ~x.rlike(_NO_WORD))
-    step = step.withColumn("_wordy", wordy).withColumn("_repeat", covered)
-    judged = F.transform("_lines", lambda x: F.struct(x.alias("x"), F.coalesce(line_fault(x, rules), F.lit("")).alias("fault")))
+    step = step.withColumn("_wordy", F.filter("_lines", lambda x: x.rlike("[^\t-\r ]"))).withColumn("_repeat", covered)
+    judged = F.transform("_lines", lambda x: F.struct(x.alias("x"), F.coalesce(line_fault(x, F.col("_boiler"), rules), F.lit("")).alias("fault")))
     step = settled(step.withColumn("_judged", judged), "_judged", "_repeat", "_wordy", "_n")
     step = step.withColumn("_clean", F.array_join(F.transform(F.filter("_judged", lambda j: j["fault"] == ""), lambda j: j["x"]), "\n"))
     count = lambda rule: F.size(F.filter("_judged", lambda j: j["fault"] == rule)).cast("bigint")
-    chars = F.length(_drop(t, _WHITE)).cast("bigint")
-    left = F.length(_drop(F.col("_clean"), _WHITE)).cast("bigint")
+    chars = F.length(F.array_join("_words", "")).cast("bigint")
+    whole = ~F.exists("_judged", lambda j: j["fault"] != "")
+    left = F.when(whole, chars).otherwise(F.length(_without(F.col("_clean"), _WHITE_CLASS)).cast("bigint"))
     failed = (n < rules.min_words) | (F.col("_repeat") * 100 > n * rules.max_repeat_pct)
     out = F.struct(
         n.cast("bigint").alias("n_words"),
         chars.alias("word_chars"),
-        (F.length(t) - F.length(_drop(t, "#*$%&|<>"))).cast("bigint").alias("n_symbols"),
+        (F.length(t) - F.length(_without(t, "[#*$%&|<>]+"))).cast("bigint").alias("n_symbols"),
         (F.size("_wordy") - F.size(F.array_distinct("_wordy"))).cast("bigint").alias("n_dup_lines"),
         F.col("_repeat").alias("n_repeat_words"),
         failed.alias("base_failed"),
@@ -171,8 +174,8 @@ lines AS (SELECT rid, x, length(translate(x, {_SQL_WHITE}, '')) AS bare, lower(t
   length(x) - length(replace(x, '!', '')) AS shouts, length(x) - length(translate(x, '|>', '')) AS bars,
   len(regexp_split_to_array(trim(x, ' '), ' +')) AS nw FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d)),
 f AS (SELECT rid, bare, CASE WHEN bare = 0 THEN ''
-  WHEN (bare - unmarked) * 100 > bare * {_R.max_mark_pct} OR shouts * 2 > nw THEN 'p'
-  WHEN bars > {_R.max_separators} OR rtrim(translate(low, '.!:', '   '), ' ') IN ({_sql_list(MENU)}) THEN 'n'
+  WHEN (bare - unmarked) * 100 > bare * {_R.max_mark_pct} OR (shouts > 0 AND shouts * 2 > nw) THEN 'p'
+  WHEN bars > {_R.max_separators} OR rtrim(low, '.!: ') IN ({_sql_list(MENU)}) THEN 'n'
   WHEN regexp_matches(low, '{"|".join(BOILERPLATE)}') THEN 'b' ELSE '' END AS fault FROM lines),
 a AS (SELECT rid, sum(CASE WHEN fault = '' THEN bare ELSE 0 END)::BIGINT AS clean_chars, sum(bare)::BIGINT AS word_chars,
   count(*) FILTER (fault = 'p') AS n_punctuation_lines, count(*) FILTER (fault = 'n') AS n_navigation_lines,
