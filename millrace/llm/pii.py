@@ -27,7 +27,10 @@ from millrace.llm.common import settled, text_col
 
 @dataclass(frozen=True)
 class Kind:
-    """How a kind is proposed, and its score without and with a context word."""
+    """How a kind is proposed, and its score without and with a context word.
+
+    Only texts in which the hint matches are searched, so whatever can be reported must imply it; the context is looked
+    for in lower-cased text."""
 
     name: str
     pattern: str
@@ -45,7 +48,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.6, "phone|call|tel|mobile|fax"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account|konto"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", 0.4, "ssn|social|security"),
-    Kind("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{32,128}(?![A-Za-z0-9_])", "token|key|secret|passw", 0.4, "token|key|secret|passw"),
+    Kind("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{32,128}(?![A-Za-z0-9_])", "(?iu)token|key|secret|passw", 0.4, "token|key|secret|passw"),
 )
 N_BASE = 4
 THRESHOLD = 0.6

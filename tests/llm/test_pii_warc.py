@@ -61,6 +61,16 @@ def test_base_spans(docs):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("word", ["TOKEN", "Api_Key", "\u212aEY", "SECRET", "PASSWORD"])
+def test_secrets_in_capitals(spark, word):
+    key = "9233A8EC0F1D4B7792C3AA10E4D5F6B7C8D9E0F1"
+    text = f'ALL OF IT IS LOUD: {word} = "{key}" AND MORE'
+    docs = spark.createDataFrame([(1, text, len(text)), (2, f"NO SUCH WORD HERE {key}", 58)], "doc_id long, text string, n_chars long")
+    at = text.index(key)
+    assert {r.doc_id: r.spans for r in pii.find(docs).collect()} == {1: f"secret:{at}:{at + len(key)}", 2: ""}
+    assert {r.doc_id: r.text for r in pii.masked(docs).collect()} == {1: text.replace(key, "<secret>"), 2: f"NO SUCH WORD HERE {key}"}
+
+
 def test_long_texts_take_no_longer_than_their_length(spark):
     long = ["x" * 300_000, "1" * 200_000, "1 " * 100_000, "a@b." + "c." * 100_000, "+1" * 100_000, "1.1." * 50_000, "A" * 200_000]
     docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
