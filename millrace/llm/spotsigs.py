@@ -1,9 +1,11 @@
 """Document fingerprints by SpotSigs: chains of content words that follow common-word anchors.
 
 Every anchor word starts a chain: itself and the next `CHAIN` words that are no anchors, if they come within `REACH`
-words.  The set of its chains is a document's signature, and the chains' 32-bit hashes, distinct, sorted and in
-hexadecimal, are its fingerprint.  A text with words but without a chain takes all its words as one chain, so only texts
-without words have the empty fingerprint.  Likeness is Jaccard's; two empty signatures are alike (1.0).
+words.  Words are compared without the marks at their ends; a word of marks only stays as it is.  The set of its chains
+is a document's signature, and the chains' 32-bit hashes, distinct, sorted and in hexadecimal, are its fingerprint.  A
+text without a chain takes every CHAIN + 1 words in a row that are no anchors, and one with fewer of them all its words
+as one chain, so only texts without words have the empty fingerprint.  Likeness is Jaccard's; two empty signatures are
+alike (1.0).
 
 All of it is DataFrame expressions.  `neighbours` pairs each document with the next one without a global window: rows
 are dealt by ranges of doc_id, and each range also gets the first document of the range below it.  `similar` joins
@@ -32,6 +34,9 @@ ANCHORS = (
 )
 CHAIN = 2
 REACH = 6
+# Marks at the ends of words: punctuation, and symbols other than pictures.  Each run is tried once.
+_MARKS = r"\p{P}\p{Sm}\p{Sc}\p{Sk}"
+ENDS = rf"(?<![^\t-\r ])[{_MARKS}]++(?=[^\t-\r ])|(?<=[^\t-\r {_MARKS}])[{_MARKS}]++(?![^\t-\r ])"
 
 
 def _anchor(w: Column) -> Column:
@@ -39,8 +44,9 @@ def _anchor(w: Column) -> Column:
 
 
 def with_words(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the lower-case words of a text column, worked out once."""
-    return settled(df.withColumn(name, F.filter(F.split(F.lower(text), WORD_SEP, -1), lambda w: w != "")), name)
+    """df with the lower-case words of a text column, without marks at their ends, worked out once."""
+    bare = F.regexp_replace(F.lower(text), ENDS, "")
+    return settled(df.withColumn(name, F.filter(F.split(bare, WORD_SEP, -1), lambda w: w != "")), name)
 
 
 def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -54,9 +60,12 @@ def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
         lambda c: F.size(c) == CHAIN + 1,
     )
     hashes = F.sort_array(F.array_distinct(F.transform(chains, lambda c: F.hash(c))))
-    step = settled(step.withColumn("_i", hashes).withColumn("_n", F.size("_w")), "_i", "_n", "_w")
-    whole = F.when(F.col("_n") > 0, F.array(F.hash("_w"))).otherwise(F.array().cast("array<int>"))
-    return settled(step.withColumn(name, F.when(F.size("_i") > 0, F.col("_i")).otherwise(whole)).drop("_i", "_n", "_w"), name)
+    step = settled(step.withColumn("_i", hashes), "_i", "_w")
+    # Without a chain: the words that are no anchors, in overlapping runs, or all words where there are too few.
+    step = settled(step.withColumn("_c", F.when(F.size("_i") == 0, F.filter("_w", lambda w: ~_anchor(w)))), "_c", "_i", "_w")
+    runs = F.transform(F.sequence(F.lit(1), F.size("_c") - CHAIN), lambda i: F.hash(F.slice(F.col("_c"), i, F.lit(CHAIN + 1))))
+    rest = F.when(F.size("_c") > CHAIN, F.sort_array(F.array_distinct(runs))).when(F.size("_w") > 0, F.array(F.hash("_w"))).otherwise(F.array().cast("array<int>"))
+    return settled(step.withColumn(name, F.when(F.size("_i") > 0, F.col("_i")).otherwise(rest)).drop("_c", "_i", "_w"), name)
 
 
 def likeness(a: Column, b: Column) -> Column:

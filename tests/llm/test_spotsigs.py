@@ -72,3 +72,17 @@ def test_similar_is_brute_force(spark):
     reps = sorted(set(cls.values()))
     want = {(a, b) for a in reps for b in reps if a < b and jaccard(sigs[a], sigs[b]) >= 0.8}
     assert {(r.a, r.b) for r in links.collect()} == want and want
+
+
+def test_marks_and_texts_without_anchors(spark):
+    plain = "The cat sat on the mat and the dog was in a big red house"
+    marked = "The*** cat, sat. on&&& (the) mat%%% and $the dog! was -in- a big red house."
+    runs = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, plain), (2, marked), (3, runs), (4, runs + " w60 w61"), (5, "*** --- &&&"), (6, "From*** w1 to%%% w2"), (7, "a" + "*" * 20_000 + "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in spotsigs.fingerprints(docs).collect()}
+    assert got[1] == got[2] and [len(got[i]) // 8 for i in (3, 4, 5, 6, 7)] == [58, 60, 1, 1, 1]
+    by = {r.doc_id: r for r in spotsigs.fingerprints(docs.filter("doc_id = 3")).collect()}
+    assert by[3].near_edited > 0.4
+    _, links = spotsigs.similar(docs, 0.8)
+    assert {(r.a, r.b) for r in links.collect()} == {(3, 4)}
