@@ -156,9 +156,12 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
     """The k nearest rows of each query (query_id, query) among vectors (id, embedding), by cosine.
 
-    The query set is bounded and goes to the vectors, which are read once; each task keeps its own k best per query.
+    Up to most_queries queries go to the vectors, which are read once; more are dealt into blocks of about so many, each
+    of which meets every part of the vectors in a task of its own.  Each task keeps its own k best per query.
     """
-    q = F.broadcast(queries.limit(most_queries).select("query_id", "query"))
+    q = queries.select("query_id", "query")
+    blocks = -(-q.count() // most_queries)
+    q = F.broadcast(q) if blocks <= 1 else q.repartition(blocks).hint("shuffle_replicate_nl")
     scored = vectors.join(q).select("query_id", "id", cosine(F.col("query"), F.col("embedding")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
