@@ -106,6 +106,18 @@ def coalesce_ranges(ranges: DataFrame, by: list[str], gap: int) -> DataFrame:
     return runs.groupBy(*by, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
 
 
+def coalesce_even_ranges(ranges: DataFrame, gap: int, length: int) -> DataFrame:
+    """coalesce_ranges over all ranges of one length: first inside buckets of a day at least, then the first and the
+    last of each bucket, as only these reach over a border; so no task meets more than a bucket or two rows for each."""
+    bucket = max(86_400, length + gap)
+    inner = coalesce_ranges(ranges.select("lo", "hi", F.floor(F.col("lo") / bucket).alias("_b")), ["_b"], gap)
+    w = Window.partitionBy("_b")
+    edge = F.col("lo").eqNullSafe(F.min("lo").over(w)) | F.col("hi").eqNullSafe(F.max("hi").over(w))
+    marked = inner.withColumn("_edge", edge)
+    edges = coalesce_ranges(marked.filter("_edge").select("lo", "hi", F.lit(1).alias("_b")), ["_b"], gap)
+    return marked.filter("NOT _edge").select("lo", "hi").union(edges.select("lo", "hi"))
+
+
 def split_ranges(ranges: DataFrame, most: int) -> DataFrame:
     """Ranges cut into pieces of at most `most`; a range of one point stays."""
     first = F.explode(F.sequence(F.col("lo"), F.greatest(F.col("lo"), F.col("hi") - 1), F.lit(most).cast("bigint")))

@@ -67,8 +67,8 @@ def hourly_cap(batch: DataFrame, group: str, cap: int) -> tuple[DataFrame, DataF
 
 def process_late(batch: DataFrame, stored: DataFrame, keys: list[str], digest_col: str, pad_s: int, gap_s: int) -> tuple[DataFrame, DataFrame]:
     """(dirty ranges that a batch opens, padded and joined; what changes: inserts and updates only)."""
-    secs = batch.select((F.unix_timestamp("at") - pad_s).alias("lo"), (F.unix_timestamp("at") + pad_s).alias("hi"), F.lit(1).alias("one"))
-    ranges = diff.coalesce_ranges(secs.distinct(), ["one"], gap_s).drop("one")
+    secs = batch.select((F.unix_timestamp("at") - pad_s).alias("lo"), (F.unix_timestamp("at") + pad_s).alias("hi"))
+    ranges = diff.coalesce_even_ranges(secs.distinct(), gap_s, 2 * pad_s)
     touched = stored.join(batch.select(*keys).distinct(), keys, "left_semi")
     return ranges, diff.range_diff(touched, batch, keys, digest_col).filter("action IN ('insert', 'update')")
 
