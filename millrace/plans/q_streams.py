@@ -13,7 +13,7 @@ from millrace.streaming import jobs
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     cols = {"row_id": F.col("event_id"), "user_id": F.col("user_id"), "method": F.col("event_type"), "level": F.col("value"), "text": F.concat_ws(" ", "event_type", "props")}
-    return jobs.read_stream(spark, d, "events.parquet", "ts", cols)
+    return jobs.read_stream(spark, f"{d}/events.parquet", "ts", cols)
 
 
 @query("stream_digest", "SELECT strftime(to_timestamp(floor(epoch(ts) / 21600) * 21600)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS method, count(*) AS n FROM events WHERE floor(epoch(ts) / 21600) * 21600 + 21600 <= (SELECT epoch(max(ts)) - 600 FROM events) GROUP BY 1, 2")

@@ -14,10 +14,13 @@ from millrace.operators import diff
 from millrace.sources.shared import shared_dir
 
 
-def read_stream(spark: SparkSession, folder: str, files: str, at: str, columns: dict[str, Column], per_trigger: int = 1) -> DataFrame:
-    """The files of a folder that match a pattern as a stream; `at` becomes an instant."""
-    schema = spark.read.parquet(f"{folder}/{files}").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true").parquet(folder)
+def read_stream(spark: SparkSession, path: str, at: str, columns: dict[str, Column], per_trigger: int | None = None) -> DataFrame:
+    """A table, a file or a folder of part files, as a stream; `at` becomes an instant.
+
+    Parts need not be in the order of time: without per_trigger all that are there come in one batch, so that no
+    watermark moves between them."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true")
+    raw = (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
     return raw.select(F.col(at).cast("timestamp").alias("at"), *[c.alias(n) for n, c in columns.items()])
 
 
@@ -77,18 +80,20 @@ _WATCH = "watch string, at timestamp, level double, status string"
 
 
 def watches(stream: DataFrame, raise_at: float, clear_at: float, settle: int, lag: str = "1 hour") -> DataFrame:
-    """Status changes of watches (watch, at, level): up at once, down after `settle` readings below the lower level."""
+    """Status changes of watches (watch, at, level): up at once, down after `settle` readings below the lower level.
+
+    A batch's readings of one watch come in several frames and are put in order together, so one watch's readings of
+    a batch must fit a worker."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, low = state.get if state.exists else ("ok", 0)
         out = []
-        for f in frames:
-            for r in f.sort_values("at").itertuples(index=False):
-                low = low + 1 if r.level < clear_at else 0
-                new = "alert" if r.level >= raise_at else "ok" if low >= settle else status
-                if new != status:
-                    out.append((key[0], r.at, r.level, new))
-                status = new
+        for r in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples(index=False):
+            low = low + 1 if r.level < clear_at else 0
+            new = "alert" if r.level >= raise_at else "ok" if low >= settle else status
+            if new != status:
+                out.append((key[0], r.at, r.level, new))
+            status = new
         state.update((status, low))
         yield pd.DataFrame(out, columns=["watch", "at", "level", "status"])
 
