@@ -18,10 +18,18 @@ daily AS (SELECT f.subject, f.day, coalesce(y, 0.0) AS y FROM f LEFT JOIN v ON v
 
 
 def _daily(spark: SparkSession, d: str) -> DataFrame:
-    o = orders(spark, d).filter(F.col("at").between(F.lit(START).cast("timestamp"), F.lit(END).cast("timestamp")))
+    """The days of START to END, the last one whole, as the registered SQL has them."""
+    o = orders(spark, d).filter((F.col("at") >= F.lit(START).cast("timestamp")) & (F.col("at") < F.date_add(F.lit(END).cast("date"), 1).cast("timestamp")))
     return fc.dense_daily(o, "o_orderpriority", "at", F.col("total"), START, END)
 
 
+def _all_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Every day from the first order to the last."""
+    o = orders(spark, d)
+    lo, hi = o.agg(F.min(F.col("at").cast("date")).cast("string"), F.max(F.col("at").cast("date")).cast("string")).first()
+    return fc.dense_daily(o, "o_orderpriority", "at", F.col("total"), lo, hi)
+
+
 @query("dense_daily", f"WITH {_DAILY} SELECT subject, strftime(day, '%Y-%m-%d') AS day, round(y, 4) AS y FROM daily")
 def dense_daily(spark: SparkSession, d: str) -> DataFrame:
     return _daily(spark, d).select("subject", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("y", 4).alias("y"))
@@ -75,12 +83,12 @@ def seasonal_naive(spark: SparkSession, d: str) -> DataFrame:
 
 @query("best_models")
 def best_models(spark: SparkSession, d: str) -> DataFrame:
-    return fc.best_models(fc.backtest(_daily(spark, d)))
+    return fc.best_models(fc.backtest(_all_daily(spark, d)))
 
 
 @query("prediction_intervals")
 def prediction_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return fc.intervals(fc.backtest(_daily(spark, d)))
+    return fc.intervals(fc.backtest(_all_daily(spark, d)))
 
 
 @query(
