@@ -114,6 +114,8 @@ def pack(doc_ids: list[int], id_bytes: list[bytes], width: int) -> bytes:
     bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in id_bytes], dtype=np.uint64)]).astype(np.uint64)
     ef = EliasFano.encode(bounds)
     ids = np.frombuffer(b"".join(id_bytes), "<u4")
+    if width == 2 and len(ids) and int(ids.max()) > 0xFFFF:
+        raise ValueError(f"id {int(ids.max())} does not fit 16 bits")
     head = np.array([len(doc_ids), len(ids), ef.low_bits, len(ef.high), width], "<u8")
     parts = [np.array(doc_ids, "<i8"), ef.low.astype("<u8"), ef.high.astype("<u8"), ef.samples.astype("<u8"), ids.astype("<u2" if width == 2 else "<u4")]
     return b"".join([MAGIC, head.tobytes(), *(_padded(x.tobytes()) for x in parts)])
@@ -176,8 +178,15 @@ def _store(url: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(url)
 
 
-def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, roll_ids: int = 16_000_000, width: int = 2) -> DataFrame:
+def id_width(path: str, end_id: int) -> int:
+    """Bytes that every id of the tokenizer and the end id fit."""
+    most = max(library(path).get_vocab(with_added_tokens=True).values(), default=0)
+    return 2 if max(most, end_id) <= 0xFFFF else 4
+
+
+def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, roll_ids: int = 16_000_000, width: int | None = None) -> DataFrame:
     """Write the shards below out; one row per shard: file, first (order of its part and file), n_docs, n_ids."""
+    width = width or id_width(path, end_id)
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

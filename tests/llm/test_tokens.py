@@ -126,6 +126,16 @@ def test_one_document_by_select():
     assert [s.document(i).astype("<u4").tobytes() for i in range(4)] == parts
 
 
+def test_ids_beyond_16_bits(spark, docs, lib):
+    one = docs.filter("text IS NOT NULL").limit(1)
+    r = one.first()
+    got = token_store.store_tokens(spark.createDataFrame([r], docs.schema), PATH, end_id=70_000).first()
+    assert got.ids_crc32 == zlib.crc32(np.array([*ids_of(lib, r.text), 70_000], "<u4").tobytes())
+    assert token_store.id_width(PATH, 1) == 2
+    with pytest.raises(ValueError, match="16 bits"):
+        token_store.pack([1], [np.array([70_000], "<u4").tobytes()], 2)
+
+
 def test_frequent_chunks(spark, docs):
     assert frequent_chunks(docs, 1) == [("word", 3000)]
     assert chunks("a\x1cb c") == ["a\x1cb", "c"]
