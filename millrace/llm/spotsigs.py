@@ -34,9 +34,10 @@ ANCHORS = (
 )
 CHAIN = 2
 REACH = 6
-# Marks at the ends of words: punctuation, and symbols other than pictures.  Each run is tried once.
+# Marks at the ends of words: punctuation, and symbols other than pictures.  Each run is tried once; the first look
+# passes over what most text consists of.
 _MARKS = r"\p{P}\p{Sm}\p{Sc}\p{Sk}"
-ENDS = rf"(?<![^\t-\r ])[{_MARKS}]++(?=[^\t-\r ])|(?<=[^\t-\r {_MARKS}])[{_MARKS}]++(?![^\t-\r ])"
+ENDS = rf"(?=[^a-z0-9\t-\r ])(?:(?<![^\t-\r ])[{_MARKS}]++(?=[^\t-\r ])|(?<=[^\t-\r {_MARKS}])[{_MARKS}]++(?![^\t-\r ]))"
 
 
 def _anchor(w: Column) -> Column:
