@@ -30,15 +30,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_col
-from millrace.llm.pretoken import LONGEST, WORD_AND_MARKS, ChunkCache, forget, frequent_chunks
-from millrace.llm.token_count import library
+from millrace.llm.pretoken import WORD_END, ByPieces, Known, frequent_chunks, library
 
-WORD_END = "</w>"
 HEAP_FROM = 24
 LATIN = "\u024f"
 
@@ -138,17 +137,15 @@ class Bpe:
 class Lexicon:
     """A minimal acyclic automaton over words, with ids as outputs, as flat arrays over one buffer.
 
-    Arcs of a state lie together, sorted by character: `char`, `target` and `skip` (words before this arc among those
-    of its state, the state's own end included).  `first` is where a state's arcs begin, `end` whether a word ends there.
+    `arc` has a sorted key for each arc, its state and character together, which finds arcs for many words at once;
+    `target` is where it leads, `skip` how many words lie before it among those of its state (the state's own end
+    included), and `end` whether a word ends in a state.
     """
 
-    FIELDS = (("first", "<u4"), ("end", "<u1"), ("char", "<u4"), ("target", "<u4"), ("skip", "<u4"), ("offset", "<u4"), ("ids", "<u4"))
+    FIELDS = (("arc", "<u8"), ("end", "<u1"), ("target", "<u4"), ("skip", "<u4"), ("offset", "<u4"), ("ids", "<u4"))
 
     def __init__(self, **arrays: np.ndarray) -> None:
         self.a = arrays
-        # One sorted key per arc, state and character together, finds arcs for many words at once.
-        states = np.repeat(np.arange(len(arrays["end"]), dtype=np.uint64), np.diff(arrays["first"].astype(np.int64)))
-        self.arc_key = (states << np.uint64(21)) | arrays["char"].astype(np.uint64)
 
     @staticmethod
     def compile(words: dict[str, list[int]]) -> Lexicon:
@@ -194,19 +191,18 @@ class Lexicon:
                 continue
             stack.pop()
             count[s] = ends[s] + sum(count[t] for t in arcs[s].values())
-        first, end, char, target, skip = [0], [], [], [], []
+        end, arc, target, skip = [], [], [], []
         for s in todo:
             below = int(ends[s])
             for ch, t in sorted(arcs[s].items()):
-                char.append(ch)
+                arc.append(number[s] << 21 | ch)
                 target.append(number[t])
                 skip.append(below)
                 below += count[t]
             end.append(ends[s])
-            first.append(len(char))
         lengths = [len(words[w]) for w in order]
         return Lexicon(
-            first=np.array(first, "<u4"), end=np.array(end, "<u1"), char=np.array(char, "<u4"), target=np.array(target, "<u4"), skip=np.array(skip, "<u4"),
+            arc=np.array(arc, "<u8"), end=np.array(end, "<u1"), target=np.array(target, "<u4"), skip=np.array(skip, "<u4"),
             offset=np.concatenate([[0], np.cumsum(lengths)]).astype("<u4"), ids=np.array([i for w in order for i in words[w]], "<u4"),
         )
 
@@ -225,14 +221,20 @@ class Lexicon:
 
     @staticmethod
     def mapped(image: bytes) -> Lexicon:
-        """The image as a memory-mapped file, which the workers of one machine share."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(image).hexdigest()[:24]}.bin")
-        if not os.path.exists(path):
+        """The image as a memory-mapped file, which the workers of one machine share; a file that is not the image is
+        written again."""
+        digest = hashlib.sha256(image).digest()
+        path = os.path.join(tempfile.gettempdir(), f"lexicon-{digest.hex()[:24]}.bin")
+        for _ in range(2):
+            if os.path.exists(path):
+                with open(path, "rb") as f:
+                    view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+                if hashlib.sha256(view).digest() == digest:
+                    return Lexicon.over(view)
             with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
                 f.write(image)
             os.replace(f.name, path)
-        with open(path, "rb") as f:
-            return Lexicon.over(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        return Lexicon.over(image)
 
     def ranks(self, words: list[str]) -> np.ndarray:
         """The rank of each word among those of the lexicon, -1 for words that it does not hold."""
@@ -249,9 +251,9 @@ class Lexicon:
             if not len(live):
                 break
             key = (state.astype(np.uint64) << np.uint64(21)) | text[at[live] + step].astype(np.uint64)
-            arc = np.searchsorted(self.arc_key, key)
-            found = arc < len(self.arc_key)
-            found[found] = self.arc_key[arc[found]] == key[found]
+            arc = np.searchsorted(self.a["arc"], key)
+            found = arc < len(self.a["arc"])
+            found[found] = self.a["arc"][arc[found]] == key[found]
             arc = arc[found]
             live, rank, state = live[found], rank[found] + self.a["skip"][arc], self.a["target"][arc].astype(np.int64)
         return out
@@ -260,30 +262,56 @@ class Lexicon:
         return self.a["ids"][self.a["offset"][rank] : self.a["offset"][rank + 1]].tobytes()
 
 
-class Encoder(ChunkCache):
-    """Texts to ids (little-endian u32) and back, through the lexicon, the merges and a bounded cache."""
+class WordIds(Known):
+    """The ids of pieces by the lexicon, or by exact merges."""
 
-    def __init__(self, bpe: Bpe, lexicon: Lexicon, size: int = 250_000) -> None:
+    def __init__(self, bpe: Bpe, lexicon: Lexicon, size: int) -> None:
         super().__init__(size)
         self.bpe, self.lexicon = bpe, lexicon
-        self.words: dict[str, bytes] = {"": b""}
-
-    def learn(self, new: list[str]) -> list[bytes]:
-        split = [(m[1].lower(), m[2]) if (m := WORD_AND_MARKS.fullmatch(c)) else self.bpe.pieces(c) for c in new]
-        words = self.words
-        fresh = list({p for ps in split for p in ps if isinstance(p, str)}.difference(words))
-        for w, rank in zip(fresh, self.lexicon.ranks(fresh).tolist(), strict=True):
-            words[w] = self.lexicon.output(rank) if rank >= 0 else array("I", self.bpe.merge(w)).tobytes()
-        out = [b"".join([words[p] if isinstance(p, str) else array("I", [p]).tobytes() for p in ps]) for ps in split]
-        for p in fresh:
-            if len(p) > LONGEST:
-                del words[p]
-        forget(words, self.size)
-        return out
 
-    def decode(self, ids: bytes) -> str:
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.lexicon.output(r) if r >= 0 else array("I", self.bpe.merge(w)).tobytes() for w, r in zip(new, self.lexicon.ranks(new).tolist(), strict=True)]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+
+class Encoder(ByPieces):
+    """Texts to ids and back, through the lexicon, the merges and a bounded cache."""
+
+    def __init__(self, bpe: Bpe, lexicon: Lexicon, size: int = 500_000) -> None:
+        super().__init__(WordIds(bpe, lexicon, size * 3 // 5), size)
+        self.bpe = bpe
+        self.tokens = pa.array([bpe.token.get(i, "") for i in range(max(bpe.token) + 1)], pa.string())
+
+    def odd(self, chunks_: list[str]) -> Iterable[np.ndarray]:
+        split = list(map(self.bpe.pieces, chunks_))
+        new = list({p for ps in split for p in ps if isinstance(p, str)})
+        ids, count = self.pieces.gather(self.pieces.places(new))
+        of = dict(zip(new, np.split(ids, np.cumsum(count)[:-1]), strict=True)) if new else {}
+        return [np.concatenate([np.zeros(0, np.uint32), *(of[p] if isinstance(p, str) else np.array([p], np.uint32) for p in ps)]) for ps in split]
+
+    def decode_parts(self, ids: np.ndarray, at_once: int = 16_000_000) -> Iterator[bytes]:
+        """What decode gives, in UTF-8, in parts of a bounded number of ids."""
+        for k in range(0, len(ids), at_once):
+            words = self.tokens.take(pa.array(ids[k : k + at_once]))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")
+            yield (b" " if k else b"") + joined[0].as_buffer().to_pybytes()
+
+    def decode(self, ids: np.ndarray) -> str:
         """As a file without a decoder gives it: the tokens, special ones too, with a space between."""
-        return " ".join(map(self.bpe.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(self.decode_parts(ids)).decode()
+
+    def decoded_sha256(self, ids: np.ndarray, starts: np.ndarray, at_once: int = 16_000_000) -> list[str]:
+        """The digest of each decoded text, of ids in a row and where each text's begin."""
+        if len(ids) > at_once:
+            out = []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                sha = hashlib.sha256()
+                for part in self.decode_parts(ids[a:b]):
+                    sha.update(part)
+                out.append(sha.hexdigest())
+            return out
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), self.tokens.take(pa.array(ids))), " ")
+        return [hashlib.sha256(t.as_buffer()).hexdigest() for t in texts]
 
 
 def lexicon_of(docs: DataFrame, path: str, lexicon_words: int = 50_000) -> Lexicon:
@@ -324,7 +352,7 @@ def encode(docs: DataFrame, path: str, lexicon_words: int = 50_000) -> DataFrame
     """doc_id and ids (array<int>) of every document."""
 
     def fn(enc: Encoder, b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [np.frombuffer(x, "<i4") for x in enc.encode_all(t.as_py() for t in b.column(1))]
+        ids = [x for all_ids, starts in enc.encode_all(b.column(1)) for x in np.split(all_ids.astype(np.int32), starts[1:-1])]
         return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     return _batches(docs, path, lexicon_words, fn, "doc_id bigint, ids array<int>")
@@ -335,10 +363,12 @@ def round_trip(docs: DataFrame, path: str, lexicon_words: int = 50_000) -> DataF
 
     def fn(enc: Encoder, b: pa.RecordBatch) -> pa.RecordBatch:
         n, of_ids, of_text = [], [], []
-        for ids in enc.encode_all(t.as_py() for t in b.column(1)):
-            n.append(len(ids) // 4)
-            of_ids.append(hashlib.sha256(ids).hexdigest())
-            of_text.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
+        for ids, starts in enc.encode_all(b.column(1)):
+            data = memoryview(ids.astype("<u4")).cast("B")
+            at = (4 * starts).tolist()
+            n += np.diff(starts).tolist()
+            of_ids += [hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(at[:-1], at[1:])]
+            of_text += enc.decoded_sha256(ids, starts)
         return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())})
 
     return _batches(docs, path, lexicon_words, fn, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

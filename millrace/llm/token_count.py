@@ -2,41 +2,29 @@
 
 Tier one is a table of the corpus's frequent chunks and their numbers of tokens, broadcast once; its size is bounded
 by the number of entries (`frequent`) and their length, about 2 MB at the default, whatever the corpus holds.  A chunk
-that is not in it goes to tier two: a cache in the Python worker, filled by the tokenizers library and emptied when it
-reaches `cache_size` chunks.  Both only save work: each chunk's number is the library's own.
+that is not in it goes to tier two: a cache in the Python worker, which outlives its tasks, is filled by the tokenizers
+library and forgets its younger half when it passes `cache_size` chunks.  Both only save work: each chunk's number is
+the library's own.  The frequent chunks come from a first pass over all texts, in which each task passes on a summary
+of bounded size.
 
 Null text counts as empty: no bytes, no tokens.  Rows are counted one by one, so repeated rows, ties and empty
-tables need no care.  A text of any length is counted whole.
+tables need no care.  A text of any length is counted whole, by windows of chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_col
-from millrace.llm.pretoken import LONGEST, chunks, frequent_chunks
-
-_LIBRARY: dict[str, object] = {}
-
-
-def library(path: str):
-    """The tokenizer of a file, once per worker, without truncation, padding or threads."""
-    if path not in _LIBRARY:
-        import os
-
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _LIBRARY[path] = t
-    return _LIBRARY[path]
+from millrace.llm.pretoken import ChunkIds, cut, frequent_chunks, library, slices, windows, worker_ids
 
 
 class Lengths:
@@ -50,8 +38,9 @@ class Lengths:
     def n_bytes(self) -> int:
         return len(self.words.encode()) + self.lengths.nbytes
 
+    @cached_property
     def opened(self) -> dict[str, int]:
-        return dict(zip(self.words.split("\n"), self.lengths.tolist(), strict=True)) if self.words else {}
+        return {"": 0} | (dict(zip(self.words.split("\n"), self.lengths.tolist(), strict=True)) if self.words else {})
 
 
 def frequent_lengths(docs: DataFrame, path: str, frequent: int = 65_536) -> Lengths:
@@ -61,37 +50,29 @@ def frequent_lengths(docs: DataFrame, path: str, frequent: int = 65_536) -> Leng
     return Lengths(words, [len(e.ids) for e in encoded])
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, frequent: int = 65_536, cache_size: int = 300_000) -> DataFrame:
+def lengths_of(names: list[str], common: dict[str, int], cache: ChunkIds) -> np.ndarray:
+    """The number of tokens of each name: from tier one, or from the worker's cache."""
+    n = np.fromiter(map(common.get, names, repeat(-1)), np.int64, len(names))
+    if len(missing := np.flatnonzero(n < 0)):
+        at = cache.places(list(map(names.__getitem__, missing.tolist())))
+        n[missing] = cache.count[at]
+    return n
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 2048, frequent: int = 65_536, cache_size: int = 500_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document."""
     spark: SparkSession = docs.sparkSession
     tier_one = spark.sparkContext.broadcast(frequent_lengths(docs, path, frequent))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib, common, cache = library(path), tier_one.value.opened(), {}
+        common, cache = tier_one.value.opened, worker_ids(path, cache_size)
         for b in batches:
-            n_bytes, n_tokens = [], []
-            for t in b.column(1):
-                text = t.as_py()
-                found = chunks(text)
-                got = list(map(common.get, found))
-                total = sum(x for x in got if x is not None)
-                rest = [c for c, x in zip(found, got) if x is None]
-                if rest:
-                    new = list({c for c in rest if c not in cache})
-                    if new:
-                        if len(cache) > cache_size:
-                            cache.clear()
-                            new = list(set(rest))
-                        fresh = {c: len(e.ids) for c, e in zip(new, lib.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-                        cache.update(fresh)
-                    total += sum(map(cache.__getitem__, rest))
-                    for c in new:
-                        if len(c) > LONGEST:
-                            del cache[c]
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(total)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": b.column(0), "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "over_limit": pa.array([n > limit for n in n_tokens], pa.bool_())}
-            )
+            totals = [np.zeros(0, np.int64)]
+            for part in slices(b.column(1)):
+                flat, offsets = cut(part)
+                n = [np.zeros(1, np.int64), *(lengths_of(names, common, cache)[number] for names, number in windows(flat))]
+                totals.append(np.diff(np.cumsum(np.concatenate(n))[offsets]))
+            n_tokens = np.concatenate(totals)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": pc.binary_length(b.column(1)).cast(pa.int64()), "n_tokens": pa.array(n_tokens), "over_limit": pa.array(n_tokens > limit)})
 
     return docs.select(F.col("doc_id").cast("bigint"), text_col().alias("text")).mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

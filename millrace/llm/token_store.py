@@ -3,26 +3,30 @@
 A shard holds the ids of consecutive documents (ascending doc_id) as one array, and says where each document ends by
 an Elias-Fano code of the n + 1 boundaries: low bits packed, high parts as unary gaps in a bit vector with sampled
 positions of ones, so `select(i)` is one sample and a short scan.  It takes about 2 + log2(ids / documents) bits a
-document instead of 64.
+document instead of 64.  The doc_ids, which ascend too, are a second such sequence of their distances to the least;
+the reader takes both by select, and no table of 64-bit offsets is ever made.
 
 Layout, little-endian, every part padded to 8 bytes:
 
-    magic "EFTOKEN1" | n_docs u64 | n_ids u64 | low_bits u64 | n_high_words u64 | id_width u64
-    doc_id i64[n_docs] | low words u64[] | high words u64[n_high_words] | samples u64[] | ids u16[] or u32[]
+    magic "EFTOKEN2" | n_docs u64 | n_null u64 | least i64 | n_ids u64 | id_width u64
+    | low_bits u64, n_high_words u64 of the boundaries | low_bits u64, n_high_words u64 of the doc_ids
+    then of the boundaries and of the doc_ids: low words u64[] | high words u64[] | samples u64[]
+    ids u16[] or u32[]
 
-The doc_ids stand beside the boundaries so that a shard can be read alone.  Ids take 16 bits where the vocabulary
-allows it.  Documents are dealt into shards by ranges of doc_id; each task writes `shard-<part>-<n>.tmp` in the shared
-folder, rolls to the next file at `roll_ids` ids, and renames when a file is whole, so a task that runs again writes
-the same bytes over the same name.  The reader opens the shards with Spark's binaryFile source.
+The doc_ids stand beside the boundaries so that a shard can be read alone; documents without one come first and are
+only counted.  Ids take 16 bits where the vocabulary allows it.  Documents are dealt into shards by ranges of doc_id;
+each task writes `shard-<part>-<n>.tmp` in the shared folder, rolls to the next file at `roll_ids` ids, and renames
+when a file is whole, so a task that runs again writes the same bytes over the same name.  The reader opens the shards
+with Spark's binaryFile source.
 
 Null text counts as empty: such a document has the end id alone.  Documents with equal doc_id (or a null one, which
-sorts first) all keep their own entries, ordered by text; an empty table writes no shard and reads back no row.
+sorts first) all keep their own entries, ordered by text; an empty table writes no shard and reads back no row.  A very
+long text is cut into windows of chunks, so only its ids are held whole.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,12 +38,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import shared_dir, text_col
-from millrace.llm.pretoken import LONGEST, WORD_AND_MARKS, ChunkCache, forget
-from millrace.llm.token_count import library
+from millrace.llm.pretoken import library, worker_ids
 
-MAGIC = b"EFTOKEN1"
-SAMPLE = 256
-NO_ID = np.iinfo(np.int64).min
+MAGIC = b"EFTOKEN2"
+SAMPLE = 64
 
 
 @dataclass
@@ -92,7 +94,13 @@ class EliasFano:
         for _ in range(left):
             bits &= bits - 1
         one = (word << 6) + (bits & -bits).bit_length() - 1
-        return ((one - i) << self.low_bits) | int(self._low(np.array([i]))[0])
+        if not self.low_bits:
+            return one - i
+        word, shift = i * self.low_bits >> 6, i * self.low_bits & 63
+        low = int(self.low[word]) >> shift
+        if shift + self.low_bits > 64:
+            low |= int(self.low[word + 1]) << (64 - shift)
+        return ((one - i) << self.low_bits) | (low & ((1 << self.low_bits) - 1))
 
     def all(self) -> np.ndarray:
         """Every value, decoded at once."""
@@ -109,16 +117,17 @@ def _padded(part: bytes) -> bytes:
     return part + b"\0" * (-len(part) % 8)
 
 
-def pack(doc_ids: list[int], id_bytes: list[bytes], width: int) -> bytes:
-    """A shard from doc_ids and each document's ids as little-endian u32."""
-    bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in id_bytes], dtype=np.uint64)]).astype(np.uint64)
-    ef = EliasFano.encode(bounds)
-    ids = np.frombuffer(b"".join(id_bytes), "<u4")
+def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, width: int) -> bytes:
+    """A shard from ascending doc_ids (those without one first), each document's number of ids, and all ids in a row."""
     if width == 2 and len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError(f"id {int(ids.max())} does not fit 16 bits")
-    head = np.array([len(doc_ids), len(ids), ef.low_bits, len(ef.high), width], "<u8")
-    parts = [np.array(doc_ids, "<i8"), ef.low.astype("<u8"), ef.high.astype("<u8"), ef.samples.astype("<u8"), ids.astype("<u2" if width == 2 else "<u4")]
-    return b"".join([MAGIC, head.tobytes(), *(_padded(x.tobytes()) for x in parts)])
+    known = [d for d in doc_ids if d is not None]
+    least = known[0] if known else 0
+    bounds = EliasFano.encode(np.concatenate([[0], np.cumsum(counts, dtype=np.uint64)]).astype(np.uint64))
+    docs = EliasFano.encode(np.array([d - least for d in known], np.uint64))
+    head = np.array([len(doc_ids), len(doc_ids) - len(known), least & 0xFFFFFFFFFFFFFFFF, len(ids), width, bounds.low_bits, len(bounds.high), docs.low_bits, len(docs.high)], "<u8")
+    parts = [x.astype("<u8") for ef in (bounds, docs) for x in (ef.low, ef.high, ef.samples)]
+    return b"".join([MAGIC, head.tobytes(), *(_padded(x.tobytes()) for x in (*parts, ids.astype("<u2" if width == 2 else "<u4")))])
 
 
 class Shard:
@@ -127,51 +136,28 @@ class Shard:
     def __init__(self, data: bytes) -> None:
         if data[:8] != MAGIC:
             raise ValueError("not a token shard")
-        n_docs, n_ids, low_bits, n_high, width = (int(x) for x in np.frombuffer(data, "<u8", 5, 8))
-        n, at = n_docs + 1, 48
-        view = {}
-        for name, kind, count in (("doc", "<i8", n_docs), ("low", "<u8", (n * low_bits + 63) // 64 + 1), ("high", "<u8", n_high), ("samples", "<u8", (n + SAMPLE - 1) // SAMPLE), ("ids", "<u2" if width == 2 else "<u4", n_ids)):
-            view[name] = np.frombuffer(data, kind, count, at)
-            at += (view[name].nbytes + 7) // 8 * 8
-        self.doc_ids, self.ids = view["doc"], view["ids"]
-        self.bounds = EliasFano(n, low_bits, view["low"], view["high"], view["samples"])
-
-    def document(self, i: int) -> np.ndarray:
-        """The ids of the i-th document, by two selects."""
-        return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
-
+        self.n_docs, self.n_null, least, n_ids, width, *sizes = (int(x) for x in np.frombuffer(data, "<u8", 9, 8))
+        self.least, at = least - (1 << 64) if least >> 63 else least, 80
 
-class ChunkIds(ChunkCache):
-    """The library's ids of white-space chunks as little-endian u32, kept per worker.
-
-    A chunk of a word and marks behind it is encoded as its two pieces, each of which serves many chunks.
-    """
+        def view(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            got = np.frombuffer(data, kind, count, at)
+            at += (got.nbytes + 7) // 8 * 8
+            return got
 
-    def __init__(self, path: str, size: int = 250_000) -> None:
-        super().__init__(size)
-        self.lib, self.pieces = library(path), {"": b""}
+        def sequence(n: int, low_bits: int, n_high: int) -> EliasFano:
+            return EliasFano(n, low_bits, view("<u8", (n * low_bits + 63) // 64 + 1), view("<u8", n_high), view("<u8", (n + SAMPLE - 1) // SAMPLE))
 
-    def learn(self, new: list[str]) -> list[bytes]:
-        split = [(m[1].lower(), m[2]) if (m := WORD_AND_MARKS.fullmatch(c)) else (c, "") for c in new]
-        pieces = self.pieces
-        fresh = list({p for pair in split for p in pair}.difference(pieces))
-        pieces.update(zip(fresh, (array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
-        out = [pieces[a] + pieces[b] for a, b in split]
-        for p in fresh:
-            if len(p) > LONGEST:
-                del pieces[p]
-        forget(pieces, self.size)
-        return out
+        self.bounds = sequence(self.n_docs + 1, *sizes[:2])
+        self.docs = sequence(self.n_docs - self.n_null, *sizes[2:])
+        self.ids = view("<u2" if width == 2 else "<u4", n_ids)
 
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_null else self.least + self.docs.select(i - self.n_null)
 
-_WORKER: dict[str, ChunkIds] = {}
-
-
-def worker_ids(path: str) -> ChunkIds:
-    """The cache of this worker, which outlives its tasks."""
-    if path not in _WORKER:
-        _WORKER[path] = ChunkIds(path)
-    return _WORKER[path]
+    def document(self, i: int) -> np.ndarray:
+        """The ids of the i-th document, by two selects."""
+        return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
 def _store(url: str) -> tuple[fs.FileSystem, str]:
@@ -187,37 +173,47 @@ def id_width(path: str, end_id: int) -> int:
 def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, roll_ids: int = 16_000_000, width: int | None = None) -> DataFrame:
     """Write the shards below out; one row per shard: file, first (order of its part and file), n_docs, n_ids."""
     width = width or id_width(path, end_id)
-    end = np.array([end_id], "<u4").tobytes()
+    kind = np.dtype("<u2" if width == 2 and end_id <= 0xFFFF else "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, store, n_file, (docs_, ids_, size) = worker_ids(path), None, 0, ([], [], 0)
+        enc, store, n_file = worker_ids(path), None, 0
+        docs_, counts, ids_, size = [], [], [], 0
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         done: list[dict] = []
 
         def close() -> None:
-            nonlocal store, n_file, docs_, ids_, size
+            nonlocal store, n_file, docs_, counts, ids_, size
             if store is None:
                 store, root = _store(out)
                 store.create_dir(root, recursive=True)
             root = _store(out)[1]
             name = f"shard-{part:06d}-{n_file:06d}"
             with store.open_output_stream(f"{root}/{name}.{attempt}.tmp") as f:
-                f.write(pack(docs_, ids_, width))
+                f.write(pack(docs_, np.concatenate(counts), np.concatenate(ids_), width))
             if store.get_file_info(f"{root}/{name}.eft").type == fs.FileType.NotFound:
                 store.move(f"{root}/{name}.{attempt}.tmp", f"{root}/{name}.eft")
             else:  # an earlier attempt of this task left the same bytes
                 store.delete_file(f"{root}/{name}.{attempt}.tmp")
             done.append({"file": f"{name}.eft", "n_docs": len(docs_), "n_ids": size})
-            n_file, docs_, ids_, size = n_file + 1, [], [], 0
+            n_file, docs_, counts, ids_, size = n_file + 1, [], [], [], 0
 
         for b in batches:
-            for d, ids in zip(b.column(0).to_pylist(), enc.encode_all(t.as_py() for t in b.column(1)), strict=True):
-                ids += end
-                docs_.append(NO_ID if d is None else d)
-                ids_.append(ids)
-                size += len(ids) // 4
-                if size >= roll_ids:
-                    close()
+            left = b.column(0).to_pylist()
+            for ids, starts in enc.encode_all(b.column(1)):
+                ids = np.insert(ids.astype(kind), starts[1:], end_id)
+                ends = starts[1:] + np.arange(1, len(starts))
+                at, done_ids = 0, 0
+                while at < len(ends):  # up to the document that fills a file
+                    full = int(np.searchsorted(ends, done_ids + roll_ids - size)) + 1
+                    upto = min(full, len(ends))
+                    docs_ += left[at:upto]
+                    counts.append(np.diff(ends[at:upto], prepend=done_ids))
+                    ids_.append(ids[done_ids : ends[upto - 1]])
+                    size += int(ends[upto - 1]) - done_ids
+                    at, done_ids = upto, int(ends[upto - 1])
+                    if size >= roll_ids:
+                        close()
+                left = left[len(ends) :]
         if docs_:
             close()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
@@ -227,6 +223,23 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, roll_ids
     return ranged.mapInArrow(write, "file string, n_docs bigint, n_ids bigint")
 
 
+def unpacked(file: str, data: bytes, at_once: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """file, doc_id, at, n_tokens and ids_crc32 of every document of a shard, by select."""
+    s = Shard(data)
+    for first in range(0, s.n_docs, at_once):
+        upto = min(first + at_once, s.n_docs)
+        at = [s.bounds.select(i) for i in range(first, upto + 1)]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "file": pa.array([file] * (upto - first)),
+                "doc_id": pa.array([s.doc_id(i) for i in range(first, upto)], pa.int64()),
+                "at": pa.array(at[:-1], pa.int64()),
+                "n_tokens": pa.array(np.diff(at), pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(s.ids[x:y].astype("<u4")) for x, y in zip(at[:-1], at[1:], strict=True)], pa.int64()),
+            }
+        )
+
+
 def read_shards(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the shards that the manifest names.
 
@@ -236,20 +249,8 @@ def read_shards(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, data in zip(b.column(0), b.column(1), strict=True):
-                s = Shard(data.as_buffer())
-                at = s.bounds.all().astype(np.int64)
-                ids = s.ids.astype("<u4")
-                crc = [zlib.crc32(ids[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "file": pa.array([file.as_py()] * len(crc)),
-                        "doc_id": pa.array(s.doc_ids, mask=s.doc_ids == NO_ID),
-                        "at": pa.array(at[:-1]),
-                        "n_tokens": pa.array(np.diff(at)),
-                        "ids_crc32": pa.array(crc, pa.int64()),
-                    }
-                )
+            for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                yield from unpacked(file, data.as_buffer())
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eft").load(out)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")

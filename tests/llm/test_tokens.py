@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import bpe, token_count, token_store
-from millrace.llm.pretoken import chunks, frequent_chunks
+from millrace.llm.pretoken import ChunkIds, chunks, frequent_chunks
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -39,9 +39,8 @@ def ids_of(lib, text):
 @pytest.mark.parametrize("text", ODD)
 def test_both_encoders_equal_the_library(lib, encoder, text):
     want = ids_of(lib, text)
-    for enc in (encoder, token_store.ChunkIds(PATH)):
-        got = enc.encode(text or "")
-        assert np.frombuffer(got, "<u4").tolist() == want
+    for enc in (encoder, ChunkIds(PATH)):
+        assert enc.encode(text or "").tolist() == want
     assert encoder.decode(encoder.encode(text or "")) == lib.decode(want, skip_special_tokens=False)
 
 
@@ -52,7 +51,10 @@ def test_any_text(text):
     b = bpe.Bpe(PATH) if not hasattr(test_any_text, "b") else test_any_text.b
     test_any_text.b = b
     enc = bpe.Encoder(b, bpe.Lexicon.compile({"a": b.merge("a")}))
-    assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids_of(lib, text)
+    assert enc.encode(text).tolist() == ids_of(lib, text)
+    own = ChunkIds(PATH) if not hasattr(test_any_text, "own") else test_any_text.own
+    test_any_text.own = own
+    assert own.encode(text).tolist() == ids_of(lib, text)
 
 
 def test_scan_and_heap_agree():
@@ -121,9 +123,55 @@ def test_shards(spark, docs, lib):
 
 
 def test_one_document_by_select():
-    parts = [np.arange(n, dtype="<u4").tobytes() for n in (0, 3, 700, 1)]
-    s = token_store.Shard(token_store.pack([5, 6, 7, 8], parts, 2))
-    assert [s.document(i).astype("<u4").tobytes() for i in range(4)] == parts
+    counts = [0, 3, 700, 1, 2]
+    ids = np.arange(706, dtype=np.uint32)
+    s = token_store.Shard(token_store.pack([None, -7, -7, 7, 2**40], np.array(counts), ids, 2))
+    assert [s.document(i).tolist() for i in range(5)] == [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert [s.doc_id(i) for i in range(5)] == [None, -7, -7, 7, 2**40]
+    empty = token_store.Shard(token_store.pack([None], np.array([0]), ids[:0], 4))
+    assert (empty.doc_id(0), empty.document(0).tolist()) == (None, [])
+
+
+def test_the_query_reads_by_select(spark, docs, monkeypatch):
+    """The reader's own loop takes boundaries and doc_ids by select alone."""
+    shard = token_store.pack([1, 2, 3], np.array([2, 0, 4]), np.arange(6), 2)
+    asked = []
+    monkeypatch.setattr(token_store.EliasFano, "select", lambda self, i, was=token_store.EliasFano.select: asked.append(i) or was(self, i))
+    monkeypatch.setattr(token_store.EliasFano, "all", None)
+    rows = [r for b in token_store.unpacked("f", shard, 2) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["at"], r["n_tokens"]) for r in rows] == [(1, 0, 2), (2, 2, 0), (3, 2, 4)]
+    assert rows[2]["ids_crc32"] == zlib.crc32(np.arange(2, 6, dtype="<u4").tobytes())
+    assert len(asked) == 8
+
+
+def test_small_caches_forget_and_give_the_same(lib):
+    own = ChunkIds(PATH, 6)
+    texts = ["one two three four five six seven", "x" * 70 + " eight " + "y" * 80, "one two nine, ten! eleven; " + "x" * 70, "three a-b c4 one"]
+    for _ in range(3):
+        for t in texts:
+            assert own.encode(t).tolist() == ids_of(lib, t)
+    assert max(map(len, own.at)) <= 64 or own.long
+
+
+def test_very_long_texts(spark, lib):
+    text = " ".join(f"w{i % 999} and-{i} the word{i}," for i in range(60_000))
+    want = ids_of(lib, text)
+    df = spark.createDataFrame([(1, text), (2, "x"), (3, "z" * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in token_count.count_tokens(df, PATH).collect()}
+    assert got[1].n_tokens == len(want) and got[1].n_bytes == len(text)
+    trip = {r.doc_id: r for r in bpe.round_trip(df, PATH).collect()}
+    assert trip[1].ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+    assert trip[1].decoded_sha256 == hashlib.sha256(lib.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    store = {r.doc_id: r for r in token_store.store_tokens(df, PATH, roll_ids=1000).collect()}
+    assert store[1].ids_crc32 == zlib.crc32(np.array([*want, 1], "<u4").tobytes())
+    assert got[3].n_tokens == trip[3].n_tokens == store[3].n_tokens - 1
+
+
+def test_decoding_in_parts(encoder, lib):
+    ids = encoder.encode("the things, of worlds <|endoftext|> and more 123 of them")
+    whole = lib.decode(ids.tolist(), skip_special_tokens=False)
+    assert b"".join(encoder.decode_parts(ids, 3)).decode() == whole
+    assert encoder.decoded_sha256(ids, np.array([0, 4, len(ids)]), 3) == encoder.decoded_sha256(ids, np.array([0, 4, len(ids)]))
 
 
 def test_ids_beyond_16_bits(spark, docs, lib):
@@ -133,7 +181,7 @@ def test_ids_beyond_16_bits(spark, docs, lib):
     assert got.ids_crc32 == zlib.crc32(np.array([*ids_of(lib, r.text), 70_000], "<u4").tobytes())
     assert token_store.id_width(PATH, 1) == 2
     with pytest.raises(ValueError, match="16 bits"):
-        token_store.pack([1], [np.array([70_000], "<u4").tobytes()], 2)
+        token_store.pack([1], np.array([1]), np.array([70_000]), 2)
 
 
 def test_frequent_chunks(spark, docs):
