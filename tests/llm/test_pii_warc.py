@@ -2,9 +2,12 @@
 
 import hashlib
 import re
+import time
+import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import pii, warc
 
@@ -127,3 +130,30 @@ def test_same_bytes_again(spark, tmp_path):
     raw = (tmp_path / "a" / sums[0][0][0]).read_bytes()
     fields, _ = warc.parse(next(warc.members(raw)))
     assert fields["WARC-Date"] == warc.DATE
+    with pytest.raises(ValueError, match="within a member"):
+        list(warc.members(raw[:-3]))
+
+
+def test_record_ids_differ(spark, tmp_path):
+    h = "q" * 200
+    rows = [(4, "a", h)] * 3 + [(4, "b", h + "r"), (9, "b", h), (9, "b", h), (None, "n", "x"), (None, "n", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = warc.write_archives(pages, f"file://{tmp_path}/c").collect()
+    got = [warc.parse(m)[0] for f in files for m in warc.members((tmp_path / "c" / f.file).read_bytes())]
+    ids = {f["WARC-Record-ID"]: f["WARC-Type"] for f in got}
+    assert len(ids) == len(rows)
+    assert [ids[f["WARC-Refers-To"]] for f in got if f["WARC-Type"] == "revisit"] == ["response", "response"]
+
+
+def test_many_records_of_one_file_take_linear_time():
+    packed = b"".join(zlib.compress(warc.record(i, f"u{i}", bytes(str(i), "ascii") * 300, None), wbits=31) for i in range(20_000))
+    began = time.process_time()
+    assert [warc.parse(m)[1][:5] for m in warc.members(packed)][12_345] == b"12345"
+    assert time.process_time() - began < 10
+
+
+def test_a_digest_of_most_pages(spark):
+    h = "common " * 30
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 1, F.lit(h)).otherwise(F.concat(F.lit(h), "id")).alias("html"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive(pages, roll_bytes=5000).collect()}
+    assert got == {i: ("revisit", 1) if i % 3 == 1 and i > 1 else ("response", None) for i in range(3000)}
