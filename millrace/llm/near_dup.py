@@ -2,18 +2,24 @@
 
 1. Sketch: each text becomes its set of 5-word shingles (64-bit hashes), of which a digest of the whole set and
    `COORDS` minwise tokens are kept.  Documents of one set are one class; from here on only its smallest doc_id goes on.
-2. Trees: `TREES` trees branch the classes by the minwise token of one coordinate; the coordinate of a node is drawn from
-   the node's path.  Nodes of up to `LEAF` members are compared exhaustively, larger ones branch again, `DEPTH` times at
-   most.  A pair of likeness 0.85 misses one branching with probability 0.15, and all trees' first with 0.15^8 < 3e-7
-   (likeness 0.8: 0.2^8 < 3e-6).
-3. Nodes that stay large (dense groups of copies) are dealt into blocks of LEAF members, compared like leaves.  That
-   joins a dense group into few components at a cost in proportion to it.
-4. The exact rest: in every large node of the first level, members outside the node's largest component are compared
-   with all members, block against block.  Pairs inside one component need no further look.
+2. Trees: `TREES` trees branch the classes by the minwise token of one coordinate.  Nodes of up to `LEAF` members are
+   compared exhaustively.  Larger ones are dealt into blocks of LEAF members, compared like leaves, which joins a dense
+   group of copies into few components at a cost in proportion to it.
+3. The rest of large nodes: where at most LEAF members lie outside a node's largest component, these are compared
+   exactly with all members.  Where more do (unlike documents that share a passage), the node branches again, by `FORKS`
+   coordinates drawn from its path, and its parts are looked at in the same way, until none is large.  After `DEPTH` such
+   branchings parts that no longer shrink are compared exactly, block against block.
+
+With likeness s, a pair is in one tree's first node with probability s, and found below a branching node with
+q = 1 - (1 - s q')^FORKS, q' being its chance one level down.  For s = 0.8 q stays above 0.9375 at any depth, so 8 trees
+miss a pair with probability below 0.25^8 < 2e-5 if all its nodes branch, and 0.2^8 < 3e-6 if none does.
 
 Leaves are screened by the minwise tokens (a screen that a pair of likeness 0.8 fails with probability below 1e-6);
 what passes is confirmed on the full sets, and of the confirmed links only a spanning forest leaves a task: no pair
-of a group is ever listed.  Components come from alternating large-star and small-star steps over that forest.
+of a group is ever listed.  The full sets are sets of 64-bit hashes: two sets of 10,000 shingles differ from the sets of
+words in any count with probability below 1e-11.  They are worked out where the texts lie, for documents that a bitmap of
+fixed size lets through (all that are wanted, and few more), so no text is shuffled.  Components come from alternating
+large-star and small-star steps over the forest.
 
 Null and empty texts have the empty set and are linked with nothing.  Rows of one doc_id are one document, even when
 their texts differ.  A null doc_id has no component (null) and is kept.  An empty table gives an empty result.
@@ -36,10 +42,13 @@ SHINGLE = 5
 COORDS = 64
 TREES = 8
 LEAF = 256
-DEPTH = 4
+FORKS = 2
+DEPTH = 6
 SCREEN = 35
-BLOCK = 1024
+BLOCK = 256
 SALTS = 16
+#: Bits of the bitmap of wanted documents: 2^27 are 16 MB.
+WANTED_BITS = 27
 LEAST_PCT = 85
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -96,31 +105,44 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id binary, sig binary, nodes array<bigint>")
 
 
+def _part(by: Column) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+
+
+def _parts(by: Column) -> Column:
+    """The parts that a key's rows lie in, as bits; an aggregate."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), _part(by))).alias("_parts")
+
+
 def _salted(many: DataFrame, few: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
-    """many joined with few (one row per key), each key of few standing in SALTS places, so that a hot key is dealt out."""
-    dealt = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, [key, "_salt"], how).drop("_salt")
+    """many joined with few (one row per key, with `_parts`): a key stands in each part that it has rows in, SALTS at most,
+    so a hot key is dealt out and a rare one is hardly repeated."""
+    has = lambda i: F.col("_parts").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0
+    dealt = few.withColumn("_salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), has))).drop("_parts")
+    return many.withColumn("_salt", _part(by)).join(dealt, [key, "_salt"], how).drop("_salt")
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """(node, doc) with the node's size, without the nodes of one member."""
-    return _salted(nodes, nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node", F.col("doc"))
+    """(node, doc, ...) with the node's size, without the nodes of one member."""
+    return _salted(nodes, nodes.groupBy("node").agg(F.count("*").alias("size"), _parts(F.col("doc"))).filter("size > 1"), "node", F.col("doc"))
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """(node, doc, sig) one level down: each node's own coordinate, drawn from its path."""
+    """(node, doc, comp, sig) one level down: FORKS children of each row, by coordinates drawn from its node's path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             node = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").reshape(-1, COORDS)
-            at = (mix(node) % np.uint64(COORDS)).astype(np.int64)
-            child = mix(node ^ mix((at.astype(np.uint64) << np.uint64(32)) | sig[np.arange(len(at)), at].astype(np.uint64)))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(child.view(np.int64)), "doc": b.column(1), "sig": b.column(2)})
+            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u4").reshape(-1, COORDS)
+            for fork in range(FORKS):
+                at = mix(node + np.uint64(fork)) % np.uint64(COORDS)
+                token = sig[np.arange(len(at)), at.astype(np.int64)].astype(np.uint64)
+                child = mix(node ^ mix((np.uint64(fork) << np.uint64(48)) | (at << np.uint64(32)) | token))
+                yield pa.RecordBatch.from_pydict({"node": pa.array(child.view(np.int64)), "doc": b.column(1), "comp": b.column(2), "sig": b.column(3)})
 
-    return rows.select("node", "doc", "sig").mapInArrow(run, "node bigint, doc bigint, sig binary")
+    return rows.select("node", "doc", "comp", "sig").mapInArrow(run, "node bigint, doc bigint, comp bigint, sig binary")
 
 
 def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -160,7 +182,7 @@ class Forest:
 
 
 def _clusters(rows: DataFrame) -> DataFrame:
-    """Leaves (node, doc, sig) to sets of members that the screen leaves together, each set once."""
+    """Leaves (node, doc, sig) to groups: the sets of members that the screen leaves together, each set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[int]] = []
@@ -182,7 +204,9 @@ def _clusters(rows: DataFrame) -> DataFrame:
                 out = []
         yield pa.RecordBatch.from_pydict({"members": pa.array(out, pa.list_(pa.int64()))})
 
-    return rows.select("node", "doc", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(run, "members array<bigint>").distinct()
+    met = rows.select("node", "doc", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(run, "members array<bigint>")
+    groups = written(met.distinct(), "clusters").select(F.xxhash64("members").alias("gid"), F.explode("members").alias("doc"))
+    return groups.select("gid", F.lit(0).alias("side"), F.col("doc").alias("comp"), "doc")
 
 
 def links_between(sets: list[np.ndarray], left: list[int], right: list[int], apart: Callable[[int, int], bool], least_pct: int = LEAST_PCT) -> list[tuple[int, int]]:
@@ -219,7 +243,7 @@ def links_between(sets: list[np.ndarray], left: list[int], right: list[int], apa
     return out
 
 
-def _confirmed(groups: DataFrame, sets: DataFrame, least_pct: int) -> DataFrame:
+def _confirmed(groups: DataFrame, docs: DataFrame, least_pct: int) -> DataFrame:
     """Edges (a > b) from groups (gid, side, comp, doc): side 0 is compared with all, side 1 with side 0 only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +257,7 @@ def _confirmed(groups: DataFrame, sets: DataFrame, least_pct: int) -> DataFrame:
                 b.append(min(doc[i], doc[j]))
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    met = groups.join(sets, "doc").select("gid", "side", "comp", "doc", "ids")
+    met = groups.join(_sets(docs, groups.select("doc").distinct()), "doc").select("gid", "side", "comp", "doc", "ids")
     return met.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -247,11 +271,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         # Large star: all larger neighbours of u go to the smallest of u and its neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), _parts(F.col("b"))).withColumn("m", F.least("a", "m"))
         large = _salted(both, least, "a", F.col("b")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "edges")
         # Small star: u and its smaller neighbours go to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), _parts(F.col("b")))
         small = _salted(large, least, "a", F.col("b"))
         now = small.select(F.inline(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).filter("a > b").distinct()
         now = written(now, "edges")
@@ -263,63 +287,75 @@ def near_duplicates(docs: DataFrame, least_pct: int = LEAST_PCT) -> DataFrame:
         raise ValueError("the trees are made for a likeness of 0.8 or more")
     drawn = written(sketch(docs), "sketch")
     some = drawn.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"))
+    classes = some.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), _parts(F.col("doc_id")))
     reps = some.select(F.col("doc_id").alias("doc"), "sig", "nodes").join(classes.select("doc"), "doc", "left_semi")
     sigs = reps.select("doc", "sig")
 
     level = written(_sized(reps.select(F.explode("nodes").alias("node"), "doc")), "nodes")
-    first_large = level.filter(F.col("size") > LEAF).select("node", "doc")
-    leaves = [level.filter(F.col("size") <= LEAF).select("node", "doc").join(sigs, "doc").select("node", "doc", "sig")]
-    large = first_large.join(sigs, "doc").select("node", "doc", "sig")
-    dense = not first_large.isEmpty()
-    for depth in range(DEPTH if dense else 0):
-        below = written(_children(large), "branch")
-        sized = written(_salted(below, below.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node", F.col("doc")), "branch-sized")
-        leaves.append(sized.filter(F.col("size") <= LEAF).select("node", "doc", "sig"))
-        large = sized.filter(F.col("size") > LEAF)
-        if depth == DEPTH - 1:
-            block = F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("size") / LEAF).cast("bigint"))
-            leaves.append(large.select(F.xxhash64("node", block).alias("node"), "doc", "sig"))
-        elif large.isEmpty():
-            break
-    clusters = leaves[0]
-    for more in leaves[1:]:
-        clusters = clusters.unionByName(more)
-    clusters = written(_clusters(clusters), "clusters").select(F.xxhash64("members").alias("gid"), F.explode("members").alias("doc"))
-    groups = clusters.select("gid", F.lit(0).alias("side"), F.col("doc").alias("comp"), "doc")
-
-    wanted = clusters.select("doc").unionByName(first_large.select("doc")).distinct()
-    sets = written(_sets(docs, wanted), "sets")
-    edges = written(_confirmed(groups, sets, least_pct), "links")
+    large = level.filter(F.col("size") > LEAF)
+    block = F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("size") / LEAF).cast("bigint"))
+    leaves = level.select(F.when(F.col("size") > LEAF, F.xxhash64("node", block)).otherwise(F.col("node")).alias("node"), "doc")
+    edges = written(_confirmed(_clusters(leaves.join(sigs, "doc")), docs, least_pct), "links")
     found = components(edges)
-    if dense:
-        rest = written(_confirmed(_rest(first_large, found), sets, least_pct), "links-rest")
-        if not rest.isEmpty():
-            found = components(edges.unionByName(rest))
-    comp = classes.join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).filter("n > 1 OR comp <> doc").select("set_id", "comp")
-    out = _salted(drawn, comp, "set_id", F.coalesce("doc_id", F.lit(0)), "left")
+    if not large.isEmpty():
+        more = written(_confirmed(_second_look(large.select("node", "doc"), sigs, found), docs, least_pct), "links-rest")
+        if not more.isEmpty():
+            found = components(edges.unionByName(more))
+    comp = classes.join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).filter("n > 1 OR comp <> doc").select("set_id", "comp", "_parts")
+    out = _salted(drawn, comp, "set_id", F.col("doc_id"), "left")
     at = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", at.alias("component_id"), at.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), at).alias("component_id"), (F.col("doc_id").isNull() | (at == F.col("doc_id"))).alias("kept"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc and ids, the whole shingle set, of the wanted documents."""
+    """doc and ids, the whole shingle set, of the wanted documents and of few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc": b.column(0), "ids": pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())})
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_col().alias("text"))
-    return rows.join(wanted, "doc", "left_semi").mapInArrow(run, "doc bigint, ids binary")
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << WANTED_BITS))
+    at = wanted.select(bit("doc").alias("at"))
+    # At most 2^(WANTED_BITS - 15) rows of 4 KB, whatever the corpus.
+    bits = at.groupBy(F.shiftright("at", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_col().alias("text")).withColumn("at", bit("doc"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(F.col("at").bitwiseAND(F.lit(32767)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("shiftright", byte, F.col("at").bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = rows.withColumn("bucket", F.shiftright("at", 15)).join(F.broadcast(bits), "bucket").filter(held)
+    return met.select("doc", "text").mapInArrow(run, "doc bigint, ids binary")
+
+
+def _second_look(large: DataFrame, sigs: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups for what the blocks of large nodes may have missed: the exact rest where it is small, deeper branches elsewhere."""
+    rows = written(large.join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "large")
+    nodes = written(_mains(rows), "large-nodes")
+    outside = F.col("m") - F.col("k")
+    out, now, before = _rest(rows, nodes.filter(outside <= LEAF)), rows.join(sigs, "doc"), None
+    depth = 0
+    while left := nodes.filter(outside > LEAF).agg(F.sum("m")).first()[0]:
+        if depth >= DEPTH and 10 * left > 9 * before:
+            return out.unionByName(_rest(now, nodes.filter(outside > LEAF)))
+        depth, before = depth + 1, left
+        below = written(_children(_salted(now, nodes.filter(outside > LEAF).select("node", "_parts"), "node", F.col("doc"))), "below")
+        sized = written(_sized(below), "branch")
+        out = out.unionByName(_clusters(sized.filter(F.col("size") <= LEAF)))
+        now = sized.filter(F.col("size") > LEAF)
+        nodes = written(_mains(now), "large-nodes")
+        out = out.unionByName(_rest(now, nodes.filter(outside <= LEAF)))
+    return out
+
+
+def _mains(rows: DataFrame) -> DataFrame:
+    """Of every node with more than one component: its members m, its largest component and that one's size k."""
+    per = rows.groupBy("node", "comp").agg(F.count("*").alias("k"), _parts(F.col("doc")))
+    node = per.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"), F.bit_or("_parts").alias("_parts")).filter("m > top.k")
+    return node.select("node", "m", F.col("top.k").alias("k"), F.col("top.comp").alias("main"), "_parts")
 
 
-def _rest(large: DataFrame, found: DataFrame) -> DataFrame:
-    """Groups for the exact rest of large nodes: members outside the node's largest component against all members."""
-    rows = large.join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    per = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
-    node = per.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).filter("m > top.k")
+def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Groups of blocks in which the members of nodes outside the largest component meet all members."""
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    node = node.select("node", F.col("top.comp").alias("main"), blocks(F.col("m") - F.col("top.k")).alias("n_out"), blocks(F.col("top.k")).alias("n_in"))
+    node = nodes.select("node", "main", blocks(F.col("m") - F.col("k")).alias("n_out"), blocks(F.col("k")).alias("n_in"), "_parts")
     rows = _salted(rows, node, "node", F.col("doc"))
     outer = F.col("comp") != F.col("main")
     at = F.pmod(F.xxhash64("doc"), F.when(outer, F.col("n_out")).otherwise(F.col("n_in")).cast("bigint")).cast("int")

@@ -7,8 +7,8 @@ text of any length takes a time in proportion to its length.
 
 Base kinds (always reported when their check holds): email; ip (each part at most 255); card (12 to 19 digits and
 Luhn); phone (9 to 15 digits).  The method adds iban (mod 97), ssn and secret: they have a base score, raised by a
-context word in the 40 characters before them (no further than the kind's match before), and are reported from
-`threshold` on.  Kinds may overlap; within a
+context word in the 40 characters before them or the 20 after (no further than the kind's match before or after), and
+are reported from `threshold` on.  Kinds may overlap; within a
 kind spans are leftmost and do not.
 
 Null text counts as empty and has no spans.  Repeated rows get equal results; an empty table gives an empty one.
@@ -53,7 +53,9 @@ KINDS = (
 N_BASE = 4
 THRESHOLD = 0.6
 WINDOW = 40
+AFTER = 20
 _BLOCK = 256
+_PIECE = 1024
 _SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,score:double>>"
 
 
@@ -114,14 +116,19 @@ def _block_sums(steps: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda k: _total(F.slice(steps, k * _BLOCK + 1, F.lit(_BLOCK))))
 
 
-def _starts(gaps: Column, steps: Column, blocks: Column) -> Column:
-    """Where each match starts: all steps (a cut and its match) before it, summed by whole blocks first, and its own cut."""
+def _before(blocks: Column) -> Column:
+    """Sums of the blocks before each block."""
+    return F.transform(blocks, lambda _, k: _total(F.slice(blocks, F.lit(1), k)))
+
+
+def _starts(gaps: Column, steps: Column, before: Column) -> Column:
+    """Where each match starts: all steps (a cut and its match) before it, those of whole blocks summed already, and its own cut."""
     return F.flatten(
         F.transform(
-            blocks,
-            lambda _, k: F.transform(
+            before,
+            lambda b, k: F.transform(
                 F.slice(steps, k * _BLOCK + 1, F.lit(_BLOCK)),
-                lambda _, i: _total(F.slice(blocks, F.lit(1), k)) + _total(F.slice(steps, k * _BLOCK + 1, i)) + F.get(gaps, k * _BLOCK + i),
+                lambda _, i: b + _total(F.slice(steps, k * _BLOCK + 1, i)) + F.get(gaps, k * _BLOCK + i),
             ),
         )
     )
@@ -132,7 +139,8 @@ def _span(no: int, k: Kind, gaps: Column, starts: Column) -> Callable[[Column, C
 
     def span(x: Column, i: Column) -> Column:
         at = F.get(starts, i)
-        near = F.lower(F.substring(F.get(gaps, i), -WINDOW, WINDOW)).rlike(k.context)
+        around = F.concat_ws("\n", F.substring(F.get(gaps, i), -WINDOW, WINDOW), F.substring(F.get(gaps, i + 1), 1, AFTER))
+        near = F.lower(around).rlike(k.context)
         score = F.lit(k.score) + F.when(near, F.lit(k.lift)).otherwise(F.lit(0.0))
         return F.when(
             confirmed(k, x),
@@ -164,7 +172,10 @@ def spans(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
         step = step.withColumn(f"_c_{n}", some(n, _block_sums(F.col(f"_b_{n}"))))
     step = settled(step, *[f"_c_{n}" for n in names])
     for n in names:
-        step = step.withColumn(f"_p_{n}", some(n, _starts(*[F.col(f"_{x}_{n}") for x in "abc"])))
+        step = step.withColumn(f"_d_{n}", some(n, _before(F.col(f"_c_{n}"))))
+    step = settled(step, *[f"_d_{n}" for n in names])
+    for n in names:
+        step = step.withColumn(f"_p_{n}", some(n, _starts(*[F.col(f"_{x}_{n}") for x in "abd"])))
     step = settled(step, *[f"_p_{n}" for n in names])
     for no, k in enumerate(KINDS):
         f, g, p = (F.col(f"_{x}_{k.name}") for x in "fgp")
@@ -172,7 +183,7 @@ def spans(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
         ok = F.filter(F.transform(f, span), lambda s: s.isNotNull() & ((s["kind_no"] < N_BASE) | (s["score"] >= threshold)))
         step = step.withColumn(f"_s_{k.name}", F.when(F.size(f) > 0, ok).otherwise(F.array().cast(_SPAN)))
     every = F.sort_array(F.concat(*[F.col(f"_s_{n}") for n in names]))
-    return settled(step.withColumn("_spans", every).drop("_t", *[f"_{x}_{n}" for n in names for x in "fgabcps"]), "_spans")
+    return settled(step.withColumn("_spans", every).drop("_t", *[f"_{x}_{n}" for n in names for x in "fgabcdps"]), "_spans")
 
 
 def _listed(s: Column) -> Column:
@@ -193,24 +204,58 @@ def find(docs: DataFrame) -> DataFrame:
     )
 
 
+def _merged(spans_: Column, ends: Column, before: Column) -> Column:
+    """Spans that overlap as one: where the first starts, where the last ends, and the first's kind.
+
+    A span starts anew where no span before it reaches; `before` has how far those of whole blocks do."""
+
+    def block(reach: Column, k: Column) -> Column:
+        own = F.slice(spans_, k * _BLOCK + 1, F.lit(_BLOCK))
+        far = lambda i: F.greatest(reach, F.coalesce(F.array_max(F.slice(ends, k * _BLOCK + 1, i)), F.lit(0)))
+        return F.filter(F.transform(own, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), far(i).alias("far"))), lambda s: s["start"] >= s["far"])
+
+    return F.flatten(F.transform(before, block))
+
+
+def _redrawn(piece: Column, at: Column, found: Column) -> Column:
+    """A piece of the text that starts at `at`, with tags for the merged spans that meet it."""
+    upto = lambda i: F.when(i == 0, at).otherwise(F.greatest(F.get(found, i - 1)["end"], at))
+    cut = lambda a, b: F.substring(piece, a - at + 1, F.greatest(b - a, F.lit(0)))
+    parts = F.transform(found, lambda s, i: F.concat(cut(upto(i), s["start"]), F.when(s["start"] >= at, F.concat(F.lit("<"), s["kind"], F.lit(">"))).otherwise("")))
+    last = F.greatest(F.element_at(found, -1)["end"], at)
+    return F.when(F.size(found) == 0, piece).otherwise(F.concat(F.array_join(parts, ""), F.substring(piece, last - at + 1, F.lit(_PIECE))))
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """The documents with every reported span replaced by its kind in angle brackets; n_chars follows the new text.
 
-    Of spans that overlap, the one that starts first is named and the others only widen it."""
+    Of spans that overlap, the one that starts first is named and the others only widen it.  The text is redrawn piece by
+    piece, each from the spans that meet it, so the time does not grow with spans times length.  Null text stays null;
+    repeated rows and rows without a doc_id are masked like all others."""
     cols = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     at = f"c{cols.index('text')}"
-    got = spans(own, at)
-    t, s = F.col(at), F.col("_spans")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("end"))
-
-    def add(acc: Column, x: Column) -> Column:
-        gap = F.substring(t, acc["end"] + 1, x["start"] - acc["end"])
-        new = F.concat(acc["out"], gap, F.lit("<"), x["kind"], F.lit(">"))
-        return F.struct(F.when(x["start"] >= acc["end"], new).otherwise(acc["out"]).alias("out"), F.greatest(acc["end"], x["end"]).alias("end"))
-
-    body = F.aggregate(s, start, add, lambda a: F.concat(a["out"], F.substring(t, a["end"] + 1, F.length(t))))
-    new = F.when(F.size(s) > 0, body).otherwise(t)
-    done = got.withColumn("_new", new)
+    s, some = F.col("_spans"), F.size("_spans") > 0
+    n_blocks = lambda c: F.sequence(F.lit(0), F.floor((F.size(c) - 1) / _BLOCK).cast("int"))
+    step = settled(spans(own, at).withColumn("_e", F.when(some, F.transform(s, lambda x: x["end"]))), "_e")
+    e = F.col("_e")
+    step = settled(step.withColumn("_m", F.when(some, F.transform(n_blocks(e), lambda k: F.array_max(F.slice(e, k * _BLOCK + 1, F.lit(_BLOCK)))))), "_m")
+    m = F.col("_m")
+    reach = F.transform(m, lambda _, k: F.coalesce(F.array_max(F.slice(m, F.lit(1), k)), F.lit(0)))
+    step = settled(step.withColumn("_r", reach), "_r")
+    step = settled(step.withColumn("_n", _merged(s, e, F.col("_r"))), "_n")
+    n = F.col("_n")
+    merged = F.transform(n, lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get(n, i + 1)["far"], F.array_max(m)).alias("end"), x["kind"].alias("kind")))
+    step = settled(step.withColumn("_j", merged), "_j")
+    j = F.col("_j")
+    blocks = F.transform(n_blocks(j), lambda k: F.struct(F.get(j, k * _BLOCK)["start"].alias("lo"), F.element_at(F.slice(j, k * _BLOCK + 1, F.lit(_BLOCK)), -1)["end"].alias("hi"), k.alias("k")))
+    step = step.withColumn("_b", F.when(some, blocks)).withColumn("_t", F.when(some, F.regexp_extract_all(at, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
+    step = settled(step, "_b", "_t")
+    meets = lambda x, k: (x["lo"] < (k + 1) * _PIECE) & (x["hi"] > k * _PIECE)
+    inside = lambda x, k: F.filter(F.slice(j, x["k"] * _BLOCK + 1, F.lit(_BLOCK)), lambda y: (y["start"] < (k + 1) * _PIECE) & (y["end"] > k * _PIECE))
+    found = F.transform("_t", lambda _, k: F.flatten(F.transform(F.filter("_b", lambda x: meets(x, k)), lambda x: inside(x, k))))
+    step = settled(step.withColumn("_o", found), "_o")
+    new = F.array_join(F.transform("_t", lambda x, k: _redrawn(x, k * _PIECE, F.get("_o", k))), "")
+    done = settled(step.withColumn("_new", new), "_new")
     take = {"text": F.col("_new"), "n_chars": F.length("_new").cast("bigint")}
-    return done.select(*[(F.when(F.size("_spans") > 0, take[c]).otherwise(F.col(f"c{i}")) if c in take else F.col(f"c{i}")).alias(c) for i, c in enumerate(cols)])
+    return done.select(*[(F.when(some, take[c]).otherwise(F.col(f"c{i}")) if c in take else F.col(f"c{i}")).alias(c) for i, c in enumerate(cols)])

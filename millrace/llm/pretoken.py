@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from heapq import nlargest
 from itertools import islice, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -232,22 +233,29 @@ def frequent_chunks(docs: DataFrame, keep: int = 65_536, per_task: int = 4_096,
     """The most frequent chunks of the whole corpus, by count down and then by code point.
 
     Each task counts all of its texts and passes on its per_task most frequent chunks, so what is shuffled is a
-    summary of bounded size per task and no text.  A task that meets over room different chunks halves its table,
-    dropping the rarest.  The counts choose what is worth a table entry; no result depends on them.  At most keep rows
-    come to the driver.
+    summary of bounded size per task and no text.  What a window of over `wide` chunks holds once is passed over, and a
+    task that knows over room different chunks drops the rarest.  The counts choose what is worth a table entry; no
+    result depends on them.  At most keep rows come to the driver.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+    def count(batches: Iterator[pa.RecordBatch], wide: int = 100_000) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
         for b in batches:
             for part in slices(b.column(0)):
-                for names, number in windows(cut(part)[0]):
-                    for c, n in zip(names, np.bincount(number, minlength=len(names)).tolist()):
-                        seen[c] += n
-                    if len(seen) > room:
-                        seen = Counter(dict(seen.most_common(room // 2)))
-        del seen[""]
-        top = [(c, n) for c, n in seen.most_common(per_task) if len(c) <= LONGEST]
+                flat = cut(part)[0]
+                for k in range(0, len(flat), WINDOW):
+                    window = flat.slice(k, WINDOW)
+                    found = pc.value_counts(window)
+                    if len(window) > wide:
+                        found = found.filter(pc.greater(found.field(1), 1))
+                    names, n = found.field(0).to_pylist(), found.field(1).to_pylist()
+                    seen.update(zip(names, map(int.__add__, n, map(seen.get, names, repeat(0)))))
+                    low = 0
+                    while len(seen) > room:
+                        low += 1
+                        seen = {c: n for c, n in seen.items() if n > low}
+        seen.pop("", None)
+        top = [(c, n) for c, n in nlargest(per_task, seen.items(), key=itemgetter(1)) if len(c) <= LONGEST]
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([c for c, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
     part = docs.select(text_col().alias("t")).mapInArrow(count, "chunk string, n bigint")

@@ -96,6 +96,35 @@ def test_masked(docs):
     assert out[30] == "ünïcode 😀 <email> 😀 <phone> 😀"
 
 
+def test_masking_by_a_plain_scan(spark):
+    """Many spans over many pieces, spans over the borders of pieces, and kinds that overlap."""
+    many = " ".join(f"u{i}@h{i}.org {i % 256}.1.1.{i % 300} +1 (017) 555-7713;" for i in range(3_000))
+    wide = "é" * 1_020 + " " + "a." * 2_000 + "b@c.de " + "x" * 500 + " a@1.2.3.4 +4111111111111111 😀 ip 1.2.3.4"
+    docs = spark.createDataFrame([(1, many), (2, wide), (3, "no"), (4, None)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    for r in pii.masked(docs).collect():
+        text = {1: many, 2: wide, 3: "no", 4: None}[r.doc_id]
+        out, end = "", 0
+        for kind, a, b in (x.split(":") for x in found[r.doc_id].split(",") if x):
+            if int(a) >= end:
+                out += text[end : int(a)] + f"<{kind}>"
+            end = max(end, int(b))
+        assert r.text == (None if text is None else out + text[end:])
+
+
+def test_masking_takes_no_longer_than_the_spans(spark):
+    text = " ".join(f"u{i}@h{i}.org" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    assert pii.masked(docs).first().text == " ".join(["<email>"] * 60_000)
+    assert time.monotonic() - began < 60
+
+
+def test_context_behind(spark):
+    docs = spark.createDataFrame([(1, "123-45-6789 (SSN)"), (2, "123-45-6789 " + "x" * 30 + " ssn")], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.find(docs).collect()} == {1: "ssn:0:11", 2: ""}
+
+
 PAGES = [
     (1, "http://a/1", None), (2, "http://a/2", ""), (3, "http://a/3", "<p>é</p>" * 30), (4, None, "<p>é</p>" * 30), (0, "u\nv", "<p>é</p>" * 30), (5, "x", "short"), (6, "x", "short"),
     (7, "x", "line\r\n\r\nWARC/1.1\r\n" * 20), (8, "x", "big" * 400_000), (9, "x", "y" * 99), (10, "x", "y" * 99), (11, "x", "y" * 100), (12, "x", "y" * 100),
