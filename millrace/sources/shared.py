@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary folder that is set as it."""
+    """A new folder below spark.checkpoint.dir; where that is unset on one machine, below a temporary folder that is set as
+    it.  A cluster must name one: its executors cannot read the driver's folders."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='millrace-', dir='/tmp')}"
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
