@@ -113,21 +113,27 @@ class EliasFano:
         return self.low.nbytes + self.high.nbytes + self.samples.nbytes
 
 
-def _padded(part: bytes) -> bytes:
-    return part + b"\0" * (-len(part) % 8)
-
-
-def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, width: int) -> bytes:
-    """A shard from ascending doc_ids (those without one first), each document's number of ids, and all ids in a row."""
-    if width == 2 and len(ids) and int(ids.max()) > 0xFFFF:
-        raise ValueError(f"id {int(ids.max())} does not fit 16 bits")
+def packed(doc_ids: list[int | None], counts: np.ndarray, ids: list[np.ndarray], width: int) -> Iterator[bytes]:
+    """The parts of a shard, from ascending doc_ids (those without one first), each document's number of ids, and all ids
+    in a row, in pieces."""
+    if width == 2 and (most := max((int(x.max()) for x in ids if len(x)), default=0)) > 0xFFFF:
+        raise ValueError(f"id {most} does not fit 16 bits")
     known = [d for d in doc_ids if d is not None]
-    least = known[0] if known else 0
+    least, n_ids = known[0] if known else 0, sum(map(len, ids))
     bounds = EliasFano.encode(np.concatenate([[0], np.cumsum(counts, dtype=np.uint64)]).astype(np.uint64))
     docs = EliasFano.encode(np.array([d - least for d in known], np.uint64))
-    head = np.array([len(doc_ids), len(doc_ids) - len(known), least & 0xFFFFFFFFFFFFFFFF, len(ids), width, bounds.low_bits, len(bounds.high), docs.low_bits, len(docs.high)], "<u8")
-    parts = [x.astype("<u8") for ef in (bounds, docs) for x in (ef.low, ef.high, ef.samples)]
-    return b"".join([MAGIC, head.tobytes(), *(_padded(x.tobytes()) for x in (*parts, ids.astype("<u2" if width == 2 else "<u4")))])
+    head = np.array([len(doc_ids), len(doc_ids) - len(known), least & 0xFFFFFFFFFFFFFFFF, n_ids, width, bounds.low_bits, len(bounds.high), docs.low_bits, len(docs.high)], "<u8")
+    yield MAGIC + head.tobytes()
+    for x in (x for ef in (bounds, docs) for x in (ef.low, ef.high, ef.samples)):
+        yield x.astype("<u8").tobytes()
+    for x in ids:
+        yield x.astype("<u2" if width == 2 else "<u4", copy=False).tobytes()
+    yield b"\0" * (-n_ids * width % 8)
+
+
+def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, width: int) -> bytes:
+    """A shard in one piece."""
+    return b"".join(packed(doc_ids, counts, [ids], width))
 
 
 class Shard:
@@ -170,7 +176,7 @@ def id_width(path: str, end_id: int) -> int:
     return 2 if max(most, end_id) <= 0xFFFF else 4
 
 
-def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, roll_ids: int = 16_000_000, width: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, roll_ids: int = 8_000_000, width: int | None = None) -> DataFrame:
     """Write the shards below out; one row per shard: file, first (order of its part and file), n_docs, n_ids."""
     width = width or id_width(path, end_id)
     kind = np.dtype("<u2" if width == 2 and end_id <= 0xFFFF else "<u4")
@@ -189,7 +195,8 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 1, roll_ids
             root = _store(out)[1]
             name = f"shard-{part:06d}-{n_file:06d}"
             with store.open_output_stream(f"{root}/{name}.{attempt}.tmp") as f:
-                f.write(pack(docs_, np.concatenate(counts), np.concatenate(ids_), width))
+                for x in packed(docs_, np.concatenate(counts), ids_, width):
+                    f.write(x)
             if store.get_file_info(f"{root}/{name}.eft").type == fs.FileType.NotFound:
                 store.move(f"{root}/{name}.{attempt}.tmp", f"{root}/{name}.eft")
             else:  # an earlier attempt of this task left the same bytes
@@ -260,7 +267,7 @@ def read_shards(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame
     return rows.join(starts, "file").select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def store_tokens(docs: DataFrame, path: str, end_id: int = 1, roll_ids: int = 16_000_000) -> DataFrame:
+def store_tokens(docs: DataFrame, path: str, end_id: int = 1, roll_ids: int = 8_000_000) -> DataFrame:
     """Write the documents' ids below a new shared folder and read every document back from the files."""
     spark = docs.sparkSession
     root = shared_dir(spark, "tokens")
