@@ -6,9 +6,10 @@
    compared exhaustively.  Larger ones are dealt into blocks of LEAF members, compared like leaves, which joins a dense
    group of copies into few components at a cost in proportion to it.
 3. The rest of large nodes: where at most LEAF members lie outside a node's largest component, these are compared
-   exactly with all members.  Where more do (unlike documents that share a passage), the node branches again, by `FORKS`
-   coordinates drawn from its path, and its parts are looked at in the same way, until none is large.  After `DEPTH` such
-   branchings parts that no longer shrink are compared exactly, block against block.
+   exactly with all members, and so is a node of at most `EXACT` members, block against block.  Beyond that (unlike
+   documents that share a passage) the node branches again, by `FORKS` coordinates drawn from its path, and its parts are
+   looked at in the same way.  A part that kept more than three fifths of its node's members holds texts too alike for a branching to
+   tell apart, and is compared exactly.
 
 With likeness s, a pair is in one tree's first node with probability s, and found below a branching node with
 q = 1 - (1 - s q')^FORKS, q' being its chance one level down.  For s = 0.8 q stays above 0.9375 at any depth, so 8 trees
@@ -43,12 +44,12 @@ COORDS = 64
 TREES = 8
 LEAF = 256
 FORKS = 2
-DEPTH = 6
+EXACT = 2048
 SCREEN = 35
 BLOCK = 256
 SALTS = 16
-#: Bits of the bitmap of wanted documents: 2^27 are 16 MB.
-WANTED_BITS = 27
+#: Bits of the bitmap of wanted documents: 2^25 are 4 MB.
+WANTED_BITS = 25
 LEAST_PCT = 85
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -128,7 +129,8 @@ def _sized(nodes: DataFrame) -> DataFrame:
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """(node, doc, comp, sig) one level down: FORKS children of each row, by coordinates drawn from its node's path."""
+    """(node, doc, comp, sig, was) one level down: FORKS children of each row, by coordinates drawn from its node's path; was is
+    the size of the node above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,9 +142,9 @@ def _children(rows: DataFrame) -> DataFrame:
                 at = mix(node + np.uint64(fork)) % np.uint64(COORDS)
                 token = sig[np.arange(len(at)), at.astype(np.int64)].astype(np.uint64)
                 child = mix(node ^ mix((np.uint64(fork) << np.uint64(48)) | (at << np.uint64(32)) | token))
-                yield pa.RecordBatch.from_pydict({"node": pa.array(child.view(np.int64)), "doc": b.column(1), "comp": b.column(2), "sig": b.column(3)})
+                yield pa.RecordBatch.from_pydict({"node": pa.array(child.view(np.int64)), "doc": b.column(1), "comp": b.column(2), "sig": b.column(3), "was": b.column(4)})
 
-    return rows.select("node", "doc", "comp", "sig").mapInArrow(run, "node bigint, doc bigint, comp bigint, sig binary")
+    return rows.select("node", "doc", "comp", "sig", "m").mapInArrow(run, "node bigint, doc bigint, comp bigint, sig binary, was bigint")
 
 
 def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -327,29 +329,30 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _second_look(large: DataFrame, sigs: DataFrame, found: DataFrame) -> DataFrame:
     """Groups for what the blocks of large nodes may have missed: the exact rest where it is small, deeper branches elsewhere."""
-    rows = written(large.join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "large")
-    nodes = written(_mains(rows), "large-nodes")
-    outside = F.col("m") - F.col("k")
-    out, now, before = _rest(rows, nodes.filter(outside <= LEAF)), rows.join(sigs, "doc"), None
-    depth = 0
-    while left := nodes.filter(outside > LEAF).agg(F.sum("m")).first()[0]:
-        if depth >= DEPTH and 10 * left > 9 * before:
-            return out.unionByName(_rest(now, nodes.filter(outside > LEAF)))
-        depth, before = depth + 1, left
-        below = written(_children(_salted(now, nodes.filter(outside > LEAF).select("node", "_parts"), "node", F.col("doc"))), "below")
+    rows = written(large.join(found, "doc", "left").select("node", "doc", F.coalesce("comp", "doc").alias("comp"), F.lit(None).cast("bigint").alias("was")), "large")
+    now, out = rows, None
+    while True:
+        nodes = written(_mains(now), "large-nodes")
+        again = (F.col("m") - F.col("k") > LEAF) & (F.col("m") > EXACT) & (F.col("was").isNull() | (5 * F.col("m") <= 3 * F.col("was")))
+        rest = _rest(now, nodes.filter(~again))
+        out = rest if out is None else out.unionByName(rest)
+        branching = nodes.filter(again).select("node", "m", "_parts")
+        if branching.isEmpty():
+            return out
+        if now is rows:
+            now = now.join(sigs, "doc")
+        below = written(_children(_salted(now, branching, "node", F.col("doc"))), "below")
         sized = written(_sized(below), "branch")
         out = out.unionByName(_clusters(sized.filter(F.col("size") <= LEAF)))
         now = sized.filter(F.col("size") > LEAF)
-        nodes = written(_mains(now), "large-nodes")
-        out = out.unionByName(_rest(now, nodes.filter(outside <= LEAF)))
-    return out
 
 
 def _mains(rows: DataFrame) -> DataFrame:
-    """Of every node with more than one component: its members m, its largest component and that one's size k."""
-    per = rows.groupBy("node", "comp").agg(F.count("*").alias("k"), _parts(F.col("doc")))
-    node = per.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"), F.bit_or("_parts").alias("_parts")).filter("m > top.k")
-    return node.select("node", "m", F.col("top.k").alias("k"), F.col("top.comp").alias("main"), "_parts")
+    """Of every node with more than one component: its members m, its largest component and that one's size k, and the size of
+    the node above."""
+    per = rows.groupBy("node", "comp").agg(F.count("*").alias("k"), F.max("was").alias("was"), _parts(F.col("doc")))
+    node = per.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"), F.max("was").alias("was"), F.bit_or("_parts").alias("_parts")).filter("m > top.k")
+    return node.select("node", "m", F.col("top.k").alias("k"), F.col("top.comp").alias("main"), "was", "_parts")
 
 
 def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -65,11 +65,11 @@ def test_odd_rows(spark):
     assert near_dup.near_duplicates(empty).count() == 0 and near_dup.keep_first(empty).count() == 0
 
 
-@pytest.mark.parametrize(("share", "least"), [(0.005, 85), (0.02, 85), (0.02, 80)])
-def test_dense_group_beyond_a_leaf(spark, monkeypatch, share, least):
+@pytest.mark.parametrize(("share", "least", "exact"), [(0.005, 85, 8), (0.02, 85, 8), (0.02, 80, 8), (0.02, 80, 64)])
+def test_dense_group_beyond_a_leaf(spark, monkeypatch, share, least, exact):
     monkeypatch.setattr(near_dup, "LEAF", 8)
     monkeypatch.setattr(near_dup, "BLOCK", 6)
-    monkeypatch.setattr(near_dup, "DEPTH", 2)
+    monkeypatch.setattr(near_dup, "EXACT", exact)
     rng = random.Random(5)
     base = [f"b{rng.randrange(500)}" for _ in range(120)]
     rows = [(k, edited(rng, base, share * rng.random() * 3)) for k in range(70)]
@@ -158,7 +158,7 @@ def test_a_passage_that_many_unlike_documents_share(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
     assert got == {i: i - 10_000 if i >= 40_000 else i for i, _ in rows}
-    assert max(sizes, default=0) <= near_dup.LEAF
+    assert max(sizes, default=0) <= near_dup.EXACT
 
 
 def test_the_bitmap_lets_all_wanted_through(spark):
