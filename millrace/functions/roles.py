@@ -20,12 +20,16 @@ NEEDS = {
 
 def band(v: Column) -> Column:
     """The power-of-two band of a value: bit length of its floor, from 0 to BANDS - 1."""
-    whole = F.floor(v).cast("bigint")
-    return F.when(whole <= 0, 0).otherwise(F.least(F.length(F.bin(whole)), F.lit(BANDS - 1)))
+    d, out = v.cast("double"), F.when(v.isNull(), F.lit(None).cast("int"))
+    for b in range(BANDS - 1):
+        out = out.when(d < float(2**b), b)
+    return out.otherwise(BANDS - 1)
 
 
-def partial(value: Column, at: Column, row: Column, needs: tuple[str, ...], key: Column | None = None) -> dict[str, Column]:
-    """Aggregates of the wanted roles over value; null values add nothing, not even to the count."""
+def partial(value: Column, at: Column, row: Column, needs: tuple[str, ...], key: Column | None = None, in_band: Column | None = None) -> dict[str, Column]:
+    """Aggregates of the wanted roles over value; null values add nothing, not even to the count.
+
+    in_band is the value's band where the caller has worked it out already."""
     v = value.cast(MONEY) if key is None else None
     some = (key if key is not None else value).isNotNull()
     out: dict[str, Column] = {}
@@ -40,7 +44,7 @@ def partial(value: Column, at: Column, row: Column, needs: tuple[str, ...], key:
     if "max_value" in needs:
         out["max_value"] = F.max(v)
     if "histogram" in needs:
-        out["histogram"] = F.array(*[F.count(F.when(some & (band(v) == b), 1)) for b in range(BANDS)])
+        out["histogram"] = F.array(*[F.count(F.when((band(v) if in_band is None else in_band) == b, 1)) for b in range(BANDS)])
     if "sketch" in needs:
         out["sketch"] = F.hll_sketch_agg(key if key is not None else value.cast("string"), SKETCH_BITS)
     if "latest" in needs:
@@ -59,6 +63,11 @@ def merge(roles: list[str]) -> dict[str, Column]:
     return {r: how[r] for r in roles}
 
 
+def zero_rate(zeros: Column, n: Column) -> Column:
+    """The share of rows that are zero; null without rows."""
+    return F.when(n > 0, F.coalesce(zeros, F.lit(0)) / n)
+
+
 def average(total: Column, n: Column) -> Column:
     return F.when(n > 0, total / n)
 
@@ -86,6 +95,5 @@ def percentile_of(hist: Column, q: float) -> Column:
 
 
 
-
 def distinct_of(sketch: Column) -> Column:
     return F.hll_sketch_estimate(sketch)

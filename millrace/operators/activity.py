@@ -37,9 +37,9 @@ def aggregate(txns: DataFrame, by: list[str], sums: list[str], errors: Column, s
     if len(by) > 3 or len(sums) > 4:
         raise ValueError("at most three groups and four sums")
     g = txns.groupBy(*by).agg(F.count("*").alias("n"), F.count(F.when(errors, 1)).alias("errors"), *[F.sum(c).cast("double").alias(f"sum_{c}") for c in sums])
-    every = Window.partitionBy(F.lit(1))
-    g = g.withColumn("groups_total", F.count("*").over(every)).withColumn("rows_total", F.sum("n").over(every))
-    return g.orderBy(F.desc(sort), *[F.asc_nulls_last(c) for c in by]).limit(limit)
+    total = g.agg(F.count("*").alias("groups_total"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_total"))
+    top = g.orderBy(F.desc(sort), *[F.asc_nulls_last(c) for c in by]).limit(limit)
+    return top.join(F.broadcast(total))  # one row
 
 
 def activity(txns: DataFrame, grain: str, at: str, user: str, device: str, errors: Column, tz: str = "UTC") -> DataFrame:
@@ -149,9 +149,8 @@ def freshness(facts: DataFrame, at: str, sealed: Column, now: str) -> DataFrame:
     return got.select(lag.alias("lag_s"), "open_share", (lag > 3600).cast("int").alias("stale"))
 
 
-def shape_of_day(df: DataFrame, at: str, kind: str, person: str) -> DataFrame:
-    """24 hours: lines by kind, distinct people, and whether the hour is the first peak."""
-    kinds = [r[0] for r in df.select(kind).distinct().orderBy(kind).collect()]
+def shape_of_day(df: DataFrame, at: str, kind: str, person: str, kinds: list[str]) -> DataFrame:
+    """24 hours: lines by each named kind and in all, distinct people, and whether the hour is the first peak."""
     h = df.groupBy(F.hour(at).alias("hour")).agg(F.count_distinct(person).alias("people"), F.count("*").alias("n"), *[F.count(F.when(F.col(kind) == k, 1)).alias(k) for k in kinds])
     hours = df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     full = hours.join(h, "hour", "left").na.fill(0)

@@ -152,10 +152,15 @@ def burst_cap(events: DataFrame, by: str, at: str, row: str, window_s: int, cap:
     return rows.filter(F.col("_r") <= cap).drop("_r", "slot"), summary
 
 
-def over_quota(events: DataFrame, user: str, at: str, row: str, per_user: int) -> DataFrame:
-    """Rows beyond a user's quota of their hour."""
-    w = Window.partitionBy(user, F.date_trunc("hour", at)).orderBy(at, row)
-    return events.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") > per_user)
+def over_quota(events: DataFrame, user: str, at: str, row: str, per_user: int, tenant: str | None = None, per_tenant: int | None = None) -> DataFrame:
+    """Rows beyond a user's quota of their hour, or beyond their tenant's, with the limit that they pass first."""
+    hour = F.date_trunc("hour", at)
+    rows = events.withColumn("nth", F.row_number().over(Window.partitionBy(user, hour).orderBy(at, row)))
+    limit = F.when(F.col("nth") > per_user, "user")
+    if tenant:
+        rows = rows.withColumn("nth_of_tenant", F.row_number().over(Window.partitionBy(tenant, hour).orderBy(at, row)))
+        limit = limit.when(F.col("nth_of_tenant") > per_tenant, "tenant")
+    return rows.withColumn("limit", limit).filter(F.col("limit").isNotNull())
 
 
 def keyset_page(df: DataFrame, down: str, up: str, after: tuple | None, limit: int) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ def headings(text: Column) -> Column:
 
 
 def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, nr, level, path, body: the text between headings under its path of headings (deeper ones cleared).
+    """key, nr, level, path, depth, root, parent, heading, body: the text between headings under its path of headings
+    (deeper ones cleared); root, parent and heading are the path's first, last but one and last.
 
     The text before the first heading is section 0 of level 0; sections without text are dropped.
     """
@@ -64,7 +67,11 @@ def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = base.withColumn("paths", every).select(key, F.posexplode(F.arrays_zip("paths", "bodies")).alias("nr", "s"))
     body = F.trim(F.regexp_replace(F.col("s.bodies"), r"^\s+|\s+$", ""))
     last = F.try_element_at("s.paths", F.lit(-1))
-    return rows.select(key, "nr", F.coalesce(last["level"], F.lit(0)).alias("level"), F.array_join(F.transform("s.paths", lambda p: p["heading"]), " > ").alias("path"), body.alias("body")).filter("body <> ''")
+    at = lambda i: F.try_element_at("s.paths", F.lit(i))["heading"]
+    return rows.select(
+        key, "nr", F.coalesce(last["level"], F.lit(0)).alias("level"), F.array_join(F.transform("s.paths", lambda p: p["heading"]), " > ").alias("path"), F.size("s.paths").alias("depth"),
+        at(1).alias("root"), at(-2).alias("parent"), at(-1).alias("heading"), body.alias("body"),
+    ).filter("body <> ''")
 
 
 _CUTS = (re.compile(r"(?<=\n\n)"), re.compile(r"(?<=\n)"), re.compile(r"(?<=[.!?])(?=\s)"), re.compile(r"(?<=\s)"))
@@ -106,14 +113,25 @@ def pack(text: str, most: int, overlap: int) -> list[str]:
 
 
 def chunk(secs: DataFrame, key: str = "doc_id", most_tokens: int = 512, overlap_tokens: int = 64) -> DataFrame:
-    """key, nr, leaf, text: sections in chunks by an estimate of four characters a token; a section of one chunk has leaf 0 only."""
+    """key, nr, leaf, parent, text: each section as a parent chunk (leaf -1, its whole text) and its leaves, by an estimate of
+    four characters a token; parent is null for a parent, else its number.  A section of one leaf is its parent only."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, n, i, t) for k, n, b in zip(f[key], f["nr"], f["body"]) for i, t in enumerate(pack(b, most_tokens * 4, overlap_tokens * 4))]
-            yield pd.DataFrame(rows, columns=[key, "nr", "leaf", "text"])
+            rows = []
+            for k, n, b in zip(f[key], f["nr"], f["body"]):
+                leaves = pack(b, most_tokens * 4, overlap_tokens * 4)
+                rows.append((k, n, -1, None, b))
+                rows += [(k, n, i, n, t) for i, t in enumerate(leaves)] if len(leaves) > 1 else []
+            yield pd.DataFrame(rows, columns=[key, "nr", "leaf", "parent", "text"]).astype({"parent": "Int32"})
 
-    return secs.select(key, "nr", "body").mapInPandas(run, f"{key} {dict(secs.dtypes)[key]}, nr int, leaf int, text string")
+    return secs.select(key, "nr", "body").mapInPandas(run, f"{key} {dict(secs.dtypes)[key]}, nr int, leaf int, parent int, text string")
+
+
+def smallest(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The chunks that hold no other: leaves, and parents without leaves."""
+    w = Window.partitionBy(key, "nr")
+    return chunks.withColumn("_most", F.max("leaf").over(w)).filter("leaf >= 0 OR _most < 0").drop("_most")
 
 
 def merge_small(chunks: DataFrame, key: str, most: int = 2048) -> DataFrame:
@@ -148,29 +166,53 @@ def embed_rows(chunks: DataFrame, paths: DataFrame, key: str) -> DataFrame:
     return chunks.join(paths.select(key, "nr", "path"), [key, "nr"], "left").select(key, "nr", "leaf", F.concat_ws("\n", F.nullif("path", F.lit("")), "text").alias("embed_text"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+_HITS = "query_id {q}, id {v}, score double"
+
+
+def packed(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """Rows in blocks of up to size: keys and vectors (float64, one after the other) of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, size):
+                part = b.slice(k, size)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([flat.tobytes()], pa.binary())], names=["keys", "data"])
+
+    return df.select(F.col(key), F.col(vector).cast("array<double>")).mapInArrow(run, f"keys array<{dict(df.dtypes)[key]}>, data binary")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
-    """The k nearest rows of each query (query_id, query) among vectors (id, embedding), by cosine.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, block: int = 4096) -> DataFrame:
+    """The k nearest rows of each query (query_id, query) among vectors (id, embedding), by cosine; ties go to the smaller id.
 
-    Up to most_queries queries go to the vectors, which are read once; more are dealt into blocks of about so many, each
-    of which meets every part of the vectors in a task of its own.  Each task keeps its own k best per query.
+    Both sides are packed into blocks, every block of queries meets every block of vectors in a task, and a pair of blocks
+    gives k rows a query, so every query is answered and only best rows are shuffled.  Vectors that `where` does not admit
+    are left out; null vectors and those of length zero have no score.
     """
-    q = queries.select("query_id", "query")
-    blocks = -(-q.count() // most_queries)
-    q = F.broadcast(q) if blocks <= 1 else q.repartition(blocks).hint("shuffle_replicate_nl")
-    scored = vectors.join(q).select("query_id", "id", cosine(F.col("query"), F.col("embedding")).alias("score"))
+    v = vectors.filter(F.col("embedding").isNotNull() & (where if where is not None else F.lit(True)))
+    q = queries.filter(F.col("query").isNotNull())
+    types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qk, qd, vk, vd in zip(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                a, c = (np.frombuffer(d, "<f8").reshape(len(n.values), -1) for n, d in ((qk, qd), (vk, vd)))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = (a @ c.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(c, axis=1)[None, :]
+                best = np.sort(-score, axis=1)[:, min(k, score.shape[1]) - 1]  # ties at the edge all stay
+                row, col = np.nonzero((-score <= best[:, None]) & ~np.isnan(score))
+                yield pa.RecordBatch.from_arrays([qk.values.take(pa.array(row)), vk.values.take(pa.array(col)), pa.array(score[row, col])], names=["query_id", "id", "score"])
+
+    qs = packed(q, "query_id", "query", 1024).select(F.col("keys").alias("q_keys"), F.col("data").alias("q_data"))
+    met = packed(v, "id", "embedding", block).hint("shuffle_replicate_nl").join(qs).select("q_keys", "q_data", "keys", "data")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return met.mapInArrow(run, _HITS.format(q=types[0], v=types[1])).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int, words: list[str]) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int, words: list[str], where: Column | None = None) -> DataFrame:
     """nearest among the chunks (id, embedding, text) in which every word occurs as a word."""
     tokens = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
     hit = F.lit(True)
     for x in words:
         hit = hit & F.array_contains(tokens, x.lower())
-    return nearest(queries, chunks.filter(hit), k)
+    return nearest(queries, chunks.filter(hit), k, where)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import roles
-from millrace.functions.fields import dimension, identity, local_day, number_or_null
+from millrace.functions.fields import dimension, identity, local_day, local_time, number_of, number_or_null
 
 SLOTS = 6
 
@@ -60,18 +60,15 @@ def rollup(facts: DataFrame, metric: Metric, grain: str = "daily", tz: str = "UT
     if bad := metric.validate():
         raise ValueError("; ".join(bad))
     dims = [dimension(F.col(d)).alias(f"dim{i + 1}") for i, d in enumerate(metric.dims)]
-    base = facts.select(_bucket(grain, metric.at, tz).alias("bucket"), *dims, *{c: F.col(c) for m in metric.measures for c in _inputs(m, metric)}.values(), *_filters(metric))
+    # Every value is worked out once, before the aggregate: a number, or for `distinct` its one spelling.
+    base = facts.select(_bucket(grain, metric.at, tz).alias("bucket"), *dims, F.col(metric.at).alias("_at"), F.col(metric.row).alias("_row"), *_values(metric, dict(facts.dtypes)))
+    banded = [k for k, m in enumerate(metric.measures) if "histogram" in roles.NEEDS[m.agg]]
+    base = base.withColumns({f"_b{k}": roles.band(F.col(f"_v{k}")) for k in banded}) if banded else base
     parts = {}
     for k, m in enumerate(metric.measures):
-        on = F.col(f"_w{k}") if m.where else F.lit(True)
-        value = F.lit(1) if m.field is None else F.col(m.field)
-        if m.agg == "distinct":
-            parts[k] = roles.partial(value, F.col(metric.at), F.col(metric.row), roles.NEEDS[m.agg], key=F.when(on, identity(value)))
-            continue
-        number = number_or_null(value, roles.MONEY)
-        if m.minus:
-            number = number - number_or_null(F.col(m.minus), roles.MONEY)
-        parts[k] = roles.partial(F.when(on, number), F.col(metric.at), F.col(metric.row), roles.NEEDS[m.agg])
+        v, needs = F.col(f"_v{k}"), roles.NEEDS[m.agg]
+        key, in_band = v if m.agg == "distinct" else None, F.col(f"_b{k}") if k in banded else None
+        parts[k] = roles.partial(v, F.col("_at"), F.col("_row"), needs, key, in_band)
     keys = ["bucket", *[f"dim{i + 1}" for i in range(len(dims))]]
     wide = base.groupBy(*keys).agg(*[c.alias(f"{r}_{k}") for k, p in parts.items() for r, c in p.items()])
     types = dict(wide.dtypes)
@@ -86,12 +83,20 @@ def rollup(facts: DataFrame, metric: Metric, grain: str = "daily", tz: str = "UT
     return long.filter("count_value > 0")
 
 
-def _inputs(m: Measure, metric: Metric) -> list[str]:
-    return [c for c in (m.field, m.minus, metric.at, metric.row) if c]
-
-
-def _filters(metric: Metric) -> list[Column]:
-    return [F.coalesce(F.expr(m.where), F.lit(False)).alias(f"_w{k}") for k, m in enumerate(metric.measures) if m.where]
+def _values(metric: Metric, types: dict[str, str]) -> list[Column]:
+    """Each measure's value under its filter."""
+    out = []
+    for k, m in enumerate(metric.measures):
+        if m.agg == "distinct":
+            value = identity(F.col(m.field))
+        elif m.field is None:
+            value = F.lit(1)
+        else:
+            value = number_of(types, m.field, roles.MONEY)
+            value = value - number_of(types, m.minus, roles.MONEY) if m.minus else value
+        on = F.coalesce(F.expr(m.where), F.lit(False)) if m.where else None
+        out.append((value if on is None else F.when(on, value)).alias(f"_v{k}"))
+    return out
 
 
 def merged(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -100,11 +105,18 @@ def merged(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by, "measure").agg(*[c.alias(r) for r, c in roles.merge(used).items()])
 
 
-def cascade(cells: DataFrame, grain: str, tz_offset_is_whole_hours: bool = True) -> DataFrame:
-    """Days from hours (where local midnight is on an hour; days of other zones come from the facts), months from days."""
-    if grain == "daily" and not tz_offset_is_whole_hours:
-        raise ValueError("this zone's days do not start on an hour: fold the facts")
-    bucket = F.substring("bucket", 1, 10) if grain == "daily" else F.concat(F.substring("bucket", 1, 7), F.lit("-01"))
+def cascade(cells: DataFrame, grain: str, tz: str = "UTC") -> DataFrame:
+    """Local days from hours, months from days.
+
+    An hour of a zone whose midnight is not on an hour belongs to two days: such days must be folded from the facts, and
+    asking for them here fails when the plan runs."""
+    if grain == "daily":
+        at = F.col("bucket").cast("timestamp")
+        off = F.unix_timestamp(local_time(at, tz)) - F.unix_timestamp(at)
+        day = F.date_format(local_day(at, tz), "yyyy-MM-dd")
+        bucket = F.when(off % 3600 == 0, day).otherwise(F.raise_error(F.lit(f"days of {tz} do not start on an hour: fold the facts")).cast("string"))
+    else:
+        bucket = F.concat(F.substring("bucket", 1, 7), F.lit("-01"))
     return merged(cells.withColumn("bucket", bucket), ["bucket", *[f"dim{i + 1}" for i in range(SLOTS)]])
 
 
@@ -158,13 +170,17 @@ def totals(cells: DataFrame) -> DataFrame:
 
 
 def preview(facts: DataFrame, metric: Metric) -> DataFrame:
-    """How a metric would fare: matching rows, and per measure how many values are there and how many are numbers."""
+    """How a metric would fare: matching rows, and per measure how many values are there and how many are numbers; per
+    dimension how many rows name a group."""
     one = []
     for k, m in enumerate(metric.measures):
         on = F.coalesce(F.expr(m.where), F.lit(False)) if m.where else F.lit(True)
         some = F.lit(True) if m.field is None else F.col(m.field).isNotNull()
         num = F.lit(True) if m.field is None else number_or_null(F.col(m.field)).isNotNull()
         one.append(F.struct(F.lit(m.name).alias("measure"), F.count(F.when(on, 1)).alias("matches"), F.count(F.when(on & some, 1)).alias("present"), F.count(F.when(on & num, 1)).alias("numeric")))
+    for d in metric.dims:
+        named = F.count(dimension(F.col(d)))
+        one.append(F.struct(F.lit(f"dim:{d}").alias("measure"), F.count("*").alias("matches"), named.alias("present"), named.alias("numeric")))
     return facts.agg(F.array(*one).alias("m")).select(F.inline("m"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.fields import local_day, outcome
+
 
 def query_rows(df: DataFrame, equal: dict[str, object] | None = None, like: dict[str, str] | None = None, at: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
     """Rows by equality, by case-blind text and by a range of time; filters that are None do not apply."""
@@ -21,6 +23,81 @@ def query_rows(df: DataFrame, equal: dict[str, object] | None = None, like: dict
     return df
 
 
+def query_page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, **filters: object) -> DataFrame:
+    """A page of query_rows with the number of all rows that match (one row beside the page, from an aggregate of its own)."""
+    hits = query_rows(df, **filters)
+    total = hits.agg(F.count("*").alias("total"))
+    return hits.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total))  # one row
+
+
+def with_owner(entries: DataFrame, assigned: DataFrame, entry: str, owner: str) -> DataFrame:
+    """entries with the transaction that owns them, or null."""
+    return entries.join(assigned.select(entry, owner), entry, "left")
+
+
+def namespaced(bag: Column, prefix: str) -> Column:
+    """The fields of a bag under a prefix; empty values are left out."""
+    some = F.map_filter(bag, lambda _, v: F.nullif(F.trim(v), F.lit("")).isNotNull())
+    return F.transform_keys(some, lambda k, _: F.concat(F.lit(f"{prefix}."), k))
+
+
+def normalise(rows: DataFrame, reasons: dict[str, Column], key: str) -> tuple[DataFrame, DataFrame]:
+    """(facts: rows without a fault; quarantine: key and the first reason of every other row).  Nothing stops the rest."""
+    reason = F.lit(None).cast("string")
+    for name, bad in reversed(reasons.items()):
+        reason = F.when(F.coalesce(bad, F.lit(False)), name).otherwise(reason)
+    both = rows.withColumn("_reason", reason)
+    return both.filter("_reason IS NULL").drop("_reason"), both.filter("_reason IS NOT NULL").select(key, F.col("_reason").alias("reason"))
+
+
+def cap_length(df: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """df with each named text cut to its width, and n_cut: how many of the row's texts were longer."""
+    cut = sum((F.coalesce((F.length(c) > n).cast("int"), F.lit(0)) for c, n in limits.items()), F.lit(0))
+    return df.withColumn("n_cut", cut).withColumns({c: F.substring(c, 1, n) for c, n in limits.items()})
+
+
+def find(values: DataFrame, number: str, name: str, text: str, limit: int) -> DataFrame:
+    """Entities whose number starts with a text or whose name holds it, by number."""
+    low = text.lower()
+    hit = F.startswith(F.lower(F.col(number).cast("string")), F.lit(low)) | F.coalesce(F.contains(F.lower(name), F.lit(low)), F.lit(False))
+    return values.filter(hit).orderBy(number).limit(limit)
+
+
+def day_scope(df: DataFrame, at: str, day: str, tz: str, pad_h: int = 26) -> DataFrame:
+    """Rows of a local day: a padded range of instants, which prunes partitions and reaches the scan, and the exact local date."""
+    d = F.lit(day).cast("date")
+    lo = d.cast("timestamp") - F.make_dt_interval(hours=F.lit(pad_h))
+    hi = F.date_add(d, 1).cast("timestamp") + F.make_dt_interval(hours=F.lit(pad_h))
+    return df.filter((F.col(at) >= lo) & (F.col(at) < hi) & (local_day(F.col(at), tz) == d))
+
+
+def release_stats(settled: DataFrame, by: list[Column], expected: str = "expected", picked: str = "picked") -> DataFrame:
+    """Outcomes of releases by picker, delivery, customer or any other group: rows of each outcome, units short, fill rate."""
+    e, p = F.col(expected), F.col(picked)
+    kind = outcome(e, p)
+    short = F.greatest(e - p, F.lit(0)).cast("double")
+    g = settled.groupBy(*by).agg(
+        F.count("*").alias("n"), *[F.count_if(kind == k).alias(n) for k, n in (("exact", "exact"), ("over", "over"), ("zeroPick", "zero_picks"), ("partial", "partial"))],
+        F.sum(short).alias("units_short"), F.sum(e.cast("double")).alias("_e"),
+    )
+    return g.withColumn("fill_rate", F.when(F.col("_e") > 0, F.round(1 - F.col("units_short") / F.col("_e"), 6))).drop("_e")
+
+
+def zero_feed(settled: DataFrame, order: list[Column], limit: int, expected: str = "expected", picked: str = "picked") -> DataFrame:
+    """The newest releases of which nothing was picked (a feed: the limit is its length)."""
+    return settled.filter(outcome(F.col(expected), F.col(picked)) == "zeroPick").orderBy(*order).limit(limit)
+
+
+def usage(turns: DataFrame, person: str, day: Column) -> DataFrame:
+    """Questions and people who ask, by day."""
+    return turns.groupBy(day.alias("day")).agg(F.count("*").alias("questions"), F.count_distinct(person).alias("people"))
+
+
+def top_askers(turns: DataFrame, person: str, limit: int) -> DataFrame:
+    """Who asks most."""
+    return turns.groupBy(person).agg(F.count("*").alias("questions")).orderBy(F.desc("questions"), person).limit(limit)
+
+
 def entry_seq(entries: DataFrame, owner: str, at: Column, line: str) -> DataFrame:
     """entries with seq: their order inside their owner, rows without a time last."""
     w = Window.partitionBy(owner).orderBy(at.asc_nulls_last(), line)

@@ -8,15 +8,20 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.fields import NUMBER, TIME, number_or_null, seconds_between
+from millrace.functions.fields import NUMBER, TIME, number_of, number_or_null, seconds_between
+from millrace.operators.lookup import as_of
 
-RULES = ("first", "last", "first_text", "last_text", "sum", "count", "min", "max", "distinct_count", "difference", "flag")
+RULES = ("first", "last", "first_text", "last_text", "sum", "count", "min", "max", "distinct_count", "difference", "flag", "lookup")
+READS_SETTLED = ("difference", "flag", "lookup")
 OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b}
 
 
 @dataclass(frozen=True)
 class Value:
-    """One settled value: a rule over a field under a filter, or an expression over earlier values."""
+    """One settled value: a rule over a field under a filter, or an expression over earlier values.
+
+    `lookup` takes what the lookup named by `field` held for the key, carried field or value named by `left` when the
+    key was first seen."""
 
     name: str
     rule: str
@@ -38,14 +43,16 @@ class Settlement:
     carry: tuple[str, ...] = field(default=())
 
     def validate(self) -> list[str]:
-        bad, seen = [], {"first_at", "last_at", "calls"}
+        bad, seen = [], {"first_at", "last_at", "calls", *self.key, *self.carry}
         for v in self.values:
             if v.rule not in RULES:
                 bad.append(f"{v.name}: unknown rule {v.rule}")
-            if v.rule in ("difference", "flag"):
+            if v.rule in READS_SETTLED:
                 bad += [f"{v.name}: {x} comes later or is missing" for x in (v.left, v.right) if x and x not in seen]
             elif v.rule != "count" and not v.field:
                 bad.append(f"{v.name}: {v.rule} needs a field")
+            if v.rule == "lookup" and not (v.field and v.left):
+                bad.append(f"{v.name}: a lookup needs its name and a key")
             if v.rule == "flag" and v.op not in OPS:
                 bad.append(f"{v.name}: unknown comparison {v.op}")
             seen.add(v.name)
@@ -54,27 +61,29 @@ class Settlement:
         return bad
 
 
-def settle(rows: DataFrame, s: Settlement) -> DataFrame:
-    """One row per key: key, calls, first_at, last_at, carried fields and every value.
+def settle(rows: DataFrame, s: Settlement, lookups: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row per key: key, calls, first_at, last_at, carried fields (first non-empty by time) and every value.
 
     Rows of a null key are left out.  A sum or count over no rows is 0; first, last, min and max over none are null.
     Order inside a key is (time, nulls last, row id), so ties are settled the same way each time.
     """
     if bad := s.validate():
         raise ValueError("; ".join(bad))
+    types = dict(rows.dtypes)
     order = F.struct(F.col(s.at).isNull(), F.col(s.at), F.col(s.row))
+    newest = F.struct(~F.col(s.at).isNull(), F.col(s.at), F.col(s.row))
     aggs = [F.count("*").alias("calls"), F.min(s.at).alias("first_at"), F.max(s.at).alias("last_at")]
-    aggs += [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in s.carry]
-    for v in (v for v in s.values if v.rule not in ("difference", "flag")):
+    aggs += [F.min_by(c, F.when(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).isNotNull(), order)).alias(c) for c in s.carry]
+    for v in (v for v in s.values if v.rule not in READS_SETTLED):
         on = F.coalesce(F.expr(v.where), F.lit(False)) if v.where else F.lit(True)
         raw = F.col(v.field) if v.field else F.lit(1)
-        num = number_or_null(raw, "decimal(20,6)")
+        num = number_of(types, v.field, "decimal(20,6)") if v.field else raw
         text = F.nullif(F.trim(raw.cast("string")), F.lit(""))
         one = {
             "first": F.min_by(num, F.when(on & num.isNotNull(), order)),
-            "last": F.max_by(num, F.when(on & num.isNotNull(), F.struct(~F.col(s.at).isNull(), F.col(s.at), F.col(s.row)))),
+            "last": F.max_by(num, F.when(on & num.isNotNull(), newest)),
             "first_text": F.min_by(text, F.when(on & text.isNotNull(), order)),
-            "last_text": F.max_by(text, F.when(on & text.isNotNull(), F.struct(~F.col(s.at).isNull(), F.col(s.at), F.col(s.row)))),
+            "last_text": F.max_by(text, F.when(on & text.isNotNull(), newest)),
             "sum": F.coalesce(F.sum(F.when(on, num)), F.lit(0).cast("decimal(30,6)")),
             "count": F.count(F.when(on, 1)),
             "min": F.min(F.when(on, num)),
@@ -86,8 +95,10 @@ def settle(rows: DataFrame, s: Settlement) -> DataFrame:
     for k in s.key:
         key = key & F.col(k).isNotNull()
     out = rows.filter(key).groupBy(*s.key).agg(*aggs)
-    for v in (v for v in s.values if v.rule in ("difference", "flag")):
-        if v.rule == "difference":
+    for v in (v for v in s.values if v.rule in READS_SETTLED):
+        if v.rule == "lookup":
+            out = as_of(out, lookups[v.field], v.left, F.col("first_at"), v.name)
+        elif v.rule == "difference":
             times = v.left in ("first_at", "last_at")
             out = out.withColumn(v.name, seconds_between(F.col(v.left), F.col(v.right)) if times else F.col(v.left) - F.col(v.right))
         else:

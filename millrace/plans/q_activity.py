@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.fields import json_field
 from millrace.operators import activity as act
+from millrace.operators import listing
 from millrace.plans.base import calls, facts, orders
 from millrace.plans.registry import query
 from millrace.session import table
@@ -180,7 +181,7 @@ _KINDS = ("click", "error", "purchase", "signup", "view")
 f AS (SELECT h.hour, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("people", "n", *_KINDS))} FROM h LEFT JOIN g USING (hour)) SELECT *, (hour = (SELECT hour FROM f ORDER BY n DESC, hour LIMIT 1))::INT AS is_peak FROM f""",
 )
 def shape_of_day(spark: SparkSession, d: str) -> DataFrame:
-    return act.shape_of_day(facts(spark, d), "event_time", "method", "user_id")
+    return act.shape_of_day(facts(spark, d), "event_time", "method", "user_id", list(_KINDS))
 
 
 @query(
@@ -212,19 +213,14 @@ def newest_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query("day_scope", "SELECT event_id FROM events WHERE (ts + INTERVAL 2 HOURS)::DATE = DATE '2024-01-10'")
 def day_scope(spark: SparkSession, d: str) -> DataFrame:
-    """A local day of a zone two hours ahead: a padded range of instants prunes the scan, the local date decides."""
-    from millrace.functions.fields import local_day
+    """A local day of a zone two hours ahead."""
+    return listing.day_scope(facts(spark, d), "event_time", "2024-01-10", "+02:00").select(F.col("row_id").alias("event_id"))
 
-    f = facts(spark, d)
-    padded = f.filter(F.col("event_time").between(F.lit("2024-01-09").cast("timestamp"), F.lit("2024-01-12").cast("timestamp")))
-    return padded.filter(local_day(F.col("event_time"), "+02:00") == F.lit("2024-01-10").cast("date")).select(F.col("row_id").alias("event_id"))
 
-
-@query("find_entities", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_partkey::VARCHAR, '1') OR contains(lower(p_name), 'red') ORDER BY p_partkey LIMIT 50")
+@query("find_entities", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_partkey::VARCHAR, '1') OR contains(lower(p_name), '1') ORDER BY p_partkey LIMIT 50")
 def find_entities(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    hit = F.startswith(F.col("p_partkey").cast("string"), F.lit("1")) | F.contains(F.lower("p_name"), F.lit("red"))
-    return p.filter(hit).orderBy("p_partkey").limit(50).select("p_partkey", "p_name")
+    """Numbers that start with 1, names that hold it or not."""
+    return listing.find(table(spark, d, "part"), "p_partkey", "p_name", "1", 50).select("p_partkey", "p_name")
 
 
 @query("page_with_total", "SELECT o_orderkey, count(*) OVER () AS total FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 15 OFFSET 30")

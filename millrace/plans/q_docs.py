@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fields as ff
 from millrace.operators import docs as dc
+from millrace.operators import listing
 from millrace.plans.base import calls, facts, orders
 from millrace.plans.registry import query
 from millrace.session import table
@@ -14,14 +15,23 @@ from millrace.sources import logs, shared
 
 
 def _log_files(spark: SparkSession, d: str) -> DataFrame:
-    """events as log text, a file per user group, with continuation lines and lines before the first entry."""
+    """events as log text, a file per user group and hour, with continuation lines and lines before the first entry; every
+    kind of entry occurs."""
     f = facts(spark, d)
     user = F.when(F.col("row_id") % 4 != 0, F.concat(F.lit("U"), F.col("user_id")))
-    said = F.when(F.col("method") == "click", F.concat(F.lit("REQUEST (ReqID = "), F.col("row_id"), F.lit(") - : http://h/x"))).when(F.col("method") == "purchase", "RESPONSE: done").otherwise(F.concat(F.lit("step "), F.col("method")))
+    k = F.col("row_id") % 11
+    said = (
+        F.when(k == 3, F.concat(F.lit("MI Program: P"), F.col("user_id") % 5, F.lit("  Transaction: T1  NumberOfRecs: 2")))
+        .when(k == 4, F.concat(F.lit("(ReqID = "), F.col("row_id"), F.lit("): MI Program: P1  Transaction: T1     Result: "), F.when(F.col("row_id") % 2 == 0, "OK").otherwise("no record")))
+        .when(k == 5, "Stored Procedure Executed is").when(k == 6, "REQUEST BODY: {}")
+    )
+    said = F.when(said.isNotNull(), said).when(F.col("method") == "click", F.concat(F.lit("REQUEST (ReqID = "), F.col("row_id"), F.lit(") - : http://h/x"))).when(F.col("method") == "purchase", "RESPONSE: done").otherwise(F.concat(F.lit("step "), F.col("method")))
     level = F.when(F.col("method") == "error", "ERROR").otherwise("INFO")
     more = F.when(F.col("row_id") % 5 == 0, "\n   KEY : 1\n  tail").otherwise("")
-    line = F.concat(logs.as_log(F.col("event_time"), user, (F.col("user_id") % 3).cast("string"), level, said), more)
-    g = f.groupBy((F.col("user_id") % 8).cast("string").alias("source_file")).agg(F.array_sort(F.collect_list(F.struct("event_time", "row_id", line.alias("line")))).alias("l"))
+    by = F.when(k == 3, logs.CALL_METHOD).when(k == 4, logs.RESULT_METHOD).otherwise("Run")
+    line = F.concat(logs.as_log(F.col("event_time"), user, (F.col("user_id") % 3).cast("string"), level, said, by), more)
+    name = F.concat_ws("-", F.col("user_id") % 8, F.date_format("event_time", "yyyyMMddHH"))
+    g = f.groupBy(name.alias("source_file")).agg(F.array_sort(F.collect_list(F.struct("event_time", "row_id", line.alias("line")))).alias("l"))
     return g.select("source_file", F.concat(F.lit("before\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("value"))
 
 
@@ -31,13 +41,17 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "log_entries",
-    """WITH r AS (SELECT *, (user_id % 8)::VARCHAR AS source_file, CASE WHEN event_id % 5 = 0 THEN 3 ELSE 1 END AS lines FROM events)
+    """WITH r AS (SELECT *, (user_id % 8) || '-' || strftime(ts, '%Y%m%d%H') AS source_file, event_id % 11 AS k, CASE WHEN event_id % 5 = 0 THEN 3 ELSE 1 END AS lines FROM events)
 SELECT source_file, (2 + coalesce(sum(lines) OVER (PARTITION BY source_file ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS line_number, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS at,
 CASE WHEN event_id % 4 <> 0 THEN 'U' || user_id END AS user_ctx, (user_id % 3)::VARCHAR AS thread,
-CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'request' WHEN 'purchase' THEN 'response' ELSE 'info' END AS entry_type, CASE WHEN event_type = 'click' THEN event_id::VARCHAR END AS request_id FROM r""",
+CASE WHEN event_type = 'error' THEN 'error' WHEN k = 3 THEN 'call' WHEN k = 4 THEN 'result' WHEN k = 5 THEN 'sql' WHEN k = 6 THEN 'request_body' WHEN event_type = 'click' THEN 'request' WHEN event_type = 'purchase' THEN 'response' ELSE 'info' END AS entry_type,
+CASE WHEN k = 4 OR (event_type = 'click' AND k NOT IN (3, 5, 6)) THEN event_id::VARCHAR END AS request_id,
+CASE WHEN event_type = 'error' THEN CASE k WHEN 3 THEN 'MI Program: P' || user_id % 5 || '  Transaction: T1  NumberOfRecs: 2' WHEN 4 THEN '(ReqID = ' || event_id || '): MI Program: P1  Transaction: T1     Result: ' || CASE WHEN event_id % 2 = 0 THEN 'OK' ELSE 'no record' END
+  WHEN 5 THEN 'Stored Procedure Executed is' WHEN 6 THEN 'REQUEST BODY: {}' ELSE 'step error' END WHEN k = 4 THEN CASE WHEN event_id % 2 = 0 THEN 'OK' ELSE 'no record' END END AS result_status,
+CASE WHEN k = 3 THEN 'P' || user_id % 5 || '.T1' WHEN k = 4 THEN 'P1.T1' END AS call, CASE WHEN event_id % 5 = 0 THEN '   KEY : 1' || chr(10) || '  tail' ELSE '' END AS body FROM r""",
 )
 def log_entries(spark: SparkSession, d: str) -> DataFrame:
-    return _entries(spark, d).select("source_file", "line_number", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"), "user_ctx", "thread", "entry_type", "request_id")
+    return _entries(spark, d).select("source_file", "line_number", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"), "user_ctx", "thread", "entry_type", "request_id", "result_status", "call", "body")
 
 
 @query("stitched_transactions")
@@ -115,12 +129,30 @@ def json_or_raw(spark: SparkSession, d: str) -> DataFrame:
     return facts(spark, d).select(F.col("row_id").alias("event_id"), F.try_element_at(m, F.lit("k")).alias("k"), F.try_element_at(m, F.lit("raw")).alias("raw"))
 
 
+def _redacted_sql() -> str:
+    """The redaction by DuckDB's expressions, which do not look around: a name starts at a word's edge there."""
+    name = "[\\w.-]*?(?:credentials|password|passwd|pwd|token|secret|api[_-]?key)"
+    steps = (
+        (f"\\b({name}=)[^&\\s\"''<>]*", "\\1<redacted>"), (f'("{name}"\\s*:\\s*)\\{{{{[^{{{{}}}}]*\\}}}}', '\\1"<redacted>"'), (f'("{name}"\\s*:\\s*")[^"]*(")', "\\1<redacted>\\2"),
+        (f"(%22{name}%22%3A%22).*?(%22)", "\\1<redacted>\\2"), ("(\\bbearer\\s+)[A-Za-z0-9._~+/=-]+", "\\1<redacted>"),
+        (f"\\b({name}\\s*[=:]\\s*)(\"[^\"]*\"|''[^'']*''|[^\\s,;&\"''<>{{{{}}}}]+)", "\\1<redacted>"), ("(\\bbasic\\s+)[A-Za-z0-9+/=]{{8,}}", "\\1<redacted>"),
+        ("([a-z][a-z0-9+.-]*://[^\\s:/@]+:)[^\\s@/]+@", "\\1<redacted>@"),
+    )
+    sql = "text"
+    for pattern, to in steps:
+        sql = f"regexp_replace({sql}, '{pattern}', '{to}', 'gi')"
+    for pattern in ("\\bAKIA[0-9A-Z]{16}\\b", "\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"):
+        sql = f"regexp_replace({sql}, '{pattern}', '<redacted>', 'g')"
+    return sql.replace("{{", "{").replace("}}", "}")
+
+
 @query(
     "redacted_texts",
-    """SELECT doc_id, length(regexp_replace(text, '(token)(\\s*[=:]\\s*)("[^"]*")', '\\1\\2[redacted]', 'gi')) AS n FROM documents""",
+    f"WITH r AS (SELECT doc_id, {_redacted_sql()} AS t FROM documents) SELECT doc_id, length(t) AS n, md5(t) AS digest FROM r",
 )
 def redacted_texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.length(ff.redact(F.col("text"))).cast("bigint").alias("n"))
+    t = table(spark, d, "documents").select("doc_id", ff.redact(F.col("text")).alias("t"))
+    return t.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5(F.encode("t", "utf-8")).alias("digest"))
 
 
 @query("quantity_classes", "SELECT CASE WHEN l_returnflag <> 'N' THEN 'non_quantity' WHEN l_quantity - 20 > 0 THEN 'pick' WHEN l_quantity - 20 = 0 THEN 'attempt' ELSE 'correction' END AS class, count(*) AS n FROM lineitem GROUP BY 1")
@@ -129,18 +161,20 @@ def quantity_classes(spark: SparkSession, d: str) -> DataFrame:
     return calls(spark, d).groupBy(c.alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("normalised_facts", "SELECT count(*) FILTER (o_totalprice >= 1000) AS facts, count(*) FILTER (o_totalprice < 1000) AS issues FROM orders")
+@query(
+    "normalised_facts",
+    "SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN 'no number' WHEN o_totalprice < 20000 THEN 'too small' WHEN o_orderstatus = 'P' THEN 'pending' END AS reason FROM orders",
+)
 def normalised_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Unusable rows carry a reason and go to quarantine; the rest are facts."""
-    reason = F.when(F.col("total").isNull(), "no number").when(F.col("total") < 1000, "too small")
-    both = orders(spark, d).withColumn("reason", reason)
-    return both.agg(F.count_if(F.col("reason").isNull()).alias("facts"), F.count_if(F.col("reason").isNotNull()).alias("issues"))
+    """Facts (without a reason) and quarantine of one plan."""
+    reasons = {"no number": F.col("total").isNull(), "too small": F.col("total") < 20000, "pending": F.col("o_orderstatus") == "P"}
+    facts_, issues = listing.normalise(orders(spark, d), reasons, "o_orderkey")
+    return facts_.select("o_orderkey", F.lit(None).cast("string").alias("reason")).unionByName(issues)
 
 
-@query("capped_names", "SELECT count(*) AS n, count(*) FILTER (length(p_name) > 8) AS cut, max(least(length(p_name), 8))::INT AS longest FROM part")
+@query("capped_names", "SELECT p_partkey, left(p_name, 8) AS p_name, left(p_brand, 3) AS p_brand, (length(p_name) > 8)::INT + (length(p_brand) > 3)::INT AS n_cut FROM part")
 def capped_names(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select(F.substring("p_name", 1, 8).alias("short"), (F.length("p_name") > 8).alias("cut"))
-    return p.agg(F.count("*").alias("n"), F.count_if("cut").alias("cut"), F.max(F.length("short")).alias("longest"))
+    return listing.cap_length(table(spark, d, "part"), {"p_name": 8, "p_brand": 3}).select("p_partkey", "p_name", "p_brand", "n_cut")
 
 
 @query("excerpts", "SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE left(text, 40) || ' ... ' || right(text, 20) END AS excerpt FROM documents")
@@ -170,12 +204,12 @@ def page_sections(spark: SparkSession, d: str) -> DataFrame:
 @query("page_chunks")
 def page_chunks(spark: SparkSession, d: str) -> DataFrame:
     secs = dc.sections(_marked(spark, d))
-    return dc.embed_rows(dc.chunk(secs, most_tokens=128, overlap_tokens=16), secs, "doc_id")
+    return dc.embed_rows(dc.smallest(dc.chunk(secs, most_tokens=128, overlap_tokens=16)), secs, "doc_id")
 
 
 @query("merged_chunks")
 def merged_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return dc.merge_small(dc.chunk(dc.sections(_marked(spark, d)), most_tokens=64, overlap_tokens=0), "doc_id")
+    return dc.merge_small(dc.smallest(dc.chunk(dc.sections(_marked(spark, d)), most_tokens=64, overlap_tokens=0)), "doc_id")
 
 
 _SCORES = ", ".join(f"({' + '.join(f'''contains(lower(text), '{w}')::INT''' for w in ws)}) AS s_{k}" for k, ws in dc.PROFILES.items())
@@ -209,7 +243,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("query_keywords")
 def query_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", F.size(ff.keywords(F.col("text"))).alias("n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(ff.keywords(F.col("text")), " ").alias("words"))
 
 
 @query("exploded_lines", "SELECT doc_id, count(*) AS records FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY 1")

@@ -144,9 +144,9 @@ def two_tier_read(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "metric_preview",
-    """SELECT unnest(['net', 'lines', 'returned']) AS measure, unnest([count(*), count(*), count(*) FILTER (l_returnflag = 'R')]) AS matches,
- unnest([count(l_extendedprice), count(*), count(l_quantity) FILTER (l_returnflag = 'R')]) AS present,
- unnest([count(l_extendedprice), count(*), count(l_quantity) FILTER (l_returnflag = 'R')]) AS numeric FROM lineitem""",
+    """SELECT unnest(['net', 'lines', 'returned', 'dim:l_returnflag']) AS measure, unnest([count(*), count(*), count(*) FILTER (l_returnflag = 'R'), count(*)]) AS matches,
+ unnest([count(l_extendedprice), count(*), count(l_quantity) FILTER (l_returnflag = 'R'), count(nullif(trim(l_returnflag), ''))]) AS present,
+ unnest([count(l_extendedprice), count(*), count(l_quantity) FILTER (l_returnflag = 'R'), count(nullif(trim(l_returnflag), ''))]) AS numeric FROM lineitem""",
 )
 def metric_preview(spark: SparkSession, d: str) -> DataFrame:
     return fold.preview(calls(spark, d), REVENUE)

@@ -11,23 +11,22 @@ from millrace.plans.base import calls, facts, orders
 from millrace.plans.registry import query
 from millrace.session import table
 
-START, END = "1998-01-01", "1998-06-30"
-_DAILY = f"""v AS (SELECT o_orderpriority AS subject, o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(20,6))::DOUBLE AS y FROM orders WHERE o_orderdate >= TIMESTAMP '{START}' AND o_orderdate < TIMESTAMP '1998-07-01' GROUP BY 1, 2),
-s AS (SELECT DISTINCT subject FROM v), f AS (SELECT subject, unnest(range(DATE '{START}', DATE '1998-07-01', INTERVAL 1 DAY))::DATE AS day FROM s),
+_DAILY = """v AS (SELECT o_orderpriority AS subject, o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(20,6))::DOUBLE AS y FROM orders GROUP BY 1, 2),
+e AS (SELECT min(o_orderdate)::DATE AS lo, max(o_orderdate)::DATE AS hi FROM orders), s AS (SELECT DISTINCT subject FROM v),
+f AS (SELECT subject, unnest(range(lo, hi + 1, INTERVAL 1 DAY))::DATE AS day FROM s, e),
 daily AS (SELECT f.subject, f.day, coalesce(y, 0.0) AS y FROM f LEFT JOIN v ON v.subject = f.subject AND v.day = f.day)"""
 
 
-def _daily(spark: SparkSession, d: str) -> DataFrame:
-    """The days of START to END, the last one whole, as the registered SQL has them."""
-    o = orders(spark, d).filter((F.col("at") >= F.lit(START).cast("timestamp")) & (F.col("at") < F.date_add(F.lit(END).cast("date"), 1).cast("timestamp")))
-    return fc.dense_daily(o, "o_orderpriority", "at", F.col("total"), START, END)
+def _span(df: DataFrame, at: str) -> tuple[str, str]:
+    """The first and the last day of a table."""
+    day = F.col(at).cast("date")
+    return tuple(df.agg(F.min(day).cast("string"), F.max(day).cast("string")).first())
 
 
-def _all_daily(spark: SparkSession, d: str) -> DataFrame:
-    """Every day from the first order to the last."""
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    """Every day from the first order to the last, the last one whole."""
     o = orders(spark, d)
-    lo, hi = o.agg(F.min(F.col("at").cast("date")).cast("string"), F.max(F.col("at").cast("date")).cast("string")).first()
-    return fc.dense_daily(o, "o_orderpriority", "at", F.col("total"), lo, hi)
+    return fc.dense_daily(o, "o_orderpriority", "at", F.col("total"), *_span(o, "at"))
 
 
 @query("dense_daily", f"WITH {_DAILY} SELECT subject, strftime(day, '%Y-%m-%d') AS day, round(y, 4) AS y FROM daily")
@@ -37,26 +36,28 @@ def dense_daily(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "complete_weeks",
-    f"WITH {_DAILY} SELECT subject, strftime(date_trunc('week', day), '%Y-%m-%d') AS bucket, round(sum(y), 2) AS y, count(*) AS days, (date_trunc('week', day)::DATE + 6 < DATE '1998-06-15')::INT AS complete FROM daily GROUP BY subject, date_trunc('week', day)",
+    f"WITH {_DAILY} SELECT subject, strftime(date_trunc('week', day), '%Y-%m-%d') AS bucket, round(sum(y), 2) AS y, count(*) AS days, (date_trunc('week', day)::DATE + 6 < (SELECT hi FROM e))::INT AS complete FROM daily GROUP BY subject, date_trunc('week', day)",
 )
 def complete_weeks(spark: SparkSession, d: str) -> DataFrame:
-    return fc.complete_buckets(_daily(spark, d), "week", "1998-06-15").withColumn("y", F.round("y", 2))
+    return fc.complete_buckets(_daily(spark, d), "week", _span(orders(spark, d), "at")[1]).withColumn("y", F.round("y", 2))
 
 
 @query(
     "demand_class",
-    """WITH v AS (SELECT l_partkey AS subject, l_shipdate::DATE AS day, sum(l_quantity) AS y FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2),
-g AS (SELECT subject, 365 AS days, count(*) AS hits, avg(y) AS m, var_pop(y) AS v FROM v WHERE y > 0 GROUP BY 1)
+    """WITH v AS (SELECT l_partkey AS subject, l_shipdate::DATE AS day, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2), t AS (SELECT max(l_shipdate)::DATE - min(l_shipdate)::DATE + 1 AS days FROM lineitem),
+g AS (SELECT subject, any_value(t.days) AS days, count(*) AS hits, avg(y) AS m, var_pop(y) AS v FROM v, t WHERE y > 0 GROUP BY 1)
 SELECT subject, days::BIGINT AS days, hits, CASE WHEN hits < 3 THEN 'insufficient' WHEN days / hits < 1.32 AND v / (m * m) < 0.49 THEN 'smooth' WHEN days / hits < 1.32 THEN 'erratic' WHEN v / (m * m) < 0.49 THEN 'intermittent' ELSE 'lumpy' END AS class FROM g""",
 )
 def demand_class(spark: SparkSession, d: str) -> DataFrame:
-    c = calls(spark, d).filter("event_time >= TIMESTAMP '1998-01-01' AND event_time < TIMESTAMP '1999-01-01'")
-    return fc.demand_class(fc.dense_daily(c, "l_partkey", "event_time", F.col("quantity"), "1998-01-01", "1998-12-31"))
+    c = calls(spark, d)
+    lo, hi = _span(c, "event_time")
+    seen = c.groupBy(F.col("l_partkey").alias("subject"), F.col("event_time").cast("date").alias("day")).agg(F.sum("quantity").cast("double").alias("y"))
+    return fc.demand_class_of(seen, lo, hi)
 
 
 @query(
     "steady_start",
-    f"""WITH {_DAILY}, w AS (SELECT *, dayofweek(day) IN (0, 6) AS we FROM daily), m AS (SELECT subject, we, quantile_cont(y, 0.5) AS med FROM w WHERE day > DATE '1998-06-30' - 28 GROUP BY 1, 2),
+    f"""WITH {_DAILY}, w AS (SELECT *, dayofweek(day) IN (0, 6) AS we FROM daily), m AS (SELECT subject, we, quantile_cont(y, 0.5) AS med FROM w WHERE day > (SELECT hi FROM e) - 28 GROUP BY 1, 2),
 o AS (SELECT w.subject, day, (y >= coalesce(med, 0) * 0.5)::INT AS ok FROM w LEFT JOIN m ON m.subject = w.subject AND m.we = w.we),
 r AS (SELECT subject, day, min(ok) OVER x AS a, count(*) OVER x AS n FROM o WINDOW x AS (PARTITION BY subject ORDER BY day ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
 SELECT subject, strftime(min(day), '%Y-%m-%d') AS steady_from FROM r WHERE a = 1 AND n = 5 GROUP BY 1""",
@@ -67,7 +68,7 @@ def steady_start(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "moving_average",
-    f"WITH {_DAILY}, k AS (SELECT unnest(range(1, 8))::INT AS step) SELECT subject, step, round(avg(y), 4) AS yhat FROM daily, k WHERE day > DATE '1998-06-30' - 28 GROUP BY 1, 2",
+    f"WITH {_DAILY}, k AS (SELECT unnest(range(1, 8))::INT AS step) SELECT subject, step, round(avg(y), 4) AS yhat FROM daily, k WHERE day > (SELECT hi FROM e) - 7 GROUP BY 1, 2",
 )
 def moving_average(spark: SparkSession, d: str) -> DataFrame:
     return fc.fit_predict(_daily(spark, d), "moving_average", 7).withColumn("yhat", F.round("yhat", 4))
@@ -75,7 +76,7 @@ def moving_average(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "seasonal_naive",
-    f"WITH {_DAILY}, k AS (SELECT unnest(range(1, 15))::INT AS step) SELECT subject, step, round(y, 4) AS yhat FROM daily JOIN k ON day = DATE '1998-06-30' - 6 + (step - 1) % 7",
+    f"WITH {_DAILY}, k AS (SELECT unnest(range(1, 15))::INT AS step) SELECT subject, step, round(y, 4) AS yhat FROM daily JOIN k ON day = (SELECT hi FROM e) - 6 + (step - 1) % 7",
 )
 def seasonal_naive(spark: SparkSession, d: str) -> DataFrame:
     return fc.fit_predict(_daily(spark, d), "seasonal_naive", 14).withColumn("yhat", F.round("yhat", 4))
@@ -83,23 +84,29 @@ def seasonal_naive(spark: SparkSession, d: str) -> DataFrame:
 
 @query("best_models")
 def best_models(spark: SparkSession, d: str) -> DataFrame:
-    return fc.best_models(fc.backtest(_all_daily(spark, d)))
+    return fc.best_models(fc.backtest(_daily(spark, d)))
 
 
 @query("prediction_intervals")
 def prediction_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return fc.intervals(fc.backtest(_all_daily(spark, d)))
+    """Bands of every model over two weeks, the second beyond what was tested."""
+    daily = _daily(spark, d)
+    points = None
+    for m in ("seasonal_naive", "moving_average"):
+        got = fc.fit_predict(daily, m, 14).withColumn("model", F.lit(m))
+        points = got if points is None else points.unionByName(got)
+    return fc.intervals(fc.backtest(daily), points)
 
 
 @query(
     "bucket_points",
-    f"""WITH {_DAILY}, a AS (SELECT subject, avg(y) AS yhat FROM daily WHERE day > DATE '1998-06-30' - 28 GROUP BY 1), n AS (SELECT subject, unnest(range(DATE '1998-07-01', DATE '1998-07-08', INTERVAL 1 DAY))::DATE AS day, yhat FROM a),
+    f"""WITH {_DAILY}, a AS (SELECT subject, avg(y) AS yhat FROM daily WHERE day > (SELECT hi FROM e) - 7 GROUP BY 1), n AS (SELECT subject, unnest(range(hi + 1, hi + 8, INTERVAL 1 DAY))::DATE AS day, yhat FROM a, e),
 u AS (SELECT subject, day, y AS x, 0.0 AS r FROM daily UNION ALL SELECT subject, day, 0.0, yhat FROM n)
 SELECT subject, strftime(date_trunc('week', day), '%Y-%m-%d') AS bucket, round(sum(x), 2) AS so_far, round(sum(x + r), 2) AS point FROM u GROUP BY 1, 2""",
 )
 def bucket_points(spark: SparkSession, d: str) -> DataFrame:
     daily = _daily(spark, d)
-    ahead = fc.fit_predict(daily, "moving_average", 7).withColumn("day", F.date_add(F.lit(END).cast("date"), F.col("step")))
+    ahead = fc.fit_predict(daily, "moving_average", 7).withColumn("day", F.date_add(F.lit(_span(orders(spark, d), "at")[1]).cast("date"), F.col("step")))
     got = fc.bucket_points(daily, ahead, "week")
     return got.select("subject", "bucket", F.round("so_far", 2).alias("so_far"), F.round("point", 2).alias("point"))
 
@@ -157,15 +164,39 @@ def feature_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _board(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as deliveries: they leave at noon of their tenth day; the last line item is the last load."""
+    """Orders as deliveries that leave at noon of their 60th day on the route of their priority; line items as lines and
+    packages, shipped at the start of a day (picked) and six hours later (loaded)."""
     o = orders(spark, d)
-    done = calls(spark, d).groupBy(F.col("order_key").alias("o_orderkey")).agg(F.max("event_time").alias("done_at"))
-    dep = F.col("at") + F.expr("INTERVAL 60 DAYS 12 HOURS")
-    return o.join(done, "o_orderkey", "left").select(F.col("o_orderkey").alias("delivery"), F.col("o_orderpriority").alias("route"), dep.alias("departure_at"), "done_at", "o_custkey")
-
-
-_BOARD = """l AS (SELECT l_orderkey AS delivery, max(l_shipdate) AS done_at FROM lineitem GROUP BY 1),
-b AS (SELECT o_orderkey AS delivery, o_orderpriority AS route, o_orderdate + INTERVAL 60 DAYS + INTERVAL 12 HOURS AS departure_at, done_at FROM orders LEFT JOIN l ON l.delivery = o_orderkey)"""
+    day = F.date_add(F.col("at").cast("date"), 60)
+    base = o.select(
+        F.col("o_orderkey").alias("delivery"), F.col("o_orderpriority").alias("route"), (day.cast("timestamp") + F.expr("INTERVAL 12 HOURS")).alias("departure_at"), day.alias("day"),
+        (day.cast("timestamp") + F.expr("INTERVAL 9 HOURS")).alias("usual"), (F.col("o_orderpriority") != "5-LOW").alias("loads"), "o_custkey",
+    )
+    picked, on = F.col("l_returnflag") != "R", F.col("l_linestatus") == "F"
+    lines = calls(spark, d).groupBy(F.col("order_key").alias("delivery")).agg(
+        F.count("*").alias("lines"), F.count_if(picked).alias("confirmed"), F.count_if(picked).alias("created"), F.count_if(on & picked).alias("loaded"),
+        F.max(F.when(picked, F.col("event_time"))).alias("last_pick"), F.max(F.when(on & picked, F.col("event_time") + F.expr("INTERVAL 6 HOURS"))).alias("last_load"), F.max("event_time").alias("done_at"),
+    )
+    b = base.join(lines, "delivery", "left").withColumn("expected", F.when(F.col("delivery") % 10 != 0, F.coalesce("lines", F.lit(0))))
+    for c in ("confirmed", "created", "loaded"):
+        b = b.withColumn(c, F.coalesce(c, F.lit(0)))
+    dock = b.groupBy("route", "day").agg(F.max("last_load").alias("dock_last"))
+    return b.join(dock, ["route", "day"])
+
+
+_BOARD = """l AS (SELECT l_orderkey AS delivery, count(*) AS lines, count(*) FILTER (l_returnflag <> 'R') AS confirmed, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'F') AS loaded,
+ max(l_shipdate) FILTER (l_returnflag <> 'R') AS last_pick, max(l_shipdate + INTERVAL 6 HOURS) FILTER (l_returnflag <> 'R' AND l_linestatus = 'F') AS last_load, max(l_shipdate) AS done_at FROM lineitem GROUP BY 1),
+b0 AS (SELECT o_orderkey AS delivery, o_orderpriority AS route, o_orderdate::DATE + 60 AS day, (o_orderdate::DATE + 60)::TIMESTAMP + INTERVAL 12 HOURS AS departure_at, (o_orderdate::DATE + 60)::TIMESTAMP + INTERVAL 9 HOURS AS usual,
+ o_orderpriority <> '5-LOW' AS loads, CASE WHEN o_orderkey % 10 <> 0 THEN coalesce(lines, 0) END AS expected, coalesce(confirmed, 0) AS confirmed, coalesce(confirmed, 0) AS created, coalesce(loaded, 0) AS loaded, last_pick, last_load, done_at
+ FROM orders LEFT JOIN l ON l.delivery = o_orderkey),
+b AS (SELECT *, max(last_load) OVER (PARTITION BY route, day) AS dock_last FROM b0)"""
+
+
+def _tier_sql(now: str, confirmed: str = "confirmed", loaded: str = "loaded", dock: str = "dock_last") -> str:
+    picking = f"CASE WHEN expected IS NULL THEN {confirmed} = 0 ELSE {confirmed} < expected END"
+    loading = f"(loads AND ({loaded} = 0 OR {loaded} < created))"
+    gone = f"({now} >= usual + INTERVAL 30 MINUTES AND (NOT loads OR {dock} IS NULL OR {now} - {dock} >= INTERVAL 30 MINUTES))"
+    return f"CASE WHEN NOT (({picking}) OR {loading}) THEN 'none' WHEN {gone} THEN 'left_behind' WHEN {now} < usual - INTERVAL 2 HOURS THEN 'none' WHEN {loading} THEN 'at_risk' ELSE 'watch' END"
 
 
 @query(
@@ -185,36 +216,76 @@ def delivery_states(spark: SparkSession, d: str) -> DataFrame:
 _NOW = "TIMESTAMP '1998-09-02 10:00:00'"
 
 
-@query(
-    "tiers_now",
-    f"""WITH {_BOARD} SELECT delivery, CASE WHEN coalesce(done_at <= {_NOW}, FALSE) THEN 'none' WHEN departure_at < {_NOW} THEN 'left_behind' WHEN departure_at - {_NOW} <= INTERVAL 1 HOUR THEN 'at_risk' WHEN departure_at - {_NOW} <= INTERVAL 4 HOURS THEN 'watch' ELSE 'none' END AS tier FROM b""",
-)
+@query("tiers_now", f"WITH {_BOARD} SELECT delivery, {_tier_sql(_NOW)} AS tier FROM b")
 def tiers_now(spark: SparkSession, d: str) -> DataFrame:
-    now = F.expr(_NOW)
-    done = F.coalesce(F.col("done_at") <= now, F.lit(False))
-    return _board(spark, d).select("delivery", risk.tier(F.col("departure_at"), done, now).alias("tier"))
+    return _board(spark, d).select("delivery", risk.tier({c: F.col(c) for c in risk.BOARD}, F.expr(_NOW)).alias("tier"))
+
+
+_CLOSE = "TIMESTAMP '2002-01-01 00:00:00'"
 
 
 @query(
     "replay_tiers",
-    f"""WITH {_BOARD}, i AS (SELECT DISTINCT delivery, departure_at, done_at, t FROM (SELECT *, unnest([departure_at - INTERVAL 4 HOURS, departure_at - INTERVAL 1 HOUR, departure_at + INTERVAL 1 SECOND, done_at]) AS t FROM b) WHERE t IS NOT NULL AND t <= TIMESTAMP '2002-01-01'),
-r AS (SELECT delivery, t, CASE WHEN coalesce(done_at <= t, FALSE) THEN 'none' WHEN departure_at < t THEN 'left_behind' WHEN departure_at - t <= INTERVAL 1 HOUR THEN 'at_risk' WHEN departure_at - t <= INTERVAL 4 HOURS THEN 'watch' ELSE 'none' END AS tier FROM i),
-c AS (SELECT *, lag(tier) OVER (PARTITION BY delivery ORDER BY t) AS p FROM r), k AS (SELECT * FROM c WHERE p IS NULL OR p <> tier)
-SELECT delivery, min(CASE WHEN tier <> 'none' THEN strftime(t, '%Y-%m-%d %H:%M:%S') END) AS first_flag, arg_max(tier, CASE tier WHEN 'none' THEN 1 WHEN 'watch' THEN 2 WHEN 'at_risk' THEN 3 ELSE 4 END) AS worst, string_agg(tier, '>' ORDER BY t) AS history FROM k GROUP BY 1""",
+    f"""WITH {_BOARD}, i AS (SELECT DISTINCT b.*, t FROM b, unnest([usual - INTERVAL 119 MINUTES, usual + INTERVAL 1 MINUTE, usual + INTERVAL 31 MINUTES, dock_last + INTERVAL 31 MINUTES, last_pick, last_load, {_CLOSE}]) AS u(t) WHERE t IS NOT NULL AND t <= {_CLOSE}),
+v AS (SELECT *, CASE WHEN last_pick IS NULL OR t >= last_pick THEN confirmed ELSE 0 END AS c, CASE WHEN last_load IS NULL OR t >= last_load THEN loaded ELSE 0 END AS n, CASE WHEN dock_last IS NOT NULL THEN least(dock_last, t) END AS k FROM i),
+r AS (SELECT delivery, t, {_tier_sql("t", "c", "n", "k")} AS tier FROM v), p AS (SELECT *, lag(tier, 1, 'none') OVER (PARTITION BY delivery ORDER BY t) AS p FROM r),
+g AS (SELECT *, tier <> p AS change, CASE tier WHEN 'none' THEN 1 WHEN 'watch' THEN 2 WHEN 'at_risk' THEN 3 ELSE 4 END AS rank FROM p)
+SELECT delivery, strftime(min(CASE WHEN change AND tier <> 'none' THEN t END), '%Y-%m-%d %H:%M:%S') AS first_flag, coalesce(arg_max(tier, rank) FILTER (change), 'none') AS worst, arg_max(tier, t) AS final, coalesce(string_agg(tier, '>' ORDER BY t) FILTER (change), '') AS history FROM g GROUP BY 1""",
 )
 def replay_tiers(spark: SparkSession, d: str) -> DataFrame:
-    return risk.replay(_board(spark, d), F.lit("2002-01-01").cast("timestamp"))
+    return risk.replay(_board(spark, d), F.expr(_CLOSE))
+
+
+_OUT = """CASE WHEN loads THEN CASE WHEN loaded = 0 OR loaded < created THEN 'never_loaded' WHEN last_load > departure_at THEN 'loaded_late' ELSE 'loaded_in_time' END
+ WHEN (CASE WHEN expected IS NULL THEN confirmed = 0 ELSE confirmed < expected END) OR last_pick IS NULL OR last_pick > departure_at THEN 'picked_late' ELSE 'picked_in_time' END"""
+_OPEN = "departure_at > TIMESTAMP '2001-06-01'"
+_WORD = f"""CASE WHEN {_OPEN} THEN 'open' WHEN outcome = 'never_loaded' THEN 'missed' WHEN outcome = 'picked_late' AND (CASE WHEN expected IS NULL THEN confirmed = 0 ELSE confirmed < expected END) THEN 'missed'
+ WHEN outcome IN ('picked_late', 'loaded_late') THEN 'held' WHEN CASE WHEN loads THEN last_load ELSE last_pick END > usual THEN 'held' ELSE 'fine' END"""
+_JUDGED = f"{_BOARD}, o0 AS (SELECT *, {_OUT} AS outcome FROM b), o AS (SELECT *, {_WORD} AS category FROM o0)"
 
 
-_OUT = """CASE WHEN departure_at > TIMESTAMP '2001-06-01' THEN 'open' WHEN done_at IS NULL THEN 'missed' WHEN done_at > departure_at THEN 'held' ELSE 'fine' END"""
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """The board with outcome and category; deliveries that leave after 2001-06-01 are open."""
+    b = _board(spark, d)
+    s = {c: F.col(c) for c in (*risk.BOARD, "departure_at")}
+    closed = F.when(F.col("departure_at") <= F.lit("2001-06-01").cast("timestamp"), risk.outcome_of(s))
+    return b.withColumn("outcome", closed).withColumn("category", risk.category_of(F.col("outcome"), s))
 
 
-@query("flag_accuracy", f"WITH {_BOARD}, o AS (SELECT route, {_OUT} AS outcome, CASE WHEN done_at > departure_at THEN 'left_behind' ELSE 'none' END AS worst FROM b) SELECT route, worst, count(*) AS n, count(*) FILTER (outcome IN ('missed', 'held')) AS hits, bool_and(outcome IN ('missed', 'held'))::INT AS all_hit FROM o GROUP BY 1, 2")
+@query("delivery_outcomes", f"WITH {_JUDGED} SELECT delivery, CASE WHEN NOT ({_OPEN}) THEN outcome END AS outcome, category FROM o")
+def delivery_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).select("delivery", "outcome", "category")
+
+
+@query("flag_accuracy", f"WITH {_JUDGED} SELECT route, {_tier_sql('departure_at')} AS worst, count(*) AS n, count(*) FILTER (category IN ('missed', 'held')) AS hits, bool_and(category IN ('missed', 'held'))::INT AS all_hit FROM o GROUP BY 1, 2")
 def flag_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    closed = F.col("departure_at") <= F.lit("2001-06-01").cast("timestamp")
-    got = risk.outcome_of(F.col("departure_at"), F.col("done_at"), F.lit(None).cast("timestamp"), closed)
-    worst = F.when(F.col("done_at") > F.col("departure_at"), "left_behind").otherwise("none")
-    return risk.flag_accuracy(_board(spark, d).select("route", got["outcome"].alias("outcome"), worst.alias("worst")))
+    worst = risk.tier({c: F.col(c) for c in risk.BOARD}, F.col("departure_at"))
+    return risk.flag_accuracy(_judged(spark, d).select("route", F.col("category").alias("outcome"), worst.alias("worst")))
+
+
+@query(
+    "route_vans",
+    f"""WITH {_JUDGED} SELECT route, strftime(day, '%Y-%m-%d') AS day, count(*) AS deliveries, count(*) FILTER (category = 'missed') AS missed, count(*) FILTER (category = 'held') AS held, count(*) FILTER (category = 'fine') AS fine,
+ strftime(min(last_load), '%Y-%m-%d %H:%M:%S') AS first_load, strftime(max(last_load), '%Y-%m-%d %H:%M:%S') AS last_load, bool_and(category = 'fine')::INT AS all_fine FROM o GROUP BY 1, 2""",
+)
+def route_vans(spark: SparkSession, d: str) -> DataFrame:
+    return risk.vans(_judged(spark, d), F.date_format("day", "yyyy-MM-dd"))
+
+
+@query(
+    "board_after_check",
+    f"""WITH {_BOARD}, s AS (SELECT delivery, CASE WHEN delivery % 2 = 0 THEN 'closed' ELSE 'open' END AS state, CASE WHEN delivery % 4 = 0 THEN 'watch' ELSE 'none' END AS tier FROM b WHERE delivery % 3 <> 0), n AS (SELECT delivery, {_tier_sql(_NOW)} AS tier FROM b WHERE delivery % 5 <> 0)
+SELECT coalesce(s.delivery, n.delivery) AS delivery, coalesce(n.tier, s.tier) AS tier, CASE WHEN n.delivery IS NOT NULL OR s.delivery IS NULL THEN 'open' ELSE s.state END AS state, (s.state IS NOT DISTINCT FROM 'closed' AND n.delivery IS NOT NULL)::INT AS reopened,
+ (s.tier IS DISTINCT FROM coalesce(n.tier, s.tier))::INT AS changes FROM s FULL JOIN n ON s.delivery = n.delivery""",
+)
+def board_after_check(spark: SparkSession, d: str) -> DataFrame:
+    b = _board(spark, d)
+    key = F.col("delivery")
+    stored = b.filter(key % 3 != 0).select(
+        "delivery", F.when(key % 2 == 0, "closed").otherwise("open").alias("state"), F.when(key % 4 == 0, "watch").otherwise("none").alias("tier"), F.lit(0).alias("reopened"), F.array().cast("array<struct<at:timestamp,tier:string>>").alias("history")
+    )
+    judged = b.filter(key % 5 != 0).select("delivery", risk.tier({c: F.col(c) for c in risk.BOARD}, F.expr(_NOW)).alias("tier"))
+    return risk.apply_board(stored, judged, F.expr(_NOW)).select("delivery", "tier", "state", "reopened", F.size("history").alias("changes"))
 
 
 @query(
@@ -248,18 +319,21 @@ def reconcile_findings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "chronic_shorts",
-    "SELECT l_partkey, count(DISTINCT l_shipdate::DATE) AS days, count(*) AS n, CASE WHEN count(DISTINCT l_shipdate::DATE) >= 6 THEN 'high' ELSE 'medium' END AS severity FROM lineitem WHERE l_quantity < 10 GROUP BY 1 HAVING count(DISTINCT l_shipdate::DATE) >= 3",
+    """WITH s AS (SELECT l_suppkey, l_shipdate::DATE AS day, count(*) AS n FROM lineitem WHERE l_quantity < 20 GROUP BY 1, 2),
+w AS (SELECT a.l_suppkey, a.day, a.n, count(*) AS days FROM s a JOIN s b ON b.l_suppkey = a.l_suppkey AND b.day BETWEEN a.day AND a.day + 6 GROUP BY 1, 2, 3)
+SELECT l_suppkey, max(days) AS days, sum(n)::BIGINT AS n, CASE WHEN max(days) >= 6 THEN 'high' ELSE 'medium' END AS severity FROM w GROUP BY 1 HAVING max(days) >= 3""",
 )
 def chronic_shorts(spark: SparkSession, d: str) -> DataFrame:
-    return risk.chronic(calls(spark, d), ["l_partkey"], F.to_date("event_time"), F.col("quantity") < 10)
+    return risk.chronic(calls(spark, d), ["l_suppkey"], F.to_date("event_time"), F.col("quantity") < 20)
 
 
 @query(
     "user_story",
-    "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, strftime(min(ts), '%H:%M:%S') AS first, strftime(max(ts), '%H:%M:%S') AS last, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM events GROUP BY 1, 2",
+    """WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN value >= 50 THEN 'big' ELSE 'small' END AS o FROM events), c AS (SELECT user_id, day, string_agg(o || '=' || n, ',' ORDER BY o) AS outcomes FROM (SELECT user_id, day, o, count(*) AS n FROM e GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT user_id, day, count(*) AS n, strftime(min(ts), '%H:%M:%S') AS first, strftime(max(ts), '%H:%M:%S') AS last, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds, count(*) FILTER (event_type = 'error') AS issues, any_value(outcomes) AS outcomes FROM e JOIN c USING (user_id, day) GROUP BY 1, 2""",
 )
 def user_story(spark: SparkSession, d: str) -> DataFrame:
-    return risk.story(facts(spark, d), "user_id", "event_time", "method")
+    return risk.story(facts(spark, d), "user_id", "event_time", "method", F.col("method") == "error", F.when(F.col("quantity") >= 50, "big").otherwise("small"))
 
 
 @query("site_report", f"WITH {_BOARD} SELECT route, count(*) AS n, count(done_at) AS done, round(count(done_at) / count(*), 6) AS share, CASE WHEN count(done_at) / count(*) >= 0.98 THEN 'ready' ELSE 'attention' END AS verdict FROM b GROUP BY 1")

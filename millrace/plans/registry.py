@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: The modules that register queries when they are imported.
-MODULES = ("q_facts", "q_diff", "q_activity", "q_forecast", "q_docs", "q_streams", "q_more")
+MODULES = ("q_facts", "q_diff", "q_activity", "q_forecast", "q_docs", "q_streams", "q_more", "q_rules")
 
 
 def _loaded() -> None:

@@ -12,9 +12,10 @@ from millrace.operators.diff import islands
 STARTS = r"\n(?=\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} )"
 HEADER = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) \((.*?)\) \[([^\]]*)\] (\w+)\s+(\S+) (\S+) - (.*)$"
 BRACKET = r"(?s)^(REQUEST BODY|REQUEST|RESPONSE)(?: \(ReqID = ([^)]*)\))?(?: -)?\s*:\s?(.*)$"
-RESULT = r"(?s)Program:\s*\S+\s+Transaction:\s*\S+\s+Result:\s*(.*)$"
-CALL = r"Program:\s*\S+\s+Transaction:\s*\S+"
-SQL_TEXT = r"(?i)stored procedure"
+RESULT = r"(?s)MI Program:\s*(\S+)\s+Transaction:\s*(\S+)\s+Result:\s*(.*)$"
+CALL = r"MI Program:\s*(\S+)\s+Transaction:\s*(\S+)"
+CALL_METHOD, RESULT_METHOD = "LogAPICall", "LogAPIResult"
+SQL_TEXT = "Stored Procedure Executed is"
 NULL_USERS = ("", "(null)", "null")
 
 
@@ -35,33 +36,37 @@ def read_log_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_header(entries: DataFrame) -> DataFrame:
-    """entries with at, user_ctx, thread, level, logger, method, message."""
+    """entries with at, user_ctx, thread, level, logger, method, message (its first line) and body (the lines behind it)."""
     part = lambda k: F.regexp_extract("raw", HEADER, k)
+    said = F.split(part(7), "\n", 2)
     user = F.trim(part(2))
     return entries.select(
         "*",
         F.try_to_timestamp(F.replace(F.nullif(part(1), F.lit("")), F.lit(","), F.lit(".")), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("at"),
         F.when(~F.lower(user).isin(*NULL_USERS), user).alias("user_ctx"),
-        part(3).alias("thread"), part(4).alias("level"), part(5).alias("logger"), part(6).alias("method"), part(7).alias("message"),
+        part(3).alias("thread"), part(4).alias("level"), part(5).alias("logger"), part(6).alias("method"), F.trim(F.get(said, F.lit(0))).alias("message"), F.coalesce(F.get(said, F.lit(1)), F.lit("")).alias("body"),
     )
 
 
 def classify_entry(entries: DataFrame) -> DataFrame:
-    """entries with entry_type, request_id and result_status; an ERROR level comes before all else."""
+    """entries with entry_type, request_id, result_status and call (program and transaction); an ERROR level comes before
+    all else, then the message's bracket, then the method that logs calls and results, then stored procedures."""
     kind = F.regexp_extract("message", BRACKET, 1)
     stamp = F.coalesce(F.nullif(F.regexp_extract("message", BRACKET, 2), F.lit("")), F.nullif(F.regexp_extract("message", r"^\(ReqID = ([^)]*)\)", 1), F.lit("")))
-    result = F.col("message").rlike(RESULT)
+    result = F.col("method") == RESULT_METHOD
+    named = F.when(F.col("method").isin(CALL_METHOD, RESULT_METHOD) & F.col("message").rlike(CALL), F.concat_ws(".", F.regexp_extract("message", CALL, 1), F.regexp_extract("message", CALL, 2)))
     type_ = (
         F.when(F.col("level") == "ERROR", "error")
         .when(kind == "REQUEST", "request").when(kind == "REQUEST BODY", "request_body").when(kind == "RESPONSE", "response")
-        .when(result, "result").when(F.col("message").rlike(CALL), "call").when(F.col("message").rlike(SQL_TEXT), "sql").otherwise("info")
+        .when(F.col("method") == CALL_METHOD, "call").when(result, "result").when(F.contains("message", F.lit(SQL_TEXT)), "sql").otherwise("info")
     )
-    return entries.select("*", type_.alias("entry_type"), stamp.alias("request_id"), F.when(result, F.trim(F.regexp_extract("message", RESULT, 1))).alias("result_status"))
+    status = F.when(F.col("level") == "ERROR", F.trim("message")).when(result, F.nullif(F.trim(F.regexp_extract("message", RESULT, 3)), F.lit("")))
+    return entries.select("*", type_.alias("entry_type"), stamp.alias("request_id"), status.alias("result_status"), named.alias("call"))
 
 
 def reclassify(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries whose kind changes under the parser of today; the range of time that they touch)."""
-    now = classify_entry(stored.withColumnRenamed("entry_type", "old_type").drop("request_id", "result_status"))
+    now = classify_entry(stored.withColumnRenamed("entry_type", "old_type").drop("request_id", "result_status", "call"))
     changed = now.filter(~F.col("old_type").eqNullSafe(F.col("entry_type")))
     return changed, changed.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
 
@@ -71,7 +76,8 @@ _STITCH = "server string, row_id bigint, txn string, seq int"
 
 
 def stitch_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The lines of one server over some silences, in order, to transactions; a silence ends all that is open.
+    """The lines of one server, in order, to transactions; one that was not heard from for GAP_S is given up, whatever the
+    other streams of the server do meanwhile.
 
     A stamped line belongs to its request id.  A line with a user belongs to that user's stream on its thread, a line
     without one to the thread's current stream.  A request starts a new transaction where the stream has one already;
@@ -82,26 +88,30 @@ def stitch_group(pdf: pd.DataFrame) -> pd.DataFrame:
     stamped: dict[str, dict] = {}
     current: dict[str, tuple] = {}
     closed: dict[tuple, dict] = {}
-    out, heard = [], None
+    out = []
+
+    def alive(x: dict | None, t: float) -> bool:
+        return x is not None and (t == float("inf") or t - x["last"] <= GAP_S)
+
     for r in pdf.itertuples(index=False):
         t = r.at.timestamp() if pd.notna(r.at) else float("inf")
-        if heard is not None and heard + GAP_S < t < float("inf"):
-            for held in (open_, stamped, current, closed):
-                held.clear()
-        heard = t if t < float("inf") else heard
         user = r.user_ctx if isinstance(r.user_ctx, str) else None
         key = (r.thread, user)
         txn = None
         if isinstance(r.request_id, str):
             txn = stamped.get(r.request_id)
-        elif user is None and r.thread in current:
+        elif user is None and alive(open_.get(current.get(r.thread)), t):
             key = current[r.thread]
             txn = open_.get(key)
         elif r.entry_type == "response" and user is not None:
+            for k in [k for k, x in open_.items() if k[1] == user and not alive(x, t)]:
+                del open_[k]
             mine = [x for k, x in open_.items() if k[1] == user and x["open"]]
             txn = max(mine, key=lambda x: (x["last"], -x["first"]), default=None)
         else:
             txn = open_.get(key)
+        if not alive(txn, t):
+            txn = None
         if txn is not None and r.entry_type == "request" and txn["request"] and not isinstance(r.request_id, str):
             txn = None
         if txn is None and r.entry_type not in ("request", "response") and key in closed and t - closed[key]["end"] <= LATE_S:
@@ -114,7 +124,7 @@ def stitch_group(pdf: pd.DataFrame) -> pd.DataFrame:
             open_[txn["key"] if r.entry_type == "response" else key] = txn
             current[r.thread] = key
         txn["request"] |= r.entry_type == "request"
-        txn["last"] = t
+        txn["last"] = t if t < float("inf") else txn.get("last", t)
         txn["n"] += 1
         out.append((r.server, r.row_id, txn["id"], txn["n"]))
         if r.entry_type == "response":
@@ -163,6 +173,7 @@ def seal(txns: DataFrame, by: list[str], seal_s: int = 900, abandon_s: int = 360
     return txns.join(newest, by).withColumn("sealed", F.coalesce(sealed, F.lit(False)).cast("int")).drop("_now")
 
 
-def as_log(at: Column, user: Column, thread: Column, level: Column, message: Column) -> Column:
+def as_log(at: Column, user: Column, thread: Column, level: Column, message: Column, method: Column | None = None) -> Column:
     """One entry as log text."""
-    return F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" ("), F.coalesce(user, F.lit("(null)")), F.lit(") ["), thread, F.lit("] "), level, F.lit(" app.Service Run - "), message)
+    by = F.concat(F.lit(" app.Service "), F.lit("Run") if method is None else method, F.lit(" - "))
+    return F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" ("), F.coalesce(user, F.lit("(null)")), F.lit(") ["), thread, F.lit("] "), level, by, message)

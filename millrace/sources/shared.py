@@ -32,7 +32,7 @@ def expired_partitions(parts: DataFrame, holds: DataFrame, now: Column, days: in
     """Partitions (part, part_end) older than days that no hold (lo, hi) still needs; the caller drops their folders."""
     old = parts.filter(F.col("part_end").cast("timestamp") <= now - F.make_dt_interval(F.lit(days)))
     overlap = (F.col("lo") < F.col("part_end").cast("timestamp")) & (F.col("hi") >= F.col("part").cast("timestamp"))
-    return old.join(F.broadcast(holds.select("lo", "hi")), overlap, "left_anti")
+    return old.join(holds.select("lo", "hi"), overlap, "left_anti")
 
 
 def min_live_position(cursors: DataFrame, now: Column, stale_s: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,6 +49,13 @@ def digest(stream: DataFrame, width: str, lag: str = "10 minutes") -> DataFrame:
     return g.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "method", "n")
 
 
+def leading(digests: DataFrame, k: int = 5) -> DataFrame:
+    """The k leading methods of each window of a digest, with the window's total."""
+    w = Window.partitionBy("window_start")
+    rank = F.row_number().over(w.orderBy(F.desc("n"), "method"))
+    return digests.withColumn("total", F.sum("n").over(w)).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def match_rules(stream: DataFrame, rules: list[dict]) -> DataFrame:
     """Rows that a rule names: rule, key, title.  A rule has a name, statuses or a pattern, or both."""
     hits = []
@@ -95,7 +102,8 @@ def watches(stream: DataFrame, raise_at: float, clear_at: float, settle: int, la
                 out.append((key[0], r.at, r.level, new))
             status = new
         state.update((status, low))
-        yield pd.DataFrame(out, columns=["watch", "at", "level", "status"])
+        if out:
+            yield pd.DataFrame(out, columns=["watch", "at", "level", "status"])
 
     return stream.withWatermark("at", lag).groupBy("watch").applyInPandasWithState(step, _WATCH, "status string, low int", "append", GroupStateTimeout.NoTimeout)
 
