@@ -41,6 +41,23 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the bitmap of wanted rows: 2^25 are 4 MB.
+WANTED_BITS = 25
+
+
+def wanted_rows(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is wanted, and few others, where they lie: a bitmap of fixed size goes to them, so none is shuffled."""
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << WANTED_BITS))
+    at = wanted.select(bit.alias("at"))
+    # At most 2^(WANTED_BITS - 15) rows of 4 KB, whatever the corpus.
+    bits = at.groupBy(F.shiftright("at", 15).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("_bits"))
+    place = F.col("_at").bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = rows.withColumn("_at", bit).withColumn("_bucket", F.shiftright("_at", 15)).join(F.broadcast(bits), "_bucket")
+    return met.filter(held).drop("_bucket", "_at", "_bits")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply fn to every Arrow batch of df."""
 

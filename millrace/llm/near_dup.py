@@ -8,8 +8,8 @@
 3. The rest of large nodes: where at most LEAF members lie outside a node's largest component, these are compared
    exactly with all members, and so is a node of at most `EXACT` members, block against block.  Beyond that (unlike
    documents that share a passage) the node branches again, by `FORKS` coordinates drawn from its path, and its parts are
-   looked at in the same way.  A part that kept more than three fifths of its node's members holds texts too alike for a branching to
-   tell apart, and is compared exactly.
+   looked at in the same way.  A part that kept more than four fifths of its members twice in a row holds texts too alike for branchings
+   to tell apart, and is compared exactly.
 
 With likeness s, a pair is in one tree's first node with probability s, and found below a branching node with
 q = 1 - (1 - s q')^FORKS, q' being its chance one level down.  For s = 0.8 q stays above 0.9375 at any depth, so 8 trees
@@ -37,19 +37,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_col, written
+from millrace.llm.common import text_col, wanted_rows, written
+from millrace.llm.graph import components, parts, salted
 
 SHINGLE = 5
 COORDS = 64
 TREES = 8
-LEAF = 256
+LEAF = 1024
 FORKS = 2
-EXACT = 2048
+EXACT = 4096
 SCREEN = 35
-BLOCK = 256
-SALTS = 16
-#: Bits of the bitmap of wanted documents: 2^25 are 4 MB.
-WANTED_BITS = 25
+BLOCK = 1024
+#: Shingles whose places are worked out at once.
+STRIP = 4_000_000
 LEAST_PCT = 85
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -106,31 +106,14 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id binary, sig binary, nodes array<bigint>")
 
 
-def _part(by: Column) -> Column:
-    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
-
-
-def _parts(by: Column) -> Column:
-    """The parts that a key's rows lie in, as bits; an aggregate."""
-    return F.bit_or(F.call_function("shiftleft", F.lit(1), _part(by))).alias("_parts")
-
-
-def _salted(many: DataFrame, few: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
-    """many joined with few (one row per key, with `_parts`): a key stands in each part that it has rows in, SALTS at most,
-    so a hot key is dealt out and a rare one is hardly repeated."""
-    has = lambda i: F.col("_parts").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0
-    dealt = few.withColumn("_salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), has))).drop("_parts")
-    return many.withColumn("_salt", _part(by)).join(dealt, [key, "_salt"], how).drop("_salt")
-
-
 def _sized(nodes: DataFrame) -> DataFrame:
     """(node, doc, ...) with the node's size, without the nodes of one member."""
-    return _salted(nodes, nodes.groupBy("node").agg(F.count("*").alias("size"), _parts(F.col("doc"))).filter("size > 1"), "node", F.col("doc"))
+    return salted(nodes, nodes.groupBy("node").agg(F.count("*").alias("size"), parts(F.col("doc"))).filter("size > 1"), "node", F.col("doc"))
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """(node, doc, comp, sig, was) one level down: FORKS children of each row, by coordinates drawn from its node's path; was is
-    the size of the node above."""
+    """(node, doc, comp, sig, was, slow) one level down: FORKS children of each row, by coordinates drawn from its node's path; was
+    is the size of the node above, slow for how many branchings in a row it has hardly shrunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,9 +125,9 @@ def _children(rows: DataFrame) -> DataFrame:
                 at = mix(node + np.uint64(fork)) % np.uint64(COORDS)
                 token = sig[np.arange(len(at)), at.astype(np.int64)].astype(np.uint64)
                 child = mix(node ^ mix((np.uint64(fork) << np.uint64(48)) | (at << np.uint64(32)) | token))
-                yield pa.RecordBatch.from_pydict({"node": pa.array(child.view(np.int64)), "doc": b.column(1), "comp": b.column(2), "sig": b.column(3), "was": b.column(4)})
+                yield pa.RecordBatch.from_pydict({"node": pa.array(child.view(np.int64)), "doc": b.column(1), "comp": b.column(2), "sig": b.column(3), "was": b.column(4), "slow": b.column(5)})
 
-    return rows.select("node", "doc", "comp", "sig", "m").mapInArrow(run, "node bigint, doc bigint, comp bigint, sig binary, was bigint")
+    return rows.select("node", "doc", "comp", "sig", "m", "slow").mapInArrow(run, "node bigint, doc bigint, comp bigint, sig binary, was bigint, slow int")
 
 
 def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -214,29 +197,33 @@ def _clusters(rows: DataFrame) -> DataFrame:
 def links_between(sets: list[np.ndarray], left: list[int], right: list[int], apart: Callable[[int, int], bool], least_pct: int = LEAST_PCT) -> list[tuple[int, int]]:
     """A spanning forest of the links between positions of left and of right, by exact likeness of whole sets."""
     sizes = np.array([len(s) for s in sets], np.float64)
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    new = np.concatenate([[True], values[1:] != values[:-1]])
-    ident = np.cumsum(new) - 1
-    shared = np.bincount(ident)[ident] > 1  # a shingle of one set alone meets nobody
-    ident, owner = ident[shared], owner[shared]
     forest, out = Forest(len(sets)), []
-    if not len(ident):
-        return out
-    ident = np.cumsum(np.concatenate([[0], (ident[1:] != ident[:-1]).astype(np.int64)]))
     row_l, row_r = np.full(len(sets), -1), np.full(len(sets), -1)
     row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
     both = np.zeros((len(left), len(right)), np.float32)
     width = max(256, 8_000_000 // max(1, len(left) + len(right)))
-    for k in range(0, int(ident[-1]) + 1, width):  # columns of the membership matrices, a strip at a time
-        lo, hi = np.searchsorted(ident, [k, k + width])
-        col, own = ident[lo:hi] - k, owner[lo:hi]
-        a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
-        in_l, in_r = row_l[own] >= 0, row_r[own] >= 0
-        a[row_l[own[in_l]], col[in_l]] = 1
-        b[row_r[own[in_r]], col[in_r]] = 1
-        both += a @ b.T
+    n = int(sizes.sum()) // STRIP + 1
+    edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)  # the sets are sorted: ranges of hashes, one at a time
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    for strip in range(n):
+        parts_ = [s[c[strip] : c[strip + 1]] for s, c in zip(sets, cuts)]
+        values, owner = np.concatenate(parts_), np.repeat(np.arange(len(sets)), [len(p) for p in parts_])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        ident = np.cumsum(np.concatenate([[0], (values[1:] != values[:-1]).astype(np.int64)])) if len(values) else values.astype(np.int64)
+        shared = np.bincount(ident)[ident] > 1 if len(ident) else np.zeros(0, bool)  # a shingle of one set alone meets nobody
+        ident, owner = ident[shared], owner[shared]
+        if not len(ident):
+            continue
+        ident = np.cumsum(np.concatenate([[0], (ident[1:] != ident[:-1]).astype(np.int64)]))
+        for k in range(0, int(ident[-1]) + 1, width):  # columns of the membership matrices, some at a time
+            lo, hi = np.searchsorted(ident, [k, k + width])
+            col, own = ident[lo:hi] - k, owner[lo:hi]
+            a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+            in_l, in_r = row_l[own] >= 0, row_r[own] >= 0
+            a[row_l[own[in_l]], col[in_l]] = 1
+            b[row_r[own[in_r]], col[in_r]] = 1
+            both += a @ b.T
     total = sizes[left][:, None] + sizes[right][None, :] - both
     for x, y in np.argwhere(100 * both.astype(np.float64) >= least_pct * total).tolist():
         i, j = left[x], right[y]
@@ -263,33 +250,13 @@ def _confirmed(groups: DataFrame, docs: DataFrame, least_pct: int) -> DataFrame:
     return met.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(doc, comp): the smallest doc reachable over edges (a > b), for every doc in an edge that is not the smallest itself."""
-    now, seen = written(edges.filter("a <> b").distinct(), "edges"), None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen:
-            return now.select(F.col("a").alias("doc"), F.col("b").alias("comp"))
-        seen = state
-        # Large star: all larger neighbours of u go to the smallest of u and its neighbours.
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), _parts(F.col("b"))).withColumn("m", F.least("a", "m"))
-        large = _salted(both, least, "a", F.col("b")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "edges")
-        # Small star: u and its smaller neighbours go to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"), _parts(F.col("b")))
-        small = _salted(large, least, "a", F.col("b"))
-        now = small.select(F.inline(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).filter("a > b").distinct()
-        now = written(now, "edges")
-
-
 def near_duplicates(docs: DataFrame, least_pct: int = LEAST_PCT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; links are of likeness least_pct / 100 (0.8 at least)."""
     if least_pct < 80:
         raise ValueError("the trees are made for a likeness of 0.8 or more")
     drawn = written(sketch(docs), "sketch")
     some = drawn.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), _parts(F.col("doc_id")))
+    classes = some.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), parts(F.col("doc_id")))
     reps = some.select(F.col("doc_id").alias("doc"), "sig", "nodes").join(classes.select("doc"), "doc", "left_semi")
     sigs = reps.select("doc", "sig")
 
@@ -304,7 +271,7 @@ def near_duplicates(docs: DataFrame, least_pct: int = LEAST_PCT) -> DataFrame:
         if not more.isEmpty():
             found = components(edges.unionByName(more))
     comp = classes.join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).filter("n > 1 OR comp <> doc").select("set_id", "comp", "_parts")
-    out = _salted(drawn, comp, "set_id", F.col("doc_id"), "left")
+    out = salted(drawn, comp, "set_id", F.col("doc_id"), "left")
     at = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), at).alias("component_id"), (F.col("doc_id").isNull() | (at == F.col("doc_id"))).alias("kept"))
 
@@ -316,50 +283,45 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc": b.column(0), "ids": pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())})
 
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << WANTED_BITS))
-    at = wanted.select(bit("doc").alias("at"))
-    # At most 2^(WANTED_BITS - 15) rows of 4 KB, whatever the corpus.
-    bits = at.groupBy(F.shiftright("at", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_col().alias("text")).withColumn("at", bit("doc"))
-    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(F.col("at").bitwiseAND(F.lit(32767)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = F.call_function("shiftright", byte, F.col("at").bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    met = rows.withColumn("bucket", F.shiftright("at", 15)).join(F.broadcast(bits), "bucket").filter(held)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_col().alias("text"))
+    met = wanted_rows(rows, wanted, "doc")
     return met.select("doc", "text").mapInArrow(run, "doc bigint, ids binary")
 
 
 def _second_look(large: DataFrame, sigs: DataFrame, found: DataFrame) -> DataFrame:
     """Groups for what the blocks of large nodes may have missed: the exact rest where it is small, deeper branches elsewhere."""
-    rows = written(large.join(found, "doc", "left").select("node", "doc", F.coalesce("comp", "doc").alias("comp"), F.lit(None).cast("bigint").alias("was")), "large")
+    rows = written(large.join(found, "doc", "left").select("node", "doc", F.coalesce("comp", "doc").alias("comp"), F.lit(None).cast("bigint").alias("was"), F.lit(0).alias("slow")), "large")
     now, out = rows, None
     while True:
         nodes = written(_mains(now), "large-nodes")
-        again = (F.col("m") - F.col("k") > LEAF) & (F.col("m") > EXACT) & (F.col("was").isNull() | (5 * F.col("m") <= 3 * F.col("was")))
+        again = (F.col("m") - F.col("k") > LEAF) & (F.col("m") > EXACT) & (F.col("slow") < 2)
         rest = _rest(now, nodes.filter(~again))
         out = rest if out is None else out.unionByName(rest)
-        branching = nodes.filter(again).select("node", "m", "_parts")
+        branching = nodes.filter(again).select("node", "m", "slow", "_parts")
         if branching.isEmpty():
             return out
         if now is rows:
             now = now.join(sigs, "doc")
-        below = written(_children(_salted(now, branching, "node", F.col("doc"))), "below")
+        below = written(_children(salted(now.drop("was", "slow"), branching, "node", F.col("doc"))), "below")
         sized = written(_sized(below), "branch")
         out = out.unionByName(_clusters(sized.filter(F.col("size") <= LEAF)))
         now = sized.filter(F.col("size") > LEAF)
 
 
 def _mains(rows: DataFrame) -> DataFrame:
-    """Of every node with more than one component: its members m, its largest component and that one's size k, and the size of
-    the node above."""
-    per = rows.groupBy("node", "comp").agg(F.count("*").alias("k"), F.max("was").alias("was"), _parts(F.col("doc")))
-    node = per.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"), F.max("was").alias("was"), F.bit_or("_parts").alias("_parts")).filter("m > top.k")
-    return node.select("node", "m", F.col("top.k").alias("k"), F.col("top.comp").alias("main"), "was", "_parts")
+    """Of every node with more than one component: its members m, its largest component and that one's size k, and for how
+    many branchings in a row it has kept more than four fifths."""
+    per = rows.groupBy("node", "comp").agg(F.count("*").alias("k"), F.max("was").alias("was"), F.max("slow").alias("slow"), parts(F.col("doc")))
+    node = per.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"), F.max("was").alias("was"), F.max("slow").alias("slow"), F.bit_or("_parts").alias("_parts")).filter("m > top.k")
+    slow = F.when(5 * F.col("m") > 4 * F.col("was"), F.col("slow") + 1).otherwise(0)
+    return node.select("node", "m", F.col("top.k").alias("k"), F.col("top.comp").alias("main"), slow.alias("slow"), "_parts")
 
 
 def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Groups of blocks in which the members of nodes outside the largest component meet all members."""
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     node = nodes.select("node", "main", blocks(F.col("m") - F.col("k")).alias("n_out"), blocks(F.col("k")).alias("n_in"), "_parts")
-    rows = _salted(rows, node, "node", F.col("doc"))
+    rows = salted(rows, node, "node", F.col("doc"))
     outer = F.col("comp") != F.col("main")
     at = F.pmod(F.xxhash64("doc"), F.when(outer, F.col("n_out")).otherwise(F.col("n_in")).cast("bigint")).cast("int")
     rows = rows.withColumn("out", outer).withColumn("at", at)

@@ -77,7 +77,9 @@ def test_dense_group_beyond_a_leaf(spark, monkeypatch, share, least, exact):
     check(spark, rows, least)
 
 
-def test_no_links_are_lost_by_block_edges():
+@pytest.mark.parametrize("strip", [4_000_000, 100])
+def test_no_links_are_lost_by_block_edges(monkeypatch, strip):
+    monkeypatch.setattr(near_dup, "STRIP", strip)
     rng = random.Random(3)
     import numpy as np
 
@@ -158,7 +160,8 @@ def test_a_passage_that_many_unlike_documents_share(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
     assert got == {i: i - 10_000 if i >= 40_000 else i for i, _ in rows}
-    assert max(sizes, default=0) <= near_dup.EXACT
+    # A part that two lucky coordinates in a row have kept together is compared whole; there are few.
+    assert all(n <= near_dup.EXACT for n in sizes) or sum(n > near_dup.EXACT for n in sizes) <= len(sizes) / 10
 
 
 def test_the_bitmap_lets_all_wanted_through(spark):
