@@ -35,7 +35,7 @@ def test_small_functions(spark):
     assert one(spark, fields.departure_at(F.lit("20261002"), F.lit("930"), "Europe/London")) == T(2026, 10, 2, 8, 30)
     assert one(spark, fields.departure_at(F.lit("20261302"), F.lit("930"), "UTC")) is None
     twice = fields.redact(fields.redact(F.lit("password=abc; Bearer abcdefgh12")))
-    assert one(spark, twice) == one(spark, fields.redact(F.lit("password=abc; Bearer abcdefgh12"))) == "password=[redacted]; Bearer [redacted]"
+    assert one(spark, twice) == one(spark, fields.redact(F.lit("password=abc; Bearer abcdefgh12"))) == "password=<redacted> Bearer <redacted>"
     assert one(spark, fields.is_sensitive(F.lit("ApiKey"))) and not one(spark, fields.is_sensitive(F.lit("Location")))
     assert one(spark, fields.kv_block(F.lit("CONO :  911\nnoise\nFITN = 7\nCONO : 12"))) == {"CONO": "12", "FITN": "7"}
     assert one(spark, fields.record_blocks(F.lit("x : 1\nRecord: 1\nA = 1\nRecord: 2\nA = 2"))) == [{"A": "1"}, {"A": "2"}]
@@ -98,6 +98,23 @@ def test_local_days_at_a_clock_change(spark):
     assert got == [("'2026-03-28'", "1"), ("'2026-03-29'", "2"), ("'2026-03-30'", "1")]
 
 
+@pytest.mark.parametrize(("zone", "at"), [("Europe/London", T(2026, 7, 1, 23, 30)), ("Europe/London", T(2026, 3, 29, 0, 30)), ("America/New_York", T(2026, 11, 1, 3, 30)), ("America/New_York", T(2026, 11, 1, 4, 30)), ("America/New_York", T(2026, 3, 9, 3, 30))])
+def test_cascades_by_zone(spark, zone, at):
+    rows = [(i, at + pd.Timedelta(hours=i - 2).to_pytimedelta(), "k", str(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "row_id long, event_time timestamp, kind string, q string")
+    m = fold.Metric("m", (fold.Measure("q", "sum", "q"),), ("kind",))
+    cols = ["bucket", "dim1", "sum_value", "count_value"]
+    assert values(fold.cascade(fold.rollup(df, m, "hourly"), "daily", zone), *cols) == values(fold.rollup(df, m, "daily", zone), *cols)
+    with pytest.raises(Exception, match="do not start on an hour"):
+        fold.cascade(fold.rollup(df, m, "hourly"), "daily", "Asia/Kolkata").collect()
+
+
+def test_redaction(spark):
+    text = '{"password": "hunter22", "M3Credentials": {"Domain": "x"}} %22token%22%3A%22abc%22 M3Credentials=zzz&user=al http://u:pw@h/ token = "b0" ReqID=7'
+    want = '{"password": "<redacted>", "M3Credentials": "<redacted>"} %22token%22%3A%22<redacted>%22 M3Credentials=<redacted>&user=al http://u:<redacted>@h/ token = <redacted> ReqID=7'
+    assert one(spark, fields.redact(F.lit(text))) == want == one(spark, fields.redact(F.lit(want)))
+
+
 def test_definitions_report_every_problem():
     bad = fold.Metric("m", (fold.Measure("a", "sum"), fold.Measure("a", "nope", "x"), fold.Measure("b", "sum", "stock")), tuple("abcdefg"), levels=("stock",)).validate()
     assert len(bad) == 5
@@ -173,10 +190,10 @@ def test_ranges_and_splits(spark):
 
 LINES = """before
 2026-05-19 13:42:33,362 (AL) [94] INFO  a.B Go - REQUEST (ReqID = 7) - : http://h/x
-2026-05-19 13:42:33,391 (null) [94] DEBUG a.B Go - Program: P1  Transaction: T1  NumberOfRecs: 2
+2026-05-19 13:42:33,391 (null) [94] DEBUG a.B LogAPICall - MI Program: P1  Transaction: T1  NumberOfRecs: 2
    CONO :  911
 2026-05-19 13:42:33,400 (BO) [94] INFO a.B Go - REQUEST: http://h/y
-2026-05-19 13:42:33,500 (AL) [94] ERROR a.B Go - Program: P1  Transaction: T1  Result: bad
+2026-05-19 13:42:33,500 (AL) [94] ERROR a.B LogAPIResult - MI Program: P1  Transaction: T1  Result: bad
 2026-05-19 13:42:33,600 (BO) [95] WARN a.B Go - RESPONSE: done
 2026-05-19 13:42:33,700 (BO) [94] INFO a.B Go - late work
 2026-05-19 13:52:33,700 (BO) [94] INFO a.B Go - much later"""
@@ -226,16 +243,21 @@ def test_forecast_models():
 
     y = np.arange(28, dtype=float)
     assert forecast.forecast_one(y, "seasonal_naive", 8).tolist() == [21, 22, 23, 24, 25, 26, 27, 21]
-    assert forecast.forecast_one(y, "moving_average", 1)[0] == y.mean()
+    assert forecast.forecast_one(y, "moving_average", 1)[0] == y[-7:].mean()
     assert forecast.forecast_one(np.tile([1.0, 2, 3, 4, 5, 6, 7], 8), "weekday_mean", 7).tolist() == [1, 2, 3, 4, 5, 6, 7]
-    assert abs(forecast.forecast_one(np.tile([1.0, 2, 3, 4, 5, 6, 7], 8), "smoothing", 7) - np.arange(1, 8)).max() < 0.2
+    assert abs(forecast.forecast_one(np.tile([1.0, 2, 3, 4, 5, 6, 7], 8), "weekly_smoothing", 7) - np.arange(1, 8)).max() < 0.2
     assert np.isnan(forecast.forecast_one(y[:5], "moving_average", 1)[0])
 
 
 def test_tiers_and_watches(spark):
-    dep = F.lit("2026-01-01 12:00:00").cast("timestamp")
     at = lambda h: F.lit(f"2026-01-01 {h}").cast("timestamp")
-    assert [one(spark, risk.tier(dep, F.lit(False), at(h))) for h in ("07:00", "08:30", "11:30", "12:01")] == ["none", "watch", "at_risk", "left_behind"]
+    state = lambda **k: {c: F.lit(v) for c, v in ({"expected": 5, "confirmed": 5, "created": 4, "loaded": 0, "loads": True} | k).items()} | {"usual": at("09:00"), "dock_last": F.lit(None).cast("timestamp")}
+    over = lambda s, *hours: [one(spark, risk.tier(s, at(h))) for h in hours]
+    assert over(state(), "06:59", "07:00", "09:29", "09:30") == ["none", "at_risk", "at_risk", "left_behind"]
+    assert over(state(loaded=4, confirmed=3), "08:00") == ["watch"] and over(state(loaded=4), "08:00", "23:00") == ["none", "none"]
+    assert over(state() | {"dock_last": at("09:20")}, "09:40", "09:50") == ["at_risk", "left_behind"]
+    assert over(state(loads=False, confirmed=3), "08:00", "09:30") == ["watch", "left_behind"]
+    assert over(state(expected=None, confirmed=0, loads=False) | {"expected": F.lit(None).cast("int")}, "08:00") == ["watch"]
     rows = [("w", i, v) for i, v in enumerate([1, 95, 50, 10, 10, 10, 99, 10, 50])]
     got = risk.assess(spark.createDataFrame(rows, "w string, at int, v int"), "w", "at", "v", 90, 40, 3)
     assert [r.status for r in got.orderBy("at").collect()] == ["ok", "alert", "alert", "alert", "alert", "ok", "alert", "alert", "alert"]

@@ -1,5 +1,8 @@
 """Search answers every query, also beyond one block of them."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from millrace.operators import docs
 
 
@@ -7,7 +10,16 @@ def test_more_queries_than_a_block(spark):
     rows = [(i, [float(i % 7) + 1, float(i % 5), float(i % 3)]) for i in range(40)]
     v = spark.createDataFrame(rows, "id long, embedding array<float>")
     q = v.selectExpr("id AS query_id", "embedding AS query")
-    want = {(r.query_id, r.id, r.rank) for r in docs.nearest(q, v, 3).collect()}
-    got = docs.nearest(q, v, 3, most_queries=7)
-    assert {(r.query_id, r.id, r.rank) for r in got.collect()} == want and len(want) == 120
-    assert "CartesianProduct" in got._jdf.queryExecution().toString()
+    plain = {i: np.array(x) / np.linalg.norm(x) for i, x in rows}
+    want = {(i, j, k + 1) for i in plain for k, j in enumerate(sorted(plain, key=lambda j: (-round(float(plain[i] @ plain[j]), 12), j))[:3])}
+    got = {(r.query_id, r.id, r.rank) for r in docs.nearest(q, v, 3, block=7).collect()}
+    assert len(got) == 120 and {x[:2] for x in got} == {x[:2] for x in want}
+
+
+def test_every_query_is_answered(spark):
+    v = spark.range(1500).selectExpr("id", "array(cast(id % 37 + 1 AS float), cast(id % 11 AS float), 1.0f) AS embedding", "id % 2 AS label")
+    q = v.selectExpr("id AS query_id", "embedding AS query")
+    got = docs.nearest(q, v, 1, where=F.col("label") == 0).collect()
+    assert len(got) == 1500 and all(r.id % 2 == 0 for r in got)
+    none = spark.createDataFrame([(1, None), (2, [0.0, 0.0, 0.0])], "query_id long, query array<float>")
+    assert docs.nearest(none, v, 3).count() == 0
