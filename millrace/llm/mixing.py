@@ -12,7 +12,7 @@ digest of doc_id and seed, so reruns agree.
 
 Null text has size 0; null and empty sources are sources of their own, null last.  Documents of size 0 are never
 worth a place and take 0.  Equal rows have equal keys: they stand next to each other, ordered by doc_id and then by
-size.  Documents with a null doc_id share one key.  An empty table gives an empty result.
+size.  Documents without a doc_id are drawn by a digest of their text.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from millrace.llm.common import WORD_SEP, text_col, written
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-BINS = 4096
+#: Bins of keys: sums of one source fit one task, and the one that crosses holds few of its documents.
+BINS = 1 << 16
 SEED = "mix-1"
 #: Documents of this many words or more have full length weight.
 FULL_WORDS = 200
@@ -71,9 +72,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
-def _key(doc_id: Column, weight: Column) -> Column:
-    """The exponential key of a document."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"|{SEED}")))
+def _key(doc_id: Column, text: Column, weight: Column) -> Column:
+    """The exponential key of a document; one without an id is drawn by its text."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.md5(F.encode(text, "utf-8"))), F.lit(f"|{SEED}")))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(_STEP))
     return -F.log(u) / weight
 
@@ -81,7 +82,7 @@ def _key(doc_id: Column, weight: Column) -> Column:
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     base = docs.select("doc_id", "source", text_col().alias("text")).withColumn("size", word_count(F.col("text")))
-    base = base.withColumn("key", _key(F.col("doc_id"), quality_weight(F.col("text"), F.col("size"))))
+    base = base.withColumn("key", _key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text"), F.col("size"))))
     # The bin grows with the key.
     bin_ = F.floor(F.lit(float(BINS)) * F.col("key") / (F.col("key") + F.lit(1.0))).cast("int")
     # Written once, so that the texts are read once.
@@ -120,7 +121,9 @@ def _taken(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
+    """The documents of the mix, each as often as it is taken.
+
+    Rows of one doc_id (those without one are one such set) are all taken as often as the one that is taken most."""
     cols = docs.columns
     got = mixed(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
     got = got.groupBy("_id").agg(F.max("_times").alias("_times"))
@@ -135,7 +138,7 @@ SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
   len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\t-\\r ]+'), lambda x: x <> '')) AS size FROM documents),
 k AS (SELECT doc_id, source, size,
-  -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|{SEED}'), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(_STEP)})
+  -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(t)) || '|{SEED}'), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(_STEP)})
   / (0.2::DOUBLE + 0.8::DOUBLE * (least(size, {FULL_WORDS}) / {float(FULL_WORDS)}::DOUBLE)
   * (1.0::DOUBLE - least(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')), size) / greatest(size, 1)::DOUBLE)) AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM k GROUP BY source),

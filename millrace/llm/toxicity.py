@@ -5,8 +5,9 @@ clean, 1 - prod(1 - p).  The gradient of that likelihood trains the word weights
 sentences with high p are the offending ones.  A word stands for itself and for its beginnings and ends of 3 to 7
 letters, so words that were never seen are judged by their parts.
 
-Training takes at most `max_toxic` + `max_clean` labelled documents (those of the smallest digests of doc_id), a bound
-that the driver's memory needs; labels of doc_ids with crc32 % 3 = 1 are never read.  Scoring covers every document,
+Training takes at most `max_toxic` + `max_clean` labelled documents of at most `max_chars` characters each (those of the
+smallest digests of doc_id), a bound that the driver's memory needs: a longer labelled text is passed over in training, and
+scored whole like any other.  Labels of doc_ids with crc32 % 3 = 1 are never read.  Scoring covers every document,
 whole, in tasks that keep a bounded cache of word weights.
 
 Null or empty text has no sentence and the score of the empty product, 0.  A label that is null is no label; of
@@ -167,13 +168,13 @@ class Scorer:
         return -math.expm1(clean), found
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3_000, max_clean: int = 5_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3_000, max_clean: int = 5_000, max_chars: int = 200_000) -> Model:
     """A model from the labels that are not held out."""
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("at", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(SEED))))
     ids = own.filter("toxic = 1").orderBy("at").limit(max_toxic).unionByName(own.filter("toxic = 0").orderBy("at").limit(max_clean))
     # At most max_toxic + max_clean ids, so the broadcast is bounded and no text is shuffled.
-    rows = docs.select("doc_id", text_col().alias("text")).join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id")
+    rows = docs.select("doc_id", text_col().alias("text")).filter(F.length("text") <= max_chars).join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id")
     got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator())
     return fit([t for _, t, _ in got], [y for _, _, y in got])
 

@@ -1,26 +0,0 @@
-"""The pipeline's stages on small rows: columns, decisions, and no lost clean documents."""
-
-import corpus_pipeline
-
-from millrace.llm.common import table
-
-SF = "/root/testdata/sf0.001"
-
-
-def test_stages(spark):
-    docs = table(spark, SF, "documents")
-    seen = docs
-    counts = []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, seen, SF)
-        assert out.columns == docs.columns, name
-        seen = spark.createDataFrame(out.collect(), out.schema)
-        counts.append(seen.count())
-    assert counts[0] < docs.count() and counts[1] <= counts[0] and counts[2] == counts[1]
-    last = corpus_pipeline.STAGES[-1][1](spark, seen, SF)
-    assert last.count() == counts[3] and "n_tokens" in last.columns
-
-
-def test_run_on_an_empty_table(spark, tmp_path):
-    table(spark, SF, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

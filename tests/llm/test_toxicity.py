@@ -1,8 +1,11 @@
 """Held-out accuracy on the given labels, located sentences, and odd rows."""
 
+import math
+import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import toxicity
 from millrace.llm.common import table
@@ -44,6 +47,35 @@ def test_noisy_or_learns_from_documents_alone():
     assert [x[:2] for x in s("a fine day. you are foul")[1]] == [(11, 24)]
 
 
+def plain_score(m, text):
+    """Noisy-or by hand: each sentence's logistic score from the weights of its words' parts, and one minus the product."""
+    clean = 1.0
+    for s in re.split(r"[.!?\n]", text):
+        words = set(re.findall(r"[^\W\d_]+", s.lower()))
+        if words:
+            z = m.bias
+            for w in words:
+                parts = {w} | {w[:n] + "-" for n in range(3, 8) if n < len(w)} | {"-" + w[-n:] for n in range(3, 8) if n < len(w)}
+                z += sum(m.weights.get(k, 0.0) for k in {zlib.crc32(p.encode()) % toxicity.SLOTS for p in parts})
+            clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
+
+
+def test_scores_are_noisy_or(spark, model):
+    docs = table(spark, SF, "documents").filter("length(text) < 3000").limit(400).withColumn("score", F.lit("clash")).withColumn("held_out", F.lit(7)).withColumn("text2", F.col("text"))
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 400 and all(math.isclose(r.score, plain_score(model, text[r.doc_id]), abs_tol=1e-9) for r in got)
+
+
+def test_long_labelled_texts_are_passed_over_in_training(spark):
+    rows = [(i, f"all is well w{i}. a fine day w{i + 1}") for i in range(60)] + [(100 + i, f"all is well w{i}. you are foul w{i}. a fine day") for i in range(60)] + [(999, "foul " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(100 <= i < 999)) for i, _ in rows], "doc_id long, toxic int")
+    m, again = toxicity.train(docs, labels), toxicity.train(docs.filter("doc_id < 999"), labels)
+    assert m.weights == again.weights and toxicity.Scorer(m)("you are foul")[0] > 0.7
+
+
 def test_one_class_or_none(spark):
     assert toxicity.fit([], []).flat == 0.0 and toxicity.fit(["a"], [1]).flat == 1.0
     labels = spark.createDataFrame([(5, None), (None, 1)], "doc_id long, toxic int")
