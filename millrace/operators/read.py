@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.fold import Metric, merged, rollup
 
+# The budgets of a read.
 MAX_BUCKETS = 60
 MAX_ROWS = 100_000
 GRAINS = (("hourly", timedelta(hours=1)), ("daily", timedelta(days=1)), ("monthly", timedelta(days=30)))

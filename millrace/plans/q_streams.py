@@ -76,3 +76,28 @@ def late_ranges(spark: SparkSession, d: str) -> DataFrame:
 def missing_between_versions(spark: SparkSession, d: str) -> DataFrame:
     f = facts(spark, d)
     return diff.key_difference(f, f.filter("row_id % 9 <> 0"), ["row_id"])
+
+
+@query("stream_caps", "WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events) SELECT event_id FROM r WHERE n <= 2")
+def stream_caps(spark: SparkSession, d: str) -> DataFrame:
+    s = _stream(spark, d).select("at", F.col("row_id").alias("key"), "method")
+    return jobs.cap_batches(s, "method", 2, "at timestamp, key bigint, method string").select(F.col("key").alias("event_id"))
+
+
+@query("stream_late", "SELECT event_id AS row_id, CASE WHEN event_id % 6 = 0 THEN 'insert' ELSE 'update' END AS action FROM events WHERE event_id % 6 = 0 OR event_id % 4 = 0")
+def stream_late(spark: SparkSession, d: str) -> DataFrame:
+    """Every event arrives again; a sixth was never stored and a quarter was stored with another value."""
+    value = F.col("level").cast("string")
+    late = _stream(spark, d).select("at", "row_id", value.alias("digest"))
+    stored = facts(spark, d).filter("row_id % 6 <> 0").select("row_id", F.when(F.col("row_id") % 4 == 0, "old").otherwise(F.col("quantity").cast("double").cast("string")).alias("digest"))
+    return jobs.late_batches(late, stored, ["row_id"], "digest", "row_id bigint, digest string, action string").select("row_id", "action")
+
+
+@query(
+    "stream_sealed",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM g GROUP BY user_id, s HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""",
+)
+def stream_sealed(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that the watermark has passed."""
+    return jobs.run_to_table(jobs.seal_stream(_stream(spark, d), "1 hour"), "sealed")

@@ -38,6 +38,52 @@ def run_batches(stream: DataFrame, purpose: str, each: Callable[[DataFrame, int]
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
 
 
+def batches_to_table(stream: DataFrame, purpose: str, each: Callable[[DataFrame, DataFrame], DataFrame], schema: str) -> DataFrame:
+    """The rows that each(batch, rows of earlier batches with their batch) gives, written batch by batch and read back.
+
+    A batch that runs again writes over its own folder, and sees only what earlier batches wrote."""
+    spark, root = stream.sparkSession, shared_dir(stream.sparkSession, purpose)
+
+    def rows(before: int) -> DataFrame:
+        # A first empty part gives the table its folder, so that reading it never fails.
+        return spark.read.schema(f"{schema}, batch bigint").parquet(f"{root}/rows").filter(F.col("batch") < before)
+
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
+
+    def run(batch: DataFrame, n: int) -> None:
+        write(each(batch, rows(n)), n)
+
+    write(spark.createDataFrame([], schema), -1)
+    run_batches(stream, f"{purpose}-state", run)
+    return rows(1 << 62).drop("batch")
+
+
+def cap_batches(stream: DataFrame, group: str, cap: int, schema: str) -> DataFrame:
+    """Findings (at, key, title, group) within their group's cap of the hour, whichever batches they come in: what earlier
+    batches let through counts first."""
+
+    def each(batch: DataFrame, before: DataFrame) -> DataFrame:
+        told = before.drop("batch")
+        both = told.withColumn("_new", F.lit(0)).unionByName(batch.select(*told.columns).withColumn("_new", F.lit(1)))
+        w = Window.partitionBy(group, F.date_trunc("hour", "at")).orderBy("_new", "at", "key")
+        return both.withColumn("_r", F.row_number().over(w)).filter(f"_new = 1 AND _r <= {cap}").drop("_new", "_r")
+
+    return batches_to_table(stream, "caps", each, schema)
+
+
+def late_batches(stream: DataFrame, stored: DataFrame, keys: list[str], digest_col: str, schema: str, pad_s: int = 60, gap_s: int = 300) -> DataFrame:
+    """What each batch of late rows changes (keys, digest, action): inserts and updates against the stored rows and what earlier
+    batches have changed; an unchanged row is not written."""
+
+    def each(batch: DataFrame, before: DataFrame) -> DataFrame:
+        told = diff.newest(before, keys, [F.desc("batch")]).select(*keys, digest_col)
+        now = stored.select(*keys, digest_col).join(told, keys, "left_anti").unionByName(told)
+        return process_late(batch, now, keys, digest_col, pad_s, gap_s)[1].join(batch.select(*keys, digest_col), keys).select(*keys, digest_col, "action")
+
+    return batches_to_table(stream, "late", each, schema)
+
+
 def incremental(stream: DataFrame, lag: str, keys: list[str]) -> DataFrame:
     """New rows once each: duplicates within the lag of the watermark are dropped; source offsets are the cursor."""
     return stream.withWatermark("at", lag).dropDuplicatesWithinWatermark(keys)

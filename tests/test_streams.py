@@ -1,9 +1,12 @@
 """Streams over a table that is a folder of part files, in any order of time."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans import registry
+from millrace.streaming import jobs
 from tests.compare import plain
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +38,24 @@ def test_watch_of_several_frames(spark, parts):
         assert rows(registry.queries()["stream_watches"](spark, parts)) == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("name", ["stream_caps", "stream_late", "stream_sealed"])
+def test_more_queries_of_a_folder(spark, parts, name):
+    q = registry.queries()[name]
+    assert rows(q(spark, SF)) == rows(q(spark, parts))
+
+
+def test_caps_and_late_rows_over_batches(spark, tmp_path):
+    """A batch a file: an hour's cap counts what earlier batches let through, and a row that comes twice changes once."""
+    schema = "ts timestamp, k long, g string, v string"
+    for n in range(3):
+        data = [(datetime(2026, 1, 1, 5, 10 * i + n), 10 * i + n, "a", f"v{n // 2}") for i in range(2)] + [(datetime(2026, 1, 1, 6), 99, "b", f"w{n // 2}")]
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/e/part={n}")
+    own = spark.read.parquet(f"{tmp_path}/e")
+    s = jobs.read_stream(spark, f"{tmp_path}/e", "ts", {"key": F.col("k"), "g": F.col("g"), "digest": F.col("v")}, per_trigger=1)
+    kept = jobs.cap_batches(s.select("at", "key", "g"), "g", 3, "at timestamp, key bigint, g string")
+    assert kept.count() == 6 and kept.filter("g = 'a'").count() == 3 and own.count() == 9
+    stored = spark.createDataFrame([(99, "w0"), (0, "old")], "key long, digest string")
+    got = jobs.late_batches(s.select("at", "key", "digest"), stored, ["key"], "digest", "key bigint, digest string, action string").collect()
+    assert sorted((r.key, r.digest, r.action) for r in got) == [(0, "v0", "update"), (1, "v0", "insert"), (2, "v1", "insert"), (10, "v0", "insert"), (11, "v0", "insert"), (12, "v1", "insert"), (99, "w1", "update")]
