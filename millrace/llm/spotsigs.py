@@ -125,22 +125,22 @@ def neighbours(docs: DataFrame, ranges: int | None = None, known: DataFrame | No
     copies = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")), F.struct(F.col("_to").alias("part"), F.lit(True).alias("guest")))
     dealt = sent.withColumn("home", copies).select("doc_id", "text", F.inline(F.filter("home", lambda h: h["part"].isNotNull())))
     none = F.lit(None).cast("bigint")
-    dealt = dealt.select("part", "guest", "doc_id", "text", none.alias("class_id"), none.alias("group_id"))
+    met = dealt.select("part", "guest", "doc_id", "text", none.alias("class_id"), none.alias("group_id"))
     if known is not None:
         riders = dealt_to(known.select("doc_id", "class_id", "group_id"))
-        dealt = dealt.unionByName(riders.select("part", F.lit(None).cast("boolean").alias("guest"), "doc_id", F.lit(None).cast("string").alias("text"), "class_id", "group_id"))
-    dealt = dealt.repartition("part")
-    own = Window.partitionBy("part", "doc_id")
-    met = dealt.withColumns({c: F.max(c).over(own) for c in ("class_id", "group_id")}).filter(F.col("guest").isNotNull())
+        both = met.unionByName(riders.select("part", F.lit(None).cast("boolean").alias("guest"), "doc_id", F.lit(None).cast("string").alias("text"), "class_id", "group_id"))
+        own = Window.partitionBy("part", "doc_id")
+        met = both.repartition("part").withColumns({c: F.max(c).over(own) for c in ("class_id", "group_id")}).filter(F.col("guest").isNotNull())
     w = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     return met.withColumn("next_text", F.lead("text").over(w)).filter(~F.col("guest")).select("doc_id", "text", "next_text", "class_id", "group_id")
 
 
-def fingerprints(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """Every document's fingerprint, how it stands to its edited text and to the next document, its class (class_id: the least
-    doc_id of its signature) and its group (group_id: the least doc_id that links of likeness `least` lead to).  A text
-    without words is in no class, nor is a row without a doc_id."""
-    step = neighbours(docs, known=groups(docs, least)).withColumn("n_chars", F.length("text").cast("bigint"))
+def fingerprints(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Every document's fingerprint, and how it stands to its edited text and to the next document.
+
+    With what `groups` found (known) also its class (class_id: the least doc_id of its signature) and its group (group_id: the
+    least doc_id that its links lead to); a text without words is in none, nor is a row without a doc_id."""
+    step = neighbours(docs, known=known).withColumn("n_chars", F.length("text").cast("bigint"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut))
     step = settled(step.withColumn("edited", edited), "edited", "n_chars")
@@ -154,8 +154,7 @@ def fingerprints(docs: DataFrame, least: float = 0.8) -> DataFrame:
         printed(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
         likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
-        F.when(F.size("sig") > 0, F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.when(F.size("sig") > 0, F.coalesce("group_id", "doc_id")).alias("group_id"),
+        *([F.when(F.size("sig") > 0, F.coalesce(c, "doc_id")).alias(c) for c in ("class_id", "group_id")] if known is not None else []),
     )
 
 

@@ -90,7 +90,7 @@ def test_groups_are_brute_force(spark, frequent):
     want = grouped(sigs)
     got = {r.doc_id: (r.class_id, r.group_id) for r in spotsigs.groups(docs, 0.8, frequent).collect()}
     assert {i: got.get(i, (i, i)) for i in sigs} == want and any(c != g for c, g in want.values())
-    rows = {r.doc_id: (r.class_id, r.group_id) for r in spotsigs.fingerprints(docs).collect()}
+    rows = {r.doc_id: (r.class_id, r.group_id) for r in spotsigs.fingerprints(docs, spotsigs.groups(docs)).collect()}
     assert rows == {i: want.get(i, (None, None)) for i in range(len(texts))}
 
 
@@ -98,7 +98,7 @@ def test_very_long_texts_and_repeated_rows(spark):
     long = " ".join(f"the w{i} of v{i * 7 % 5003} and u{i % 977}" for i in range(4_000))
     rows = [(1, long), (2, long + " the tail end"), (3, long), (3, long), (None, long), (4, "x" * 200_000), (5, "the " * 50_000)]
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, sig string, class_id int")
-    got = {(r.doc_id, r.class_id, r.group_id) for r in spotsigs.fingerprints(docs).collect()}
+    got = {(r.doc_id, r.class_id, r.group_id) for r in spotsigs.fingerprints(docs, spotsigs.groups(docs)).collect()}
     assert got == {(1, 1, 1), (2, 2, 1), (3, 1, 1), (None, None, None), (4, 4, 4), (5, 5, 5)}
     assert all(r.near_edited > 0.3 for r in spotsigs.fingerprints(docs).collect() if r.doc_id == 2)
 
