@@ -38,14 +38,14 @@ def build_validity(seen: DataFrame, key: str, value: str, at: str, rule: str = "
 def as_of(df: DataFrame, periods: DataFrame, key: str, at: Column, name: str) -> DataFrame:
     """df with the value that held for its key at its instant: the newest period that covers it, null where none does.
 
-    Periods of one key do not overlap when built above; where they do, the one that starts last wins.
+    Periods of one key do not overlap when built above; where they do, the one that starts last wins, and of those of one start the greater value.
     """
     t = F.date_format(at, "yyyy-MM-dd HH:mm:ss")
     rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_t", t)
     v = periods.select(F.col("key").alias("_k"), F.col("value").alias("_v"), "valid_from", "valid_to")
     hit = rows.join(v, (F.col(key) == F.col("_k")) & (F.col("valid_from") <= F.col("_t")) & (F.col("valid_to").isNull() | (F.col("_t") < F.col("valid_to"))), "left")
     keep = [F.first(c).alias(c) for c in df.columns]
-    return hit.groupBy("_id").agg(*keep, F.max_by("_v", "valid_from").alias(name)).drop("_id")
+    return hit.groupBy("_id").agg(*keep, F.max_by("_v", F.struct("valid_from", "_v")).alias(name)).drop("_id")
 
 
 def as_of_disjoint(df: DataFrame, periods: DataFrame, key: str, at: Column, name: str) -> DataFrame:
