@@ -8,7 +8,7 @@
    in use, one that ends its run, the remainders and the counters.  Filters of the same slice of quotients are merged
    over all shards by their order; the permutation's inverse gives the word ids back.
 3. Levels.  A phrase that occurs 30 times has parts that do: a bitmap of the frequent words' ids, then one of the frequent
-   pairs, decides which n-grams get a counter.  The bitmaps grow with what they hold up to `MOST_BITS`; what they let
+   pairs, decides which n-grams get a counter.  The bitmaps grow with what they hold up to `bitmaps.MOST_BITS`; what they let
    through needlessly costs a counter and changes no result.
 4. Scores by joins on word ids, in decimal arithmetic; the first 2,000 of a language are chosen in parts first.
 
@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.bitmaps import Bitmap, bitmap
 from millrace.llm.common import text_col, written
 
 LEAST = 30
@@ -40,8 +41,6 @@ HELD = 400_000
 #: N-grams of a slice of quotients, about.
 SLICE = 1 << 20
 MOST_SLICES = 1 << 14
-#: A bitmap has 16 bits for each entry, up to 2^28 bits (32 MB).
-LEAST_BITS, MOST_BITS = 20, 28
 #: Runs of entries that a merge holds apart.
 RUNS = 8
 
@@ -141,35 +140,6 @@ class Filter:
         return rows.astype(np.uint64), counts
 
 
-class Bitmap:
-    """Which keys may be members: two bits for each, in a bitmap of 2^k bits."""
-
-    def __init__(self, bits: int, data: np.ndarray) -> None:
-        self.bits, self.data = bits, data
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for half in (keys, keys << np.uint64(32)):
-            at = (half >> np.uint64(64 - self.bits)).astype(np.int64)
-            out &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return out
-
-
-def bitmap(keys: DataFrame, rows: int) -> Bitmap:
-    """The bitmap of a table's `key` (bigint, evenly spread).  It has at most 2^MOST_BITS bits, 32 MB on the driver and in each
-    worker, whatever the table's size."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(1, rows)).bit_length()))
-    high = F.call_function("shiftrightunsigned", F.col("key"), F.lit(64 - bits))
-    low = F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("key"), F.lit(32)), F.lit(64 - bits))
-    at = keys.select(F.explode(F.array(high, low)).alias("at"))
-    parts = at.groupBy(F.shiftright("at", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
-    data = np.zeros(1 << (bits - 3), np.uint8)
-    for row in parts.toLocalIterator():
-        got = np.frombuffer(row.bits, np.uint8)
-        data[row.bucket * 4096 : row.bucket * 4096 + len(got)] = got
-    return Bitmap(bits, data)
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_col().alias("text"))
 
