@@ -10,21 +10,25 @@ from millrace.llm.common import written
 SALTS = 16
 
 
-def _part(by: Column) -> Column:
+def part_of(by: Column) -> Column:
     return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
 
 
 def parts(by: Column) -> Column:
     """The parts that a key's rows lie in, as bits; an aggregate."""
-    return F.bit_or(F.call_function("shiftleft", F.lit(1), _part(by))).alias("_parts")
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), part_of(by))).alias("_parts")
+
+
+def each_part(few: DataFrame) -> DataFrame:
+    """few (with `_parts`), each row once for every part that its key has rows in, as `_salt`."""
+    has = lambda i: F.col("_parts").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0
+    return few.withColumn("_salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), has))).drop("_parts")
 
 
 def salted(many: DataFrame, few: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
     """many joined with few (one row per key, with `_parts`): a key stands in each part that it has rows in, SALTS at most,
     so a hot key is dealt out and a rare one is hardly repeated."""
-    has = lambda i: F.col("_parts").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0
-    dealt = few.withColumn("_salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), has))).drop("_parts")
-    return many.withColumn("_salt", _part(by)).join(dealt, [key, "_salt"], how).drop("_salt")
+    return many.withColumn("_salt", part_of(by)).join(each_part(few), [key, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

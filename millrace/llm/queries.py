@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL where SQL can express them."""
+"""The registered queries of the operators, each over its whole table, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, collocations, mixing, near_dup, periodic, pii, quality, spotsigs, token_count, token_store, toxicity, warc
+from millrace.llm import bpe, collocations, mixing, near_dup, periodic, pii, quality, spotsigs, substring, token_count, token_store, toxicity, warc
 from millrace.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed_passages(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -75,10 +79,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_spot_signatures": op9_spot_signatures,
         "op10_toxicity": op10_toxicity,
+        "op11_substring_dedup": op11_substring_dedup,
         "op12_collocations": op12_collocations,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op5_warc_archive": warc.SQL, "op12_collocations": collocations.SQL}
+    return {"op3_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op5_warc_archive": warc.SQL, "op11_substring_dedup": substring.SQL, "op12_collocations": collocations.SQL}
