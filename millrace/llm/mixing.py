@@ -81,15 +81,20 @@ def _key(doc_id: Column, text: Column, weight: Column) -> Column:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    base = docs.select("doc_id", "source", text_col().alias("text")).withColumn("size", word_count(F.col("text")))
+    return _mixed(docs)
+
+
+def _mixed(docs: DataFrame, *more: str) -> DataFrame:
+    """The same with further columns of docs, by which ties are broken."""
+    base = docs.select("doc_id", "source", text_col().alias("text"), *more).withColumn("size", word_count(F.col("text")))
     base = base.withColumn("key", _key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text"), F.col("size"))))
     # The bin grows with the key.
     bin_ = F.floor(F.lit(float(BINS)) * F.col("key") / (F.col("key") + F.lit(1.0))).cast("int")
     # Written once, so that the texts are read once.
-    return _taken(written(base.select("doc_id", "source", "size", "key", bin_.alias("bin")), "mix"))
+    return _taken(written(base.select("doc_id", "source", "size", "key", bin_.alias("bin"), *more), "mix"), *more)
 
 
-def _taken(rows: DataFrame) -> DataFrame:
+def _taken(rows: DataFrame, *more: str) -> DataFrame:
     by_bin = rows.groupBy("source", "bin").agg(F.sum("size").alias("n"))
     targets = source_targets(by_bin.groupBy("source").agg(F.sum("n").alias("source_size")))
     size = F.col("source_size")
@@ -111,26 +116,31 @@ def _taken(rows: DataFrame) -> DataFrame:
     )
     # A hot source is spread over its bins, so the join deals it out evenly.
     joined = rows.join(bins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bin") == F.col("b_bin")))
-    run = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     crossing = joined.filter("crosses").withColumn("sum", F.sum("size").over(run))
     over = F.col("sum") - F.col("left")
     drawn = (over <= 0) | ((over < F.col("size")) & (over < F.col("size") - over))
     crossing = crossing.withColumn("more", F.when(drawn, 1).otherwise(0)).drop("sum")
     rest = joined.filter(~F.col("crosses")).withColumn("more", F.when(F.col("whole"), 1).otherwise(0))
-    return crossing.unionByName(rest).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
+    return crossing.unionByName(rest).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"), *more)
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken.
+    """The documents of the mix, each row as often as it is taken.
 
-    Rows of one doc_id (those without one are one such set) are all taken as often as the one that is taken most."""
+    Rows are told apart by all their columns, so rows of one doc_id and rows without one are each drawn for themselves.
+    Rows that are equal in every column are as good as one another: together they are taken as often as their sum."""
     cols = docs.columns
-    got = mixed(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    got = got.groupBy("_id").agg(F.max("_times").alias("_times"))
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
-    at = cols.index("doc_id")
-    hit = own.join(got, F.col(f"c{at}").eqNullSafe(F.col("_id")))
-    out = hit.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    column = {c: F.col(f"c{i}") for i, c in enumerate(cols)}
+    maps = [f.name for f in own.schema if f.dataType.typeName() in ("map", "variant")]
+    plain = [F.to_json(F.struct(c)) if c in maps else F.col(c) for c in own.columns]
+    told = [F.xxhash64(*plain).alias("_row"), F.md5(F.concat_ws("|", column["source"].cast("string"), text_col(f"c{cols.index('text')}"))).alias("_digest")]
+    rows = own.select("*", *told)
+    drawn = _mixed(rows.select(column["doc_id"].alias("doc_id"), column["source"].alias("source"), column["text"].alias("text"), "_row", "_digest"), "_row", "_digest")
+    times = drawn.filter("taken > 0").groupBy("_row", "_digest").agg(F.sum(F.col("taken") / F.col("size")).cast("bigint").alias("_times"))
+    hit = rows.dropDuplicates(["_row", "_digest"]).join(times, ["_row", "_digest"])
+    out = hit.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
 
 

@@ -168,14 +168,31 @@ class Scorer:
         return -math.expm1(clean), found
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3_000, max_clean: int = 5_000, max_chars: int = 200_000) -> Model:
-    """A model from the labels that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3_000, max_clean: int = 5_000, max_chars: int = 200_000, max_total_chars: int = 60_000_000) -> Model:
+    """A model from the labels that are not held out.
+
+    The sample's bounds are parameters: up to so many toxic and clean documents of up to max_chars characters each and
+    max_total_chars together, one row a doc_id (the one of the shortest text, of equally long ones that of the smallest hash), taken
+    in the order of a digest of their ids, each label half of the characters at most."""
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("at", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(SEED))))
-    ids = own.filter("toxic = 1").orderBy("at").limit(max_toxic).unionByName(own.filter("toxic = 0").orderBy("at").limit(max_clean))
-    # At most max_toxic + max_clean ids, so the broadcast is bounded and no text is shuffled.
-    rows = docs.select("doc_id", text_col().alias("text")).filter(F.length("text") <= max_chars).join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id")
-    got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator())
+    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select("doc_id", text_col().alias("text")).withColumn("n", F.length("text")).withColumn("h", F.xxhash64("text")).filter(F.col("n") <= max_chars)
+    # Lengths and hashes alone are shuffled; texts are only read where they lie.
+    one = rows.select("doc_id", "n", "h").join(own, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("n", "h")).alias("r"))
+    one = one.select("doc_id", "toxic", "r.n", "r.h", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(SEED))).alias("at"))
+    chosen = []
+    for label, most in ((1, max_toxic), (0, max_clean)):
+        left = max_total_chars // 2
+        for r in one.filter(F.col("toxic") == label).orderBy("at").limit(most).collect():
+            left -= r.n
+            if left >= 0:
+                chosen.append((r.doc_id, r.h, label))
+    if not chosen:
+        return fit([], [])
+    # At most max_toxic + max_clean ids, so the broadcast is bounded.
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, h bigint, toxic int")
+    texts = rows.join(F.broadcast(ids), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in texts.toLocalIterator())
     return fit([t for _, t, _ in got], [y for _, _, y in got])
 
 

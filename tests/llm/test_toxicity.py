@@ -81,3 +81,18 @@ def test_one_class_or_none(spark):
     labels = spark.createDataFrame([(5, None), (None, 1)], "doc_id long, toxic int")
     docs = spark.createDataFrame([(5, "x")], "doc_id long, text string")
     assert toxicity.train(docs, labels).flat == 0.0
+
+
+def test_training_rows_are_bounded_whatever_repeats(spark, monkeypatch):
+    """Every id three times with texts of several lengths, some too long: one row an id, and no more than the bounds."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append((texts, y)) or toxicity.Model())
+    rows = [(i, t) for i in range(40) for t in ("bad " * (i + 1), "bad " * (i + 1), "worse " * 2000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    toxicity.train(docs, labels, max_toxic=6, max_clean=4, max_chars=1000)
+    texts, y = seen[-1]
+    assert len(texts) == 10 and sum(y) == 6 and len(set(texts)) == 10 and max(map(len, texts)) <= 160
+    toxicity.train(docs, labels, max_chars=1000, max_total_chars=400)
+    texts, y = seen[-1]
+    assert 0 < sum(map(len, texts)) <= 400 and {0, 1} == set(y)
