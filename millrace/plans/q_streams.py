@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import diff
 from millrace.plans.base import facts
 from millrace.plans.registry import query
+from millrace.sources import stitching
 from millrace.streaming import jobs
 
 
@@ -101,3 +102,17 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n
 def stream_sealed(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that the watermark has passed."""
     return jobs.run_to_table(jobs.seal_stream(_stream(spark, d), "1 hour"), "sealed")
+
+
+def conversation_lines(events: DataFrame) -> DataFrame:
+    """Events (at, row_id, user_id, method) as lines of three busy servers."""
+    kind = F.when(F.col("method") == "click", "request").when(F.col("method") == "purchase", "response").otherwise("info")
+    user = F.when(F.col("row_id") % 4 != 0, F.concat(F.lit("U"), F.col("user_id")))
+    rid = F.when(F.col("row_id") % 9 == 0, F.concat_ws("-", F.col("user_id"), F.date_format("at", "yyyyMMddHH")))
+    return events.select(F.concat(F.lit("s"), F.col("user_id") % 3).alias("server"), "row_id", "at", (F.col("user_id") % 5).cast("string").alias("thread"), user.alias("user_ctx"), kind.alias("entry_type"), rid.alias("request_id"))
+
+
+@query("stream_stitched")
+def stream_stitched(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that the watermark has passed, with their transactions, and how each transaction ended."""
+    return jobs.run_to_table(stitching.stitch_stream(conversation_lines(_stream(spark, d))), "stitched")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.diff import islands
+from millrace.sources.stitching import stitch as stitch
 
 # The shapes of an entry's start, its header, and what its message says.
 STARTS = r"\n(?=\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} )"
@@ -71,82 +70,6 @@ def reclassify(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return changed, changed.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
 
 
-GAP_S, LATE_S, ISLANDS = 300.0, 0.25, 64
-_STITCH = "server string, row_id bigint, txn string, seq int"
-
-
-def stitch_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The lines of one server, in order, to transactions; one that was not heard from for GAP_S is given up, whatever the
-    other streams of the server do meanwhile.
-
-    A stamped line belongs to its request id.  A line with a user belongs to that user's stream on its thread, a line
-    without one to the thread's current stream.  A request starts a new transaction where the stream has one already;
-    a response closes the user's transaction that was heard from last; work within LATE_S of it still joins.
-    """
-    pdf = pdf.sort_values(["at", "row_id"], na_position="last")
-    open_: dict[tuple, dict] = {}
-    stamped: dict[str, dict] = {}
-    current: dict[str, tuple] = {}
-    closed: dict[tuple, dict] = {}
-    out = []
-
-    def alive(x: dict | None, t: float) -> bool:
-        return x is not None and (t == float("inf") or t - x["last"] <= GAP_S)
-
-    for r in pdf.itertuples(index=False):
-        t = r.at.timestamp() if pd.notna(r.at) else float("inf")
-        user = r.user_ctx if isinstance(r.user_ctx, str) else None
-        key = (r.thread, user)
-        txn = None
-        if isinstance(r.request_id, str):
-            txn = stamped.get(r.request_id)
-        elif user is None and alive(open_.get(current.get(r.thread)), t):
-            key = current[r.thread]
-            txn = open_.get(key)
-        elif r.entry_type == "response" and user is not None:
-            for k in [k for k, x in open_.items() if k[1] == user and not alive(x, t)]:
-                del open_[k]
-            mine = [x for k, x in open_.items() if k[1] == user and x["open"]]
-            txn = max(mine, key=lambda x: (x["last"], -x["first"]), default=None)
-        else:
-            txn = open_.get(key)
-        if not alive(txn, t):
-            txn = None
-        if txn is not None and r.entry_type == "request" and txn["request"] and not isinstance(r.request_id, str):
-            txn = None
-        if txn is None and r.entry_type not in ("request", "response") and key in closed and t - closed[key]["end"] <= LATE_S:
-            txn = closed[key]
-        if txn is None:
-            txn = {"id": f"{r.server}:{r.row_id}", "first": len(out), "request": False, "open": True, "n": 0, "end": t, "key": key}
-            if isinstance(r.request_id, str):
-                stamped[r.request_id] = txn
-        if txn["open"]:
-            open_[txn["key"] if r.entry_type == "response" else key] = txn
-            current[r.thread] = key
-        txn["request"] |= r.entry_type == "request"
-        txn["last"] = t if t < float("inf") else txn.get("last", t)
-        txn["n"] += 1
-        out.append((r.server, r.row_id, txn["id"], txn["n"]))
-        if r.entry_type == "response":
-            txn["open"], txn["end"] = False, t
-            for k in [k for k, x in open_.items() if x is txn]:
-                closed[k] = open_.pop(k)
-            stamped = {k: x for k, x in stamped.items() if x is not txn}
-    return pd.DataFrame(out, columns=["server", "row_id", "txn", "seq"])
-
-
-def stitch(entries: DataFrame) -> DataFrame:
-    """server, row_id, txn, seq from entries (server, row_id, at, thread, user_ctx, entry_type, request_id).
-
-    No transaction lives over a silence of GAP_S, so the stretches between silences are dealt out, ISLANDS neighbours to
-    a group.
-    """
-    cut = islands(entries, ["server"], "at", "row_id", GAP_S)
-    cols = ["server", "row_id", "at", "thread", "user_ctx", "entry_type", "request_id"]
-    cut = cut.withColumn("block", F.floor(F.col("island") / ISLANDS))
-    return cut.select("block", *cols).groupBy("server", "block").applyInPandas(lambda pdf: stitch_group(pdf[cols]), _STITCH)
-
-
 def stitch_stamped(entries: DataFrame) -> DataFrame:
     """The same for logs in which every line carries a request id: no group meets in Python."""
     w = Window.partitionBy("server", "request_id").orderBy(F.col("at").asc_nulls_last(), "row_id")

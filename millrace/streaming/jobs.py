@@ -14,6 +14,10 @@ from millrace.operators import diff
 from millrace.sources.shared import shared_dir
 
 
+#: Streams keep their state in RocksDB: maps and timers need it, and it may pass the executors' memory.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def read_stream(spark: SparkSession, path: str, at: str, columns: dict[str, Column], per_trigger: int | None = None) -> DataFrame:
     """A table, a file or a folder of part files, as a stream; `at` becomes an instant.
 
@@ -26,6 +30,7 @@ def read_stream(spark: SparkSession, path: str, at: str, columns: dict[str, Colu
 
 def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a Parquet table in the shared folder, and read it."""
+    stream.sparkSession.conf.set(*STATE_STORE)
     spark, root = stream.sparkSession, shared_dir(stream.sparkSession, purpose)
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -9,7 +9,7 @@ import pytest
 from millrace.functions import fields
 from millrace.operators import docs, forecast
 from millrace.plans import q_docs, q_forecast, registry
-from millrace.sources import logs
+from millrace.sources import logs, stitching
 
 SF = "/root/testdata/sf0.001"
 
@@ -180,7 +180,7 @@ def test_bands_that_are_not_earned(spark):
 
 def test_stitched_transactions(spark):
     e = q_docs._entries(spark, SF).selectExpr("source_file AS server", "line_number AS row_id", "at", "thread", "user_ctx", "entry_type", "request_id", "result_status", "level").toPandas()
-    txn = pd.concat([logs.stitch_group(g) for _, g in e.groupby("server")]).merge(e, on=["server", "row_id"])
+    txn = pd.concat([stitching.stitch_group(g) for _, g in e.groupby("server")]).merge(e, on=["server", "row_id"])
     want = set()
     for t, g in txn.groupby("txn"):
         soft = ((g.entry_type == "result") & g.result_status.notna() & (g.result_status != "OK")) | (g.level == "WARN")
@@ -193,7 +193,7 @@ def test_idle_streams_end_while_the_server_is_busy():
     rows = [("s", 0, pd.Timestamp(0, unit="s"), "t1", "A", "request", None), ("s", 99, pd.Timestamp(1900, unit="s"), "t1", "A", "info", None)]
     rows += [("s", i, pd.Timestamp(100 * i, unit="s"), "t2", "B", "info", None) for i in range(1, 19)]
     cols = ["server", "row_id", "at", "thread", "user_ctx", "entry_type", "request_id"]
-    got = {r.row_id: r.txn for r in logs.stitch_group(pd.DataFrame(rows, columns=cols)).itertuples()}
+    got = {r.row_id: r.txn for r in stitching.stitch_group(pd.DataFrame(rows, columns=cols)).itertuples()}
     assert got[0] != got[99] and len({got[i] for i in range(1, 19)}) == 1
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fields, roles
 from millrace.operators import diff, docs, fold, forecast, lookup, read, risk, settle
-from millrace.sources import logs
+from millrace.sources import logs, stitching
 from tests.compare import plain
 
 T = datetime
@@ -223,7 +223,7 @@ def test_stitching_is_the_same_in_one_group(spark):
         rows.append(("s", i, pd.Timestamp("2026-01-01") + pd.Timedelta(seconds=t), f"t{rng.randrange(3)}", rng.choice(["A", "B", None]), rng.choice(kinds), None))
     cols = ["server", "row_id", "at", "thread", "user_ctx", "entry_type", "request_id"]
     pdf = pd.DataFrame(rows, columns=cols)
-    want = {r.row_id: r.txn for r in logs.stitch_group(pdf).itertuples()}
+    want = {r.row_id: r.txn for r in stitching.stitch_group(pdf).itertuples()}
     df = spark.createDataFrame([tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in r) for r in rows], "server string, row_id long, at timestamp, thread string, user_ctx string, entry_type string, request_id string")
     assert {r.row_id: r.txn for r in logs.stitch(df).collect()} == want
 
