@@ -144,13 +144,14 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def stretches(docs: DataFrame, shared: Bitmap) -> DataFrame:
-    """(key, doc, th, at, words, anchors, firsts, runs): the stretches of windows whose anchors may be shared.  th is the text's hash, at
-    the place of the first word, words are joined by spaces; windows firsts .. firsts + runs - 1 of the stretch have an anchor."""
+    """(key, doc, th, at, words, anchors, firsts, runs, from_, upto): the stretches of windows whose anchors may be shared.  th is the text's
+    hash, at the place of the first word, words are joined by spaces; windows firsts .. firsts + runs - 1 of the stretch have an anchor,
+    and their words are its bytes from_ .. upto - 1."""
     held = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("key", "doc", "th", "at", "words", "anchors", "firsts", "runs")}
+            out: dict[str, list] = {c: [] for c in ("key", "doc", "th", "at", "words", "anchors", "firsts", "runs", "from_", "upto")}
             for doc, t, th in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
                 words = t.as_py().split()
                 a = anchors(hashed(words))
@@ -161,16 +162,18 @@ def stretches(docs: DataFrame, shared: Bitmap) -> DataFrame:
                 ok = held.value.has(a[first])
                 for x, y in _stretches(ok):
                     lo, hi = int(first[x]), int(first[y - 1] + runs[y - 1]) + WINDOW - 1
+                    byte = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words[lo:hi]])])
+                    one, many_ = first[x:y] - lo, runs[x:y]
                     key = xxhash.xxh3_64_intdigest(b"%d %d" % (th, lo)) - (1 << 63)
-                    row = (key, doc, th, lo, b" ".join(words[lo:hi]), a[first[x:y]].view(np.int64).tolist(), (first[x:y] - lo).tolist(), runs[x:y].tolist())
+                    row = (key, doc, th, lo, b" ".join(words[lo:hi]), a[first[x:y]].view(np.int64).tolist(), one.tolist(), many_.tolist(), byte[one].tolist(), (byte[one + many_ + WINDOW - 1] - 1).tolist())
                     for c, v in zip(out.values(), row):
                         c.append(v)
             many = pa.list_(pa.int64())
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), many, many, many)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), many, many, many, many, many)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
     rows = _rows(docs).filter("doc IS NOT NULL").withColumn("th", F.xxhash64("text"))
-    return rows.mapInArrow(run, "key bigint, doc bigint, th bigint, at bigint, words binary, anchors array<bigint>, firsts array<bigint>, runs array<bigint>")
+    return rows.mapInArrow(run, "key bigint, doc bigint, th bigint, at bigint, words binary, anchors array<bigint>, firsts array<bigint>, runs array<bigint>, from_ array<bigint>, upto array<bigint>")
 
 
 def _stretches(ok: np.ndarray) -> list[list[int]]:
@@ -227,13 +230,16 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     seen = anchor_rows(docs).groupBy("anchor").agg(F.min("doc").alias("home"), F.max("doc").alias("last"), parts(F.col("doc")))
     shared = written(seen.filter("home < last").select("anchor", "home", "_parts"), "anchors")
     cut = written(stretches(docs, bitmap(shared.select(F.col("anchor").alias("key")), shared.count())), "stretches")
-    zipped = F.arrays_zip(F.col("anchors").alias("anchor"), F.col("firsts").alias("first"), F.col("runs").alias("n"))
-    placed = cut.select("key", "doc", F.inline(zipped)).toDF("key", "doc", "anchor", "first", "n")
+    zipped = F.arrays_zip("anchors", "firsts", "runs", "from_", "upto")
+    placed = cut.select("key", "doc", F.inline(zipped)).toDF("key", "doc", "anchor", "first", "n", "from_", "upto")
     met = salted(placed, shared, "anchor", F.col("doc")).filter("doc <> home")
-    pairs = met.groupBy("key", "doc", "home").agg(F.collect_list(F.struct("first", "n")).alias("wanted"))
-    pairs = pairs.select("key", "doc", "home", F.col("wanted.first").alias("firsts"), F.col("wanted.n").alias("runs"))
+    # Only the words between the first and the last window that look for a home go there.
+    pairs = met.groupBy("key", "doc", "home").agg(F.collect_list(F.struct("first", "n")).alias("wanted"), F.min("first").alias("lo"), F.min("from_").alias("from_"), F.max("upto").alias("upto"))
     texts = cut.select("key", "doc", "th", "at", "words")
-    asking = written(pairs.join(texts, ["key", "doc"]), "asking")
+    met = pairs.join(texts, ["key", "doc"])
+    piece = F.substring("words", (F.col("from_") + 1).cast("int"), (F.col("upto") - F.col("from_")).cast("int"))
+    firsts = F.transform("wanted", lambda x: x["first"] - F.col("lo"))
+    asking = written(met.select("home", "doc", "th", (F.col("at") + F.col("lo")).alias("at"), piece.alias("words"), firsts.alias("firsts"), F.col("wanted.n").alias("runs")), "asking")
     homes = asking.groupBy("home").agg(parts(F.col("doc")))
     asks = asking.select("home", part_of(F.col("doc")).alias("_salt"), F.lit(1).alias("kind"), "doc", "th", "at", "words", "firsts", "runs")
     blocks = texts.withColumnRenamed("doc", "home").join(homes, "home")
