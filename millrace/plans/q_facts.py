@@ -285,7 +285,8 @@ def _periods(spark: SparkSession, d: str) -> DataFrame:
 
 @query("validity_periods", f"WITH {_PERIODS} SELECT * FROM periods")
 def validity_periods(spark: SparkSession, d: str) -> DataFrame:
-    return _periods(spark, d)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return _periods(spark, d).select("key", "value", text("valid_from"), text("valid_to"), "conflicts")
 
 
 @query(

@@ -230,9 +230,8 @@ SELECT o_orderkey, value AS held FROM h WHERE r = 1""",
 def lookup_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Periods of one key that overlap: the one that starts last wins, and of those of one start the greater value."""
     o = orders(spark, d)
-    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     days = ((F.col("o_orderkey") % 5) * 200 + 100).cast("int")
-    periods = o.filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("key"), F.concat_ws(":", "o_orderpriority", "o_orderkey").alias("value"), text("at").alias("valid_from"), text(F.col("at") + F.make_dt_interval(days=days)).alias("valid_to"))
+    periods = o.filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("key"), F.concat_ws(":", "o_orderpriority", "o_orderkey").alias("value"), F.col("at").alias("valid_from"), (F.col("at") + F.make_dt_interval(days=days)).alias("valid_to"))
     return lookup.as_of(o, periods, "o_custkey", F.col("at"), "held").select("o_orderkey", "held")
 
 
