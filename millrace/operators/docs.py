@@ -1,13 +1,11 @@
-"""Documents to sections and chunks, profiles, and vector and hybrid search."""
+"""Documents to sections and chunks, and their profiles."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,55 +162,3 @@ def profile(docs: DataFrame, least: int = 3) -> DataFrame:
 def embed_rows(chunks: DataFrame, paths: DataFrame, key: str) -> DataFrame:
     """The text to embed: the path of headings, then the chunk."""
     return chunks.join(paths.select(key, "nr", "path"), [key, "nr"], "left").select(key, "nr", "leaf", F.concat_ws("\n", F.nullif("path", F.lit("")), "text").alias("embed_text"))
-
-
-_HITS = "query_id {q}, id {v}, score double"
-
-
-def packed(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """Rows in blocks of up to size: keys and vectors (float64, one after the other) of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, size):
-                part = b.slice(k, size)
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([flat.tobytes()], pa.binary())], names=["keys", "data"])
-
-    return df.select(F.col(key), F.col(vector).cast("array<double>")).mapInArrow(run, f"keys array<{dict(df.dtypes)[key]}>, data binary")
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, block: int = 4096) -> DataFrame:
-    """The k nearest rows of each query (query_id, query) among vectors (id, embedding), by cosine; ties go to the smaller id.
-
-    Both sides are packed into blocks, every block of queries meets every block of vectors in a task, and a pair of blocks
-    gives k rows a query, so every query is answered and only best rows are shuffled.  Vectors that `where` does not admit
-    are left out; null vectors and those of length zero have no score.
-    """
-    v = vectors.filter(F.col("embedding").isNotNull() & (where if where is not None else F.lit(True)))
-    q = queries.filter(F.col("query").isNotNull())
-    types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for qk, qd, vk, vd in zip(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-                a, c = (np.frombuffer(d, "<f8").reshape(len(n.values), -1) for n, d in ((qk, qd), (vk, vd)))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    score = (a @ c.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(c, axis=1)[None, :]
-                best = np.sort(-score, axis=1)[:, min(k, score.shape[1]) - 1]  # ties at the edge all stay
-                row, col = np.nonzero((-score <= best[:, None]) & ~np.isnan(score))
-                yield pa.RecordBatch.from_arrays([qk.values.take(pa.array(row)), vk.values.take(pa.array(col)), pa.array(score[row, col])], names=["query_id", "id", "score"])
-
-    qs = packed(q, "query_id", "query", 1024).select(F.col("keys").alias("q_keys"), F.col("data").alias("q_data"))
-    met = packed(v, "id", "embedding", block).hint("shuffle_replicate_nl").join(qs).select("q_keys", "q_data", "keys", "data")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return met.mapInArrow(run, _HITS.format(q=types[0], v=types[1])).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int, words: list[str], where: Column | None = None) -> DataFrame:
-    """nearest among the chunks (id, embedding, text) in which every word occurs as a word."""
-    tokens = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
-    hit = F.lit(True)
-    for x in words:
-        hit = hit & F.array_contains(tokens, x.lower())
-    return nearest(queries, chunks.filter(hit), k, where)

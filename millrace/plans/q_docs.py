@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fields as ff
 from millrace.operators import docs as dc
-from millrace.operators import listing
+from millrace.operators import listing, search
 from millrace.plans.base import calls, facts, orders
 from millrace.plans.registry import query
 from millrace.session import table
@@ -231,14 +231,31 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("nearest_vectors", f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COSINE} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, rank FROM r WHERE rank <= 10")
 def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return dc.nearest(*_vectors(spark, d), 10).select("query_id", "id", "rank")
+    return search.nearest(*_vectors(spark, d), 10).select("query_id", "id", "rank")
 
 
 @query("hybrid_search", f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COSINE} AS score FROM embeddings q, embeddings v JOIN documents d ON d.doc_id = v.vec_id WHERE q.vec_id % 100 = 0 AND list_contains(regexp_split_to_array(lower(d.text), '[^\\p{{L}}\\p{{N}}]+'), 'the')), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, rank FROM r WHERE rank <= 5")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     q, v = _vectors(spark, d)
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return dc.hybrid(q, v.join(texts, "id"), 5, ["The"]).select("query_id", "id", "rank")
+    return search.hybrid(q, v.join(texts, "id"), 5, ["The"]).select("query_id", "id", "rank")
+
+
+_STOPS = ", ".join(f"'{w}'" for w in ff.STOP)
+
+
+@query(
+    "keyword_hits",
+    f"""WITH k AS (SELECT conv_id, turn, list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), '\\b([A-Za-z0-9]+(?:\\.[A-Za-z0-9]+)+|[A-Z][A-Za-z0-9]+)\\b', 1), lambda w: lower(w)), lambda w: w NOT IN ({_STOPS}) AND length(w) > 1)) AS words FROM conversations),
+t AS (SELECT conv_id, turn, list_distinct(list_filter(flatten(list_transform(words, lambda w: regexp_split_to_array(w, '[^\\p{{L}}\\p{{N}}]+'))), lambda w: w <> '')) AS words FROM k),
+d AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+') AS tokens FROM documents)
+SELECT conv_id, turn, count(*) AS hits, min(doc_id) AS first_hit FROM t JOIN d ON len(words) > 0 AND list_has_all(tokens, words) GROUP BY conv_id, turn""",
+)
+def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn of a conversation as a query with its own keywords: the documents that hold them all."""
+    q = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), ff.keywords(F.col("text")).alias("words"))
+    hits = search.holding_all(q, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("id").alias("first_hit")).select("query_id.*", "hits", "first_hit")
 
 
 @query("query_keywords")
