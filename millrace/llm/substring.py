@@ -40,7 +40,7 @@ from millrace.llm.common import text_col, written
 from millrace.llm.graph import each_part, part_of, parts, salted
 
 WINDOW = 13
-ANCHOR = 6
+ANCHOR = 8
 #: Stands between the stretches of a block.
 _END = np.uint64(0x5851F42D4C957F2D)
 
