@@ -9,6 +9,8 @@ from millrace.operators import diff
 from millrace.plans.base import facts
 from millrace.plans.registry import query
 from millrace.sources import stitching
+from millrace.sources.feed import Feed
+from millrace.sources.versioned import Buckets
 from millrace.streaming import jobs
 
 
@@ -81,17 +83,48 @@ def missing_between_versions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_caps", "WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events) SELECT event_id FROM r WHERE n <= 2")
 def stream_caps(spark: SparkSession, d: str) -> DataFrame:
-    s = _stream(spark, d).select("at", F.col("row_id").alias("key"), "method")
-    return jobs.cap_batches(s, "method", 2, "at timestamp, key bigint, method string").select(F.col("key").alias("event_id"))
+    s = _stream(spark, d).select("at", F.col("row_id").alias("key"), "method", F.col("method").alias("title"))
+    return jobs.run_to_table(jobs.capped(s, "method", 2), "caps").filter("kind = 'sent'").select(F.col("key").alias("event_id"))
+
+
+@query("stream_cap_summaries", """WITH h AS (SELECT event_type AS "group", date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT "group", strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, n - 2 AS held FROM h WHERE n > 2 AND hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOURS FROM events)""")
+def stream_cap_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The hours that the watermark has passed in which findings were held, and how many."""
+    s = _stream(spark, d).select("at", F.col("row_id").alias("key"), "method", F.col("method").alias("title"))
+    got = jobs.run_to_table(jobs.capped(s, "method", 2), "caps").filter("kind = 'summary'")
+    return got.select(F.col("title").alias("group"), F.date_format(F.col("at") - F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "held")
 
 
 @query("stream_late", "SELECT event_id AS row_id, CASE WHEN event_id % 6 = 0 THEN 'insert' ELSE 'update' END AS action FROM events WHERE event_id % 6 = 0 OR event_id % 4 = 0")
 def stream_late(spark: SparkSession, d: str) -> DataFrame:
     """Every event arrives again; a sixth was never stored and a quarter was stored with another value."""
-    value = F.col("level").cast("string")
-    late = _stream(spark, d).select("at", "row_id", value.alias("digest"))
-    stored = facts(spark, d).filter("row_id % 6 <> 0").select("row_id", F.when(F.col("row_id") % 4 == 0, "old").otherwise(F.col("quantity").cast("double").cast("string")).alias("digest"))
-    return jobs.late_batches(late, stored, ["row_id"], "digest", "row_id bigint, digest string, action string").select("row_id", "action")
+    late = _stream(spark, d).select("at", "row_id", F.col("level").cast("string").alias("digest"))
+    value = F.col("quantity").cast("double").cast("string")
+    stored = facts(spark, d).filter("row_id % 6 <> 0").select(F.col("event_time").alias("at"), "row_id", F.when(F.col("row_id") % 4 == 0, "old").otherwise(value).alias("digest"))
+    buckets = Buckets(spark, "at timestamp, row_id bigint, digest string", "at", 86_400)
+    buckets.write(stored, 0)
+    return jobs.late_buckets(late, buckets, ["row_id"], "digest").select("row_id", "action")
+
+
+@query("feed_steps", "SELECT event_id AS row_id FROM events WHERE date_trunc('hour', ts) < (SELECT max(ts) - INTERVAL 2 HOURS FROM events)")
+def feed_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Events by their hour as write time, so that caps part rows of one time: a third of them a step, until none is left."""
+    f = facts(spark, d).select(F.date_trunc("hour", "event_time").alias("written"), "row_id")
+    n = f.count()
+    last = facts(spark, d).agg(F.max("event_time")).first()[0]
+    feed = Feed(spark, "written timestamp, row_id bigint", "written", "row_id", 7200, 3600, n // 3 + 1)
+    while not feed.step(f, F.lit(last)).isEmpty():
+        pass
+    return feed.told().select("row_id")
+
+
+@query("stream_gated_rules", "WITH t AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'incomplete' ELSE 'success' END AS status, event_id % 3 = 0 AS sealed FROM events) SELECT 'open' AS rule, 'open:' || event_id AS key FROM t WHERE status = 'error' OR status = 'incomplete' AND sealed")
+def stream_gated_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Incomplete transactions are alerted on only when they are sealed."""
+    status = F.when(F.col("method") == "error", "error").when(F.col("method") == "click", "incomplete").otherwise("success")
+    s = _stream(spark, d).select("at", "row_id", "text", "method", status.alias("status"), (F.col("row_id") % 3 == 0).alias("sealed"))
+    return jobs.run_to_table(jobs.match_rules(s, [{"name": "open", "statuses": ["error", "incomplete"]}]), "rules").select("rule", "key")
 
 
 @query(

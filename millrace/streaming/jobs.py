@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.fields import redact
 from millrace.operators import diff
 from millrace.sources.shared import shared_dir
+from millrace.sources.versioned import Buckets
 
 
 #: Streams keep their state in RocksDB: maps and timers need it, and it may pass the executors' memory.
@@ -43,50 +45,69 @@ def run_batches(stream: DataFrame, purpose: str, each: Callable[[DataFrame, int]
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
 
 
-def batches_to_table(stream: DataFrame, purpose: str, each: Callable[[DataFrame, DataFrame], DataFrame], schema: str) -> DataFrame:
-    """The rows that each(batch, rows of earlier batches with their batch) gives, written batch by batch and read back.
+_CAPPED = "at timestamp, key bigint, title string, kind string, held bigint"
 
-    A batch that runs again writes over its own folder, and sees only what earlier batches wrote."""
-    spark, root = stream.sparkSession, shared_dir(stream.sparkSession, purpose)
-
-    def rows(before: int) -> DataFrame:
-        # A first empty part gives the table its folder, so that reading it never fails.
-        return spark.read.schema(f"{schema}, batch bigint").parquet(f"{root}/rows").filter(F.col("batch") < before)
 
-    def write(df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
+class HourlyCap(StatefulProcessor):
+    """Of each clock hour of a group the first `cap` findings are sent, the others held; the first one held gives a notice, and when
+    the watermark has passed the hour, one summary tells how many were held.  The state has one entry for each open hour,
+    which goes with the summary, so a batch costs what it brings."""
 
-    def run(batch: DataFrame, n: int) -> None:
-        write(each(batch, rows(n)), n)
+    def __init__(self, cap: int) -> None:
+        self.cap = cap
 
-    write(spark.createDataFrame([], schema), -1)
-    run_batches(stream, f"{purpose}-state", run)
-    return rows(1 << 62).drop("batch")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hours = handle.getMapState("hours", "hour bigint", "sent bigint, held bigint")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # A group's findings of a batch are put in order together: a trigger bounds how many come at once.
+        f = pd.concat(list(rows)).sort_values(["at", "key"], kind="stable")
+        out = []
+        for hour, part in f.groupby(f["at"].astype("datetime64[us]").astype("int64") // 3_600_000_000, sort=True):
+            hour = int(hour)
+            sent, held = self.hours.getValue((hour,)) if self.hours.containsKey((hour,)) else (0, 0)
+            if not sent + held:
+                self.handle.registerTimer((hour + 1) * 3_600_000)
+            room = max(0, self.cap - sent)
+            out += [(r.at, r.key, r.title, "sent", 0) for r in part.head(room).itertuples(index=False)]
+            over = len(part) - min(room, len(part))
+            if over and not held:
+                first = part.iloc[room]
+                out.append((first["at"], None, key[0], "notice", 0))
+            self.hours.updateValue((hour,), (sent + min(room, len(part)), held + over))
+        if out:
+            yield self._frame(out)
 
-def cap_batches(stream: DataFrame, group: str, cap: int, schema: str) -> DataFrame:
-    """Findings (at, key, title, group) within their group's cap of the hour, whichever batches they come in: what earlier
-    batches let through counts first."""
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        hour = expiredTimerInfo.getExpiryTimeInMs() // 3_600_000 - 1
+        if self.hours.containsKey((hour,)):
+            _, held = self.hours.getValue((hour,))
+            self.hours.removeKey((hour,))
+            if held:
+                yield self._frame([(pd.Timestamp((hour + 1) * 3600, unit="s"), None, key[0], "summary", held)])
 
-    def each(batch: DataFrame, before: DataFrame) -> DataFrame:
-        told = before.drop("batch")
-        both = told.withColumn("_new", F.lit(0)).unionByName(batch.select(*told.columns).withColumn("_new", F.lit(1)))
-        w = Window.partitionBy(group, F.date_trunc("hour", "at")).orderBy("_new", "at", "key")
-        return both.withColumn("_r", F.row_number().over(w)).filter(f"_new = 1 AND _r <= {cap}").drop("_new", "_r")
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["at", "key", "title", "kind", "held"]).astype({"key": "Int64", "held": "int64"})
 
-    return batches_to_table(stream, "caps", each, schema)
+    def close(self) -> None:
+        pass
 
 
-def late_batches(stream: DataFrame, stored: DataFrame, keys: list[str], digest_col: str, schema: str, pad_s: int = 60, gap_s: int = 300) -> DataFrame:
-    """What each batch of late rows changes (keys, digest, action): inserts and updates against the stored rows and what earlier
-    batches have changed; an unchanged row is not written."""
+def capped(stream: DataFrame, group: str, cap: int, lag: str = "2 hours") -> DataFrame:
+    """Findings (at, key, title, group) as what is told: sent, notice (title: the group) and summary (held: how many).  A finding that comes
+    after its hour's summary, lag behind the newest one, is not told."""
+    rows = stream.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("group"), "at", F.col("key").cast("bigint").alias("key"), F.col("title").cast("string").alias("title")).filter("at IS NOT NULL")
+    return rows.withWatermark("at", lag).groupBy("group").transformWithStateInPandas(HourlyCap(cap), _CAPPED, "Append", "EventTime")
 
-    def each(batch: DataFrame, before: DataFrame) -> DataFrame:
-        told = diff.newest(before, keys, [F.desc("batch")]).select(*keys, digest_col)
-        now = stored.select(*keys, digest_col).join(told, keys, "left_anti").unionByName(told)
-        return process_late(batch, now, keys, digest_col, pad_s, gap_s)[1].join(batch.select(*keys, digest_col), keys).select(*keys, digest_col, "action")
 
-    return batches_to_table(stream, "late", each, schema)
+def late_buckets(stream: DataFrame, buckets: Buckets, keys: list[str], digest_col: str) -> DataFrame:
+    """What each batch of late rows changes in a table of buckets (its columns and action): a batch reads and replaces the buckets that
+    its rows lie in, and no others.  Version 0 is the table as it was, version n + 1 what batch n leaves."""
+    spark = stream.sparkSession
+    run_batches(stream, "late-state", lambda batch, n: buckets.merge(batch, keys, digest_col, n + 1, n) and None)
+    return spark.read.schema(f"{buckets.schema}, action string").option("recursiveFileLookup", "true").parquet(f"{buckets.root}/changes")
 
 
 def incremental(stream: DataFrame, lag: str, keys: list[str]) -> DataFrame:
@@ -107,11 +128,21 @@ def leading(digests: DataFrame, k: int = 5) -> DataFrame:
     return digests.withColumn("total", F.sum("n").over(w)).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def alertable(status: Column, sealed: Column, only_sealed: bool = False) -> Column:
+    """Whether a transaction's status can be trusted: a sealed one's can; of those that may still change all but an incomplete one's,
+    or none (only_sealed).  A row without a status is never alerted on."""
+    settled = F.lit(False) if only_sealed else status != "incomplete"
+    return F.coalesce(status.isNotNull() & (F.coalesce(sealed.cast("boolean"), F.lit(False)) | settled), F.lit(False))
+
+
 def match_rules(stream: DataFrame, rules: list[dict]) -> DataFrame:
-    """Rows that a rule names: rule, key, title.  A rule has a name, statuses or a pattern, or both."""
+    """Rows that a rule names: rule, key, title.  A rule has a name, and methods, statuses or a pattern, or several of them; a rule with
+    statuses matches only rows (with status and sealed) that are `alertable`."""
     hits = []
     for r in rules:
         ok = F.lit(True)
+        if r.get("statuses"):
+            ok = ok & F.col("status").isin(*r["statuses"]) & alertable(F.col("status"), F.col("sealed"), r.get("only_sealed", False))
         if r.get("methods"):
             ok = ok & F.col("method").isin(*r["methods"])
         if r.get("pattern"):
@@ -137,26 +168,29 @@ def process_late(batch: DataFrame, stored: DataFrame, keys: list[str], digest_co
 _WATCH = "watch string, at timestamp, level double, status string"
 
 
-def watches(stream: DataFrame, raise_at: float, clear_at: float, settle: int, lag: str = "1 hour") -> DataFrame:
-    """Status changes of watches (watch, at, level): up at once, down after `settle` readings below the lower level.
+def watches(stream: DataFrame, raise_at: float, clear_at: float, settle: int = 1, settle_s: float = 0, lag: str = "1 hour") -> DataFrame:
+    """Status changes of watches (watch, at, level): up at once, down after `settle` readings in a row below the lower level of which the
+    first is settle_s seconds old; a reading that is not below it starts anew.
 
     A batch's readings of one watch come in several frames and are put in order together, so one watch's readings of
     a batch must fit a worker."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, low = state.get if state.exists else ("ok", 0)
+        status, low, since = state.get if state.exists else ("ok", 0, 0)
         out = []
         for r in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples(index=False):
+            now = r.at.value // 1000
+            since = now if r.level >= clear_at or not low else since
             low = low + 1 if r.level < clear_at else 0
-            new = "alert" if r.level >= raise_at else "ok" if low >= settle else status
+            new = "alert" if r.level >= raise_at else "ok" if low >= settle and now - since >= settle_s * 1e6 else status
             if new != status:
                 out.append((key[0], r.at, r.level, new))
             status = new
-        state.update((status, low))
+        state.update((status, low, since))
         if out:
             yield pd.DataFrame(out, columns=["watch", "at", "level", "status"])
 
-    return stream.withWatermark("at", lag).groupBy("watch").applyInPandasWithState(step, _WATCH, "status string, low int", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("at", lag).groupBy("watch").applyInPandasWithState(step, _WATCH, "status string, low int, since bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def seal_stream(stream: DataFrame, quiet: str, lag: str = "10 minutes") -> DataFrame:
