@@ -34,6 +34,11 @@ def settled(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row, of columns of any type."""
+    return F.xxhash64(*[F.to_json(F.struct(f"`{f.name}`")) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in df.schema])
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)

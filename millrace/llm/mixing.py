@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_SEP, text_col, written
+from millrace.llm.common import WORD_SEP, row_hash, text_col, written
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -133,9 +133,7 @@ def mix(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     column = {c: F.col(f"c{i}") for i, c in enumerate(cols)}
-    maps = [f.name for f in own.schema if f.dataType.typeName() in ("map", "variant")]
-    plain = [F.to_json(F.struct(c)) if c in maps else F.col(c) for c in own.columns]
-    told = [F.xxhash64(*plain).alias("_row"), F.md5(F.concat_ws("|", column["source"].cast("string"), text_col(f"c{cols.index('text')}"))).alias("_digest")]
+    told = [row_hash(own).alias("_row"), F.md5(F.concat_ws("|", column["source"].cast("string"), text_col(f"c{cols.index('text')}"))).alias("_digest")]
     rows = own.select("*", *told)
     drawn = _mixed(rows.select(column["doc_id"].alias("doc_id"), column["source"].alias("source"), column["text"].alias("text"), "_row", "_digest"), "_row", "_digest")
     times = drawn.filter("taken > 0").groupBy("_row", "_digest").agg(F.sum(F.col("taken") / F.col("size")).cast("bigint").alias("_times"))

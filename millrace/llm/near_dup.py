@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_col, wanted_rows, written
+from millrace.llm.common import row_hash, text_col, wanted_rows, written
 from millrace.llm.graph import components, parts, salted
 
 SHINGLE = 5
@@ -335,10 +335,14 @@ def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, least_pct: int = 80) -> DataFrame:
-    """One document of each group: that of the smallest doc_id, once; rows without a doc_id all stay."""
+    """One document of each group: that of the smallest doc_id, once; rows without a doc_id all stay.
+
+    Of rows of one doc_id that differ the one of the smallest hash stays, so reruns agree."""
     kept = near_duplicates(docs, least_pct).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
     cols = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     at = F.col(f"c{cols.index('doc_id')}")
-    hit = own.filter(at.isNotNull()).join(kept, at == F.col("_id"), "left_semi").dropDuplicates([f"c{cols.index('doc_id')}"])
+    rows = own.withColumn("_id", at.cast("bigint")).withColumn("_row", row_hash(own)).filter("_id IS NOT NULL")
+    first = rows.select("_id", "_row").join(kept, "_id", "left_semi").groupBy("_id").agg(F.min("_row").alias("_row"))
+    hit = rows.join(first, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).drop("_id", "_row")
     return hit.unionByName(own.filter(at.isNull())).toDF(*cols)
