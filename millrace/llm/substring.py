@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ from millrace.llm.graph import each_part, part_of, parts, salted
 
 WINDOW = 13
 ANCHOR = 8
+#: Words that are hashed together.
+PORTION = 200_000
 #: Stands between the stretches of a block.
 _END = np.uint64(0x5851F42D4C957F2D)
 
@@ -101,10 +104,9 @@ class Block:
             step *= 4
         return n
 
-    def parse(self, words: np.ndarray) -> np.ndarray:
-        """Which windows of a text are in the block: those inside the factors of its greedy parse, and those across their
-        boundaries that the index has."""
-        windows = chains(words, WINDOW)
+    def parse(self, words: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Which windows (given as hashes) of a text are in the block: those inside the factors of its greedy parse, and those
+        across their boundaries that the index has."""
         found = np.zeros(len(windows), bool)
         place = self.places(windows)
         starts = np.flatnonzero(place >= 0)
@@ -127,18 +129,43 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_col().alias("text"))
 
 
+def _portions(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The words of a batch's texts, some rows at a time: (first row, words of each row)."""
+    first, held, n = 0, [], 0
+    for i, t in enumerate(batch.column(text).cast(pa.binary())):
+        held.append(t.as_py().split())
+        n += len(held[-1])
+        if n >= PORTION:
+            yield first, held
+            first, held, n = i + 1, [], 0
+    if held:
+        yield first, held
+
+
+def _anchored(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of all rows: (row, first window, number, anchor) of every stretch with one anchor."""
+    lens = np.array([len(w) for w in rows])
+    a = anchors(hashed([w for row in rows for w in row]))
+    if not len(a):
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    owner, start = np.repeat(np.arange(len(rows)), lens), np.cumsum(lens) - lens
+    whole = owner[: len(a)] == owner[WINDOW - 1 :]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (owner[1 : len(a)] != owner[: len(a) - 1])])
+    cut = np.flatnonzero(new | ~whole | np.concatenate([[False], ~whole[:-1]]))
+    n = np.diff(np.append(cut, len(a)))
+    cut, n = cut[whole[cut]], n[whole[cut]]
+    return owner[cut], cut - start[owner[cut]], n, a[cut]
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(anchor, doc): the anchors of every document, once a batch."""
+    """(anchor, doc): the anchors of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                a = anchors(hashed(t.as_py().split()))
-                a = np.unique(a[np.concatenate([[True], a[1:] != a[:-1]])]) if len(a) else a
-                found.append(a)
-                ids.append(np.full(len(a), doc, np.int64))
-            yield pa.RecordBatch.from_pydict({"anchor": pa.array(np.concatenate(found).view(np.int64)), "doc": pa.array(np.concatenate(ids))})
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, rows in _portions(b, 1):
+                row, _, _, anchor = _anchored(rows)
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor.view(np.int64)), "doc": pa.array(ids[first + row])})
 
     return _rows(docs).filter("doc IS NOT NULL").mapInArrow(run, "anchor bigint, doc bigint")
 
@@ -150,27 +177,28 @@ def stretches(docs: DataFrame, shared: Bitmap) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = pa.list_(pa.int64())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), many, many, many, many, many)
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("key", "doc", "th", "at", "words", "anchors", "firsts", "runs", "from_", "upto")}
-            for doc, t, th in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
-                words = t.as_py().split()
-                a = anchors(hashed(words))
-                if not len(a):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                runs = np.diff(np.append(first, len(a)))
-                ok = held.value.has(a[first])
-                for x, y in _stretches(ok):
+            docs_, hashes = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for start, rows in _portions(b, 1):
+                row, first, runs, anchor = _anchored(rows)
+                ok = held.value.has(anchor)
+                row, first, runs, anchor = row[ok], first[ok], runs[ok], anchor[ok].view(np.int64)
+                out: dict[str, list] = {c: [] for c in ("key", "doc", "th", "at", "words", "anchors", "firsts", "runs", "from_", "upto")}
+                # A stretch goes on where the next anchor's windows follow at once.
+                on = np.concatenate([[False], (row[1:] == row[:-1]) & (first[1:] == first[:-1] + runs[:-1])]) if len(row) else row.astype(bool)
+                edge = np.append(np.flatnonzero(~on), len(row)).tolist()
+                for x, y in zip(edge[:-1], edge[1:]):
+                    i = int(row[x])
                     lo, hi = int(first[x]), int(first[y - 1] + runs[y - 1]) + WINDOW - 1
-                    byte = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words[lo:hi]])])
-                    one, many_ = first[x:y] - lo, runs[x:y]
-                    key = xxhash.xxh3_64_intdigest(b"%d %d" % (th, lo)) - (1 << 63)
-                    row = (key, doc, th, lo, b" ".join(words[lo:hi]), a[first[x:y]].view(np.int64).tolist(), one.tolist(), many_.tolist(), byte[one].tolist(), (byte[one + many_ + WINDOW - 1] - 1).tolist())
-                    for c, v in zip(out.values(), row):
+                    words, doc, th = rows[i][lo:hi], docs_[start + i], hashes[start + i]
+                    byte = [0, *accumulate(len(w) + 1 for w in words)]
+                    one, n = (first[x:y] - lo).tolist(), runs[x:y].tolist()
+                    told = (xxhash.xxh3_64_intdigest(b"%d %d" % (th, lo)) - (1 << 63), doc, th, lo, b" ".join(words), anchor[x:y].tolist(), one, n, [byte[p] for p in one], [byte[p + q + WINDOW - 1] - 1 for p, q in zip(one, n)])
+                    for c, v in zip(out.values(), told):
                         c.append(v)
-            many = pa.list_(pa.int64())
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), many, many, many, many, many)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
     rows = _rows(docs).filter("doc IS NOT NULL").withColumn("th", F.xxhash64("text"))
     return rows.mapInArrow(run, "key bigint, doc bigint, th bigint, at bigint, words binary, anchors array<bigint>, firsts array<bigint>, runs array<bigint>, from_ array<bigint>, upto array<bigint>")
@@ -192,33 +220,41 @@ def factored(rows: DataFrame) -> DataFrame:
         names = ["doc", "th", "first", "last", "w1", "w2"]
         home, pieces, block = None, [], None
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            for key, kind, doc, th, at, t, firsts, runs in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7, 8))):
-                words = hashed(t.split())
-                if kind == 0:
-                    if block is not None or key != home:
-                        home, pieces, block = key, [], None
-                    pieces.append(words)
-                    continue
-                if key != home or not pieces:
-                    raise ValueError("a stretch without its block")
-                if block is None:
-                    block = Block(np.concatenate([np.append(p, _END) for p in pieces]))
-                found = block.parse(words)
-                want = np.zeros(len(found), bool)
-                for x, n in zip(firsts, runs):
-                    want[x : x + n] = True
-                for x, y in _stretches(found & want):
-                    for c, v in zip(out, (doc, th, at + x, at + y + WINDOW - 1, None, None)):
-                        c.append(v)
-                left = np.flatnonzero(want & ~found)
-                if len(left):
-                    one = chains(words, WINDOW)[left].view(np.int64).tolist()
-                    two = chains(_mix(words + np.uint64(1)), WINDOW)[left].view(np.int64).tolist()
-                    for j, w1, w2 in zip(left.tolist(), one, two):
-                        for c, v in zip(out, (doc, th, at + j, at + j + WINDOW, w1, w2)):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
+            homes, kinds, docs, ths, ats = (b.column(i).to_pylist() for i in (0, 2, 3, 4, 5))
+            firsts, runs = b.column(7), b.column(8)
+            for start, rows in _portions(b, 6):
+                words = hashed([w for row in rows for w in row])
+                windows = chains(words, WINDOW)
+                spans: list[tuple] = []
+                left: list[tuple] = []
+                upto = 0
+                for i, row in enumerate(rows, start):
+                    lo, upto = upto, upto + len(row)
+                    if kinds[i] == 0:
+                        if block is not None or homes[i] != home:
+                            home, pieces, block = homes[i], [], None
+                        pieces.append(words[lo:upto].copy())
+                        continue
+                    if homes[i] != home or not pieces:
+                        raise ValueError("a stretch without its block")
+                    if block is None:
+                        block = Block(np.concatenate([np.append(p, _END) for p in pieces]))
+                    found = block.parse(words[lo:upto], windows[lo : upto - WINDOW + 1])
+                    want = np.zeros(len(found), bool)
+                    for x, n in zip(firsts[i].as_py(), runs[i].as_py()):
+                        want[x : x + n] = True
+                    doc, th, at = docs[i], ths[i], ats[i]
+                    spans += [(doc, th, at + x, at + y + WINDOW - 1) for x, y in _stretches(found & want)]
+                    if len(open_ := np.flatnonzero(want & ~found)):
+                        left.append((np.full(len(open_), doc), np.full(len(open_), th), at + open_, lo + open_))
+                cols = [list(c) for c in zip(*spans)] or [[]] * 4
+                empty = pa.nulls(len(cols[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), empty, empty], names=names)
+                if left:
+                    doc, th, at, place = (np.concatenate(c) for c in zip(*left))
+                    others = chains(_mix(words + np.uint64(1)), WINDOW)
+                    cols = [doc, th, at, at + WINDOW, windows[place].view(np.int64), others[place].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=names)
 
     dealt = rows.repartition("home", "_salt").sortWithinPartitions("home", "_salt", "kind")
     return dealt.select("home", "_salt", "kind", "doc", "th", "at", "words", "firsts", "runs").mapInArrow(run, "doc bigint, th bigint, first bigint, last bigint, w1 bigint, w2 bigint")

@@ -57,7 +57,8 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_passages_beside_brute_force(spark, seed):
+def test_passages_beside_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(substring, "PORTION", 500)
     rows = corpus(seed)
     got = found(spark, rows)
     assert got == plain(rows) and sum(r[2] > 0 for r in got) > 20
@@ -74,7 +75,7 @@ def test_a_long_text_and_an_empty_table(spark):
 @given(st.lists(st.integers(0, 2), max_size=120), st.lists(st.integers(0, 2), max_size=80))
 def test_a_parse_finds_every_window_of_the_block(text, ref):
     a, b = (substring.hashed([b"%d" % x for x in v]) for v in (text, ref))
-    got = substring.Block(b).parse(a) if len(b) >= 13 else np.zeros(max(0, len(a) - 12), bool)
+    got = substring.Block(b).parse(a, substring.chains(a, 13)) if len(b) >= 13 else np.zeros(max(0, len(a) - 12), bool)
     have = {tuple(ref[i : i + 13]) for i in range(len(ref) - 12)}
     assert got.tolist() == [tuple(text[i : i + 13]) in have for i in range(len(text) - 12)]
 
