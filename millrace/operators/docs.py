@@ -45,6 +45,27 @@ def headings(text: Column) -> Column:
     return F.zip_with(marks, names, lambda m, n: F.struct(F.length(m).alias("level"), n.alias("heading")))
 
 
+# The types of content that are read, and how.
+KINDS = {"text/html": "html", "application/xhtml+xml": "html", "text/markdown": "markdown", "text/x-markdown": "markdown", "text/plain": "text"}
+
+
+def uniform(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, kind, title, headings, text of files (key, mime, content), each read by its type; parameters of a type (`; charset=...`) and its case
+    do not count.
+
+    A page's title is its title element, a marked-up text's its first heading, a plain text has none.  Files of other types
+    stay, with kind, title and text null, so that nothing is lost unseen; null content is an empty text."""
+    mime = F.lower(F.trim(F.substring_index(F.col("mime"), ";", 1)))
+    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    rows = files.select(key, F.try_element_at(kind, mime).alias("kind"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("c"))
+    tag = r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]>"
+    of_page = F.zip_with(F.regexp_extract_all("c", F.lit(tag), F.lit(1)), F.regexp_extract_all("c", F.lit(tag), F.lit(2)), lambda n, h: F.struct(n.cast("int").alias("level"), html_text(h).alias("heading")))
+    heads = F.when(F.col("kind") == "html", of_page).when(F.col("kind") == "markdown", headings(F.col("c"))).otherwise(F.array().cast("array<struct<level:int,heading:string>>"))
+    title = F.when(F.col("kind") == "html", F.trim(F.regexp_extract("c", r"(?is)<title[^>]*>(.*?)</title>", 1))).when(F.col("kind") == "markdown", F.get("headings", F.lit(0))["heading"])
+    text = F.when(F.col("kind") == "html", html_text(F.col("c"))).when(F.col("kind").isNotNull(), F.regexp_replace("c", "\r\n?", "\n"))
+    return rows.withColumn("headings", heads).select(key, "kind", F.nullif(title, F.lit("")).alias("title"), "headings", text.alias("text"))
+
+
 def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, nr, level, path, depth, root, parent, heading, body: the text between headings under its path of headings
     (deeper ones cleared); root, parent and heading are the path's first, last but one and last.

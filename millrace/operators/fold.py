@@ -151,6 +151,29 @@ def refold(stored: DataFrame, facts: DataFrame, metric: Metric, dirty: DataFrame
     return replace_buckets(stored, rollup(touched, metric, grain, tz), dirty)
 
 
+def concerned(changes: DataFrame, metrics: list[Metric]) -> dict[str, bool]:
+    """Whether a change can alter a metric's cells: some changed row (old or new side, with the facts' columns) passes the filter of
+    one of its measures.  One pass over the changed rows for all metrics."""
+    passes = lambda m: F.coalesce(F.expr(m.where), F.lit(False)) if m.where else F.lit(True)
+    some = {m.name: F.coalesce(F.bool_or(F.greatest(*[passes(x).cast("int") for x in m.measures], F.lit(0)) > 0), F.lit(False)) for m in metrics}
+    row = changes.agg(*[c.alias(f"m{i}") for i, c in enumerate(some.values())]).first()
+    return {name: bool(row[i]) for i, name in enumerate(some)}
+
+
+def refold_concerned(stored: dict[str, DataFrame], facts: DataFrame, changes: DataFrame, metrics: list[Metric], grain: str = "daily", tz: str = "UTC") -> tuple[dict[str, DataFrame], list[str]]:
+    """Each metric's stored cells after a change, and the names of the metrics that the change cannot concern: these are not folded.
+    changes has every changed row's old and new side; facts are those after the change."""
+    on = concerned(changes, metrics)
+    out = {}
+    for m in metrics:
+        if not on[m.name]:
+            out[m.name] = stored[m.name]
+            continue
+        dirty = changes.filter(F.col(m.at).isNotNull()).select(_bucket(grain, m.at, tz).alias("bucket")).distinct()
+        out[m.name] = refold(stored[m.name], facts, m, dirty, grain, tz)
+    return out, [m.name for m in metrics if not on[m.name]]
+
+
 def replace_buckets(stored: DataFrame, new: DataFrame, buckets: DataFrame, key: str = "bucket") -> DataFrame:
     """All rows of the given buckets out, the recomputed rows in."""
     return stored.join(buckets.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -68,17 +68,17 @@ def replay(board: DataFrame, close: Column, warn_s: int = 7_200, gone_s: int = 1
     every = F.array(usual - sec(warn_s - TICK_S), usual + sec(TICK_S), usual + sec(gone_s + TICK_S), dock + sec(gone_s + TICK_S), F.col("last_pick"), F.col("last_load"), close)
     instants = F.array_sort(F.array_distinct(F.filter(every, lambda t: t.isNotNull() & (t <= close))))
     state = {c: F.col(c) for c in BOARD}
-    rows = board.withColumn("at", F.explode(instants))
-    rows = rows.withColumn("tier", tier(as_seen(state, F.col("at")), F.col("at"), warn_s, gone_s))
-    w = Window.partitionBy("delivery").orderBy("at")
-    changed = rows.withColumn("_b", F.lag("tier", 1, "none").over(w)).withColumn("change", F.col("_b") != F.col("tier"))
-    rank = F.array_position(F.array(*map(F.lit, RANK)), F.col("tier"))
-    flag = F.col("change") & (F.col("tier") != "none")
-    history = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("change"), F.struct("at", "tier")))), lambda x: x["tier"]), ">")
-    stamp = F.date_format(F.min(F.when(flag, F.col("at"))), "yyyy-MM-dd HH:mm:ss")
-    return changed.groupBy("delivery").agg(
-        stamp.alias("first_flag"), F.coalesce(F.max_by(F.when(F.col("change"), F.col("tier")), F.when(F.col("change"), rank)), F.lit("none")).alias("worst"),
-        F.max_by("tier", "at").alias("final"), history.alias("history"),
+    seen = F.transform(instants, lambda t: F.struct(t.alias("at"), tier(as_seen(state, t), t, warn_s, gone_s).alias("tier")))
+    rows = board.select("delivery", F.explode(F.array(seen)).alias("seen")).filter(F.size("seen") > 0)
+    # The instants are few and never leave their row.
+    before = lambda i: F.when(i == 0, "none").otherwise(F.get("seen", i - 1)["tier"])
+    rows = rows.withColumn("changes", F.filter("seen", lambda x, i: x["tier"] != before(i)))
+    rank = lambda x: F.array_position(F.array(*map(F.lit, RANK)), x["tier"])
+    worst = F.array_max(F.transform("changes", lambda x: F.struct(rank(x).alias("rank"), x["tier"].alias("tier"))))["tier"]
+    flagged = F.get(F.filter("changes", lambda x: x["tier"] != "none"), F.lit(0))["at"]
+    return rows.select(
+        "delivery", F.date_format(flagged, "yyyy-MM-dd HH:mm:ss").alias("first_flag"), F.coalesce(worst, F.lit("none")).alias("worst"),
+        F.element_at("seen", -1)["tier"].alias("final"), F.array_join(F.transform("changes", lambda x: x["tier"]), ">").alias("history"),
     )
 
 

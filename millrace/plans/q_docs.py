@@ -131,19 +131,10 @@ def json_or_raw(spark: SparkSession, d: str) -> DataFrame:
 
 def _redacted_sql() -> str:
     """The redaction by DuckDB's expressions, which do not look around: a name starts at a word's edge there."""
-    name = "[\\w.-]*?(?:credentials|password|passwd|pwd|token|secret|api[_-]?key)"
-    steps = (
-        (f"\\b({name}=)[^&\\s\"''<>]*", "\\1<redacted>"), (f'("{name}"\\s*:\\s*)\\{{{{[^{{{{}}}}]*\\}}}}', '\\1"<redacted>"'), (f'("{name}"\\s*:\\s*")[^"]*(")', "\\1<redacted>\\2"),
-        (f"(%22{name}%22%3A%22).*?(%22)", "\\1<redacted>\\2"), ("(\\bbearer\\s+)[A-Za-z0-9._~+/=-]+", "\\1<redacted>"),
-        (f"\\b({name}\\s*[=:]\\s*)(\"[^\"]*\"|''[^'']*''|[^\\s,;&\"''<>{{{{}}}}]+)", "\\1<redacted>"), ("(\\bbasic\\s+)[A-Za-z0-9+/=]{{8,}}", "\\1<redacted>"),
-        ("([a-z][a-z0-9+.-]*://[^\\s:/@]+:)[^\\s@/]+@", "\\1<redacted>@"),
-    )
     sql = "text"
-    for pattern, to in steps:
-        sql = f"regexp_replace({sql}, '{pattern}', '{to}', 'gi')"
-    for pattern in ("\\bAKIA[0-9A-Z]{16}\\b", "\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"):
-        sql = f"regexp_replace({sql}, '{pattern}', '<redacted>', 'g')"
-    return sql.replace("{{", "{").replace("}}", "}")
+    for pattern, to in ff.secret_patterns(only_once=False):
+        sql = "regexp_replace({}, '{}', '{}', 'g')".format(sql, pattern.replace("'", "''"), to.replace("$", "\\"))
+    return sql
 
 
 @query(
@@ -187,6 +178,20 @@ def page_documents(spark: SparkSession, d: str) -> DataFrame:
     return dc.read_documents(table(spark, d, "pages")).select("page_id", "title", "n_headings")
 
 
+@query(
+    "documents_by_type",
+    """SELECT 'p' || page_id AS id, 'html' AS kind, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, len(regexp_extract_all(html, '(?is)<h[1-6]\\b[^>]*>(.*?)</h[1-6]>'))::INT AS n_headings FROM pages
+UNION ALL SELECT 'd' || doc_id, CASE doc_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'text' END, CASE WHEN doc_id % 3 = 0 THEN nullif(regexp_extract(text, '(?m)^(#{1,6})[ \\t]+(.+?)[ \\t]*$', 2), '') END,
+CASE WHEN doc_id % 3 = 0 THEN len(regexp_extract_all(text, '(?m)^(#{1,6})[ \\t]+(.+?)[ \\t]*$'))::INT ELSE 0 END FROM documents""",
+)
+def documents_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, marked-up and plain texts, and files of a type that is not read, in one form."""
+    pages = table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("doc_id"), F.lit("text/html; charset=utf-8").alias("mime"), F.col("html").alias("content"))
+    mime = F.element_at(F.array(F.lit("text/markdown"), F.lit("TEXT/PLAIN"), F.lit("application/pdf")), (F.col("doc_id") % 3 + 1).cast("int"))
+    texts = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), mime.alias("mime"), F.col("text").alias("content"))
+    return dc.uniform(pages.unionByName(texts)).select(F.col("doc_id").alias("id"), "kind", "title", F.size("headings").alias("n_headings"))
+
+
 def _marked(spark: SparkSession, d: str) -> DataFrame:
     """pages as marked-up text: each heading tag as a line of marks."""
     head = F.regexp_replace(F.col("html"), r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>", "\n<p>H$1 $2</p>\n")

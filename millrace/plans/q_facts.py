@@ -345,3 +345,20 @@ def number_fields(spark: SparkSession, d: str) -> DataFrame:
 
     got = facts(spark, d)
     return got.select(F.col("row_id").alias("event_id"), number_or_null(json_field("props", "k")).cast("double").alias("k"), number_or_null(json_field("props", "zz")).isNotNull().cast("int").alias("missing"))
+
+
+@query(
+    "refold_concerned",
+    """WITH f AS (SELECT *, l_returnflag = 'A' AND l_orderkey % 10 = 0 AS moved FROM lineitem), now AS (SELECT CASE WHEN moved THEN l_quantity + 1 ELSE l_quantity END AS q, l_returnflag FROM f)
+SELECT 'returned' AS metric, 1 AS skipped, sum(q) AS total FROM now WHERE l_returnflag = 'R' UNION ALL SELECT 'all', 0, sum(q) FROM now""",
+)
+def refold_concerned(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of the calls with flag A gets another quantity: the metric of returned calls is not folded again."""
+    old = calls(spark, d)
+    moved = (F.col("l_returnflag") == "A") & (F.col("order_key") % 10 == 0)
+    new = old.withColumn("quantity", F.when(moved, F.col("quantity") + 1).otherwise(F.col("quantity")).cast("decimal(20,6)"))
+    metrics = [fold.Metric("returned", (fold.Measure("q", "sum", "quantity", where="l_returnflag = 'R'"),)), fold.Metric("all", (fold.Measure("q", "sum", "quantity"),))]
+    stored = {m.name: fold.rollup(old, m, "monthly") for m in metrics}
+    cells, skipped = fold.refold_concerned(stored, new, old.filter(moved).unionByName(new.filter(moved)), metrics, "monthly")
+    parts = [c.agg(F.sum("sum_value").cast("double").alias("total")).select(F.lit(n).alias("metric"), F.lit(int(n in skipped)).alias("skipped"), "total") for n, c in cells.items()]
+    return parts[0].unionByName(parts[1])

@@ -137,6 +137,18 @@ def stream_sealed(spark: SparkSession, d: str) -> DataFrame:
     return jobs.run_to_table(jobs.seal_stream(_stream(spark, d), "1 hour"), "sealed")
 
 
+@query(
+    "stream_sealed_transactions",
+    """SELECT user_id || '-' || strftime(ts, '%Y%m%d%H') AS txn, count(*) AS n, bool_or(event_type IN ('purchase', 'error')) AS ended FROM events GROUP BY 1
+HAVING max(ts) + CASE WHEN bool_or(event_type IN ('purchase', 'error')) THEN INTERVAL 900 SECONDS ELSE INTERVAL 3600 SECONDS END <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""",
+)
+def stream_sealed_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """A user's hour as a transaction, sealed by its status."""
+    txn = F.concat_ws("-", "user_id", F.date_format("at", "yyyyMMddHH"))
+    s = _stream(spark, d).select(txn.alias("txn"), "at", F.col("method").isin("purchase", "error").alias("ends"))
+    return jobs.run_to_table(jobs.seal_transactions(s), "sealed").select("txn", "n", "ended")
+
+
 def conversation_lines(events: DataFrame) -> DataFrame:
     """Events (at, row_id, user_id, method) as lines of three busy servers."""
     kind = F.when(F.col("method") == "click", "request").when(F.col("method") == "purchase", "response").otherwise("info")

@@ -197,3 +197,43 @@ def seal_stream(stream: DataFrame, quiet: str, lag: str = "10 minutes") -> DataF
     """Sessions of a user that end after a quiet stretch, sealed by the data's own watermark."""
     g = stream.withWatermark("at", lag).groupBy(F.session_window("at", quiet), "user_id").agg(F.count("*").alias("n"))
     return g.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
+
+
+class Sealer(StatefulProcessor):
+    """A transaction's line count and end; it is sealed once the watermark is seal_s past its end if it has ended (a response or an
+    error), else abandon_s.  A line that comes first puts the timer off; one that comes after the seal opens the transaction anew."""
+
+    def __init__(self, seal_s: int, abandon_s: int) -> None:
+        self.wait = {True: seal_s * 1000, False: abandon_s * 1000}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.txn = handle.getValueState("txn", "first bigint, last bigint, n bigint, ended boolean, due bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, last, n, ended, due = self.txn.get() if self.txn.exists() else (None, None, 0, False, None)
+        for f in rows:
+            at = f["at"].astype("datetime64[us]").astype("int64")
+            first, last = min([int(at.min()), *([] if first is None else [first])]), max([int(at.max()), *([] if last is None else [last])])
+            n, ended = n + len(f), ended or bool(f["ends"].any())
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = max(-(-last // 1000) + self.wait[bool(ended)], timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(due)
+        self.txn.update((first, last, n, bool(ended), due))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.txn.exists():
+            first, last, n, ended, _ = self.txn.get()
+            self.txn.clear()
+            yield pd.DataFrame({"txn": [key[0]], "started_at": [pd.Timestamp(first, unit="us")], "ended_at": [pd.Timestamp(last, unit="us")], "n": [n], "ended": [bool(ended)]})
+
+    def close(self) -> None:
+        pass
+
+
+def seal_transactions(stream: DataFrame, seal_s: int = 900, abandon_s: int = 3600, lag: str = "10 minutes") -> DataFrame:
+    """Transactions (txn, at, ends) as they are sealed by the data's own watermark: terminal ones after seal_s, others after abandon_s."""
+    rows = stream.select("txn", "at", F.coalesce(F.col("ends"), F.lit(False)).alias("ends")).filter("txn IS NOT NULL AND at IS NOT NULL")
+    return rows.withWatermark("at", lag).groupBy("txn").transformWithStateInPandas(Sealer(seal_s, abandon_s), "txn string, started_at timestamp, ended_at timestamp, n bigint, ended boolean", "Append", "EventTime")

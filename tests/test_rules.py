@@ -115,6 +115,61 @@ def test_redaction(spark):
     assert one(spark, fields.redact(F.lit(text))) == want == one(spark, fields.redact(F.lit(want)))
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('{"password": 12345, "user": "al"}', '{"password": "<redacted>", "user": "al"}'),
+        ('{"token": {"a": {"b": "xyz"}}, "n": 1}', '{"token": "<redacted>", "n": 1}'),
+        ('{"password":"a\\"bc","x":"y"}', '{"password":"<redacted>","x":"y"}'),
+        ('{"api_key": ["k1", {"k": "}"}], "z": true}', '{"api_key": "<redacted>", "z": true}'),
+        ("my.access-token=abc,def&user=al", "my.access-token=<redacted>&user=al"),
+        ("Secret: 'two words' and passwords are long", "Secret: <redacted> and passwords are long"),
+        ("Authorization: Basic dXNlcjpwYXNz", "Authorization: Basic <redacted>"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_redaction_walks_over_whole_values(spark, text, want):
+    c = F.lit(text).cast("string")
+    assert one(spark, fields.redact(c)) == want == one(spark, fields.redact(fields.redact(c)))
+
+
+def test_redaction_of_long_values(spark):
+    long = '{"password": "' + 'a\\"' * 200_000 + '", "token": [' + "1, " * 100_000 + '1]}'
+    assert one(spark, fields.redact(F.lit(long))) == '{"password": "<redacted>", "token": "<redacted>"}'
+
+
+def test_blocks_keep_every_record_and_the_last_of_equal_keys(spark):
+    text = "A : 1\nA = 2\nB: x y \n" + "".join(f"Record: {i}\nK : {i}\nK : last {i}\n" for i in range(300))
+    got = one(spark, fields.record_blocks(F.lit(text)))
+    assert len(got) == 300 and got[299] == {"K": "last 299"}
+    assert one(spark, fields.kv_block(F.lit("A : 1\nB: x y \nA = 2"))) == {"A": "2", "B": "x y"}
+    assert one(spark, fields.kv_block(F.lit(""))) == {} and one(spark, fields.record_blocks(F.lit("no blocks"))) == []
+
+
+def test_metrics_that_a_change_cannot_concern(spark):
+    rows = spark.createDataFrame([("2026-01-01 05:00:00", "a", 1.0, 1), ("2026-01-02 05:00:00", "b", 2.0, 2), (None, "c", 3.0, 3)], "t string, kind string, v double, row_id int").selectExpr("timestamp(t) AS event_time", "kind", "v", "row_id")
+    m = lambda n, *w: fold.Metric(n, tuple(fold.Measure(f"m{i}", "sum", "v", where=x) for i, x in enumerate(w)))
+    metrics = [m("a", "kind = 'a'"), m("b", "kind = 'b'"), m("either", "kind = 'z'", "v > 1"), m("all", None), m("unknown", "kind > NULL")]
+    changes = rows.filter("kind = 'b'")
+    assert fold.concerned(changes, metrics) == {"a": False, "b": True, "either": True, "all": True, "unknown": False}
+    assert not any(fold.concerned(rows.limit(0), metrics).values())
+    stored = {x.name: fold.rollup(rows, x) for x in metrics}
+    new = rows.withColumn("v", F.when(F.col("kind") == "b", 9.0).otherwise(F.col("v")))
+    cells, skipped = fold.refold_concerned(stored, new, changes.unionByName(new.filter("kind = 'b'")), metrics)
+    assert skipped == ["a", "unknown"]
+    cols = ["bucket", "measure", "sum_value", "count_value"]
+    assert all(values(cells[x.name], *cols) == values(fold.rollup(new, x), *cols) for x in metrics)
+
+
+def test_files_by_their_type(spark):
+    rows = [(1, "text/html; charset=utf-8", "<title> T </title><h1>A <b>b</b></h1><p>x&amp;y</p><h2>C</h2>"), (2, "Text/Markdown", "# One\r\ntext\r\n## Two"), (3, "text/plain", "# no heading"), (4, "application/pdf", "%PDF"), (5, None, "x"), (6, "text/plain", None), (7, "text/html", "")]
+    got = {r.doc_id: (r.kind, r.title, [tuple(h) for h in r.headings], r.text) for r in docs.uniform(spark.createDataFrame(rows, "doc_id int, mime string, content string")).collect()}
+    assert got[1][:3] == ("html", "T", [(1, "A b"), (2, "C")]) and "x&y" in got[1][3]
+    assert got[2] == ("markdown", "One", [(1, "One"), (2, "Two")], "# One\ntext\n## Two") and got[3] == ("text", None, [], "# no heading")
+    assert got[4] == got[5] == (None, None, [], None) and got[6] == ("text", None, [], "") and got[7] == ("html", None, [], "")
+
+
 def test_definitions_report_every_problem():
     bad = fold.Metric("m", (fold.Measure("a", "sum"), fold.Measure("a", "nope", "x"), fold.Measure("b", "sum", "stock")), tuple("abcdefg"), levels=("stock",)).validate()
     assert len(bad) == 5

@@ -141,3 +141,11 @@ def test_gates_and_watches_by_time(spark, tmp_path):
     s = _batches(spark, tmp_path, [[(at(m), v)] for m, v in levels], "ts timestamp, v double", level="v").withColumn("watch", F.lit("w"))
     got = sorted((r.at, r.status) for r in jobs.run_to_table(jobs.watches(s, 90, 40, settle_s=300), "watches").collect())
     assert got == [(at(0), "alert"), (at(11), "ok"), (at(13), "alert")]
+
+
+def test_two_horizons_of_sealing(spark, tmp_path):
+    at = lambda m: datetime(2026, 1, 1, 5 + m // 60, m % 60)
+    batches = [[(at(0), "done", True), (at(1), "open", False), (at(2), "late", False)], [(at(10), "done", False), (at(30), "late", True)], [(at(46), "x", False)], [(at(100), "y", False)], [(at(110), "y", True)]]
+    s = _batches(spark, tmp_path, batches, "ts timestamp, t string, e boolean", txn="t", ends="e")
+    got = {(r.txn, r.started_at, r.ended_at, r.n, r.ended) for r in jobs.run_to_table(jobs.seal_transactions(s), "sealed").collect()}
+    assert got == {("done", at(0), at(10), 2, True), ("open", at(1), at(1), 1, False), ("late", at(2), at(30), 2, True)}
