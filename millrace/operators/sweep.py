@@ -38,8 +38,8 @@ def fill_forward(df: DataFrame, keys: list[str], order: list[str], value: Column
     if "_slice" not in df.columns:
         own = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
         return rows.withColumn(name, F.last("_v", ignorenulls=True).over(own)).drop("_v")
-    left = rows.filter(F.col("_v").isNotNull()).groupBy(*keys, "_slice").agg(F.max_by("_v", F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order])).alias("_left"))
-    slices = rows.select(*keys, "_slice").distinct().join(left, [*keys, "_slice"], "left")
+    newest = F.when(F.col("_v").isNotNull(), F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order]))
+    slices = rows.groupBy(*keys, "_slice").agg(F.max_by("_v", newest).alias("_left"))
     older = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = slices.withColumn("_carry", F.last("_left", ignorenulls=True).over(older)).drop("_left")
     own = Window.partitionBy(*keys, "_slice").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1 if before else 0)

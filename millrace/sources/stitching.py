@@ -214,13 +214,14 @@ def stitch(entries: DataFrame, slice_s: int = 3600) -> DataFrame:
     if users is not None:
         rows = rows.join(users.select("server", "user_ctx", F.col("label").alias("_with")), ["server", "user_ctx"], "left")
         of_user = F.concat(F.lit("u:"), F.coalesce("_with", "user_ctx"))
-    rows = with_slice(rows.withColumn("_own", F.coalesce("label", of_user)), "t", slice_s)
-    held = fill_forward(rows, ["server", "thread"], ["t", "row_id"], F.col("_own"), "unit")
-    some = stretches(held.filter("unit IS NOT NULL"), ["server", "unit"], "t", "row_id", GAP_US, "since")
+    # Sweeps read their input more than once, so each is a written table.
     cols = ["server", "row_id", "t", "thread", "user_ctx", "entry_type", "request_id"]
+    rows = _written(with_slice(rows.select(*cols, F.coalesce("label", of_user).alias("_own")), "t", slice_s), "lines")
+    held = _written(fill_forward(rows, ["server", "thread"], ["t", "row_id"], F.col("_own"), "unit").drop("_own"), "owned")
+    some = stretches(held.filter("unit IS NOT NULL"), ["server", "unit"], "t", "row_id", GAP_US, "since")
     first = _written(_swept(some.select(*cols, "unit", "since"), ["server", "unit", "since"], False), "stitched")
-    left = first.filter("txn IS NULL").select("server", "row_id").join(lines, ["server", "row_id"]).select(*cols)
-    alone = with_slice(left.unionByName(held.filter("unit IS NULL").select(*cols)), "t", slice_s)
+    left = held.join(first.filter("txn IS NULL").select("server", "row_id"), ["server", "row_id"], "left_semi").select(*cols, "_slice")
+    alone = _written(left.unionByName(held.filter("unit IS NULL").select(*cols, "_slice")), "alone")
     alone = stretches(alone, ["server", "thread"], "t", "row_id", GAP_US, "since")
     second = _swept(alone.select(*cols, F.col("thread").alias("unit"), "since"), ["server", "unit", "since"], True)
     return first.filter("txn IS NOT NULL").unionByName(second)
