@@ -25,5 +25,5 @@ def test_entry_without_parts(tmp_path, gone):
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q) > 100, set(s) <= set(q), sum(n.startswith('op') and n[2].isdigit() for n in q), 'pipeline' in q)"
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     left = (tmp_path / "millrace/llm").exists()
-    want = f"True True {10 if left else 0} {left and (tmp_path / 'corpus_pipeline.py').exists()}"
+    want = f"True True {13 if left else 0} {left and (tmp_path / 'corpus_pipeline.py').exists()}"
     assert run.stdout.strip() == want, run.stderr[-2000:]
