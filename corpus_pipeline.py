@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near-duplicates, personal data, mixing and BPE, one stage after the other."""
+"""The corpus pipeline: quality rules, near-duplicates, personal data, mixing and BPE, one stage after the other.
+
+Null and empty texts have no words, so the first stage rejects them.  Of rows of one doc_id that differ, the second keeps one
+(by a hash of the row, so reruns agree); rows without a doc_id are no one's copies and all go on, and the mix draws each row
+for itself.  Long texts are worked on whole.  Columns keep their names and places whatever they are called, up to the last
+stage, which returns ids and digests; an empty table gives an empty result."""
 
 from __future__ import annotations
 
