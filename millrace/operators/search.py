@@ -76,7 +76,7 @@ def _fit(vectors: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, np.ndarra
     for v in _vectors(pa.array([r.embedding for r in rows], pa.list_(pa.float64()))):
         if v is not None:
             by.setdefault(len(v), []).append(v)
-    n = vectors.count()
+    n = len(rows) if len(rows) < SAMPLE else vectors.count()
     pivots = {d: _spread(np.array([_unit(v) for v in vs]), max(1, min(PIVOTS, int(n**0.5) // 2))) for d, vs in by.items()}
     return pivots, {d: np.array(vs) for d, vs in by.items()}
 
@@ -211,9 +211,6 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None
     ix, placed = index(v)
     q = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).filter("query IS NOT NULL AND query_id IS NOT NULL")
     blocks = _packs(placed, "id", block, BLOCK_BYTES)
-    path = shared_dir(queries.sparkSession, "blocks")
-    blocks.write.parquet(path)
-    blocks = queries.sparkSession.read.parquet(path)
     path = shared_dir(queries.sparkSession, "probed")
     _best(_scored(_asks(q.withColumn("floor", F.lit(None).cast("double")), ix, k, "probe"), blocks, k), k).write.parquet(path)
     probed = queries.sparkSession.read.parquet(path)
