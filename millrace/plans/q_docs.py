@@ -54,6 +54,22 @@ def log_entries(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).select("source_file", "line_number", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"), "user_ctx", "thread", "entry_type", "request_id", "result_status", "call", "body")
 
 
+@query(
+    "log_file_entries",
+    """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS at, event_type AS method, CASE WHEN event_id % 3 = 0 THEN 'props' || chr(10) || chr(10) || coalesce(props, '') ELSE '' END AS body, 1 AS n FROM events""",
+)
+def log_file_entries(spark: SparkSession, d: str) -> DataFrame:
+    """events written as log files in order of time and read back by ranges."""
+    f = facts(spark, d)
+    text = logs.as_log(F.col("event_time"), F.lit("U"), F.lit("1"), F.lit("INFO"), F.col("row_id").cast("string"), F.col("method"))
+    more = F.when(F.col("row_id") % 3 == 0, F.concat(F.lit("\nprops\n\n"), F.coalesce("props", F.lit("")))).otherwise("")
+    path = shared.shared_dir(spark, "logs")
+    f.select(F.concat(text, more).alias("value"), "event_time").repartitionByRange("event_time").sortWithinPartitions("event_time").select("value").write.text(path)
+    e = logs.parse_header(logs.read_log_entries(spark, path))
+    got = e.groupBy(F.col("message").cast("long").alias("event_id"), "at", "method", "body").agg(F.count("*").cast("int").alias("n"))
+    return got.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS"))
+
+
 @query("stitched_transactions")
 def stitched_transactions(spark: SparkSession, d: str) -> DataFrame:
     e = _entries(spark, d).select(F.col("source_file").alias("server"), F.col("line_number").alias("row_id"), "at", "thread", "user_ctx", "entry_type", "request_id", "result_status", "level")

@@ -9,6 +9,7 @@ from millrace.sources.stitching import stitch as stitch
 
 # The shapes of an entry's start, its header, and what its message says.
 STARTS = r"\n(?=\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} )"
+OPENS = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} "
 HEADER = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) \((.*?)\) \[([^\]]*)\] (\w+)\s+(\S+) (\S+) - (.*)$"
 BRACKET = r"(?s)^(REQUEST BODY|REQUEST|RESPONSE)(?: \(ReqID = ([^)]*)\))?(?: -)?\s*:\s?(.*)$"
 RESULT = r"(?s)MI Program:\s*(\S+)\s+Transaction:\s*(\S+)\s+Result:\s*(.*)$"
@@ -26,12 +27,39 @@ def split_entries(files: DataFrame, text: str = "value", source: str = "source_f
     w = Window.partitionBy("source_file").orderBy("nr").rowsBetween(Window.unboundedPreceding, -1)
     lines = F.length("raw") - F.length(F.replace("raw", F.lit("\n"))) + 1
     at = parts.withColumn("line_number", F.coalesce(F.sum(lines).over(w), F.lit(0)) + 1)
-    return at.filter(F.col("raw").rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} "))
+    return at.filter(F.col("raw").rlike(OPENS))
 
 
 def read_log_entries(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of log files below a path."""
-    return split_entries(spark.read.text(path, wholetext=True).withColumn("source_file", F.input_file_name()))
+    """The entries of log files below a path, which are cut into ranges like any other text: no file meets in one row or task."""
+    at = F.col("_metadata")
+    lines = spark.read.text(path).select(at["file_path"].alias("source_file"), at["file_block_start"].alias("part"), F.monotonically_increasing_id().alias("pos"), "value")
+    return entries_of_lines(lines)
+
+
+def entries_of_lines(lines: DataFrame) -> DataFrame:
+    """source_file, line_number, raw of each entry of lines (value) that are ordered by range of a file (part) and inside it (pos).
+
+    Entries are told apart inside each range.  What stands in a range before its first header belongs to the last entry of the
+    nearest earlier range that has a header; counts of lines and headers by range, summed over a file's ranges, number the lines.
+    Only these pieces move between ranges.  A null line is an empty one; an entry must fit a row (2 GB)."""
+    cut = F.posexplode(F.split(F.coalesce("value", F.lit("")), "[\u0085\u2028\u2029]")).alias("sub", "line")
+    cut_lines = lines.select("source_file", "part", "pos", cut).withColumn("opens", F.col("line").rlike(OPENS).cast("long"))
+    inside = Window.partitionBy("source_file", "part").orderBy("pos", "sub")
+    placed = cut_lines.select("source_file", "part", F.row_number().over(inside).alias("n"), F.sum("opens").over(inside).alias("k"), "line")
+    earlier = Window.partitionBy("source_file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut_lines.groupBy("source_file", "part").agg(F.count("*").alias("lines"), F.sum("opens").alias("heads"))
+    ranges = ranges.select(
+        "source_file", "part", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"),
+        F.last(F.when(F.col("heads") > 0, F.struct("part", "heads")), ignorenulls=True).over(earlier).alias("owner"),
+    )
+    joined = lambda of, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, of))), lambda x: x[of]), "\n")
+    pieces = placed.groupBy("source_file", "part", "k").agg(F.min("n").alias("n"), joined("line", "n").alias("raw")).join(ranges, ["source_file", "part"])
+    tails = pieces.filter("k = 0 AND owner IS NOT NULL").groupBy(F.col("source_file").alias("_file"), F.col("owner.part").alias("_part"))
+    tails = tails.agg(F.max("owner.heads").alias("_last"), joined("raw", "part").alias("tail"))
+    # A range's entries are numbered from 1 on, so that only its last one reaches the number of its headers.
+    own = (F.col("source_file") == F.col("_file")) & (F.col("part") == F.col("_part")) & (F.col("k") >= F.col("_last"))
+    return pieces.filter("k > 0").join(tails, own, "left").select("source_file", (F.col("before") + F.col("n")).alias("line_number"), F.concat_ws("\n", "raw", "tail").alias("raw"))
 
 
 def parse_header(entries: DataFrame) -> DataFrame:
