@@ -57,9 +57,9 @@ def as_seen(s: dict[str, Column], at: Column) -> dict[str, Column]:
 BOARD = ("expected", "confirmed", "created", "loaded", "loads", "usual", "dock_last", "last_pick", "last_load")
 
 
-def replay(board: DataFrame, close: Column, warn_s: int = 7_200, gone_s: int = 1_800) -> DataFrame:
+def replay(board: DataFrame, close: Column, warn_s: int = 7_200, gone_s: int = 1_800, keep: tuple[str, ...] = ()) -> DataFrame:
     """The tiers of a delivery over the few instants at which they can change, up to its close: first flag, worst tier, final
-    tier, history.
+    tier, history; and the columns to keep.
 
     These are a tick after the warning window opens, after the usual time, after the van counts as gone (from the usual time
     or from the dock's last scan), the ends of picking and loading, and the close."""
@@ -69,7 +69,7 @@ def replay(board: DataFrame, close: Column, warn_s: int = 7_200, gone_s: int = 1
     instants = F.array_sort(F.array_distinct(F.filter(every, lambda t: t.isNotNull() & (t <= close))))
     state = {c: F.col(c) for c in BOARD}
     seen = F.transform(instants, lambda t: F.struct(t.alias("at"), tier(as_seen(state, t), t, warn_s, gone_s).alias("tier")))
-    rows = board.select("delivery", F.explode(F.array(seen)).alias("seen")).filter(F.size("seen") > 0)
+    rows = board.select("delivery", *keep, F.explode(F.array(seen)).alias("seen")).filter(F.size("seen") > 0)
     # The instants are few and never leave their row.
     before = lambda i: F.when(i == 0, "none").otherwise(F.get("seen", i - 1)["tier"])
     rows = rows.withColumn("changes", F.filter("seen", lambda x, i: x["tier"] != before(i)))
@@ -77,11 +77,57 @@ def replay(board: DataFrame, close: Column, warn_s: int = 7_200, gone_s: int = 1
     worst = F.array_max(F.transform("changes", lambda x: F.struct(rank(x).alias("rank"), x["tier"].alias("tier"))))["tier"]
     flagged = F.get(F.filter("changes", lambda x: x["tier"] != "none"), F.lit(0))["at"]
     return rows.select(
-        "delivery", F.date_format(flagged, "yyyy-MM-dd HH:mm:ss").alias("first_flag"), F.coalesce(worst, F.lit("none")).alias("worst"),
+        "delivery", *keep, F.date_format(flagged, "yyyy-MM-dd HH:mm:ss").alias("first_flag"), F.coalesce(worst, F.lit("none")).alias("worst"),
         F.element_at("seen", -1)["tier"].alias("final"), F.array_join(F.transform("changes", lambda x: x["tier"]), ">").alias("history"),
     )
 
 
+def rhythms(closed: DataFrame, asked: DataFrame, window_days: int = 28, coverage: float = 0.9, least_days: int = 3) -> DataFrame:
+    """route, day, days, usual of each asked (route, day): the minute of the day up to which a route's last scan came on the
+    covered share of the days that closed in the window ending that day (null: fewer than least_days).
+
+    closed has route, day and minute.  Rows are first brought down to one a route and day, so the window holds calendar days."""
+    per = closed.groupBy("route", "day").agg(F.max("minute").alias("minute")).withColumn("asked", F.lit(False))
+    both = per.unionByName(asked.select("route", "day", F.lit(None).cast(dict(per.dtypes)["minute"]).alias("minute"), F.lit(True).alias("asked")).distinct())
+    w = Window.partitionBy("route").orderBy(F.unix_date("day")).rangeBetween(1 - window_days, 0)
+    days, covered = F.count("minute").over(w), F.percentile("minute", coverage).over(w)
+    seen = both.select("route", "day", "asked", days.alias("days"), covered.alias("covered")).filter("asked")
+    return seen.select("route", "day", "days", F.when(F.col("days") >= least_days, F.col("covered")).alias("usual"))
+
+
+def known_before(days: DataFrame, profiles: DataFrame) -> DataFrame:
+    """days (route, day) with the profile of the newest earlier day (null: none); of two profiles of one day the greater counts."""
+    names = [c for c in profiles.columns if c not in ("route", "day")]
+    shape = F.struct("day", *names)
+    told = profiles.groupBy("route", "day").agg(F.max(shape).alias("known")).withColumn("ask", F.lit(0))
+    asks = days.select("route", "day").distinct().withColumn("known", F.lit(None).cast(told.schema["known"].dataType)).withColumn("ask", F.lit(1))
+    # A profile of the same day stands behind the question, and so is not seen by it.
+    w = Window.partitionBy("route").orderBy("day", F.desc("ask")).rowsBetween(Window.unboundedPreceding, 0)
+    got = told.unionByName(asks).withColumn("known", F.last("known", ignorenulls=True).over(w)).filter("ask = 1")
+    return got.select("route", "day", F.col("known.day").alias("known_day"), *[F.col(f"known.{c}").alias(c) for c in names])
+
+
+def replay_days(board: DataFrame, profiles: DataFrame, now: Column, grace_s: int, live: DataFrame | None = None, spare_s: int = 10_800) -> DataFrame:
+    """Old days judged again, all at once, each by the profiles that were known before it: delivery, day, known_day, the replay's
+    columns, outcome and category.
+
+    board has delivery, route, day, departure_at and BOARD but for usual; profiles route, day, usual (minute of the day).  A
+    delivery closes grace_s after its departure.  A day with a delivery that is not closed by now is left out, and so is a
+    delivery that live (delivery, day) has already.  Without a profile, or with an empty one, a van is usually ready spare_s before
+    its departure.  A delivery without a route or day has no day to be judged on and is left out."""
+    rows = board.filter("route IS NOT NULL AND day IS NOT NULL").withColumn("close", F.col("departure_at") + F.make_dt_interval(secs=F.lit(float(grace_s))))
+    over = rows.groupBy("day").agg(F.max("close").alias("_c")).filter(F.col("_c") <= now).select("day")
+    rows = rows.join(over, "day", "left_semi")
+    rows = rows if live is None else rows.join(live, ["delivery", "day"], "left_anti")
+    ready = F.timestamp_seconds(F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("known_usual") * 60)
+    rows = rows.join(known_before(rows, profiles.select("route", "day", F.col("usual").alias("known_usual"))), ["route", "day"])
+    rows = rows.withColumn("usual", F.coalesce(ready, F.col("departure_at") - F.make_dt_interval(secs=F.lit(float(spare_s)))))
+    s = {c: F.col(c) for c in (*BOARD, "departure_at")}
+    rows = rows.withColumn("outcome", outcome_of(s)).withColumn("category", category_of(F.col("outcome"), s))
+    kept = ("day", "known_day", "outcome", "category")
+    return replay(rows, F.col("close"), keep=kept)
+
+
 def outcome_of(s: dict[str, Column]) -> Column:
     """How a delivery ended against its departure: never_loaded, loaded_late or loaded_in_time; on a route without a loading
     step picked_late or picked_in_time."""

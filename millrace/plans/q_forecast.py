@@ -252,6 +252,38 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("outcome", closed).withColumn("category", risk.category_of(F.col("outcome"), s))
 
 
+_OLD_NOW = "TIMESTAMP '1998-06-01 00:00:00'"
+
+
+@query(
+    "replay_old_days",
+    f"""WITH {_BOARD}, c AS (SELECT route, day, max(hour(last_load) * 60 + date_diff('day', day, last_load::DATE) * 1 + 420) AS minute FROM b WHERE last_load IS NOT NULL GROUP BY 1, 2),
+a AS (SELECT DISTINCT route, day - 1 AS day FROM b), u AS (SELECT route, day, minute, false AS ask FROM c UNION ALL SELECT route, day, NULL, true FROM a),
+w AS (SELECT route, day, ask, count(minute) OVER x AS days, quantile_cont(minute, 0.9) OVER x AS covered FROM u WINDOW x AS (PARTITION BY route ORDER BY day RANGE BETWEEN INTERVAL 27 DAYS PRECEDING AND CURRENT ROW)),
+p AS (SELECT route, day, CASE WHEN days >= 3 THEN covered END AS known FROM w WHERE ask AND dayofmonth(day) % 2 = 0),
+d AS (SELECT day FROM b GROUP BY 1 HAVING max(departure_at) + INTERVAL 2 HOURS <= {_OLD_NOW}),
+k AS (SELECT b.* EXCLUDE (usual), p.day AS known_day, known, departure_at + INTERVAL 2 HOURS AS close FROM b JOIN d USING (day) ASOF LEFT JOIN p ON p.route = b.route AND p.day < b.day WHERE b.delivery % 7 <> 0),
+e AS (SELECT *, coalesce(day::TIMESTAMP + to_microseconds((known * 60)::BIGINT * 1000000), departure_at - INTERVAL 3 HOURS) AS usual FROM k),
+o0 AS (SELECT *, {_OUT} AS outcome FROM e), o AS (SELECT *, {_WORD.replace(f"WHEN {_OPEN} THEN 'open' ", "")} AS category FROM o0),
+i AS (SELECT DISTINCT o.*, t FROM o, unnest([usual - INTERVAL 119 MINUTES, usual + INTERVAL 1 MINUTE, usual + INTERVAL 31 MINUTES, dock_last + INTERVAL 31 MINUTES, last_pick, last_load, close]) AS z(t) WHERE t IS NOT NULL AND t <= close),
+v AS (SELECT *, CASE WHEN last_pick IS NULL OR t >= last_pick THEN confirmed ELSE 0 END AS c, CASE WHEN last_load IS NULL OR t >= last_load THEN loaded ELSE 0 END AS n, CASE WHEN dock_last IS NOT NULL THEN least(dock_last, t) END AS k FROM i),
+r AS (SELECT delivery, day, known_day, outcome, category, t, {_tier_sql("t", "c", "n", "k")} AS tier FROM v), q AS (SELECT *, tier <> lag(tier, 1, 'none') OVER (PARTITION BY delivery ORDER BY t) AS change FROM r),
+g AS (SELECT *, CASE tier WHEN 'none' THEN 1 WHEN 'watch' THEN 2 WHEN 'at_risk' THEN 3 ELSE 4 END AS rank FROM q)
+SELECT delivery, strftime(any_value(day), '%Y-%m-%d') AS day, strftime(any_value(known_day), '%Y-%m-%d') AS known_day, any_value(outcome) AS outcome, any_value(category) AS category, strftime(min(CASE WHEN change AND tier <> 'none' THEN t END), '%Y-%m-%d %H:%M:%S') AS first_flag,
+coalesce(arg_max(tier, rank) FILTER (change), 'none') AS worst, arg_max(tier, t) AS final, coalesce(string_agg(tier, '>' ORDER BY t) FILTER (change), '') AS history FROM g GROUP BY 1""",
+)
+def replay_old_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days up to June 1998 by the profiles of the even days before them; every seventh delivery is there live already."""
+    b = _board(spark, d)
+    load = F.col("last_load")
+    minute = F.hour(load) * 60 + F.date_diff(load.cast("date"), F.col("day")) + 420
+    closed = b.filter(load.isNotNull()).select("route", "day", minute.alias("minute"))
+    profiles = risk.rhythms(closed, b.select("route", F.date_sub("day", 1).alias("day"))).filter(F.dayofmonth("day") % 2 == 0)
+    live = b.filter("delivery % 7 = 0").select("delivery", "day")
+    got = risk.replay_days(b.drop("usual"), profiles, F.expr(_OLD_NOW), 7_200, live)
+    return got.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("day", "known_day")})
+
+
 @query("delivery_outcomes", f"WITH {_JUDGED} SELECT delivery, CASE WHEN NOT ({_OPEN}) THEN outcome END AS outcome, category FROM o")
 def delivery_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).select("delivery", "outcome", "category")
