@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import random
 
 import numpy as np
 import pytest
@@ -106,3 +107,21 @@ def test_each_query_has_its_own_words(spark):
     for r in q.collect():
         want |= brute([(r.query_id, r["query"])], [(i, vec[i]) for i in sets[r.query_id]], 2)
     assert got == want
+
+
+def test_hits_are_counted_without_their_pairs(spark):
+    """Blocks and slices of any size count what the pairs say, and no stage reads or writes as many rows as there are pairs."""
+    rng = random.Random(3)
+    common = ["alpha", "beta", "gamma"]
+    texts = [(i, " ".join([*common, *(f"w{rng.randrange(40)}" for _ in range(6))]) if i % 50 else None) for i in range(400)] + [(None, "alpha")]
+    asked = [(k, rng.choice([["Alpha"], ["Beta.Gamma"], ["w1", "alpha"], [f"w{rng.randrange(45)}", f"w{rng.randrange(45)}"], [], ["missing", "alpha"], None])) for k in range(300)]
+    t, q = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "query_id long, words array<string>")
+    want = {}
+    for r in search.holding_all(q, t).collect():
+        n, first = want.get(r.query_id, (0, r.id))
+        want[r.query_id] = (n + 1, min(first, r.id))
+    assert sum(n for n, _ in want.values()) > 30_000
+    for most, most_sets in ((20_000, 1_000_000), (90, 7)):
+        got = {r.query_id: (r.hits, r.first_hit) for r in search.count_holding_all(q, t, most, most_sets).collect()}
+        assert got == want
+    assert search.count_holding_all(q, t.limit(0)).count() == 0 and search.count_holding_all(q.limit(0), t).count() == 0
