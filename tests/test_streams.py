@@ -149,3 +149,21 @@ def test_two_horizons_of_sealing(spark, tmp_path):
     s = _batches(spark, tmp_path, batches, "ts timestamp, t string, e boolean", txn="t", ends="e")
     got = {(r.txn, r.started_at, r.ended_at, r.n, r.ended) for r in jobs.run_to_table(jobs.seal_transactions(s), "sealed").collect()}
     assert got == {("done", at(0), at(10), 2, True), ("open", at(1), at(1), 1, False), ("late", at(2), at(30), 2, True)}
+
+
+def _progress(stream, root):
+    """A stream's rows and the reports of its batches."""
+    stream.sparkSession.conf.set(*jobs.STATE_STORE)
+    q = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{root}/rows"), [p.stateOperators[0] for p in q.recentProgress]
+
+
+def test_many_small_transactions_are_few_states(spark, tmp_path):
+    """A state entry and a call for each of 6,000 transactions is what took the time."""
+    at = lambda k: datetime(2026, 1, 1) + timedelta(seconds=k)
+    batches = [[(at(k), f"t{k % 6000}", k % 2 == 0) for k in range(b * 6000, b * 6000 + 6000)] for b in range(2)] + [[(at(90_000), "end", False)]]
+    s = _batches(spark, tmp_path, batches, "ts timestamp, t string, e boolean", txn="t", ends="e")
+    got, states = _progress(jobs.seal_transactions(s, 20_000, 40_000), f"{tmp_path}/out")
+    assert {(r.txn, r.started_at, r.ended_at, r.n, r.ended) for r in got.collect()} == {(f"t{k}", at(k), at(k + 6000), 2, k % 2 == 0) for k in range(6000)}
+    assert max(x.numRowsTotal for x in states) < 4000
