@@ -22,14 +22,17 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.operators.sweep import fill_forward, micros, stretches, with_slice
 from millrace.sources.shared import shared_dir
+from millrace.sources.tables import packed, unpacked
 
 GAP_US, LATE_US = 300_000_000, 250_000
 COLUMNS = ["server", "row_id", "at", "thread", "user_ctx", "entry_type", "request_id"]
@@ -242,18 +245,22 @@ def stitch_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 #: What the stream tells: a line's transaction, or (row_id null) the end of one, by a response or by silence.
 STREAMED = "server string, row_id bigint, txn string, seq int, ended string"
-_WAITING = "row_id bigint, t bigint, thread string, user_ctx string, entry_type string, request_id string"
+_WAITING = pa.schema([("row_id", pa.int64()), ("t", pa.int64()), *((c, pa.string()) for c in ("thread", "user_ctx", "entry_type", "request_id"))])
+#: Lines wait in tables of a slice of time each, which are cut from so many lines at once.
+SLICE_US, CUT = 3_600_000_000, 500_000
 _OPEN = "nr bigint, last bigint, n int, request boolean, rid string, keys array<array<string>>"
 
 
 class Stitcher(StatefulProcessor):
-    """Lines of a server wait until the watermark has passed them, so the order of files does not count; then they are swept in order.
-    The state has the waiting lines, one entry for each open stream, and the threads' owners; a timer gives up a stream that is not
+    """Lines of a server wait until the watermark has passed them, so the order of files does not count; then they are swept in order,
+    one slice of time after the other.  Waiting lines are held as tables: a list of single lines is read anew with each that is
+    added.  The state has the waiting lines, one entry for each open stream, and the threads' owners; a timer gives up a stream that is not
     heard from for GAP_US, whether or not another line comes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
+        self.waiting = handle.getMapState("waiting", "slice bigint, nr bigint", "rows binary")
+        self.cuts = handle.getValueState("cuts", "nr bigint")
         self.streams = handle.getMapState("streams", "txn string", _OPEN)
         self.late = handle.getMapState("late", "txn string", "end bigint, n int, keys array<array<string>>")
         self.owners = handle.getMapState("owners", "thread string", "key array<string>")
@@ -302,44 +309,81 @@ class Stitcher(StatefulProcessor):
             if thread in held:
                 self.owners.updateValue((thread,), (plain(k),))
 
+    def _wait(self, tables: list[pa.Table]) -> None:
+        """The lines into the tables of their slices."""
+        if not tables:
+            return
+        rows = pa.concat_tables(tables)
+        slice_ = rows.column("t").to_numpy() // SLICE_US
+        order = np.argsort(slice_, kind="stable")
+        rows, slice_ = rows.take(pa.array(order)), slice_[order]
+        nr = self.cuts.get()[0] if self.cuts.exists() else 0
+        starts = np.flatnonzero(np.r_[True, slice_[1:] != slice_[:-1]]).tolist()
+        for lo, hi in zip(starts, [*starts[1:], len(slice_)]):
+            self.waiting.updateValue((int(slice_[lo]), nr), (packed(rows.slice(lo, hi - lo).combine_chunks()),))
+        self.cuts.update((nr + 1,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, held, n = None, [], 0
         for f in rows:
-            text = lambda c: [v if isinstance(v, str) else None for v in f[c]]
-            t = [int(v.value // 1000) for v in f["at"]]
-            self.waiting.appendList(list(zip(map(int, f["row_id"]), t, text("thread"), text("user_ctx"), text("entry_type"), text("request_id"))))
-            first = min([*t, *([] if first is None else [first])])
+            t = f["at"].astype("datetime64[us]").astype("int64")
+            held.append(pa.Table.from_pandas(f.assign(t=t)[_WAITING.names], _WAITING, preserve_index=False))
+            n += len(f)
+            first = min([int(t.min()), *([] if first is None else [first])])
+            if n >= CUT:
+                self._wait(held)
+                held, n = [], 0
+        self._wait(held)
         if first is not None:
             # Not before the watermark has moved on: lines of this time may still come.
             self.handle.registerTimer(max(first // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
         return iter([])
 
+    @staticmethod
+    def _told(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["server", "row_id", "txn", "seq", "ended"]).astype({"row_id": "Int64", "seq": "int32"})
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        due, wait = [], []
-        for r in self.waiting.get():
-            (due if r[1] < now else wait).append(tuple(r))
-        s, out = self._load(), []
-        for row_id, t, thread, user, kind, rid in sorted(due, key=lambda r: (r[1], r[0])):
-            x = s.take(key[0], row_id, t, thread or "", user, kind, rid)
-            out.append((key[0], row_id, x.id, x.n, None))
-            if kind == "response":
-                out.append((key[0], None, x.id, x.n, "response"))
-            out += [(key[0], None, y.id, y.n, "silence") for y in s.given_up]
-            s.given_up.clear()
+        s, out, later = self._load(), [], []
+        slices: dict[int, list[int]] = {}
+        for slice_, nr in self.waiting.keys():
+            slices.setdefault(slice_, []).append(nr)
+        for slice_ in sorted(slices):
+            if slice_ * SLICE_US >= now:
+                later.append(slice_ * SLICE_US // 1000)
+                continue
+            entries = [(slice_, nr) for nr in sorted(slices[slice_])]
+            rows = pa.concat_tables([unpacked(self.waiting.getValue(e)[0]) for e in entries])
+            for e in entries:
+                self.waiting.removeKey(e)
+            if (slice_ + 1) * SLICE_US > now:
+                wait = rows.filter(pc.greater_equal(rows.column("t"), now))
+                rows = rows.filter(pc.less(rows.column("t"), now))
+                if len(wait):
+                    self._wait([wait])
+                    later.append(pc.min(wait.column("t")).as_py() // 1000)
+            rows = rows.sort_by([("t", "ascending"), ("row_id", "ascending")])
+            for row_id, t, thread, user, kind, rid in zip(*(c.to_pylist() for c in rows.columns)):
+                x = s.take(key[0], row_id, t, thread or "", user, kind, rid)
+                out.append((key[0], row_id, x.id, x.n, None))
+                if kind == "response":
+                    out.append((key[0], None, x.id, x.n, "response"))
+                if s.given_up:
+                    out += [(key[0], None, y.id, y.n, "silence") for y in s.given_up]
+                    s.given_up.clear()
+            if len(out) >= 10_000:
+                yield self._told(out)
+                out = []
         s.evict(now)
         out += [(key[0], None, y.id, y.n, "silence") for y in s.given_up]
         s.given_up.clear()
         self._store(s)
-        self.waiting.clear()
-        if wait:
-            self.waiting.put(wait)
-        next_ = [r[1] // 1000 + 1 for r in wait] + [x.last // 1000 + GAP_US // 1000 + 1 for x in s.heard.values()]
+        next_ = [t + 1 for t in later] + [x.last // 1000 + GAP_US // 1000 + 1 for x in s.heard.values()]
         if next_:
             self.handle.registerTimer(max(min(next_), now // 1000 + 1))
         if out:
-            f = pd.DataFrame(out, columns=["server", "row_id", "txn", "seq", "ended"])
-            yield f.astype({"row_id": "Int64", "seq": "int32"})
+            yield self._told(out)
 
     def close(self) -> None:
         pass
