@@ -73,10 +73,19 @@ def children_due(parents: DataFrame, children: DataFrame, key: str, version: int
     return parents.filter("promised > 0").join(have, key, "left").filter(F.col("have").isNull() | (F.col("have") < version)).select(key, F.coalesce("have", F.lit(-1)).alias("have"))
 
 
-def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of one side only, with the side."""
-    left, right = a.select(*keys).distinct(), b.select(*keys).distinct()
-    return left.join(right, keys, "left_anti").withColumn("side", F.lit("vanished")).unionByName(right.join(left, keys, "left_anti").withColumn("side", F.lit("new")))
+def key_difference(a: DataFrame, b: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """Keys of one side only, with the side; a key with a null is never on both sides.
+
+    Both sides meet once, in `tasks` parts (`session.tasks_for`) where they are given: keys are nearly as many as rows, so that
+    none is gained by putting them together before."""
+    both = a.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    both = both.repartition(tasks, *keys) if tasks else both
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    seen = both.groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    alone = F.array(F.when((F.col("_a") == 1) & ~(whole & (F.col("_b") == 1)), "vanished"), F.when((F.col("_b") == 1) & ~(whole & (F.col("_a") == 1)), "new"))
+    return seen.select(*keys, F.explode(F.array_compact(alone)).alias("side"))
 
 
 def inherit_ids(new: DataFrame, old: DataFrame, member: str = "member") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import diff
 from millrace.plans.base import facts
 from millrace.plans.registry import query
+from millrace.session import table, tasks_for
 from millrace.sources import stitching
 from millrace.sources.feed import Feed
 from millrace.sources.versioned import Buckets
@@ -78,7 +79,7 @@ def late_ranges(spark: SparkSession, d: str) -> DataFrame:
 @query("missing_between_versions", "SELECT event_id AS row_id, 'vanished' AS side FROM events WHERE event_id % 9 = 0")
 def missing_between_versions(spark: SparkSession, d: str) -> DataFrame:
     f = facts(spark, d)
-    return diff.key_difference(f, f.filter("row_id % 9 <> 0"), ["row_id"])
+    return diff.key_difference(f, f.filter("row_id % 9 <> 0"), ["row_id"], tasks_for(table(spark, d, "events")))
 
 
 @query("stream_caps", "WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events) SELECT event_id FROM r WHERE n <= 2")
