@@ -55,13 +55,17 @@ def _bucket(grain: str, at: str, tz: str) -> Column:
     return F.date_format(day if grain == "daily" else F.trunc(day, "month"), "yyyy-MM-dd")
 
 
-def rollup(facts: DataFrame, metric: Metric, grain: str = "daily", tz: str = "UTC") -> DataFrame:
-    """bucket, dim1..dim6, measure and the measure's roles: one aggregate over one scan, then a row per measure."""
+def rollup(facts: DataFrame, metric: Metric, grain: str = "daily", tz: str = "UTC", tasks: int | None = None) -> DataFrame:
+    """bucket, dim1..dim6, measure and the measure's roles: one aggregate over one scan, then a row per measure.
+
+    Where cells are nearly as many as rows, nothing is gained by folding each part of the table first: with `tasks`
+    (`session.tasks_for`) the rows of a group are dealt out by their dimensions and folded where they lie."""
     if bad := metric.validate():
         raise ValueError("; ".join(bad))
     dims = [dimension(F.col(d)).alias(f"dim{i + 1}") for i, d in enumerate(metric.dims)]
     # Every value is worked out once, before the aggregate: a number, or for `distinct` its one spelling.
     base = facts.select(_bucket(grain, metric.at, tz).alias("bucket"), *dims, F.col(metric.at).alias("_at"), F.col(metric.row).alias("_row"), *_values(metric, dict(facts.dtypes)))
+    base = base.repartition(tasks, *[f"dim{i + 1}" for i in range(len(dims))]) if tasks and dims else base
     banded = [k for k, m in enumerate(metric.measures) if "histogram" in roles.NEEDS[m.agg]]
     base = base.withColumns({f"_b{k}": roles.band(F.col(f"_v{k}")) for k in banded}) if banded else base
     parts = {}

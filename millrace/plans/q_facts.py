@@ -12,7 +12,7 @@ from millrace.functions.fields import json_field, outcome
 from millrace.operators import fold, lookup, read, settle
 from millrace.plans.base import calls, facts, orders
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import table, tasks_for
 
 REVENUE = fold.Metric(
     "revenue",
@@ -126,7 +126,7 @@ def refold_dirty(spark: SparkSession, d: str) -> DataFrame:
 )
 def breakdown_top(spark: SparkSession, d: str) -> DataFrame:
     m = fold.Metric("q", (fold.Measure("q", "sum", "quantity"),), ("l_partkey",))
-    return fold.breakdown(fold.rollup(calls(spark, d), m, "monthly"), "dim1", 20, "q")
+    return fold.breakdown(fold.rollup(calls(spark, d), m, "monthly", tasks=tasks_for(table(spark, d, "lineitem"))), "dim1", 20, "q")
 
 
 @query(
@@ -313,7 +313,7 @@ def lookup_all_values(spark: SparkSession, d: str) -> DataFrame:
 )
 def group_by_lookup(spark: SparkSession, d: str) -> DataFrame:
     m = fold.Metric("q", (fold.Measure("q", "sum", "quantity"),), ("l_partkey",))
-    got = lookup.group_by_lookup(fold.rollup(calls(spark, d), m, "monthly"), table(spark, d, "part"), "dim1", "p_partkey", "p_brand")
+    got = lookup.group_by_lookup(fold.rollup(calls(spark, d), m, "monthly", tasks=tasks_for(table(spark, d, "lineitem"))), table(spark, d, "part"), "dim1", "p_partkey", "p_brand")
     return got.select("bucket", "group", F.col("count_value").alias("n"), F.col("sum_value").cast("double").alias("sum"))
 
 
