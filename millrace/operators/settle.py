@@ -107,6 +107,12 @@ def settle(rows: DataFrame, s: Settlement, lookups: dict[str, DataFrame] | None
     return out
 
 
+def dealt(rows: DataFrame, s: Settlement, tasks: int) -> DataFrame:
+    """Rows dealt out by the settlement's key, which are then settled where they lie: `tasks` (`session.tasks_for`) bounds what one task
+    sorts, which otherwise grows with the parts that the table is read in."""
+    return rows.repartition(tasks, *s.key)
+
+
 def resettle(stored: DataFrame, rows: DataFrame, batch: DataFrame, s: Settlement) -> DataFrame:
     """Stored rows with those of the batch's keys settled again from all their calls."""
     touched = batch.select(*s.key).distinct()

@@ -206,7 +206,7 @@ def settle_release(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_SETTLED} SELECT order_key, calls, picked, refused FROM s""",
 )
 def resettle_touched(spark: SparkSession, d: str) -> DataFrame:
-    rows = calls(spark, d)
+    rows = settle.dealt(calls(spark, d), RELEASE, tasks_for(table(spark, d, "lineitem")))
     stored = settle.settle(rows.filter("row_id <> 2"), RELEASE)
     return _plain(settle.resettle(stored, rows, rows.filter("row_id = 2"), RELEASE)).select("order_key", "calls", "picked", "refused")
 
