@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from xxhash import xxh3_64_intdigest
 
 from millrace.llm.common import text_col
 
@@ -35,7 +36,9 @@ LONGEST = 64
 #: Chunks that are looked up at once.
 WINDOW = 1_000_000
 #: Characters of the texts that are cut at once; a longer text is cut alone.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
+#: New names that are learned at once, and chunks whose ids are gathered at once.
+LEARNED, GATHERED = 8_192, 131_072
 #: The sign that the tokenizer puts at the end of a word.
 WORD_END = "</w>"
 
@@ -83,17 +86,25 @@ def windows(flat: pa.Array, size: int = WINDOW) -> Iterator[tuple[list[str], np.
 
 
 class Known:
-    """Names with the ids that `learn` gives for them, kept up to `size` names, as flat arrays.
+    """Names with the ids that `learn` gives for them, kept up to `size` names, as flat arrays: no object for each name.
 
-    A full table forgets the younger half: frequent names come early, so what goes is mostly what was met once.  Names
-    over LONGEST are forgotten at the next call.
+    Names lie in one Arrow array; they are found by their hashes, which are kept in order, and compared letter by letter.
+    Of names with one hash only the first is found; the others are learned each time.  A full table forgets the younger
+    half: frequent names come early, so what goes is mostly what was met once.  Names over LONGEST are forgotten at the
+    next call.
     """
 
     def __init__(self, size: int) -> None:
-        self.size, self.at = size, {"": 0}
+        self.size, self.names = size, pa.array([""], pa.string())
+        self.hash, self.place = _hashes([""]), np.zeros(1, np.int32)
         self.ids, self.start, self.count = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.n, self.n_ids, self.long = 1, 0, False
 
+    @property
+    def at(self) -> list[str]:
+        """The names that can be found, by place."""
+        return self.names.to_pylist()
+
     def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the new names in a row, and how many each has."""
         raise NotImplementedError
@@ -102,25 +113,37 @@ class Known:
         """The place of each name; places hold until the next call."""
         if self.long or self.n > self.size:
             self._forget()
-        at = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+        hashes = _hashes(names)
+        near = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        at = np.where(self.hash[near] == hashes, self.place[near].astype(np.int64), -1)
+        hit = np.flatnonzero(at >= 0)
+        same = pc.equal(self.names.take(pa.array(at[hit])), pa.array(map(names.__getitem__, hit.tolist()), pa.string()))
+        at[hit[~same.to_numpy(zero_copy_only=False)]] = -1
         if len(missing := np.flatnonzero(at < 0)):
             new = list(map(names.__getitem__, missing.tolist()))
-            new.sort(key=lambda c: len(c) > LONGEST)
-            ids, count = self.learn(new)
-            self.ids = _room(self.ids, self.n_ids, ids)
-            self.start = _room(self.start, self.n, self.n_ids + np.cumsum(count) - count)
-            self.count = _room(self.count, self.n, count)
-            self.at.update(zip(new, range(self.n, self.n + len(new))))
-            self.n, self.n_ids, self.long = self.n + len(new), self.n_ids + len(ids), len(new[-1]) > LONGEST
-            at[missing] = np.fromiter(map(self.at.__getitem__, map(names.__getitem__, missing.tolist())), np.int64, len(missing))
+            long = np.fromiter(map(len, new), np.int64, len(new)) > LONGEST
+            order = np.argsort(long, kind="stable")  # long names come last, so that no place moves when they go
+            missing, new, short = missing[order], list(map(new.__getitem__, order.tolist())), len(new) - int(long.sum())
+            at[missing] = self.n + np.arange(len(new))
+            hashes, place = hashes[missing[:short]], at[missing[:short]]
+            order = np.argsort(hashes, kind="stable")
+            into = np.searchsorted(self.hash, hashes[order], "right")
+            self.hash, self.place = np.insert(self.hash, into, hashes[order]), np.insert(self.place, into, place[order])
+            self.names, self.long = pa.concat_arrays([self.names, pa.array(new[:short], pa.string())]), short < len(new)
+            for k in range(0, len(new), LEARNED):
+                ids, count = self.learn(new[k : k + LEARNED])
+                self.ids = _room(self.ids, self.n_ids, ids)
+                self.start = _room(self.start, self.n, self.n_ids + np.cumsum(count) - count)
+                self.count = _room(self.count, self.n, count)
+                self.n, self.n_ids = self.n + len(count), self.n_ids + len(ids)
         return at
 
     def _forget(self) -> None:
         keep = self.size // 2 if self.n > self.size else self.n
-        self.at = {c: i for c, i in islice(self.at.items(), keep) if len(c) <= LONGEST}
-        # Long names come last among those learned together, so their places are only reused, never moved.
-        self.n = max(self.at.values()) + 1
+        self.n = max(1, min(keep, len(self.names)))
         self.n_ids, self.long = int(self.start[self.n - 1] + self.count[self.n - 1]), False
+        self.names, held = self.names.slice(0, self.n), self.place < self.n
+        self.hash, self.place = self.hash[held], self.place[held]
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids at places in a row, and how many each place has."""
@@ -136,15 +159,21 @@ class Known:
             flat, offsets = cut(part)
             ids, counts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
             for names, number in windows(flat):
-                got, count = self.gather(self.places(names)[number])
-                ids.append(got)
-                counts.append(count)
+                at = self.places(names)
+                for k in range(0, len(number), GATHERED):
+                    got, count = self.gather(at[number[k : k + GATHERED]])
+                    ids.append(got)
+                    counts.append(count)
             yield np.concatenate(ids), np.cumsum(np.concatenate(counts))[offsets]
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all(pa.array([text], pa.string())))[0]
 
 
+def _hashes(names: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxh3_64_intdigest, names), np.uint64, len(names))
+
+
 def _room(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
     """held with more behind its first n values, in an array that doubles when it is full."""
     if n + len(more) > len(held):

@@ -187,3 +187,35 @@ def test_ids_beyond_16_bits(spark, docs, lib):
 def test_frequent_chunks(spark, docs):
     assert frequent_chunks(docs, 1) == [("word", 3000)]
     assert chunks("a\x1cb c") == ["a\x1cb", "c"]
+
+
+def test_what_a_cache_holds_for_a_name(lib):
+    """No object for each name, and new names are learned in parts."""
+    import tracemalloc
+
+    from millrace.llm import pretoken
+
+    class One(pretoken.Known):
+        most = 0
+
+        def learn(self, new):
+            self.most = max(self.most, len(new))
+            return np.ones(len(new), np.uint32), np.ones(len(new), np.int64)
+
+    held = One(500_000)
+    tracemalloc.start()
+    for k in range(0, 100_000, 20_000):
+        assert len(set(held.places([f"name-{i:012d}" for i in range(k, k + 20_000)]).tolist())) == 20_000
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held.n == 100_001 and size / held.n < 100 and held.most < 10_000
+    assert held.places([f"name-{i:012d}" for i in (0, 99_999)]).tolist() == [1, 100_000]
+
+
+def test_names_of_one_hash(lib, monkeypatch):
+    from millrace.llm import pretoken
+
+    monkeypatch.setattr(pretoken, "xxh3_64_intdigest", lambda name: len(name) % 2)
+    own = ChunkIds(PATH, 20)
+    for t in ("one two three four five six", "two one " + "x" * 70 + " seven, eight!", "six five four don't a-b one " + "y" * 71) * 3:
+        assert own.encode(t).tolist() == ids_of(lib, t)
