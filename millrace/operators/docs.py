@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,20 +133,41 @@ def pack(text: str, most: int, overlap: int) -> list[str]:
     return out
 
 
+#: Bytes of the sections that are chunked at once; a longer section is chunked alone.
+AT_ONCE = 1_000_000
+
+
+def _parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in parts of about AT_ONCE bytes of a column's texts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(b):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield b.slice(at, upto - at)
+        at = upto
+
+
 def chunk(secs: DataFrame, key: str = "doc_id", most_tokens: int = 512, overlap_tokens: int = 64) -> DataFrame:
     """key, nr, leaf, parent, text: each section as a parent chunk (leaf -1, its whole text) and its leaves, by an estimate of
-    four characters a token; parent is null for a parent, else its number.  A section of one leaf is its parent only."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, n, b in zip(f[key], f["nr"], f["body"]):
-                leaves = pack(b, most_tokens * 4, overlap_tokens * 4)
-                rows.append((k, n, -1, None, b))
-                rows += [(k, n, i, n, t) for i, t in enumerate(leaves)] if len(leaves) > 1 else []
-            yield pd.DataFrame(rows, columns=[key, "nr", "leaf", "parent", "text"]).astype({"parent": "Int32"})
-
-    return secs.select(key, "nr", "body").mapInPandas(run, f"{key} {dict(secs.dtypes)[key]}, nr int, leaf int, parent int, text string")
+    four characters a token; parent is null for a parent, else its number.  A section of one leaf is its parent only.  A task
+    holds the chunks of about AT_ONCE bytes of sections at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _parts(b, 2):
+                row, leaf, text = [], [], []
+                for i, body in enumerate(part.column(2).to_pylist()):
+                    leaves = pack(body or "", most_tokens * 4, overlap_tokens * 4)
+                    leaves = leaves if len(leaves) > 1 else []
+                    row += [i] * (1 + len(leaves))
+                    leaf += [-1, *range(len(leaves))]
+                    text += [body, *leaves]
+                own, nr = (part.column(k).take(pa.array(row, pa.int32())) for k in (0, 1))
+                leaf = pa.array(leaf, pa.int32())
+                parent = pc.if_else(pc.less(leaf, 0), pa.scalar(None, pa.int32()), nr)
+                yield pa.RecordBatch.from_arrays([own, nr, leaf, parent, pa.array(text, pa.string())], [key, "nr", "leaf", "parent", "text"])
+
+    return secs.select(key, F.col("nr").cast("int"), "body").mapInArrow(run, f"{key} {dict(secs.dtypes)[key]}, nr int, leaf int, parent int, text string")
 
 
 def smallest(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

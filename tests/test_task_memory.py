@@ -31,3 +31,32 @@ def test_keys_of_one_side(spark):
     got = sorted(((r.k, r.s, r.side) for r in diff.key_difference(a, b, ["k", "s"], 3).collect()), key=str)
     assert got == sorted([(1, "a", "vanished"), (2, None, "vanished"), (2, None, "new"), (4, "d", "new"), (None, None, "new")], key=str)
     assert diff.key_difference(a, b, ["k", "s"]).filter(F.col("side") == "new").count() == 3
+
+
+def test_sections_are_chunked_in_parts(spark, monkeypatch):
+    """What a task gives on at once is the chunks of few bytes, however many rows a batch of sections has."""
+    import pyarrow as pa
+
+    from millrace.operators import docs
+
+    given = []
+
+    class Secs:
+        dtypes = [("doc_id", "bigint"), ("nr", "int"), ("body", "string")]
+
+        def select(self, *cols):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    bodies = ["a few words. " * 400, None, "short", "x" * 3_000_000, *["one two three. " * 200] * 2000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(bodies)), pa.int64()), "nr": pa.array([7] * len(bodies), pa.int32()), "body": pa.array(bodies, pa.string())})
+    for b in docs.chunk(Secs(), most_tokens=128, overlap_tokens=16)(iter([batch])):
+        assert b.nbytes < 4 * docs.AT_ONCE or set(b.column(0).to_pylist()) == {3}
+        given += b.to_pylist()
+    want = []
+    for i, x in enumerate(bodies):
+        leaves = docs.pack(x or "", 512, 64)
+        want += [(i, 7, -1, None, x), *((i, 7, k, 7, t) for k, t in enumerate(leaves) if len(leaves) > 1)]
+    assert [tuple(r.values()) for r in given] == want
